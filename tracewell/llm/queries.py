@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import bpe, decontaminate, exact_dedup, language_id, secret_scan, sharding, token_files
+from tracewell.llm import bpe, decontaminate, exact_dedup, language_id, secret_scan, sharding, simhash, token_files
 from tracewell.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_report(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_report(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
@@ -49,6 +53,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op2_simhash": op2_simhash,
         "op3_token_files": op3_token_files,
         "op4_sharding": op4_sharding,
         "op6_language_id": op6_language_id,
