@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import bpe, decontaminate, exact_dedup, language_id, secret_scan, sharding, simhash, token_files
+from tracewell.llm import bpe, decontaminate, exact_dedup, language_id, line_dedup, secret_scan, sharding, simhash, token_files
 from tracewell.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_report(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_files": op3_token_files,
         "op4_sharding": op4_sharding,
         "op6_language_id": op6_language_id,
+        "op7_line_dedup": op7_line_dedup,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_bpe": op9_bpe,
         "op10_decontamination": op10_decontamination,
