@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import bpe, decontaminate, exact_dedup, language_id, line_dedup, secret_scan, sharding, simhash, token_files
+from tracewell.llm import bpe, decontaminate, exact_dedup, language_id, line_dedup, quality, secret_scan, sharding, simhash, token_files
 from tracewell.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_report(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": op2_simhash,
         "op3_token_files": op3_token_files,
         "op4_sharding": op4_sharding,
+        "op5_quality": op5_quality,
         "op6_language_id": op6_language_id,
         "op7_line_dedup": op7_line_dedup,
         "op8_exact_dedup": op8_exact_dedup,
