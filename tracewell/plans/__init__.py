@@ -1 +1,19 @@
-"""Claim grounding and requirement-fit analytics on Spark."""
+"""The library's operators bound to the driver's tables, and the SQL they are compared with."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from tracewell.plans import text_queries
+
+    return dict(text_queries.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    from tracewell.plans import oracle_text
+
+    return dict(oracle_text.SQL)
