@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ from tracewell.llm.common import limit_batches
 
 #: Symbols that a piece may add to the lookahead before stable tokens are emitted.
 STRIDE = 256
+_ID, _NONE = (1 << 24) - 1, 1 << 60
 _SPACE = regex.compile(r"\s+")
 
 
@@ -39,7 +41,8 @@ class Merges:
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str):
         self.suffix = suffix
-        self.pair: dict[tuple[int, int], tuple[int, int]] = {}
+        #: For each pair of ids, its rank and, in the low bits, the id that it becomes.
+        self.pair: dict[tuple[int, int], int] = {}
         alphabet = byte_alphabet()
         self.inner = [vocab.get(alphabet[b], -1) for b in range(256)]
         self.final = [vocab.get(alphabet[b] + suffix, -1) for b in range(256)]
@@ -47,7 +50,7 @@ class Merges:
         for rank, (a, b) in enumerate(merges):
             key, new = (vocab[a], vocab[b]), vocab[a + b]
             if key not in self.pair:
-                self.pair[key] = (rank, new)
+                self.pair[key] = rank << 24 | new
                 rules.append((*key, new))
         self.lookahead = self._sufficient_lookahead(rules)
 
@@ -86,25 +89,19 @@ class Merges:
 
     def merge(self, ids: list[int]) -> list[int]:
         """Apply the merges by rank, each from left to right, until none applies."""
-        pair = self.pair
-        while len(ids) > 1:
-            best = None
-            for two in zip(ids, ids[1:]):
-                found = pair.get(two)
-                if found and (best is None or found < best):
-                    best, at = found, two
-            if best is None:
+        get, none = self.pair.get, _NONE
+        found = [get(two, none) for two in zip(ids, ids[1:])]
+        while found:
+            best = min(found)
+            if best == none:
                 break
-            out, i, n = [], 0, len(ids)
-            a, b = at
-            while i < n:
-                if ids[i] == a and i + 1 < n and ids[i + 1] == b:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i = found.index(best)
+            ids[i : i + 2] = [best & _ID]
+            del found[i]
+            if i < len(found):
+                found[i] = get((ids[i], ids[i + 1]), none)
+            if i:
+                found[i - 1] = get((ids[i - 1], ids[i]), none)
         return ids
 
 
@@ -158,7 +155,6 @@ class Bpe:
             self.sizes[k] = 0
         self._pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self._special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self._memo: dict[bytes, list[int]] = {}
 
     def _normalise(self, text: str) -> str:
         text = _SPACE.sub(" ", unicodedata.normalize("NFC", text))
@@ -170,15 +166,16 @@ class Bpe:
         if len(piece) > self.merges.lookahead + STRIDE:
             one = PieceTransducer(self.merges, self.sizes)
             return [*one.feed(piece), *one.finish()]
-        found = self._memo.get(piece)
-        if found is None:
-            inner = self.merges.inner
-            found = self.merges.merge([x for x in [*(inner[b] for b in piece[:-1]), self.merges.final[piece[-1]]] if x >= 0])
-            if len(piece) <= 48:
-                if len(self._memo) >= 200_000:
-                    self._memo.clear()
-                self._memo[piece] = found
-        return found
+        inner = self.merges.inner
+        ids = [inner[b] for b in piece]
+        ids[-1] = self.merges.final[piece[-1]]
+        return self.merges.merge(ids if min(ids) >= 0 else [x for x in ids if x >= 0])
+
+    def encode_piece(self, part: bytes) -> list[int]:
+        """A chunk's part. One of lower-case ASCII letters, or of ASCII signs only, is one piece."""
+        if part.isascii() and b"'" not in part and (part.isalpha() and part.islower() or not any(c < 128 and chr(c).isalnum() for c in part)):
+            return self._piece(part)
+        return self.encode(part.decode("utf-8"))
 
     def _plain(self, text: str) -> Iterator[int]:
         for m in self._pieces.finditer(self._normalise(text)):
@@ -195,10 +192,10 @@ class Bpe:
 
     def encode_chunks(self, chunks: list[bytes]) -> list[bytes]:
         """For the memo: chunks without white space, as packed ids."""
-        return [np.array(self.encode(c.decode("utf-8")), np.uint32).tobytes() for c in chunks]
+        return [array("I", self.encode_piece(c)).tobytes() for c in chunks]
 
     def memo(self) -> ChunkMemo:
-        return ChunkMemo(self.encode_chunks, lower=True, keep=tuple(x.encode() for x in self.special))
+        return ChunkMemo(self.encode_chunks, keep=tuple(x.encode() for x in self.special))
 
 
 class Utf8Machine:
@@ -311,7 +308,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, memo = _load(path)
         for batch in batches:
-            packed = [memo.encode(t) for t in batch.column(1).to_pylist()]
+            packed = memo.encode(batch.column(1).to_pylist())
             offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(packed), np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "ids"])

@@ -2,37 +2,97 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable
 
-#: Chunks kept before the memo starts afresh, and the longest chunk that is kept.
-MOST, LONGEST = 150_000, 48
+import regex
+
+#: Chunks and pieces kept before the older generation goes, and the longest that are kept.
+MOST, LONGEST = 200_000, 48
+_ASCII_PIECES = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+_PIECES = regex.compile(r"\p{L}+|\p{N}|[^\p{L}\p{N}]+")
+
+
+def pieces(chunk: bytes) -> list[bytes]:
+    """A chunk's parts between which no token lies: runs of letters, single digits, runs of signs.
+
+    Chunks with an apostrophe (contractions), or that composing or lower-casing would change in
+    kind, stay whole.
+    """
+    if b"'" in chunk:
+        return [chunk]
+    if chunk.isascii():
+        return [chunk] if chunk.isalpha() else _ASCII_PIECES.findall(chunk)
+    text = chunk.decode("utf-8")
+    if "İ" in text or not unicodedata.is_normalized("NFC", text):
+        return [chunk]
+    return [p.encode() for p in _PIECES.findall(text)]
+
+
+class _Generations:
+    """A dict of bounded size: when the younger half is full, the older half is dropped."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, keys: set[bytes]) -> list[bytes]:
+        """The keys that neither half holds; those of the older half move to the younger."""
+        young, old = self.young, self.old
+        out = []
+        for k in keys.difference(young):
+            if k in old:
+                young[k] = old[k]
+            else:
+                out.append(k)
+        return out
+
+    def trim(self) -> None:
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
 
 
 class ChunkMemo:
     """Encodes texts chunk by chunk; a chunk lies between ASCII white space.
 
-    Sound for a vocabulary whose pieces hold no white space. With lower, ASCII letters are folded
-    first, which such a vocabulary's own lower-casing would do anyway; texts that hold one of the
-    strings in keep (special tokens, which are matched before folding) are left as they are.
+    Sound for a vocabulary whose pieces hold no white space and are runs of letters, digits or runs
+    of signs, after lower-casing: ASCII letters are folded first, which such a vocabulary does
+    anyway. Texts that hold one of the strings in keep (special tokens, which are matched before
+    folding) are encoded chunk by chunk as they are. encode gets pieces that are new.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], lower: bool, keep: tuple[bytes, ...] = ()):
-        self.encode_new, self.lower, self.keep = encode, lower, keep
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, text: str | None) -> bytes:
-        """The text's ids as packed 32-bit integers."""
-        data = (text or "").encode("utf-8", "replace")
-        if self.lower and not any(k in data for k in self.keep):
-            data = data.lower()
-        chunks = data.split()
-        known = self.known
-        missing = list(set(chunks).difference(known))
-        if not missing:
-            return b"".join(map(known.__getitem__, chunks))
-        if len(known) > MOST:
-            known.clear()
-            missing = list(set(chunks))
-        new = dict(zip(missing, self.encode_new(missing), strict=True))
-        known.update((k, v) for k, v in new.items() if len(k) <= LONGEST)
-        return b"".join([new[c] if c in new else known[c] for c in chunks])
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], keep: tuple[bytes, ...] = ()):
+        self.encode_new, self.keep = encode, keep
+        self.chunks, self.parts = _Generations(MOST), _Generations(2 * MOST)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's ids as packed 32-bit integers; what is new in any of them is encoded once."""
+        split: list[list[bytes] | None] = []
+        whole: dict[int, bytes] = {}
+        seen: set[bytes] = set()
+        for k, text in enumerate(texts):
+            data = (text or "").encode("utf-8", "replace")
+            if any(x in data for x in self.keep):
+                whole[k] = b"".join(self.encode_new(data.split()))
+                split.append(None)
+                continue
+            chunks = data.lower().split()
+            seen.update(chunks)
+            split.append(chunks)
+        known, parts = self.chunks, self.parts
+        missing = known.missing(seen)
+        if missing:
+            cut = [pieces(c) for c in missing]
+            new = parts.missing({p for s in cut for p in s})
+            got = parts.young
+            got.update(zip(new, self.encode_new(new), strict=True))
+            known.young.update((c, got[s[0]] if len(s) == 1 else b"".join([got[p] for p in s])) for c, s in zip(missing, cut, strict=True))
+        take = known.young.__getitem__
+        out = [whole[k] if chunks is None else b"".join(map(take, chunks)) for k, chunks in enumerate(split)]
+        if missing:
+            for memo, keys in ((known, missing), (parts, new)):
+                for x in keys:
+                    if len(x) > LONGEST:
+                        memo.young.pop(x, None)
+                memo.trim()
+        return out

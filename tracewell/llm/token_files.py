@@ -13,6 +13,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 from urllib.parse import urlparse
 
 import numpy as np
@@ -41,37 +42,43 @@ def _widths(ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words, escapes) of ids. Each word takes the most ids that fit from where it starts."""
-    ids = np.ascontiguousarray(ids, np.uint64)
-    n = len(ids)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    width = np.zeros(n + 256, np.uint8)
-    width[:n] = _widths(ids)
-    top = {1: width}  # the widest of the next so many ids; beyond the end they count as zeros
+def pack(ids: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, escapes, first word of each run, first escape of each run) for runs of ids.
+
+    sizes: the runs' lengths. A word takes the most ids that fit from where it starts and never
+    reaches into the next run, so a run's words hold its ids exactly.
+    """
+    sizes = np.asarray(sizes, np.int64)
+    ends = np.cumsum(sizes)
+    n = len(ids) + len(sizes)  # one barrier after each run
+    place = np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)
+    padded = np.zeros(n + 240, np.uint64)
+    padded[place] = ids
+    width = np.full(n + 256, 255, np.uint8)
+    width[place] = _widths(np.ascontiguousarray(ids, np.uint64))
+    top = {1: width}  # the widest of the next so many
     for p in (2, 4, 8, 16, 32, 64, 128):
         h = top[p // 2]
         top[p] = np.maximum(h[: len(h) - p // 2], h[p // 2 :])
     step, chosen = np.ones(n, np.uint8), np.full(n, 15, np.uint8)
-    chosen[width[:n] > 60] = ESCAPE
+    chosen[(width[:n] > 60) & (width[:n] < 255)] = ESCAPE
     for s in (14, 13, 12, 11, 10, 9, 8, 7, 6, 5, 4, 3, 2, 0):
         count, bits = SELECTORS[s]
         p = 1 << (count.bit_length() - 1)
         fits = top[p][:n] <= bits
-        if not fits.any():
-            break
         if p != count:
             fits &= top[p][count - p : count - p + n] <= bits
         step[fits], chosen[fits] = count, s
+    barriers = ends + np.arange(len(sizes))
+    chosen[barriers] = 255
     starts, i, steps = [], 0, step.tobytes()
     while i < n:
         starts.append(i)
         i += steps[i]
-    at = np.array(starts)
+    at = np.array(starts, np.int64)
+    at = at[chosen[at] != 255]
     picks = chosen[at]
     words = picks.astype(np.uint64) << np.uint64(60)
-    padded = np.concatenate([ids, np.zeros(240, np.uint64)])
     for s in np.unique(picks):
         count, bits = SELECTORS[s]
         if bits:
@@ -81,15 +88,17 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             for j in range(count):
                 value |= padded[first + j] << np.uint64(j * bits)
             words[mine] = value
-    return words, ids[at[picks == ESCAPE]]
+    run_starts = barriers - sizes
+    escaped = at[picks == ESCAPE]
+    return words, padded[escaped], np.searchsorted(at, run_starts), np.searchsorted(escaped, run_starts)
 
 
-def unpack(words: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
-    """The n ids of words."""
+def unpack(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
+    """The ids of whole runs' words."""
     picks = (words >> np.uint64(60)).astype(np.intp)
     counts = np.array([c for c, _ in SELECTORS])[picks]
     ends = np.cumsum(counts)
-    out = np.zeros((int(ends[-1]) if len(ends) else 0) + 1, np.uint64)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
     first = ends - counts
     for s in np.unique(picks):
         count, bits = SELECTORS[s]
@@ -101,7 +110,7 @@ def unpack(words: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
             value, to = words[mine], first[mine]
             for j in range(count):
                 out[to + j] = (value >> np.uint64(j * bits)) & mask
-    return out[:n]
+    return out
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -127,17 +136,26 @@ class TokenFileWriter:
         self.docs: list[tuple] = []
         self.blocks: list[tuple] = []
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        words, escapes = pack(ids)
-        self.docs.append((doc_id or 0, doc_id is None, len(self.blocks), self.n_words, self.n_escapes, len(ids)))
-        self.words.append(words)
-        self.escapes.append(escapes)
-        self.n_words, self.n_escapes, self.n_ids = self.n_words + len(words), self.n_escapes + len(escapes), self.n_ids + len(ids)
-        if self.n_words >= BLOCK_WORDS:
-            self._close_block()
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, sizes: list[int]) -> None:
+        """Documents' ids, one after the other."""
+        words, escapes, first, first_escape = pack(ids, sizes)
+        cuts = [*first.tolist(), len(words)]
+        escape_cuts = [*first_escape.tolist(), len(escapes)]
+        done = escapes_done = 0
+        for k, doc_id in enumerate(doc_ids):
+            self.docs.append((doc_id or 0, doc_id is None, len(self.blocks), self.n_words + cuts[k] - done, self.n_escapes + escape_cuts[k] - escapes_done, int(sizes[k])))
+            if self.n_words + cuts[k + 1] - done >= BLOCK_WORDS or k == len(doc_ids) - 1:
+                self.words.append(words[done : cuts[k + 1]])
+                self.escapes.append(escapes[escapes_done : escape_cuts[k + 1]])
+                self.n_words += cuts[k + 1] - done
+                self.n_escapes += escape_cuts[k + 1] - escapes_done
+                done, escapes_done = cuts[k + 1], escape_cuts[k + 1]
+                if self.n_words >= BLOCK_WORDS:
+                    self._close_block()
+        self.n_ids += len(ids)
 
     def _close_block(self) -> None:
-        if self.words:
+        if self.docs and self.docs[-1][2] == len(self.blocks):
             self.blocks.append((self.at, self.n_words, self.n_escapes))
             for part in (*self.words, *self.escapes):
                 self.at += self.out.write(part.astype("<u8").tobytes()) or 8 * len(part)
@@ -173,14 +191,20 @@ def read_file(uri: str) -> Iterator[tuple[int | None, np.ndarray]]:
             data = np.frombuffer(f.read_at(8 * (b["words"] + b["escapes"]), b["at"]), "<u8")
             words, escapes = data[: b["words"]], data[b["words"] :]
             mine = docs.slice(int(np.searchsorted(of, k)), int(np.searchsorted(of, k, "right") - np.searchsorted(of, k)))
-            first, esc = [*mine["word"].to_pylist(), len(words)], [*mine["escape"].to_pylist(), len(escapes)]
-            for j, (doc_id, null, n) in enumerate(zip(mine["doc_id"].to_pylist(), mine["null_id"].to_pylist(), mine["n_ids"].to_pylist(), strict=True)):
-                yield (None if null else doc_id), unpack(words[first[j] : first[j + 1]], escapes[esc[j] : esc[j + 1]], n)
+            ids, at = unpack(words, escapes), 0
+            for doc_id, null, n in zip(mine["doc_id"].to_pylist(), mine["null_id"].to_pylist(), mine["n_ids"].to_pylist(), strict=True):
+                yield (None if null else doc_id), ids[at : at + n]
+                at += n
 
 
 _memos: dict[str, ChunkMemo] = {}
 
 
+def _one_piece(part: bytes) -> bool:
+    """Letters only: one piece of the vocabulary's pre-tokenizer, with one word end."""
+    return part.isalpha() if part.isascii() else part.decode("utf-8").isalpha()
+
+
 def library_memo(path: str) -> ChunkMemo:
     """The tokenizers library's encoding of whole texts, chunk by chunk where that is the same.
 
@@ -198,8 +222,33 @@ def library_memo(path: str) -> ChunkMemo:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        encode = lambda chunks: [np.array(e.ids, np.uint32).tobytes() for e in tokenizer.encode_batch_fast([c.decode("utf-8") for c in chunks], add_special_tokens=False)]
-        _memos[path] = ChunkMemo(encode, lower=True, keep=tuple(t["content"].encode() for t in spec["added_tokens"]))
+        suffix = spec["model"]["end_of_word_suffix"]
+        vocabulary = tokenizer.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[k for t, k in vocabulary.items() if t.endswith(suffix)]] = True
+
+        def encode(parts: list[bytes]) -> list[bytes]:
+            """All parts as one text, which is cut again at the word ends; each alone where that differs."""
+            if not parts:
+                return []
+            texts = [p.decode("utf-8") for p in parts]
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(ends[ids]) + 1
+            if len(cuts) == len(parts) and all(map(_one_piece, parts)):
+                raw, at = ids.tobytes(), [0, *(cuts * 4).tolist()]
+                return [raw[a:z] for a, z in zip(at, at[1:])]
+            return [np.array(e.ids, np.uint32).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+        def by_kind(parts: list[bytes]) -> list[bytes]:
+            """Plain words together, all else one by one."""
+            plain = [p for p in parts if _one_piece(p)]
+            out = dict(zip(plain, encode(plain), strict=True))
+            rest = [p for p in parts if p not in out]
+            if rest:
+                out.update(zip(rest, (np.array(e.ids, np.uint32).tobytes() for e in tokenizer.encode_batch_fast([p.decode("utf-8") for p in rest], add_special_tokens=False)), strict=True))
+            return [out[p] for p in parts]
+
+        _memos[path] = ChunkMemo(by_kind, keep=tuple(t["content"].encode() for t in spec["added_tokens"]))
     return _memos[path]
 
 
@@ -227,7 +276,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str | Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        memo, end = library_memo(path), np.array([end_id], np.uint32)
+        memo, end = library_memo(path), np.array([end_id], np.uint32).tobytes()
         writer = uri = at = first = None
         made = []
 
@@ -236,13 +285,16 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str | Non
             made.append((at, uri, len(writer.docs), writer.n_ids, first))
 
         for batch in batches:
-            for doc_id, text, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            doc_ids, texts, places = (c.to_pylist() for c in batch.columns)
+            packed = [p + end for p in memo.encode(texts)]
+            for k, group in groupby(range(len(texts)), places.__getitem__):
+                rows = list(group)
                 if k != at:
                     if writer:
                         close()
                     uri = f"{folder}/part-{k:06d}-{uuid.uuid4().hex}.tok"
-                    writer, at, first = TokenFileWriter(uri), k, doc_id
-                writer.add(doc_id, np.concatenate([np.frombuffer(memo.encode(text), np.uint32), end]))
+                    writer, at, first = TokenFileWriter(uri), k, doc_ids[rows[0]]
+                writer.add([doc_ids[i] for i in rows], np.frombuffer(b"".join([packed[i] for i in rows]), np.uint32), [len(packed[i]) // 4 for i in rows])
         if writer:
             close()
             columns = list(zip(*made, strict=True))
