@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from tracewell.plans import text_queries
+    from tracewell.plans import record_queries, text_queries
 
-    return dict(text_queries.QUERIES)
+    return text_queries.QUERIES | record_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from tracewell.plans import oracle_text
+    from tracewell.plans import oracle_records, oracle_text
 
-    return dict(oracle_text.SQL)
+    return oracle_text.SQL | oracle_records.SQL

@@ -16,8 +16,8 @@ def sentences(column: str) -> str:
     return f"list_filter(list_transform(string_split_regex(regexp_replace(coalesce({column}, ''), '([.!?])[\\x09-\\x0D\\x20]+', '\\1\n', 'g'), '\n+'), lambda x: trim(x)), lambda x: x <> '')"
 
 
-def content(norm_expr: str) -> str:
-    return f"list_distinct(list_filter(regexp_extract_all({norm_expr}, '[a-z][a-z''\\-]*'), lambda w: length(w) > 2 AND w NOT IN ({_STOP})))"
+def content(norm_expr: str, distinct: str = "list_distinct") -> str:
+    return f"{distinct}(list_filter(regexp_extract_all({norm_expr}, '[a-z][a-z''\\-]*'), lambda w: length(w) > 2 AND w NOT IN ({_STOP})))"
 
 
 PRE = f"""
@@ -60,7 +60,7 @@ rec AS (SELECT source, term, min(doc_id) AS found_in FROM dment GROUP BY source,
 SELECT item_id, source, term, found_in FROM wanted JOIN rec USING (term) WHERE NOT EXISTS (SELECT 1 FROM draft WHERE draft.source = rec.source AND draft.term = rec.term)""",
     "requirement_addressed": f"WITH {PRE} SELECT item_id, CAST(seq AS INTEGER) AS seq, source, hits, needed, addressed FROM met",
     "qualification_score": f"WITH {PRE} SELECT item_id, source, addressed, total, round(addressed / total, 6) AS score FROM qual",
-    "total_score": f"""WITH {PRE} SELECT fit.item_id, fit.source, round(40.0 * round(matched / wanted, 6) + 15.0 * coalesce(round(addressed / total, 6), 0) + 15.0 * coalesce(round(CAST(hits AS DOUBLE) / needed, 6), 0) + 20.0 * round(matched / wanted, 6) + 10.0, 1) AS total
+    "total_score": f"""WITH {PRE} SELECT fit.item_id, fit.source, round(40.0 * round(matched / wanted, 6) + 15.0 * coalesce(round(qual.addressed / total, 6), 0) + 15.0 * coalesce(round(CAST(hits AS DOUBLE) / needed, 6), 0) + 20.0 * round(matched / wanted, 6) + 10.0, 1) AS total
 FROM fit JOIN wn USING (item_id) LEFT JOIN qual USING (item_id, source) LEFT JOIN (SELECT * FROM met WHERE seq = 0) t USING (item_id, source)""",
     "unreachable_terms": f"WITH {PRE} SELECT item_id, count(*) AS wanted, count(*) FILTER (WHERE term NOT IN (SELECT term FROM present)) AS nowhere FROM wanted GROUP BY item_id",
     "keyword_stuffing": f"""WITH {PRE}, n AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(norm, '[a-z0-9]+')) AS term FROM nd) JOIN dict USING (term) GROUP BY doc_id, term),

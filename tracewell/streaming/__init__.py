@@ -1 +1 @@
-"""Claim grounding and requirement-fit analytics on Spark."""
+"""Stage events and usage as streams: the batch folds of runs, kept up to date."""
