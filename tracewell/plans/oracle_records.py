@@ -103,4 +103,4 @@ SELECT source, doc_id, rank, CASE WHEN length(t) <= 120 THEN t ELSE regexp_repla
 }
 
 SQL["timeline_stream"] = SQL["attempt_timeline"]
-SQL["usage_stream"] = "SELECT user_id AS run_id, count(*) AS calls, sum(coalesce(value, 0)) AS tokens, round(sum(coalesce(value, 0) / 10), 2) AS seconds FROM events GROUP BY user_id"
+SQL["usage_stream"] = "SELECT user_id AS run_id, count(*) AS calls, sum(coalesce(value, 0)) AS tokens, round(sum(coalesce(value, 0) * 2), 2) AS seconds FROM events GROUP BY user_id"

@@ -253,7 +253,7 @@ def timeline_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = stages.file_stream(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("value").alias("tokens"), (F.col("value") / 10).alias("seconds"))
+    calls = stages.file_stream(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("value").alias("tokens"), (F.col("value") * 2).alias("seconds"))
     return stages.run_to_parquet(stages.usage_stream(calls), shared_folder(spark, "usage"), shared_folder(spark, "usage-state"))
 
 
