@@ -93,6 +93,18 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+#: The checksum's table by its rule (polynomial 0xEDB88320), then byte by byte; ranks as in the operator.
+_OP4 = """
+WITH RECURSIVE t(n, k, v) AS (SELECT CAST(range AS BIGINT), 0, CAST(range AS BIGINT) FROM range(256)
+  UNION ALL SELECT n, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM t WHERE k < 8),
+tab AS (SELECT list(v ORDER BY n) AS crc FROM t WHERE k = 8),
+hx AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, source, length(h) // 2 + 16 AS size, list_transform(generate_series(1, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i - 1, 2) AS BIGINT)) AS bytes FROM hx),
+d AS (SELECT doc_id, source, size, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], bytes), lambda a, x: xor(a >> 8, crc[CAST(xor(a, x) & 255 AS INTEGER) + 1])), 4294967295) AS text_crc32 FROM b, tab),
+r AS (SELECT *, coalesce('=' || source, '') AS stratum, row_number() OVER (PARTITION BY source ORDER BY md5('7:' || doc_id)) - 1 AS rank, count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS total FROM d),
+p AS (SELECT *, row_number() OVER (ORDER BY (rank + CAST(0.5 AS DOUBLE)) / n, stratum) - 1 AS pos FROM r)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST(pos * 40 // total AS INTEGER) AS shard, pos - (pos * 40 // total * total + 39) // 40 AS slot, CAST(NULL AS INTEGER) AS grown_shard, source FROM p
+"""
 _OP8 = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
 g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
@@ -101,4 +113,4 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": _OP8, "op10_decontamination": _OP10}
+    return {"op4_sharding": _OP4, "op8_exact_dedup": _OP8, "op10_decontamination": _OP10}
