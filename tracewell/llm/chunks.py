@@ -9,7 +9,7 @@ from collections.abc import Callable
 import regex
 
 #: Chunks and pieces kept before the older generation goes, and the longest that are kept.
-MOST, LONGEST = 200_000, 48
+MOST, LONGEST = 80_000, 48
 _ASCII_PIECES = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 _PIECES = regex.compile(r"\p{L}+|\p{N}|[^\p{L}\p{N}]+")
 
@@ -61,9 +61,9 @@ class ChunkMemo:
     folding) are encoded chunk by chunk as they are. encode gets pieces that are new.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], keep: tuple[bytes, ...] = ()):
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], keep: tuple[bytes, ...] = (), most: int = MOST):
         self.encode_new, self.keep = encode, keep
-        self.chunks, self.parts = _Generations(MOST), _Generations(2 * MOST)
+        self.chunks, self.parts = _Generations(most), _Generations(2 * most)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as packed 32-bit integers; what is new in any of them is encoded once."""

@@ -26,6 +26,8 @@ from tracewell.llm.chunks import ChunkMemo
 from tracewell.llm.common import limit_batches, shared_folder, written
 
 MAGIC = b"TOKENS8B"
+#: Chunks that a task's memo keeps of each generation (about 0.4 GB with their pieces).
+MEMO = 220_000
 #: Words after which a block is closed (at the end of a document).
 BLOCK_WORDS = 1 << 16
 #: Ids and bits for each selector. Selector 0 is a run of zeros, selector 1 an escape:
@@ -248,7 +250,7 @@ def library_memo(path: str) -> ChunkMemo:
                 out.update(zip(rest, (np.array(e.ids, np.uint32).tobytes() for e in tokenizer.encode_batch_fast([p.decode("utf-8") for p in rest], add_special_tokens=False)), strict=True))
             return [out[p] for p in parts]
 
-        _memos[path] = ChunkMemo(by_kind, keep=tuple(t["content"].encode() for t in spec["added_tokens"]))
+        _memos[path] = ChunkMemo(by_kind, keep=tuple(t["content"].encode() for t in spec["added_tokens"]), most=MEMO)
     return _memos[path]
 
 
