@@ -41,7 +41,7 @@ class Tables:
 
     def present(self) -> DataFrame:
         rules = mentions.spellings(self.terms).select("term", F.col("spelling").alias("key"))
-        keyed = self.docs.select("source", F.explode(F.array_distinct(T.runs("text"))).alias("key")).distinct()
+        keyed = self.docs.select("source", F.explode(F.array_distinct(T.runs("text"))).alias("key"))
         return keyed.join(rules, "key").select("source", "term").distinct()
 
     def present_words(self) -> DataFrame:
