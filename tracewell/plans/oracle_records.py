@@ -93,7 +93,7 @@ SELECT run_id, coalesce(stop_at, last) AS used, coalesce(why, CASE WHEN g THEN '
 c AS (SELECT conv_id, line, count(*) FILTER (WHERE role = 'user') AS u, count(*) FILTER (WHERE role = 'assistant') AS a FROM l GROUP BY conv_id, line)
 SELECT conv_id, change, CAST(sum(n) AS BIGINT) AS lines FROM (SELECT conv_id, 'removed' AS change, greatest(u - a, 0) AS n FROM c UNION ALL SELECT conv_id, 'added', greatest(a - u, 0) FROM c UNION ALL SELECT conv_id, 'kept', least(u, a) FROM c) GROUP BY conv_id, change HAVING sum(n) > 0""",
     "merged_terms": f"""WITH w AS (SELECT item_id, 0 AS part, unnest(c) AS term, generate_subscripts(c, 1) AS seq FROM (SELECT item_id, {content(norm('text'), '')} AS c FROM benchmark)
-  UNION ALL SELECT doc_id, 1, unnest(c), generate_subscripts(c, 1) FROM (SELECT doc_id, {content(norm('text'), '')} AS c FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark))),
+  UNION ALL SELECT doc_id % (SELECT count(*) FROM benchmark), 1, unnest(c), doc_id * 1000000 + generate_subscripts(c, 1) FROM (SELECT doc_id, {content(norm('text'), '')} AS c FROM documents)),
 k AS (SELECT item_id, term, part, seq, row_number() OVER (PARTITION BY item_id, term ORDER BY part, seq) AS r FROM w WHERE part = 0 OR length(term) < 60)
 SELECT item_id, term, place FROM (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY part, seq) AS place FROM k WHERE r = 1) WHERE place <= 40""",
     "ranked_feedback": f"WITH {_GATE} SELECT owner_id, item_id, term, rank FROM (SELECT owner_id, item_id, term, row_number() OVER (PARTITION BY owner_id ORDER BY item_id, term) AS rank FROM bad) WHERE rank <= 25",

@@ -228,11 +228,11 @@ def copy_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merged_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An item's content words, then those of the document of the same number."""
-    words = lambda df, key: df.select(F.col(key).alias("item_id"), F.posexplode(T.content_words("text")).alias("seq", "term"))
-    bench = table(spark, sf_dir, "benchmark")
-    docs = table(spark, sf_dir, "documents").join(bench.select(F.col("item_id").alias("doc_id")), "doc_id", "left_semi")
-    return sets.merge_terms(words(bench, "item_id"), words(docs, "doc_id")).where("place <= 40")
+    """An item's content words, then those of the documents dealt to it, in order; the first forty stay."""
+    bench, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    words = lambda df, key, base: df.select(key.alias("item_id"), F.posexplode(T.content_words("text")).alias("seq", "term"), base.alias("base")).withColumn("seq", F.col("base") * 1_000_000 + F.col("seq")).drop("base")
+    dealt = F.col("doc_id") % bench.agg(F.count(F.lit(1))).scalar()
+    return sets.merge_terms(words(bench, F.col("item_id"), F.lit(0)), words(docs, dealt, F.col("doc_id"))).where("place <= 40")
 
 
 def ranked_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
