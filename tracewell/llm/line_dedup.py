@@ -55,11 +55,19 @@ def _whole() -> Column:
     return F.xxhash64(F.concat(F.size("words"), F.lit(" "), F.array_join("words", " ")))
 
 
+def _hashes(lines: DataFrame) -> DataFrame:
+    """Word hashes, a column of their own since they are read often; not null, so that sorting is plain."""
+    return lines.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+
+
+def _run_hash(i: Column) -> Column:
+    return F.xxhash64(*[F.get("hashes", i + k) for k in range(SHINGLE)])
+
+
 def _with_tokens(lines: DataFrame) -> DataFrame:
-    """lines plus tokens, as 64-bit hashes. Word hashes are a column of their own: they are read often."""
-    lines = lines.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    many = _shingles(F.size("words"), lambda i: F.xxhash64(*[F.get("hashes", i + k) for k in range(SHINGLE)]))
-    return lines.withColumn("tokens", F.array_distinct(F.when(F.size("words") >= SHINGLE, many).otherwise(F.array(_whole()))))
+    """lines plus tokens, as 64-bit hashes."""
+    many = _shingles(F.size("words"), _run_hash)
+    return _hashes(lines).withColumn("tokens", F.array_distinct(F.when(F.size("words") >= SHINGLE, many).otherwise(F.array(_whole()))))
 
 
 def word_rarity(docs: DataFrame) -> Column:
@@ -77,12 +85,12 @@ def word_rarity(docs: DataFrame) -> Column:
 
 def _with_ordered_tokens(lines: DataFrame, codes: Column) -> DataFrame:
     """lines plus distinct tokens, rarest first: rarity and 47 bits of hash (only to find candidates)."""
-    lines = lines.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    lines = lines.withColumn("rarity", F.transform("hashes", lambda h: F.get(codes, F.pmod(h, F.lit(COUNTERS)).cast("int"))))
-    code = lambda rare, h: F.shiftleft(rare.cast("long"), 47).bitwiseOR(F.shiftrightunsigned(h, 17))
-    many = _shingles(F.size("words"), lambda i: code(F.least(*[F.get("rarity", i + k) for k in range(SHINGLE)]), F.xxhash64(*[F.get("hashes", i + k) for k in range(SHINGLE)])))
-    few = F.array(code(F.array_min("rarity"), _whole()))
-    return lines.withColumn("tokens", F.array_sort(F.array_distinct(F.when(F.size("words") >= SHINGLE, many).otherwise(few))))
+    rare = lambda h: F.coalesce(F.get(codes, F.pmod(h, F.lit(COUNTERS)).cast("int")).cast("long"), F.lit(0))
+    lines = _hashes(lines).withColumn("rarity", F.transform("hashes", rare))
+    rarest = lambda i: F.coalesce(F.least(*[F.get("rarity", i + k) for k in range(SHINGLE)]), F.lit(0))
+    many = _shingles(F.size("words"), lambda i: F.shiftleft(rarest(i), 47).bitwiseOR(F.shiftrightunsigned(_run_hash(i), 17)))
+    few = F.array(F.shiftleft(F.coalesce(F.array_min("rarity"), F.lit(0)), 47).bitwiseOR(F.shiftrightunsigned(_whole(), 17)))
+    return lines.withColumn("tokens", F.sort_array(F.array_distinct(F.when(F.size("words") >= SHINGLE, many).otherwise(few))))
 
 
 def classes_of(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
