@@ -327,7 +327,8 @@ def test_bpe(docs, rows, none):
     want = multiset((r[0], len(i := library(r[1])), hashlib.sha256(" ".join(map(str, i)).encode()).hexdigest(), hashlib.sha256(library.t.decode(i, skip_special_tokens=False).encode()).hexdigest()) for r in rows)
     encoded = bpe.encode_documents(docs, path)
     assert multiset(map(tuple, bpe.token_digests(encoded, path).collect())) == want
-    assert bpe.encode_documents(none, path).count() == 0
+    assert multiset(map(tuple, bpe.round_trip_digests(docs, path).collect())) == want
+    assert bpe.encode_documents(none, path).count() == 0 == bpe.round_trip_digests(none, path).count()
     spaced = {r.doc_id: r.text for r in bpe.decode_documents(encoded, path, spaced=True).collect()}
     assert all(spaced[r[0]] == library.t.decode(library(r[1]), skip_special_tokens=False) for r in rows)
 

@@ -9,6 +9,7 @@ fixed size.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import unicodedata
 from array import array
@@ -333,23 +334,44 @@ def decode_documents(encoded: DataFrame, path: str, spaced: bool = False) -> Dat
     return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(run, "doc_id long, text string")
 
 
-def token_digests(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, and digests of the decimal ids and of the decoded text, from the ids."""
-    import hashlib
+_DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _digest_batch(doc_ids: pa.Array, ids: list[np.ndarray], decimal: list[bytes], spaced: list[bytes]) -> pa.RecordBatch:
+    """n_tokens, and digests of the decimal ids and of the text that the ids decode to."""
+    n, ids_sha, text_sha = [], [], []
+    for one in ids:
+        one = one.tolist()
+        n.append(len(one))
+        ids_sha.append(hashlib.sha256(b" ".join(map(decimal.__getitem__, one))).hexdigest())
+        text_sha.append(hashlib.sha256(b" ".join(map(spaced.__getitem__, one))).hexdigest())
+    return pa.RecordBatch.from_arrays([doc_ids, pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
 
+def token_digests(encoded: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of encoded documents (doc_id, ids)."""
     limit_batches(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, _ = _load(path)
         decimal, spaced = [b"%d" % k for k in range(len(bpe.tokens))], token_bytes(bpe, True)
         for batch in batches:
-            n, ids_sha, text_sha = [], [], []
             offsets, values = batch.column(1).offsets.to_pylist(), batch.column(1).values.to_numpy(zero_copy_only=False)
-            for a, z in zip(offsets, offsets[1:], strict=False):
-                ids = values[a:z].tolist()
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(b" ".join(map(decimal.__getitem__, ids))).hexdigest())
-                text_sha.append(hashlib.sha256(b" ".join(map(spaced.__getitem__, ids))).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            yield _digest_batch(batch.column(0), [values[a:z] for a, z in zip(offsets, offsets[1:], strict=False)], decimal, spaced)
+
+    return encoded.mapInArrow(run, _DIGESTS)
+
+
+def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
+    """token_digests of encode_documents in one step, so that ids need not leave the task."""
+    limit_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, memo = _load(path)
+        decimal, spaced = [b"%d" % k for k in range(len(bpe.tokens))], token_bytes(bpe, True)
+        for batch in batches:
+            packed = memo.encode(batch.column(1).to_pylist())
+            yield _digest_batch(batch.column(0), [np.frombuffer(p, np.uint32) for p in packed], decimal, spaced)
+
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return picked.mapInArrow(run, _DIGESTS)

@@ -50,8 +50,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    return bpe.token_digests(bpe.encode_documents(table(spark, sf_dir, "documents"), path), path)
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
