@@ -36,8 +36,7 @@ def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    return bpe.token_digests(bpe.encode_documents(docs, path), path)
+    return bpe.round_trip_digests(docs, tokenizer_path())
 
 
 STAGES = [
