@@ -18,7 +18,8 @@ def pieces(chunk: bytes) -> list[bytes]:
     """A chunk's parts between which no token lies: runs of letters, single digits, runs of signs.
 
     Chunks with an apostrophe (contractions), or that composing or lower-casing would change in
-    kind, stay whole.
+    kind, stay whole. Of the others, only parts that are ASCII are folded: folded as a whole, a
+    letter could compose with the mark after it.
     """
     if b"'" in chunk:
         return [chunk]
@@ -27,7 +28,7 @@ def pieces(chunk: bytes) -> list[bytes]:
     text = chunk.decode("utf-8")
     if "İ" in text or not unicodedata.is_normalized("NFC", text):
         return [chunk]
-    return [p.encode() for p in _PIECES.findall(text)]
+    return [p.encode().lower() if p.isascii() else p.encode() for p in _PIECES.findall(text)]
 
 
 class _Generations:
@@ -56,9 +57,10 @@ class ChunkMemo:
     """Encodes texts chunk by chunk; a chunk lies between ASCII white space.
 
     Sound for a vocabulary whose pieces hold no white space and are runs of letters, digits or runs
-    of signs, after lower-casing: ASCII letters are folded first, which such a vocabulary does
-    anyway. Texts that hold one of the strings in keep (special tokens, which are matched before
-    folding) are encoded chunk by chunk as they are. encode gets pieces that are new.
+    of signs, after composing and lower-casing: chunks of ASCII are folded first, which such a
+    vocabulary does anyway; others are composed before. Texts that hold one of the strings in keep
+    (special tokens, which are matched before folding), or would when folded, are encoded chunk by
+    chunk as they are. encode gets pieces that are new.
     """
 
     def __init__(self, encode: Callable[[list[bytes]], list[bytes]], keep: tuple[bytes, ...] = (), most: int = MOST):
@@ -72,11 +74,12 @@ class ChunkMemo:
         seen: set[bytes] = set()
         for k, text in enumerate(texts):
             data = (text or "").encode("utf-8", "replace")
-            if any(x in data for x in self.keep):
+            low = data.lower()
+            if any(x in data or x in low for x in self.keep):
                 whole[k] = b"".join(self.encode_new(data.split()))
                 split.append(None)
                 continue
-            chunks = data.lower().split()
+            chunks = low.split() if data.isascii() or data == low else [c.lower() if c.isascii() else c for c in data.split()]
             seen.update(chunks)
             split.append(chunks)
         known, parts = self.chunks, self.parts
