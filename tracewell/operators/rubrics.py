@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,14 +93,75 @@ def round_trip(items: DataFrame, extracted: DataFrame, doc: str = "doc_id") -> D
     return both.groupBy(doc).agg(F.count(F.lit(1)).alias("items"), F.count_if(~found).alias("missing"))
 
 
-def verbatim_echo(sentences: DataFrame, texts: DataFrame, least: int = 25, doc: str = "doc_id", words: int = 3) -> DataFrame:
+#: The rolling hash's odd base, and bytes of sentences that one search of the texts holds in memory; more take another pass.
+_BASE, SEARCHED_BYTES = 0x9E3779B97F4A7C15, 32 << 20
+
+
+def verbatim_echo(sentences: DataFrame, texts: DataFrame, least: int = 25, doc: str = "doc_id") -> DataFrame:
     """(doc, sentence): sentences of over least characters that a text repeats.
 
-    Candidates meet on the runs of a sentence's start, so no text is held against every sentence.
+    Each place of a text is held against the sentences' first least + 1 characters by a rolling
+    hash, and the whole sentence where that agrees, so no text is held against every sentence.
     """
     long = sentences.select(T.normalize("sentence").alias("sentence")).where(F.length("sentence") > least).distinct()
-    key = lambda r, i: F.array_join(F.slice(r, i + 1, words), " ")
-    parts = long.select("sentence", T.runs("sentence").alias("r")).select("sentence", key(F.col("r"), F.lit(0)).alias("key"))
-    norm = texts.select(doc, T.normalize("text").alias("norm")).withColumn("r", F.regexp_extract_all("norm", F.lit("[a-z0-9]+"), F.lit(0)))
-    keyed = norm.select(doc, "norm", F.explode(F.array_distinct(F.transform("r", lambda _, i: key(F.col("r"), i)))).alias("key"))
-    return keyed.join(parts, "key").where(F.contains("norm", "sentence")).select(doc, "sentence").distinct()
+    norm = texts.select(doc, T.normalize("text").alias("norm"))
+    found = norm.select(doc, F.col("norm").alias("sentence")).limit(0)
+    for some in _in_slices(long):
+        found = found.unionByName(_search(norm, some, least + 1, doc))
+    return found.distinct()
+
+
+def _in_slices(sentences: DataFrame) -> Iterator[list[str]]:
+    some, size = [], 0
+    for (sentence,) in sentences.toLocalIterator():
+        some.append(sentence)
+        size += len(sentence.encode())
+        if size >= SEARCHED_BYTES:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
+def _rolling(text: str, width: int) -> np.ndarray:
+    """A hash of each window of width characters, built from those of halves."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    part, size, out, done = codes + np.uint64(1), 1, None, 0
+    while True:
+        if width & size:
+            out = part if out is None else out[: max(0, len(part) - done)] * np.uint64(pow(_BASE, size, 1 << 64)) + part[done : done + len(out)]
+            done += size
+        size *= 2
+        if size > width:
+            return out
+        part = part[: max(0, len(part) - size // 2)] * np.uint64(pow(_BASE, size // 2, 1 << 64)) + part[size // 2 :]
+
+
+def _search(norm: DataFrame, sentences: list[str], width: int, doc: str) -> DataFrame:
+    """(doc, sentence): sentences of width characters or more that norm holds, by a rolling hash (Rabin-Karp)."""
+    shared = norm.sparkSession.sparkContext.broadcast(sentences)
+    schema = norm.select(doc, F.col("norm").alias("sentence")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_hash: dict[int, list[str]] = {}
+        for s in shared.value:
+            by_hash.setdefault(int(_rolling(s[:width], width)[0]), []).append(s)
+        wanted = np.array(sorted(by_hash), np.uint64)
+        marked = np.zeros(1 << 20, bool)
+        marked[(wanted >> np.uint64(44)).astype(np.intp)] = True
+        for batch in batches:
+            rows, said = [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                if len(text) < width:
+                    continue
+                hashes = _rolling(text, width)
+                at = np.flatnonzero(marked[(hashes >> np.uint64(44)).astype(np.intp)])
+                at = at[np.isin(hashes[at], wanted)]
+                held = set()
+                for i, h in zip(at.tolist(), hashes[at].tolist(), strict=True):
+                    held.update(s for s in by_hash[h] if s not in held and text.startswith(s, i))
+                rows += [k] * len(held)
+                said += held
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(said, pa.string())], names=[doc, "sentence"])
+
+    return norm.mapInArrow(run, schema)
