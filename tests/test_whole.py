@@ -23,3 +23,16 @@ def test_echo_of_any_script(spark):
     fold = lambda t: (t or "").lower()
     assert got == sorted(((i, fold(s)) for i, t in enumerate(texts) for s in said if fold(s) in fold(t)), key=str)
     assert len(got) == 9
+
+
+def test_every_entry_is_ranked(spark, tmp_path):
+    from tracewell.plans import record_queries as q
+
+    orders = [(c, k, f"1996-{1 + k % 3:02}-{1 + k % 20:02}", "OFP"[k % 3]) for c, n in ((1, 40), (2, 3)) for k in range(n)]
+    spark.createDataFrame(orders, "o_custkey long, o_orderkey long, d string, o_orderstatus string").selectExpr("*", "cast(d as date) o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    want = []
+    for c in (1, 2):
+        mine = sorted(((s == "O", "" if s == "O" else d[:7], d, k) for o, k, d, s in orders if o == c), reverse=True)
+        want += [(c, x[3], n + 1) for n, x in enumerate(mine)]
+    assert rows(q.ordered_entries(spark, str(tmp_path))) == sorted(want, key=str)
+    assert rows(q.newest_entries(spark, str(tmp_path))) == sorted([w for w in want if w[2] <= 5], key=str)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import vocab
+from tracewell.operators import sets
 
 
 def best_attempt(attempts: DataFrame) -> DataFrame:
@@ -67,8 +68,8 @@ def usage(calls: DataFrame) -> DataFrame:
 
 def newest_first(entries: DataFrame, owner: str, start: str, end: str) -> DataFrame:
     """Rank of each entry within its owner: current ones (empty end) first, then by end and start, latest first."""
-    w = Window.partitionBy(owner).orderBy(F.desc(F.coalesce(F.col(end), F.lit("")) == ""), F.desc(end), F.desc(start))
-    return entries.withColumn("rank", F.row_number().over(w))
+    ranges = [(F.coalesce(F.col(end), F.lit("")) == "", True), (F.col(end), True), (F.left(F.col(start), F.lit(10)), True)]
+    return sets.ranked_in_ranges(entries, [owner], ranges, [F.desc(start)], "rank")
 
 
 def ranked_lists(rows: DataFrame, owner: list[str], order: list, most: int) -> DataFrame:

@@ -8,6 +8,25 @@ from pyspark.sql import functions as F
 from tracewell.functions import text as T
 
 
+def ranked_in_ranges(rows: DataFrame, owner: list[str], ranges: list[tuple[Column, bool]], within: list[Column], name: str) -> DataFrame:
+    """rows plus their place within the owner, from 1, without sorting a large owner in one task.
+
+    ranges: what rows are ordered by first, each with True where it descends; rows that agree in
+    all of it are sorted together, by within. Only the ranges' counts meet in one window an owner.
+    """
+    keys = [f"_range{k}" for k in range(len(ranges))]
+    cut = rows.withColumns({k: c for k, (c, _) in zip(keys, ranges, strict=True)})
+    by = [F.col(k).desc() if down else F.col(k).asc() for k, (_, down) in zip(keys, ranges, strict=True)]
+    earlier = Window.partitionBy(*owner).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy(*owner, *keys).count()
+    counts = counts.select(*[F.col(c).alias(f"_of_{c}") for c in [*owner, *keys]], F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
+    ranked = cut.withColumn("_rank", F.row_number().over(Window.partitionBy(*owner, *keys).orderBy(*within)))
+    same = F.lit(True)
+    for c in [*owner, *keys]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return ranked.join(counts, same).select(*rows.columns, (F.col("_before") + F.col("_rank")).cast("int").alias(name))
+
+
 def merge_terms(first: DataFrame, extra: DataFrame, posting: str = "item_id", longest: int = 60) -> DataFrame:
     """(posting, term, place): the first list in order, then extra terms not in it by normal form."""
     both = first.select(posting, "term", "seq", F.lit(0).alias("part")).unionByName(extra.select(posting, "term", "seq", F.lit(1).alias("part")))

@@ -78,6 +78,7 @@ SELECT doc_id, source, coalesce(length(coalesce(text, '')) < {vocab.TEASER_CHARS
 FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS m, regexp_extract_all(text, '\+?[0-9][0-9 ().-]{7,}[0-9]') AS ph FROM documents)) WHERE emails <> '' OR phones <> ''""",
     "month_ranges": f"SELECT o_orderkey, {_MONTH('o_orderdate')} || ' – ' || CASE WHEN o_orderstatus = 'O' THEN 'Present' ELSE {_MONTH('(o_orderdate + INTERVAL 40 DAY)')} END AS shown FROM orders",
     "newest_entries": "SELECT o_custkey, o_orderkey, rank FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus = 'O' DESC, CASE WHEN o_orderstatus = 'O' THEN '' ELSE strftime(o_orderdate, '%Y-%m') END DESC, strftime(o_orderdate, '%Y-%m-%d ') || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') DESC) AS rank FROM orders) WHERE rank <= 5",
+    "ordered_entries": "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus = 'O' DESC, CASE WHEN o_orderstatus = 'O' THEN '' ELSE strftime(o_orderdate, '%Y-%m') END DESC, strftime(o_orderdate, '%Y-%m-%d ') || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') DESC) AS rank FROM orders",
     "entry_facts": "SELECT s_suppkey, s_name || ', ' || n_name AS title_line, r_name AS context_line FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "entry_pairs": """WITH s AS (SELECT p_brand, p_name, p_partkey, row_number() OVER (PARTITION BY p_type, p_brand, p_name ORDER BY p_partkey) AS n, p_type FROM part)
 SELECT p_brand, p_name, n, a.p_partkey AS skeleton_id, b.p_partkey AS detail_id FROM (SELECT * FROM s WHERE p_type = 'ECONOMY') a FULL JOIN (SELECT * FROM s WHERE p_type = 'SMALL') b USING (p_brand, p_name, n)""",

@@ -162,9 +162,15 @@ def month_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", sets.month_range(start, end).alias("shown"))
 
 
-def newest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ordered_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order of a customer with its rank."""
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.concat(F.date_format("o_orderdate", "yyyy-MM-dd "), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("start"), F.when(F.col("o_orderstatus") == "O", F.lit("")).otherwise(F.date_format("o_orderdate", "yyyy-MM")).alias("end"))
-    return runs.newest_first(o, "o_custkey", "start", "end").where("rank <= 5").select("o_custkey", "o_orderkey", "rank")
+    return runs.newest_first(o, "o_custkey", "start", "end").select("o_custkey", "o_orderkey", "rank")
+
+
+def newest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's first five of ordered_entries."""
+    return ordered_entries(spark, sf_dir).where("rank <= 5")
 
 
 def entry_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,7 +266,7 @@ def usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     unknown_citations, misattributed_items, supporting_text, claim_gate, gate_summary, blocked_terms, repaired_documents, claim_snapshot,
     bullet_rubric, rubric_summary, letter_rubric, text_layer_rubric, page_layout_rubric, round_trip, verbatim_echo, extracted_posts, discovered_links,
-    evidence_chunks, evidence_sources, completed_posts, contacts_found, month_ranges, newest_entries, entry_facts, entry_pairs, assigned_ids,
+    evidence_chunks, evidence_sources, completed_posts, contacts_found, month_ranges, newest_entries, ordered_entries, entry_facts, entry_pairs, assigned_ids,
     best_attempt, stop_reason, run_outcome, attempt_timeline, event_tail, usage_rollup, copy_drift, merged_terms, ranked_feedback, shortlists,
     timeline_stream, usage_stream,
 )}
