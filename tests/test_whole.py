@@ -36,3 +36,15 @@ def test_every_entry_is_ranked(spark, tmp_path):
         want += [(c, x[3], n + 1) for n, x in enumerate(mine)]
     assert rows(q.ordered_entries(spark, str(tmp_path))) == sorted(want, key=str)
     assert rows(q.newest_entries(spark, str(tmp_path))) == sorted([w for w in want if w[2] <= 5], key=str)
+
+
+def test_every_term_is_merged(spark, tmp_path):
+    from tracewell.plans import record_queries as q
+
+    said = [(0, " ".join(f"own{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(50)))]
+    docs = [(7, " ".join(f"doc{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(50)) + " ownaa"), (9, "docaa later")]
+    spark.createDataFrame(said, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    order = [*said[0][1].split(), *docs[0][1].split()[:50], "later"]
+    assert rows(q.all_merged_terms(spark, str(tmp_path))) == sorted(((0, t, n + 1) for n, t in enumerate(order)), key=str)
+    assert q.merged_terms(spark, str(tmp_path)).count() == 40

@@ -32,7 +32,8 @@ def merge_terms(first: DataFrame, extra: DataFrame, posting: str = "item_id", lo
     both = first.select(posting, "term", "seq", F.lit(0).alias("part")).unionByName(extra.select(posting, "term", "seq", F.lit(1).alias("part")))
     both = both.where((F.col("part") == 0) | (F.length("term") < longest)).withColumn("key", T.normalize("term")).where("key <> ''")
     kept = both.groupBy(posting, "key").agg(F.min(F.struct("part", "seq", "term")).alias("x")).select(posting, "x.*")
-    return kept.select(posting, "term", F.row_number().over(Window.partitionBy(posting).orderBy("part", "seq")).alias("place"))
+    ranges = [(F.col("part"), False), (F.floor(F.col("seq") / 65536), False)]
+    return ranked_in_ranges(kept, [posting], ranges, [F.col("seq")], "place").select(posting, "term", "place")
 
 
 def drift(current: DataFrame, proposed: DataFrame, keys: list[str]) -> DataFrame:

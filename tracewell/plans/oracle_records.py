@@ -97,6 +97,10 @@ SELECT conv_id, change, CAST(sum(n) AS BIGINT) AS lines FROM (SELECT conv_id, 'r
   UNION ALL SELECT doc_id % (SELECT count(*) FROM benchmark), 1, unnest(c), doc_id * 1000000 + generate_subscripts(c, 1) FROM (SELECT doc_id, {content(norm('text'), '')} AS c FROM documents)),
 k AS (SELECT item_id, term, part, seq, row_number() OVER (PARTITION BY item_id, term ORDER BY part, seq) AS r FROM w WHERE part = 0 OR length(term) < 60)
 SELECT item_id, term, place FROM (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY part, seq) AS place FROM k WHERE r = 1) WHERE place <= 40""",
+    "all_merged_terms": f"""WITH w AS (SELECT item_id, 0 AS part, unnest(c) AS term, generate_subscripts(c, 1) AS seq FROM (SELECT item_id, {content(norm('text'), '')} AS c FROM benchmark)
+  UNION ALL SELECT doc_id % (SELECT count(*) FROM benchmark), 1, unnest(c), doc_id * 1000000 + generate_subscripts(c, 1) FROM (SELECT doc_id, {content(norm('text'), '')} AS c FROM documents)),
+k AS (SELECT item_id, term, part, seq, row_number() OVER (PARTITION BY item_id, term ORDER BY part, seq) AS r FROM w WHERE part = 0 OR length(term) < 60)
+SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY part, seq) AS place FROM k WHERE r = 1""",
     "ranked_feedback": f"WITH {_GATE} SELECT owner_id, item_id, term, rank FROM (SELECT owner_id, item_id, term, row_number() OVER (PARTITION BY owner_id ORDER BY item_id, term) AS rank FROM bad) WHERE rank <= 25",
     "shortlists": """WITH d AS (SELECT source, doc_id, length(coalesce(text, '')) AS n, trim(coalesce(text, '')) AS t FROM documents), c AS (SELECT *, rtrim(substr(t, 1, 119)) AS cut0 FROM d),
 s AS (SELECT *, length(cut0) - strpos(reverse(cut0), ' ') AS last FROM c)

@@ -233,12 +233,17 @@ def copy_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change.groupBy("conv_id", "change").agg(F.count(F.lit(1)).alias("lines"))
 
 
-def merged_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An item's content words, then those of the documents dealt to it, in order; the first forty stay."""
+def all_merged_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An item's content words, then those of the documents dealt to it, in order."""
     bench, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
     words = lambda df, key, base: df.select(key.alias("item_id"), F.posexplode(T.content_words("text")).alias("seq", "term"), base.alias("base")).withColumn("seq", F.col("base") * 1_000_000 + F.col("seq")).drop("base")
     dealt = F.col("doc_id") % bench.agg(F.count(F.lit(1))).scalar()
-    return sets.merge_terms(words(bench, F.col("item_id"), F.lit(0)), words(docs, dealt, F.col("doc_id"))).where("place <= 40")
+    return sets.merge_terms(words(bench, F.col("item_id"), F.lit(0)), words(docs, dealt, F.col("doc_id")))
+
+
+def merged_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An item's first forty of all_merged_terms."""
+    return all_merged_terms(spark, sf_dir).where("place <= 40")
 
 
 def ranked_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,6 +272,6 @@ QUERIES = {f.__name__: f for f in (
     unknown_citations, misattributed_items, supporting_text, claim_gate, gate_summary, blocked_terms, repaired_documents, claim_snapshot,
     bullet_rubric, rubric_summary, letter_rubric, text_layer_rubric, page_layout_rubric, round_trip, verbatim_echo, extracted_posts, discovered_links,
     evidence_chunks, evidence_sources, completed_posts, contacts_found, month_ranges, newest_entries, ordered_entries, entry_facts, entry_pairs, assigned_ids,
-    best_attempt, stop_reason, run_outcome, attempt_timeline, event_tail, usage_rollup, copy_drift, merged_terms, ranked_feedback, shortlists,
+    best_attempt, stop_reason, run_outcome, attempt_timeline, event_tail, usage_rollup, copy_drift, merged_terms, all_merged_terms, ranked_feedback, shortlists,
     timeline_stream, usage_stream,
 )}
