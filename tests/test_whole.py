@@ -1,6 +1,8 @@
 """Results that hold every row: what earlier forms of the operators left out."""
 
-from tracewell.operators import rubrics
+import hashlib
+
+from tracewell.operators import ground, rubrics
 
 
 def rows(df):
@@ -48,3 +50,14 @@ def test_every_term_is_merged(spark, tmp_path):
     order = [*said[0][1].split(), *docs[0][1].split()[:50], "later"]
     assert rows(q.all_merged_terms(spark, str(tmp_path))) == sorted(((0, t, n + 1) for n, t in enumerate(order)), key=str)
     assert q.merged_terms(spark, str(tmp_path)).count() == 40
+
+
+def test_support_stays_rows(spark):
+    items = spark.createDataFrame([("a", 1, [1]), ("b", 5, [5])], "owner_id string, item_id long, cites array<long>")
+    texts = [("a", 1, None, None), *[("a", k, f"é{k}", 1) for k in (3, 2, 100_000)], ("b", 5, "only", None), ("b", 6, "other", None)]
+    sources = spark.createDataFrame(texts, "owner_id string, source_id long, text string, parent_id long")
+    want = [("a", 1, "é2\né3\né100000"), ("b", 5, "only")]
+    got = ground.support_digests(items, sources)
+    assert rows(got) == [(o, i, len(t), hashlib.md5(t.encode()).hexdigest()) for o, i, t in want]
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(ground.supporting_text(items, sources)) == want

@@ -38,14 +38,23 @@ def misattributed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ground.misattributed(items, sources, ("user",))
 
 
-def supporting_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's source cited by its first document: children are the source's other documents."""
+def _source_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(items, sources): a document's source cited by its first document; children are its other documents."""
     docs = table(spark, sf_dir, "documents")
-    first = F.min("doc_id").over(Window.partitionBy("source"))
-    sources = docs.select(F.col("source").alias("owner_id"), F.col("doc_id").alias("source_id"), "text", F.when(first != F.col("doc_id"), first).alias("parent_id"))
+    docs = docs.join(docs.groupBy("source").agg(F.min("doc_id").alias("first")), "source")
+    sources = docs.select(F.col("source").alias("owner_id"), F.col("doc_id").alias("source_id"), "text", F.when(F.col("first") != F.col("doc_id"), F.col("first")).alias("parent_id"))
     items = sources.where("parent_id is null").select("owner_id", F.col("source_id").alias("item_id"), F.array("source_id").alias("cites"))
-    s = ground.supporting_text(items, sources)
-    return s.select("owner_id", "item_id", F.length("support").alias("n_chars"), F.md5("support").alias("digest"))
+    return items, sources
+
+
+def supporting_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ground.support_digests(*_source_items(spark, sf_dir))
+
+
+def supporting_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that supporting_text digests, each with its place, length and md5."""
+    parts = ground.supporting_parts(*_source_items(spark, sf_dir)).select("owner_id", "item_id", "source_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+    return sets.ranked_in_ranges(parts, ["owner_id", "item_id"], [(F.floor(F.col("source_id") / 65536), False)], [F.col("source_id")], "place")
 
 
 def _violations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -269,7 +278,7 @@ def usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    unknown_citations, misattributed_items, supporting_text, claim_gate, gate_summary, blocked_terms, repaired_documents, claim_snapshot,
+    unknown_citations, misattributed_items, supporting_text, supporting_parts, claim_gate, gate_summary, blocked_terms, repaired_documents, claim_snapshot,
     bullet_rubric, rubric_summary, letter_rubric, text_layer_rubric, page_layout_rubric, round_trip, verbatim_echo, extracted_posts, discovered_links,
     evidence_chunks, evidence_sources, completed_posts, contacts_found, month_ranges, newest_entries, ordered_entries, entry_facts, entry_pairs, assigned_ids,
     best_attempt, stop_reason, run_outcome, attempt_timeline, event_tail, usage_rollup, copy_drift, merged_terms, all_merged_terms, ranked_feedback, shortlists,
