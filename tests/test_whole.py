@@ -2,7 +2,7 @@
 
 import hashlib
 
-from tracewell.operators import ground, rubrics
+from tracewell.operators import fit, ground, rubrics
 
 
 def rows(df):
@@ -61,3 +61,11 @@ def test_support_stays_rows(spark):
     assert rows(got) == [(o, i, len(t), hashlib.md5(t.encode()).hexdigest()) for o, i, t in want]
     assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert rows(ground.supporting_text(items, sources)) == want
+
+
+def test_terms_decide_where_named(spark):
+    reqs = spark.createDataFrame([(1, 0, ["kafka", "spark", "flink", "aa", "bb", "cc", "dd", "ee"]), (1, 1, ["owns", "kafka"]), (1, 2, ["plain", "words"])], "item_id int, seq int, words array<string>")
+    named = spark.createDataFrame([(1, 0, "kafka"), (1, 0, "spark"), (1, 0, "flink"), (1, 1, "kafka")], "item_id int, seq int, term string")
+    terms = spark.createDataFrame([("a", "kafka"), ("a", "spark")], "source string, term string")
+    words = spark.createDataFrame([("a", "kafka"), ("a", "spark"), ("b", "owns"), ("b", "plain")], "source string, word string")
+    assert rows(fit.addressed_by_terms(reqs, named, terms, words)) == [(1, 0, "a", 2, 3, True), (1, 1, "a", 1, 1, True), (1, 2, "b", 1, 2, True)]

@@ -57,6 +57,17 @@ def addressed(reqs: DataFrame, present: DataFrame, posting: str = "item_id", own
     return hits.select(posting, "seq", owner, "hits", "needed", (F.col("hits") * 10 >= F.col("needed") * round(share * 10)).alias("addressed"))
 
 
+def addressed_by_terms(reqs: DataFrame, named: DataFrame, terms: DataFrame, present: DataFrame, posting: str = "item_id", owner: str = "source") -> DataFrame:
+    """addressed(), but a requirement that names terms is met by half of them, whatever its words.
+
+    named: distinct (posting, seq, term); terms: distinct (owner, term).
+    """
+    sizes = named.groupBy(posting, "seq").agg(F.count(F.lit(1)).cast("int").alias("needed"))
+    hits = named.join(terms, "term").groupBy(posting, "seq", owner).agg(F.count(F.lit(1)).alias("hits"))
+    by_term = hits.join(sizes, [posting, "seq"]).select(posting, "seq", owner, "hits", "needed", (F.col("hits") * 2 >= F.col("needed")).alias("addressed"))
+    return by_term.unionByName(addressed(reqs.join(sizes, [posting, "seq"], "left_anti"), present, posting, owner))
+
+
 def qualification_score(reqs: DataFrame, met: DataFrame, posting: str = "item_id", owner: str = "source") -> DataFrame:
     """(posting, owner, addressed, total, score): the share of a posting's requirements that are met."""
     totals = reqs.groupBy(posting).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.size("words") == 0).alias("free"))

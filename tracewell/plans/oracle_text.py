@@ -43,6 +43,14 @@ met AS (SELECT item_id, seq, source, count(*) AS hits, needed, count(*) * 10 >=
 rn AS (SELECT item_id, count(*) AS total, count(*) FILTER (WHERE len(words) = 0) AS free FROM reqs GROUP BY item_id),
 qual AS (SELECT item_id, source, count(*) FILTER (WHERE addressed) + min(free) AS addressed, min(total) AS total FROM met JOIN rn USING (item_id) GROUP BY item_id, source)
 """
+_TERM_MET = f"""
+said AS (SELECT item_id, seq - 1 AS seq, {norm('sentence')} AS x FROM (SELECT item_id, unnest(s) AS sentence, generate_subscripts(s, 1) AS seq FROM (SELECT item_id, {sentences('text')} AS s FROM benchmark))),
+named AS (SELECT DISTINCT item_id, seq, term FROM (SELECT item_id, seq, unnest(regexp_extract_all(x, '[a-z0-9]+')) AS key FROM said) JOIN spell ON key = spelling),
+tsize AS (SELECT item_id, seq, count(*) AS needed FROM named GROUP BY item_id, seq),
+tmet AS (SELECT item_id, seq, source, count(*) AS hits, needed, count(*) * 2 >= needed AS addressed FROM named JOIN tsize USING (item_id, seq) JOIN present USING (term) GROUP BY item_id, seq, source, needed
+  UNION ALL SELECT item_id, seq, source, hits, needed, addressed FROM met ANTI JOIN tsize USING (item_id, seq)),
+tn AS (SELECT item_id, count(*) AS total, count(*) FILTER (WHERE len(words) = 0 AND (item_id, seq) NOT IN (SELECT (item_id, seq) FROM tsize)) AS free FROM reqs GROUP BY item_id)
+"""
 
 SQL = {
     "fit_matrix": f"WITH {PRE} SELECT item_id, source, matched, wanted, round(matched / wanted, 6) AS coverage FROM fit JOIN wn USING (item_id)",
@@ -60,6 +68,8 @@ rec AS (SELECT source, term, min(doc_id) AS found_in FROM dment GROUP BY source,
 SELECT item_id, source, term, found_in FROM wanted JOIN rec USING (term) WHERE NOT EXISTS (SELECT 1 FROM draft WHERE draft.source = rec.source AND draft.term = rec.term)""",
     "requirement_addressed": f"WITH {PRE} SELECT item_id, CAST(seq AS INTEGER) AS seq, source, hits, needed, addressed FROM met",
     "qualification_score": f"WITH {PRE} SELECT item_id, source, addressed, total, round(addressed / total, 6) AS score FROM qual",
+    "requirement_met": f"WITH {PRE}, {_TERM_MET} SELECT item_id, CAST(seq AS INTEGER) AS seq, source, hits, needed, addressed FROM tmet",
+    "requirement_score": f"WITH {PRE}, {_TERM_MET} SELECT item_id, source, count(*) FILTER (WHERE addressed) + min(free) AS addressed, min(total) AS total, round((count(*) FILTER (WHERE addressed) + min(free)) / min(total), 6) AS score FROM tmet JOIN tn USING (item_id) GROUP BY item_id, source",
     "total_score": f"""WITH {PRE} SELECT fit.item_id, fit.source, round(40.0 * round(matched / wanted, 6) + 15.0 * coalesce(round(qual.addressed / total, 6), 0) + 15.0 * coalesce(round(CAST(hits AS DOUBLE) / needed, 6), 0) + 20.0 * round(matched / wanted, 6) + 10.0, 1) AS total
 FROM fit JOIN wn USING (item_id) LEFT JOIN qual USING (item_id, source) LEFT JOIN (SELECT * FROM met WHERE seq = 0) t USING (item_id, source)""",
     "unreachable_terms": f"WITH {PRE} SELECT item_id, count(*) AS wanted, count(*) FILTER (WHERE term NOT IN (SELECT term FROM present)) AS nowhere FROM wanted GROUP BY item_id",

@@ -84,6 +84,25 @@ def requirement_addressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.addressed(fit.requirements(t.bench), t.present_words())
 
 
+def _met_by_terms(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(requirements, which source meets them), by terms where they name any."""
+    spelled = mentions.spellings(t.terms).select("term", F.col("spelling").alias("key"))
+    said = t.bench.select("item_id", F.posexplode(T.sentences("text")).alias("seq", "sentence"))
+    named = said.select("item_id", "seq", F.explode(F.array_distinct(T.runs("sentence"))).alias("key")).join(spelled, "key").select("item_id", "seq", "term").distinct()
+    reqs = fit.requirements(t.bench)
+    judged = reqs.join(named.select("item_id", "seq", F.lit("term").alias("named")).distinct(), ["item_id", "seq"], "left")
+    judged = judged.select("item_id", "seq", F.when(F.col("named").isNull(), F.col("words")).otherwise(F.array("named")).alias("words"))
+    return judged, fit.addressed_by_terms(reqs, named, t.present(), t.present_words())
+
+
+def requirement_met(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _met_by_terms(Tables(spark, sf_dir))[1]
+
+
+def requirement_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fit.qualification_score(*_met_by_terms(Tables(spark, sf_dir)))
+
+
 def qualification_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     reqs = fit.requirements(t.bench)
@@ -146,6 +165,6 @@ def figure_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    fit_matrix, fit_top_sources, term_mentions, technical_tokens, spelling_variants, gap_classes, requirement_addressed, qualification_score, total_score,
+    fit_matrix, fit_top_sources, term_mentions, technical_tokens, spelling_variants, gap_classes, requirement_addressed, requirement_met, requirement_score, qualification_score, total_score,
     unreachable_terms, keyword_stuffing, normalized_text, content_words, sentences, figures, figure_support,
 )}
