@@ -4,11 +4,14 @@ A line's tokens are its distinct runs of five consecutive words (the whole line,
 of equal words form a class; classes are joined if the Jaccard similarity of their token sets is at
 least THRESHOLD:
 
-1. Words are counted over all texts into COUNTERS counters by hash. A token is as rare as its
-   rarest word: whatever many lines share is then common, and comes last in the order.
-2. Each class keeps the prefix of its tokens in that order: two similar classes share a token there.
-3. Classes meet on prefix tokens, if lengths allow the threshold and if the tokens after the places
-   where they meet suffice for the overlap.
+1. Every line is read once. It keeps its class and the few tokens of least hash: two similar lines
+   share at least PARTNERS of those. Classes in which fewer are shared with any other class have no
+   similar line and go; in prose that is nearly all.
+2. For the others, tokens are counted over all of them, and each class orders its tokens by rarity.
+   Tokens of its own come first, so the prefix of a line that shares just a passage holds nothing
+   shared, however many lines have that passage.
+3. Classes meet on prefix tokens, if lengths allow the threshold, if the tokens after the place where
+   they meet suffice for the overlap, and if they met on no earlier token: each pair comes once.
 4. Candidates' full token sets are compared.
 
 Of similar lines all but the first, by doc_id and line number, are removed.
@@ -21,126 +24,154 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.common import written
 
-SHINGLE, THRESHOLD, COUNTERS = 5, 0.8, 1 << 16
-#: Rows of candidate class ids (16 bytes each) up to which they are broadcast; beyond, a shuffled join.
+SHINGLE, THRESHOLD = 5, 0.8
+#: Shared tokens of least hash that a class needs to stay (fewer in lines that have fewer tokens).
+PARTNERS = 3
+#: Tokens in more than one of so many sampled places are hot; at most 1000 are, and a literal holds them.
+HOT_SHARE = 1000
+#: Ids of documents (8 bytes each) up to which they are broadcast; beyond, a shuffled join.
 BROADCAST_ROWS = 1_000_000
 
 
-def _lowered(text: Column) -> Column:
-    """Lower case, with the white space inside lines as spaces."""
-    out = F.lower(text)
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no (from 0) and lower-case words of each line; a null text gives one row with null words."""
+    low = F.lower(F.col("text").cast("string"))
     for c in "\t\r\x0b\x0c":
-        out = F.replace(out, F.lit(c), F.lit(" "))
-    return out
+        low = F.replace(low, F.lit(c), F.lit(" "))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), low.alias("low"))
+    lines = slim.select("doc_id", F.posexplode_outer(F.split("low", "\n")).alias("line_no", "line"))
+    return lines.select("doc_id", "line_no", F.array_remove(F.split("line", " "), "").alias("words"))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0) and words of each line; a null text gives one row with null words."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _lowered(F.col("text").cast("string")).alias("low"))
-    lines = slim.select("doc_id", F.posexplode_outer(F.split("low", "\n")).alias("line_no", "line"))
-    return lines.select("doc_id", "line_no", F.filter(F.split("line", " "), lambda w: w != "").alias("words"))
+def _class() -> list[Column]:
+    """Two hashes, of 96 bits together, that name a line's words; null for a line without words."""
+    some = F.size("words") > 0
+    return [F.when(some, F.xxhash64("words")).alias("c1"), F.when(some, F.hash("words")).alias("c2")]
 
 
-def _class(words: str = "words") -> list[Column]:
-    """Two hashes, of 96 bits together, that name a line's words."""
-    return [F.xxhash64(words).alias("c1"), F.hash(words).alias("c2")]
+def _tokens() -> Column:
+    """A line's distinct tokens, as 64-bit hashes: runs of SHINGLE words, or all words with their number."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - SHINGLE, F.lit(0)))
+    runs = F.transform(starts, lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(SHINGLE)]))
+    whole = F.array(F.xxhash64(F.concat(F.size("words"), F.lit(" "), F.array_join("words", " "))))
+    return F.array_distinct(F.when(F.size("words") >= SHINGLE, runs).otherwise(whole))
 
 
-def _shingles(n: Column, make) -> Column:
-    """make(i) for the start of each run of SHINGLE words; shorter lines have one run, of all words."""
-    return F.transform(F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0))), make)
+def _ceil(x: str, share: int, of: int = 1000) -> str:
+    """SQL for the least whole number that is x * share / of or more."""
+    return f"((({x}) * {share}L + {of - 1}) div {of})"
+
+
+def line_rows(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Every line: doc_id, line_no, its class c1 and c2, n tokens, and its tokens of least hash.
+
+    Of n tokens at least the share threshold is common with a similar line, so at most the rest is
+    not, and of that many and PARTNERS more by any one order, PARTNERS are common to both lines.
+    """
+    lines = _lines(docs).select("doc_id", "line_no", *_class(), F.when(F.size("words") > 0, F.sort_array(_tokens())).alias("tokens"))
+    least = f"slice(tokens, 1, cast(size(tokens) - {_ceil('size(tokens)', round(threshold * 1000))} + {PARTNERS} as int))"
+    return lines.select("doc_id", "line_no", "c1", "c2", F.size("tokens").alias("n"), F.expr(least).alias("least"))
 
 
-def _whole() -> Column:
-    return F.xxhash64(F.concat(F.size("words"), F.lit(" "), F.array_join("words", " ")))
+def _hot_tokens(rows: DataFrame) -> list[int]:
+    """Tokens of more than one in HOT_SHARE places (and perhaps some others), at most 1000, by a sketch of fixed size."""
+    places = rows.select(F.explode("least").alias("t"))
+    got = places.agg(F.count(F.lit(1)).alias("n"), F.expr("approx_top_k(t, 1000, 10000)").alias("top")).first()
+    return [x["item"] for x in got["top"] or () if x["count"] * HOT_SHARE > got["n"] and x["count"] > 1000]
 
 
-def _hashes(lines: DataFrame) -> DataFrame:
-    """Word hashes, a column of their own since they are read often; not null, so that sorting is plain."""
-    return lines.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+def partnered_classes(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """c1 of every class that may have a similar one: enough of its tokens of least hash are in other classes too.
 
+    Hot tokens count as shared without being dealt out by their key.
+    """
+    hot = _hot_tokens(rows)
+    need = F.expr(f"cast(least({PARTNERS}, {_ceil('n', round(threshold * 1000))}) as int)")
+    one = rows.where("n > 0").groupBy("c1", "c2").agg(F.first("n").alias("n"), F.first("least").alias("least"))
+    places = one.select("c1", need.alias("need"), F.explode("least").alias("t"))
+    dealt = places.where(~F.col("t").isin(hot)).repartition(F.col("t"))
+    # the sum and the maximum keep both uses of `dealt` alike, so that it is dealt once
+    shared = dealt.groupBy("t").agg(F.count(F.lit(1)).alias("k"), F.min("c1").alias("c"), F.max("need").alias("m")).where("k > 1 and c is not null and m > 0").select("t")
+    met = dealt.join(shared.hint("shuffle_hash"), "t", "left_semi")
+    met = met.select("c1", "need").unionByName(places.where(F.col("t").isin(hot)).select("c1", "need"))
+    return met.groupBy("c1").agg(F.count(F.lit(1)).alias("k"), F.max("need").alias("need")).where("k >= need").select("c1")
+
+
+def token_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """members (c1, c2, first) with n and the full token set of each, from the texts where they stand first."""
+    ids = members.select(F.col("first.doc_id").alias("id")).distinct()
+    few = ids.count() <= BROADCAST_ROWS
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = texts.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    lines = _lines(texts).select("doc_id", "line_no", *_class(), "words").where("c1 is not null")
+    own = members.select(F.col("c1").alias("m1"), F.col("c2").alias("m2"), "first")
+    picked = lines.join(own, (F.col("c1") == F.col("m1")) & (F.col("c2") == F.col("m2")) & F.struct("doc_id", "line_no").eqNullSafe(F.col("first")))
+    one = picked.groupBy("c1", "c2").agg(F.first("first").alias("first"), F.first("words").alias("words"))
+    return one.select("c1", "c2", "first", _tokens().alias("tokens")).select("c1", "c2", "first", F.size("tokens").alias("n"), "tokens")
 
-def _run_hash(i: Column) -> Column:
-    return F.xxhash64(*[F.get("hashes", i + k) for k in range(SHINGLE)])
 
+def ordered_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """sets with their shared tokens, rarest first, in place of all tokens.
 
-def _with_tokens(lines: DataFrame) -> DataFrame:
-    """lines plus tokens, as 64-bit hashes."""
-    many = _shingles(F.size("words"), _run_hash)
-    return _hashes(lines).withColumn("tokens", F.array_distinct(F.when(F.size("words") >= SHINGLE, many).otherwise(F.array(_whole()))))
+    Rarity is the number of sets that hold a token. Tokens that no other set holds come before all of
+    these and need no place. Sets too few of whose tokens are shared for any similar one go.
+    """
+    each = sets.select("c1", "c2", "first", "n", F.explode("tokens").alias("t"))
+    count = each.groupBy("t").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    met = each.join(count, "t").groupBy("c1", "c2").agg(F.first("first").alias("first"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("k", "t"))).alias("s"))
+    return met.where(F.size("s") * 1000 >= F.col("n") * round(threshold * 1000)).select("c1", "c2", "first", "n", F.col("s.t").alias("tokens"))
 
 
-def word_rarity(docs: DataFrame) -> Column:
-    """Rarity codes (eight times log2 of 1 + count) of COUNTERS counters, as a constant array.
+def candidates(ordered: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs of classes that share a prefix token and pass the length and positional filters, each once.
 
-    The counts are over all words of all texts, by word hash; COUNTERS rows reach the driver.
+    The shorter of two (a) need be looked up by a shorter prefix, since the longer one raises the
+    overlap that both must reach.
     """
-    words = docs.select(F.explode(F.split(F.replace(_lowered(F.col("text").cast("string")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).cast("int").alias("id")).agg((F.log2(F.count(F.lit(1)) + 1) * 8).cast("int").alias("code"))
-    codes = [0] * COUNTERS
-    for r in counts.collect():
-        codes[r.id] = r.code
-    return F.expr(f"cast(split('{','.join(map(str, codes))}', ',') as array<smallint>)")
-
-
-def _with_ordered_tokens(lines: DataFrame, codes: Column) -> DataFrame:
-    """lines plus distinct tokens, rarest first: rarity and 47 bits of hash (only to find candidates)."""
-    rare = lambda h: F.coalesce(F.get(codes, F.pmod(h, F.lit(COUNTERS)).cast("int")).cast("long"), F.lit(0))
-    lines = _hashes(lines).withColumn("rarity", F.transform("hashes", rare))
-    rarest = lambda i: F.coalesce(F.least(*[F.get("rarity", i + k) for k in range(SHINGLE)]), F.lit(0))
-    many = _shingles(F.size("words"), lambda i: F.shiftleft(rarest(i), 47).bitwiseOR(F.shiftrightunsigned(_run_hash(i), 17)))
-    few = F.array(F.shiftleft(F.coalesce(F.array_min("rarity"), F.lit(0)), 47).bitwiseOR(F.shiftrightunsigned(_whole(), 17)))
-    return lines.withColumn("tokens", F.sort_array(F.array_distinct(F.when(F.size("words") >= SHINGLE, many).otherwise(few))))
-
-
-def classes_of(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Distinct lines: c1, c2, first (smallest doc_id and line), copies, n tokens and their prefix."""
-    docs = docs.where("text is not null")
-    lines = _with_ordered_tokens(_lines(docs).where(F.size("words") > 0), word_rarity(docs))
-    named = lines.select("doc_id", "line_no", *_class(), F.size("tokens").alias("n"), F.expr(f"slice(tokens, 1, cast(size(tokens) - {_ceil('size(tokens)', threshold)} + 1 as int))").alias("prefix"))
-    return named.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-
-
-def _ceil(x: str, share: float) -> str:
-    """SQL for the least whole number that is share * x or more; share in thousandths."""
-    return f"((({x}) * {round(share * 1000)}L + 999) div 1000)"
-
-
-def candidates(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs of classes that share a prefix token and pass the length and positional filters."""
-    rows = classes.select("c1", "c2", "n", F.posexplode("prefix").alias("pos", "token"))
-    a, b = rows.alias("a"), rows.alias("b")
-    per_mille = round(threshold * 1000)
-    overlap = f"((a.n + b.n) * {per_mille}L + {999 + per_mille}) div {1000 + per_mille}"
-    met = a.join(
-        b,
+    mille = round(threshold * 1000)
+    alone = "(n - size(tokens))"  # tokens before the shared ones
+    taken = f"slice(tokens, 1, cast(greatest(n - {_ceil('n', mille)} + 1 - {alone}, 0) as int))"
+    rows = ordered.select("c1", "c2", "n", "tokens", F.expr(alone).alias("alone"), F.posexplode(F.expr(taken)).alias("k", "t"))
+    rows = rows.select("c1", "c2", "n", (F.col("alone") + F.col("k")).alias("pos"), "t", F.expr("slice(tokens, 1, k)").alias("before"))
+    overlap = _ceil("a.n + b.n", mille, 1000 + mille)
+    met = rows.where(f"pos <= n - {_ceil('n', 2 * mille, 1000 + mille)}").alias("a").join(
+        rows.alias("b"),
         F.expr(
-            "a.token = b.token and (a.c1 < b.c1 or (a.c1 = b.c1 and a.c2 < b.c2))"
-            f" and a.n * 1000L >= b.n * {per_mille}L and b.n * 1000L >= a.n * {per_mille}L"
-            f" and least(a.n - a.pos, b.n - b.pos) >= {overlap}"
+            "a.t = b.t and (a.n < b.n or (a.n = b.n and (a.c1 < b.c1 or (a.c1 = b.c1 and a.c2 < b.c2))))"
+            f" and a.n * 1000L >= b.n * {mille}L and least(a.n - a.pos, b.n - b.pos) >= {overlap}"
+            " and not arrays_overlap(a.before, b.before)"
         ),
     )
-    return met.select(F.col("a.c1").alias("a1"), F.col("a.c2").alias("a2"), F.col("b.c1").alias("b1"), F.col("b.c2").alias("b2")).distinct()
+    return met.select(F.col("a.c1").alias("a1"), F.col("a.c2").alias("a2"), F.col("b.c1").alias("b1"), F.col("b.c2").alias("b2"))
 
 
-def links_of(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs whose Jaccard similarity is at least the threshold, by their full token sets."""
-    ids = pairs.selectExpr("a1 as c1", "a2 as c2").unionByName(pairs.selectExpr("b1 as c1", "b2 as c2")).distinct()
-    few = ids.count() <= BROADCAST_ROWS
-    lines = _lines(docs.where("text is not null")).where(F.size("words") > 0).select(*_class(), "words")
-    picked = lines.join(F.broadcast(ids) if few else ids, ["c1", "c2"], "left_semi")
-    sets = written(_with_tokens(picked.groupBy("c1", "c2").agg(F.first("words").alias("words"))).select("c1", "c2", "tokens"), "line-sets")
-    both = pairs.join(sets.selectExpr("c1 as a1", "c2 as a2", "tokens as ta"), ["a1", "a2"]).join(sets.selectExpr("c1 as b1", "c2 as b2", "tokens as tb"), ["b1", "b2"])
+def links_of(ordered: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs whose Jaccard similarity is at least the threshold, with the places where the two stand first."""
+    a = ordered.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("first").alias("fa"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    b = ordered.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("first").alias("fb"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     common = F.size(F.array_intersect("ta", "tb"))
-    union = F.size("ta") + F.size("tb") - common
-    return both.where(common * 1000 >= union * round(threshold * 1000)).select("a1", "a2", "b1", "b2")
+    both = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
+    return both.where(common * 1000 >= (F.col("na") + F.col("nb") - common) * round(threshold * 1000)).select("a1", "a2", "fa", "b1", "b2", "fb")
 
 
-def similar_lines(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(classes, links): the distinct lines, and all pairs of similar ones."""
-    classes = written(classes_of(docs, threshold), "line-classes")
-    pairs = written(candidates(classes, threshold), "line-pairs")
-    return classes, written(links_of(docs, pairs, threshold), "line-links")
+def similar_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(lines, marks): every line's place and class, and the classes that have copies or similar ones.
+
+    marks: c1, c2, first (smallest doc_id and line), n_links to other classes, lost if one of those
+    stands before. Links are counted as they are found; they are not kept.
+    """
+    rows = written(line_rows(docs, threshold), "line-rows")
+    classes = written(rows.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("copies")), "line-classes")
+    partnered = written(partnered_classes(rows, threshold), "line-partners")
+    sets = written(token_sets(docs, classes.join(partnered, "c1", "left_semi")), "line-sets")
+    ordered = written(ordered_sets(sets, threshold), "line-ordered")
+    links = links_of(ordered, candidates(ordered, threshold), threshold)
+    later = F.col("fa") < F.col("fb")
+    ends = F.array(F.struct(F.col("a1").alias("c1"), F.col("a2").alias("c2"), (~later).alias("lost")), F.struct(F.col("b1").alias("c1"), F.col("b2").alias("c2"), later.alias("lost")))
+    linked = links.select(F.inline(ends)).groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n_links"), F.max("lost").alias("lost"))
+    marks = classes.join(linked, ["c1", "c2"], "left").where("copies > 1 or n_links > 0")
+    marks = marks.select("c1", "c2", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("lost", F.lit(False)).alias("lost"))
+    return rows.select("doc_id", "line_no", "c1", "c2"), written(marks, "line-marks")
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -148,18 +179,11 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Lines without words are never removed. A line is removed if an earlier one (by doc_id, then line
     number; null ids first) is equal or similar, whether that one stays or not. Rows that share an
-    id count as one document. Null texts give one row with a null line_no.
+    id count as one document. Null texts give one row with a null line_no. No documents, no rows.
     """
-    classes, links = similar_lines(docs, threshold)
-    first = classes.select("c1", "c2", "first")
-    ends = links.join(first.selectExpr("c1 as a1", "c2 as a2", "first as fa"), ["a1", "a2"]).join(first.selectExpr("c1 as b1", "c2 as b2", "first as fb"), ["b1", "b2"])
-    later = F.col("fa") < F.col("fb")
-    each = ends.select("a1", "a2", (~later).alias("lost")).toDF("l1", "l2", "lost").unionByName(ends.select("b1", "b2", later.alias("lost")).toDF("l1", "l2", "lost"))
-    linked = each.groupBy("l1", "l2").agg(F.count(F.lit(1)).alias("n_links"), F.max("lost").alias("lost"))
-    marks = written(first.join(linked, (F.col("c1") == F.col("l1")) & (F.col("c2") == F.col("l2")), "left").select(F.col("c1").alias("m1"), F.col("c2").alias("m2"), "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("lost", F.lit(False)).alias("lost")), "line-marks")
-    lines = _lines(docs)
-    named = lines.select("doc_id", "line_no", F.when(F.size("words") > 0, F.xxhash64("words")).alias("c1"), F.when(F.size("words") > 0, F.hash("words")).alias("c2"))
-    found = named.join(marks, (F.col("c1") == F.col("m1")) & (F.col("c2") == F.col("m2")), "left")
+    lines, marks = similar_classes(docs, threshold)
+    marks = marks.withColumnsRenamed({"c1": "m1", "c2": "m2"})
+    found = lines.join(marks, (F.col("c1") == F.col("m1")) & (F.col("c2") == F.col("m2")), "left")
     own = F.struct("doc_id", "line_no").eqNullSafe(F.col("first"))
     return found.select("doc_id", "line_no", (F.col("m1").isNotNull() & (~own | F.col("lost"))).alias("removed"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
