@@ -27,20 +27,20 @@ from tracewell.llm.common import written
 SHINGLE, THRESHOLD = 5, 0.8
 #: Shared tokens of least hash that a class needs to stay (fewer in lines that have fewer tokens).
 PARTNERS = 3
-#: Tokens in more than one of so many sampled places are hot; at most 1000 are, and a literal holds them.
+#: A token in more than one of so many places is hot: at most so many are, and a literal holds them.
 HOT_SHARE = 1000
-#: Ids of documents (8 bytes each) up to which they are broadcast; beyond, a shuffled join.
+#: Lines to read again (12 bytes each) up to which their places are broadcast; beyond, a shuffled join.
 BROADCAST_ROWS = 1_000_000
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0) and lower-case words of each line; a null text gives one row with null words."""
+def _lines(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, more, line_no (from 0) and lower-case words of each line; a null text gives one row with null words."""
     low = F.lower(F.col("text").cast("string"))
     for c in "\t\r\x0b\x0c":
         low = F.replace(low, F.lit(c), F.lit(" "))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), low.alias("low"))
-    lines = slim.select("doc_id", F.posexplode_outer(F.split("low", "\n")).alias("line_no", "line"))
-    return lines.select("doc_id", "line_no", F.array_remove(F.split("line", " "), "").alias("words"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, low.alias("low"))
+    lines = slim.select("doc_id", *more, F.posexplode_outer(F.split("low", "\n")).alias("line_no", "line"))
+    return lines.select("doc_id", *more, "line_no", F.array_remove(F.split("line", " "), "").alias("words"))
 
 
 def _class() -> list[Column]:
@@ -69,45 +69,61 @@ def line_rows(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     not, and of that many and PARTNERS more by any one order, PARTNERS are common to both lines.
     """
     lines = _lines(docs).select("doc_id", "line_no", *_class(), F.when(F.size("words") > 0, F.sort_array(_tokens())).alias("tokens"))
-    least = f"slice(tokens, 1, cast(size(tokens) - {_ceil('size(tokens)', round(threshold * 1000))} + {PARTNERS} as int))"
-    return lines.select("doc_id", "line_no", "c1", "c2", F.size("tokens").alias("n"), F.expr(least).alias("least"))
+    least = F.expr(f"slice(tokens, 1, cast(size(tokens) - {_ceil('size(tokens)', round(threshold * 1000))} + {PARTNERS} as int))")
+    return lines.select("doc_id", "line_no", "c1", "c2", F.size("tokens").alias("n"), least.alias("least"))
 
 
-def _hot_tokens(rows: DataFrame) -> list[int]:
-    """Tokens of more than one in HOT_SHARE places (and perhaps some others), at most 1000, by a sketch of fixed size."""
-    places = rows.select(F.explode("least").alias("t"))
+def _hot(places: DataFrame) -> dict[int, int]:
+    """Tokens of more than one in HOT_SHARE places (and perhaps a few others) with about their counts.
+
+    By a sketch of fixed size; at most 1000.
+    """
     got = places.agg(F.count(F.lit(1)).alias("n"), F.expr("approx_top_k(t, 1000, 10000)").alias("top")).first()
-    return [x["item"] for x in got["top"] or () if x["count"] * HOT_SHARE > got["n"] and x["count"] > 1000]
+    return {x["item"]: x["count"] for x in got["top"] or () if x["count"] * HOT_SHARE > got["n"] and x["count"] > 1000}
+
+
+def _shared(places: DataFrame, hot: dict[int, int]) -> DataFrame:
+    """The places (id, t) whose token is in more than one, with the number k of them.
+
+    Hot tokens keep their estimate and are not dealt out by their key. The others are dealt once: the
+    counting reads both columns, so that it and the look-up use the same exchange.
+    """
+    dealt = places.where(~F.col("t").isin([*hot])).repartition(F.col("t"))
+    counts = dealt.groupBy("t").agg(F.count(F.lit(1)).alias("k"), F.max("id").alias("some")).where("k > 1 and some is not null").select("t", "k")
+    cold = dealt.join(counts.hint("shuffle_hash"), "t").select("id", "t", "k")
+    if not hot:
+        return cold
+    k = F.create_map(*[F.lit(x).cast("long") for pair in hot.items() for x in pair])[F.col("t")]
+    return cold.unionByName(places.where(F.col("t").isin([*hot])).select("id", "t", k.alias("k")))
 
 
 def partnered_classes(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """c1 of every class that may have a similar one: enough of its tokens of least hash are in other classes too.
+    """key of every class that may have a similar one: enough of its tokens of least hash are in other classes too.
 
-    Hot tokens count as shared without being dealt out by their key.
+    A key is c1 with, in its two low bits, how many shared tokens are enough.
     """
-    hot = _hot_tokens(rows)
-    need = F.expr(f"cast(least({PARTNERS}, {_ceil('n', round(threshold * 1000))}) as int)")
+    hot = _hot(rows.select(F.explode("least").alias("t")))
+    need = F.expr(f"least({PARTNERS}, {_ceil('n', round(threshold * 1000))})")
     one = rows.where("n > 0").groupBy("c1", "c2").agg(F.first("n").alias("n"), F.first("least").alias("least"))
-    places = one.select("c1", need.alias("need"), F.explode("least").alias("t"))
-    dealt = places.where(~F.col("t").isin(hot)).repartition(F.col("t"))
-    # the sum and the maximum keep both uses of `dealt` alike, so that it is dealt once
-    shared = dealt.groupBy("t").agg(F.count(F.lit(1)).alias("k"), F.min("c1").alias("c"), F.max("need").alias("m")).where("k > 1 and c is not null and m > 0").select("t")
-    met = dealt.join(shared.hint("shuffle_hash"), "t", "left_semi")
-    met = met.select("c1", "need").unionByName(places.where(F.col("t").isin(hot)).select("c1", "need"))
-    return met.groupBy("c1").agg(F.count(F.lit(1)).alias("k"), F.max("need").alias("need")).where("k >= need").select("c1")
+    places = one.select(_key(need).alias("id"), F.explode("least").alias("t"))
+    return _shared(places, hot).groupBy(F.col("id").alias("key")).agg(F.count(F.lit(1)).alias("k")).where("k >= (key & 3)").select("key")
+
+
+def _key(need: Column) -> Column:
+    return F.shiftleft(F.shiftright("c1", 2), 2).bitwiseOR(need)
 
 
 def token_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """members (c1, c2, first) with n and the full token set of each, from the texts where they stand first."""
-    ids = members.select(F.col("first.doc_id").alias("id")).distinct()
-    few = ids.count() <= BROADCAST_ROWS
+    """members (c1, c2, first) with an id, n and the full token set of each, from the texts where they stand first."""
+    places = members.groupBy(F.col("first.doc_id").alias("at")).agg(F.collect_set("first.line_no").alias("numbers"))
+    few = members.count() <= BROADCAST_ROWS
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    lines = _lines(texts).select("doc_id", "line_no", *_class(), "words").where("c1 is not null")
-    own = members.select(F.col("c1").alias("m1"), F.col("c2").alias("m2"), "first")
-    picked = lines.join(own, (F.col("c1") == F.col("m1")) & (F.col("c2") == F.col("m2")) & F.struct("doc_id", "line_no").eqNullSafe(F.col("first")))
-    one = picked.groupBy("c1", "c2").agg(F.first("first").alias("first"), F.first("words").alias("words"))
-    return one.select("c1", "c2", "first", _tokens().alias("tokens")).select("c1", "c2", "first", F.size("tokens").alias("n"), "tokens")
+    texts = texts.join(F.broadcast(places) if few else places, F.col("doc_id").eqNullSafe(F.col("at")))
+    lines = _lines(texts, "numbers").where(F.array_contains("numbers", F.col("line_no")) & (F.size("words") > 0))
+    picked = lines.select("doc_id", "line_no", *_class(), _tokens().alias("tokens"))
+    # rows that repeat an id may have other lines in these places
+    one = picked.groupBy("c1", "c2").agg(F.first("tokens").alias("tokens")).join(members, ["c1", "c2"])
+    return one.select(F.monotonically_increasing_id().alias("id"), "c1", "c2", "first", F.size("tokens").alias("n"), "tokens")
 
 
 def ordered_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -116,9 +132,9 @@ def ordered_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Rarity is the number of sets that hold a token. Tokens that no other set holds come before all of
     these and need no place. Sets too few of whose tokens are shared for any similar one go.
     """
-    each = sets.select("c1", "c2", "first", "n", F.explode("tokens").alias("t"))
-    count = each.groupBy("t").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    met = each.join(count, "t").groupBy("c1", "c2").agg(F.first("first").alias("first"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("k", "t"))).alias("s"))
+    places = sets.select("id", F.explode("tokens").alias("t"))
+    order = _shared(places, _hot(places)).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("s"))
+    met = sets.drop("tokens").join(order, "id")
     return met.where(F.size("s") * 1000 >= F.col("n") * round(threshold * 1000)).select("c1", "c2", "first", "n", F.col("s.t").alias("tokens"))
 
 
@@ -163,7 +179,8 @@ def similar_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     rows = written(line_rows(docs, threshold), "line-rows")
     classes = written(rows.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("copies")), "line-classes")
     partnered = written(partnered_classes(rows, threshold), "line-partners")
-    sets = written(token_sets(docs, classes.join(partnered, "c1", "left_semi")), "line-sets")
+    members = classes.join(partnered.select(F.shiftright("key", 2).alias("key")), F.shiftright("c1", 2) == F.col("key"), "left_semi")
+    sets = written(token_sets(docs, members.select("c1", "c2", "first")), "line-sets")
     ordered = written(ordered_sets(sets, threshold), "line-ordered")
     links = links_of(ordered, candidates(ordered, threshold), threshold)
     later = F.col("fa") < F.col("fb")
