@@ -83,18 +83,18 @@ def _hot(places: DataFrame) -> dict[int, int]:
 
 
 def _shared(places: DataFrame, hot: dict[int, int]) -> DataFrame:
-    """The places (id, t) whose token is in more than one, with the number k of them.
+    """The distinct places (id, t) whose token is in those of more than one id, with the number k of places.
 
     Hot tokens keep their estimate and are not dealt out by their key. The others are dealt once: the
     counting reads both columns, so that it and the look-up use the same exchange.
     """
     dealt = places.where(~F.col("t").isin([*hot])).repartition(F.col("t"))
-    counts = dealt.groupBy("t").agg(F.count(F.lit(1)).alias("k"), F.max("id").alias("some")).where("k > 1 and some is not null").select("t", "k")
-    cold = dealt.join(counts.hint("shuffle_hash"), "t").select("id", "t", "k")
+    counts = dealt.groupBy("t").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("t", "k")
+    cold = dealt.join(counts.hint("shuffle_hash"), "t").select("id", "t", "k").dropDuplicates(["id", "t"])
     if not hot:
         return cold
     k = F.create_map(*[F.lit(x).cast("long") for pair in hot.items() for x in pair])[F.col("t")]
-    return cold.unionByName(places.where(F.col("t").isin([*hot])).select("id", "t", k.alias("k")))
+    return cold.unionByName(places.where(F.col("t").isin([*hot])).distinct().select("id", "t", k.alias("k")))
 
 
 def partnered_classes(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -102,11 +102,9 @@ def partnered_classes(rows: DataFrame, threshold: float = THRESHOLD) -> DataFram
 
     A key is c1 with, in its two low bits, how many shared tokens are enough.
     """
-    hot = _hot(rows.select(F.explode("least").alias("t")))
     need = F.expr(f"least({PARTNERS}, {_ceil('n', round(threshold * 1000))})")
-    one = rows.where("n > 0").groupBy("c1", "c2").agg(F.first("n").alias("n"), F.first("least").alias("least"))
-    places = one.select(_key(need).alias("id"), F.explode("least").alias("t"))
-    return _shared(places, hot).groupBy(F.col("id").alias("key")).agg(F.count(F.lit(1)).alias("k")).where("k >= (key & 3)").select("key")
+    places = rows.where("n > 0").select(_key(need).alias("id"), F.explode("least").alias("t"))
+    return _shared(places, _hot(places)).groupBy(F.col("id").alias("key")).agg(F.count(F.lit(1)).alias("k")).where("k >= (key & 3)").select("key")
 
 
 def _key(need: Column) -> Column:
@@ -130,31 +128,36 @@ def ordered_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """sets with their shared tokens, rarest first, in place of all tokens.
 
     Rarity is the number of sets that hold a token. Tokens that no other set holds come before all of
-    these and need no place. Sets too few of whose tokens are shared for any similar one go.
+    these and need no place. Sets too few of whose tokens are shared for any similar one go. bits: 512
+    bits, of which each shared token sets one.
     """
     places = sets.select("id", F.explode("tokens").alias("t"))
-    order = _shared(places, _hot(places)).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("s"))
+    bits = [F.bit_or(F.expr(f"if(t & 7 = {k}, shiftleft(1L, cast(shiftright(t, 3) & 63 as int)), 0L)")) for k in range(8)]
+    order = _shared(places, _hot(places)).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("s"), F.array(*bits).alias("bits"))
     met = sets.drop("tokens").join(order, "id")
-    return met.where(F.size("s") * 1000 >= F.col("n") * round(threshold * 1000)).select("c1", "c2", "first", "n", F.col("s.t").alias("tokens"))
+    return met.where(F.size("s") * 1000 >= F.col("n") * round(threshold * 1000)).select("c1", "c2", "first", "n", F.col("s.t").alias("tokens"), "bits")
 
 
 def candidates(ordered: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs of classes that share a prefix token and pass the length and positional filters, each once.
 
     The shorter of two (a) need be looked up by a shorter prefix, since the longer one raises the
-    overlap that both must reach.
+    overlap that both must reach. Each bit that only one of them sets stands for a token, or more,
+    that the other lacks, as do tokens that no other set holds.
     """
     mille = round(threshold * 1000)
     alone = "(n - size(tokens))"  # tokens before the shared ones
     taken = f"slice(tokens, 1, cast(greatest(n - {_ceil('n', mille)} + 1 - {alone}, 0) as int))"
-    rows = ordered.select("c1", "c2", "n", "tokens", F.expr(alone).alias("alone"), F.posexplode(F.expr(taken)).alias("k", "t"))
-    rows = rows.select("c1", "c2", "n", (F.col("alone") + F.col("k")).alias("pos"), "t", F.expr("slice(tokens, 1, k)").alias("before"))
+    rows = ordered.select("c1", "c2", "n", "tokens", "bits", F.expr(alone).alias("alone"), F.posexplode(F.expr(taken)).alias("k", "t"))
+    rows = rows.select("c1", "c2", "n", "alone", "bits", (F.col("alone") + F.col("k")).alias("pos"), "t", F.expr("slice(tokens, 1, k)").alias("before"))
     overlap = _ceil("a.n + b.n", mille, 1000 + mille)
+    apart = lambda x, y: f"{x}.n - {x}.alone - (" + " + ".join(f"bit_count({x}.bits[{k}] & ~{y}.bits[{k}])" for k in range(8)) + ")"
     met = rows.where(f"pos <= n - {_ceil('n', 2 * mille, 1000 + mille)}").alias("a").join(
         rows.alias("b"),
         F.expr(
             "a.t = b.t and (a.n < b.n or (a.n = b.n and (a.c1 < b.c1 or (a.c1 = b.c1 and a.c2 < b.c2))))"
             f" and a.n * 1000L >= b.n * {mille}L and least(a.n - a.pos, b.n - b.pos) >= {overlap}"
+            f" and {apart('a', 'b')} >= {overlap} and {apart('b', 'a')} >= {overlap}"
             " and not arrays_overlap(a.before, b.before)"
         ),
     )
