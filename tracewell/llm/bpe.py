@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -110,6 +111,7 @@ class PieceTransducer:
     """Encodes one piece given byte by byte; tokens come out once no later byte can change them."""
 
     def __init__(self, merges: Merges, sizes: list[int]):
+        """sizes: the bytes that each token covers."""
         self.merges, self.sizes = merges, sizes
         self.window = merges.lookahead + STRIDE
         self.held: list[int] = []  # bytes from the last final boundary on
@@ -154,6 +156,8 @@ class Bpe:
         self.sizes = [len(t.removesuffix(self.suffix)) if self.suffix else len(t) for t in self.tokens]
         for k in self.special.values():
             self.sizes[k] = 0
+        self.decimal = [b"%d" % k for k in range(len(self.tokens))]
+        self._standing: dict[bool, _Standing] = {}
         self._pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self._special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
 
@@ -164,13 +168,16 @@ class Bpe:
         return text.lower()
 
     def _piece(self, piece: bytes) -> list[int]:
-        if len(piece) > self.merges.lookahead + STRIDE:
-            one = PieceTransducer(self.merges, self.sizes)
-            return [*one.feed(piece), *one.finish()]
-        inner = self.merges.inner
-        ids = [inner[b] for b in piece]
-        ids[-1] = self.merges.final[piece[-1]]
-        return self.merges.merge(ids if min(ids) >= 0 else [x for x in ids if x >= 0])
+        one = PieceTransducer(self.merges, self.sizes)
+        return [*one.feed(piece), *one.finish()]
+
+    def standing(self, spaced: bool) -> _Standing:
+        """Where decoding begins: the first token has no space before it."""
+        if spaced not in self._standing:
+            tokens, clean = token_bytes(self, spaced), Utf8Machine().state
+            rest = _Standing(tokens, b" " if spaced else b"", clean)
+            self._standing[spaced] = _Standing(tokens, b"", clean, rest) if spaced else rest
+        return self._standing[spaced]
 
     def encode_piece(self, part: bytes) -> list[int]:
         """A chunk's part. One of lower-case ASCII letters, or of ASCII signs only, is one piece."""
@@ -218,8 +225,13 @@ class Utf8Machine:
         (0xF4, 0xF4, 3, 0x80, 0x8F),
     )
 
-    def __init__(self) -> None:
-        self.wait, self.low, self.high, self.part = 0, 0x80, 0xBF, bytearray()
+    def __init__(self, state: tuple[int, int, int, bytes] = (0, 0x80, 0xBF, b"")) -> None:
+        self.wait, self.low, self.high, part = state
+        self.part = bytearray(part)
+
+    @property
+    def state(self) -> tuple[int, int, int, bytes]:
+        return self.wait, self.low, self.high, bytes(self.part)
 
     def feed(self, data: Iterable[int]) -> str:
         out: list[str] = []
@@ -253,6 +265,31 @@ class Utf8Machine:
         return "�" if left else ""
 
 
+class _Standing(dict):
+    """Where the byte machine stands between two tokens.
+
+    Maps an id to the text that its bytes complete from here and to where the machine then stands.
+    The machine runs over a token's bytes when the token is first met in a place; what it does from
+    the places between characters is kept, at most one entry for each token.
+    """
+
+    def __init__(self, tokens: list[bytes], lead: bytes, state: tuple, rest: _Standing | None = None):
+        super().__init__()
+        self.tokens, self.lead, self.state, self.rest = tokens, lead, state, self if rest is None else rest
+
+    def __missing__(self, k: int) -> tuple[str, _Standing]:
+        data = self.tokens[k] if 0 <= k < len(self.tokens) else b""
+        if not data:
+            return "", self
+        machine = Utf8Machine(self.state)
+        text = machine.feed(self.lead + data)
+        clean = not machine.wait
+        out = text, self.rest if clean else _Standing(self.tokens, self.rest.lead, machine.state, self.rest)
+        if not self.state[0]:
+            self[k] = out
+        return out
+
+
 class Decoder:
     """Ids to text, id by id, in constant memory.
 
@@ -262,20 +299,18 @@ class Decoder:
     """
 
     def __init__(self, bpe: Bpe, spaced: bool = False):
-        self.machine, self.spaced, self.first = Utf8Machine(), spaced, True
-        self.bytes = token_bytes(bpe, spaced)
+        self.at = bpe.standing(spaced)
 
     def feed(self, ids: Iterable[int]) -> str:
-        out = []
+        out, at = [], self.at
         for k in ids:
-            data = self.bytes[k] if 0 <= k < len(self.bytes) else b""
-            if self.spaced and data:
-                data, self.first = (data if self.first else b" " + data), False
-            out.append(data.decode() if data.isascii() and not self.machine.wait else self.machine.feed(data))
+            text, at = at[k]
+            out.append(text)
+        self.at = at
         return "".join(out)
 
     def finish(self) -> str:
-        return self.machine.finish()
+        return Utf8Machine(self.at.state).finish()
 
 
 def token_bytes(bpe: Bpe, spaced: bool) -> list[bytes]:
@@ -309,10 +344,9 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, memo = _load(path)
         for batch in batches:
-            packed = memo.encode(batch.column(1).to_pylist())
-            offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(packed), np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "ids"])
+            ids, ends = memo.encode(batch.column(1))
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "ids"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return picked.mapInArrow(run, "doc_id long, ids array<int>")
@@ -335,43 +369,58 @@ def decode_documents(encoded: DataFrame, path: str, spaced: bool = False) -> Dat
 
 
 _DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+#: Ids that are decoded and digested at a time.
+SEGMENT = 4096
 
 
-def _digest_batch(doc_ids: pa.Array, ids: list[np.ndarray], decimal: list[bytes], spaced: list[bytes]) -> pa.RecordBatch:
-    """n_tokens, and digests of the decimal ids and of the text that the ids decode to."""
+def digests(bpe: Bpe, ids: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[str], list[str]]:
+    """For each run of ids: how many, and digests of the decimal ids and of the text that they decode to."""
     n, ids_sha, text_sha = [], [], []
-    for one in ids:
-        one = one.tolist()
-        n.append(len(one))
-        ids_sha.append(hashlib.sha256(b" ".join(map(decimal.__getitem__, one))).hexdigest())
-        text_sha.append(hashlib.sha256(b" ".join(map(spaced.__getitem__, one))).hexdigest())
+    decimal = bpe.decimal.__getitem__
+    for a, z in zip(ends.tolist(), ends[1:].tolist(), strict=False):
+        n.append(z - a)
+        numbers, text, decoder = hashlib.sha256(), hashlib.sha256(), Decoder(bpe, spaced=True)
+        for at in range(a, z, SEGMENT):
+            some = ids[at : min(at + SEGMENT, z)].tolist()
+            numbers.update(b" ".join(map(decimal, some)) if at == a else b" " + b" ".join(map(decimal, some)))
+            text.update(decoder.feed(some).encode())
+        text.update(decoder.finish().encode())
+        ids_sha.append(numbers.hexdigest())
+        text_sha.append(text.hexdigest())
+    return n, ids_sha, text_sha
+
+
+def _digest_batch(doc_ids: pa.Array, found: tuple[list[int], list[str], list[str]]) -> pa.RecordBatch:
+    n, ids_sha, text_sha = found
     return pa.RecordBatch.from_arrays([doc_ids, pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def token_digests(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of encoded documents (doc_id, ids)."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of encoded documents (doc_id, ids); null ids are no ids."""
     limit_batches(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, _ = _load(path)
-        decimal, spaced = [b"%d" % k for k in range(len(bpe.tokens))], token_bytes(bpe, True)
         for batch in batches:
-            offsets, values = batch.column(1).offsets.to_pylist(), batch.column(1).values.to_numpy(zero_copy_only=False)
-            yield _digest_batch(batch.column(0), [values[a:z] for a, z in zip(offsets, offsets[1:], strict=False)], decimal, spaced)
+            lists = batch.column(1)
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+            yield _digest_batch(batch.column(0), digests(bpe, lists.flatten().to_numpy(zero_copy_only=False), ends))
 
     return encoded.mapInArrow(run, _DIGESTS)
 
 
 def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
-    """token_digests of encode_documents in one step, so that ids need not leave the task."""
+    """token_digests of encode_documents in one step, so that ids need not leave the task.
+
+    One row per input row: a null or empty text has no ids and decodes to the empty text; an empty
+    table gives no rows. New pieces go through the transducer, all ids through the decoder.
+    """
     limit_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, memo = _load(path)
-        decimal, spaced = [b"%d" % k for k in range(len(bpe.tokens))], token_bytes(bpe, True)
         for batch in batches:
-            packed = memo.encode(batch.column(1).to_pylist())
-            yield _digest_batch(batch.column(0), [np.frombuffer(p, np.uint32) for p in packed], decimal, spaced)
+            yield _digest_batch(batch.column(0), digests(bpe, *memo.encode(batch.column(1))))
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return picked.mapInArrow(run, _DIGESTS)

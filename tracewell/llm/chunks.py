@@ -6,49 +6,115 @@ import re
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-#: Chunks and pieces kept before the older generation goes, and the longest that are kept.
-MOST, LONGEST = 80_000, 48
+#: Chunks kept before the older generation goes (twice as many pieces), and the longest that are kept.
+MOST, LONGEST = 200_000, 48
 _ASCII_PIECES = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 _PIECES = regex.compile(r"\p{L}+|\p{N}|[^\p{L}\p{N}]+")
 
 
-def pieces(chunk: bytes) -> list[bytes]:
+def pieces(chunk: bytes, keep: tuple[bytes, ...] = ()) -> list[bytes]:
     """A chunk's parts between which no token lies: runs of letters, single digits, runs of signs.
 
-    Chunks with an apostrophe (contractions), or that composing or lower-casing would change in
-    kind, stay whole. Of the others, only parts that are ASCII are folded: folded as a whole, a
-    letter could compose with the mark after it.
+    Chunks that hold one of the strings in keep (special tokens, which begin with < and are matched before folding), or
+    would when folded, stay as they are. Chunks with an apostrophe (contractions), or that composing or
+    lower-casing would change in kind, stay whole. Of the others, only parts that are ASCII are folded:
+    folded as a whole, a letter could compose with the mark after it.
     """
-    if b"'" in chunk:
+    if chunk.isalpha():  # ASCII letters
+        return [chunk.lower()]
+    low = chunk.lower()
+    if any([x in low for x in keep]):
         return [chunk]
     if chunk.isascii():
-        return [chunk] if chunk.isalpha() else _ASCII_PIECES.findall(chunk)
+        return [low] if b"'" in low else _ASCII_PIECES.findall(low)
     text = chunk.decode("utf-8")
-    if "İ" in text or not unicodedata.is_normalized("NFC", text):
+    if text.isalpha() or "'" in text or "İ" in text or not unicodedata.is_normalized("NFC", text):
         return [chunk]
     return [p.encode().lower() if p.isascii() else p.encode() for p in _PIECES.findall(text)]
 
 
+def _as_bytes(strings: pa.Array) -> list[bytes]:
+    """The strings' bytes, cut from one buffer."""
+    _, offsets, data = strings.buffers()
+    at = np.frombuffer(offsets, np.int64)[strings.offset : strings.offset + len(strings) + 1].tolist()
+    raw = data.to_pybytes() if data is not None else b""
+    return [raw[a:z] for a, z in zip(at, at[1:])]
+
+
+#: Kinds of bytes: white space, letters, digits, signs, and those that need a look at their whole chunk.
+_SPACE, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[33:127] = _SIGN
+_KIND[[32, *range(9, 14)]] = _SPACE
+_KIND[48:58] = _DIGIT
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[[ord("'"), ord("<")]] = _ODD
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def cut_parts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All texts' parts as binary, and where each text's parts begin and the last's end.
+
+    Parts are lower-case runs of ASCII letters, single digits, runs of ASCII signs, and whole chunks
+    that hold any other byte, an apostrophe or a "<" (with which special tokens begin).
+    """
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.zeros(0, np.uint8)
+    bounds = bounds - bounds[0]
+    kind = _KIND[raw]
+    inside = kind != _SPACE
+    new = np.ones(len(raw), bool)
+    begin = np.zeros(len(raw) + 1, bool)
+    begin[bounds] = True
+    begin = begin[:-1]
+    low = _LOWER[raw]
+    odd = kind == _ODD
+    if odd.any():
+        first = inside.copy()
+        first[1:] &= ~inside[:-1] | begin[1:]
+        chunk = np.cumsum(first, dtype=np.int32)
+        strange = np.zeros(int(chunk[-1]) + 1, bool)
+        strange[chunk[odd]] = True
+        odd = strange[chunk] & inside
+        kind[odd] = _ODD
+        low[odd] = raw[odd]
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT) | begin[1:]
+    starts = np.flatnonzero(new & inside)
+    ends = np.searchsorted(starts, bounds)
+    at = np.append((np.cumsum(inside, dtype=np.int64) - 1)[starts], np.count_nonzero(inside))
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(low[inside])]), ends
+
+
 class _Generations:
     """A dict of bounded size: when the younger half is full, the older half is dropped."""
 
     def __init__(self, most: int):
         self.most, self.young, self.old = most, {}, {}
 
-    def missing(self, keys: set[bytes]) -> list[bytes]:
+    def missing(self, keys: list[bytes]) -> list[bytes]:
         """The keys that neither half holds; those of the older half move to the younger."""
         young, old = self.young, self.old
         out = []
-        for k in keys.difference(young):
-            if k in old:
-                young[k] = old[k]
-            else:
-                out.append(k)
+        for k in keys:
+            if k not in young:
+                if k in old:
+                    young[k] = old[k]
+                else:
+                    out.append(k)
         return out
 
-    def trim(self) -> None:
+    def trim(self, new: list[bytes]) -> None:
+        for k in new:
+            if len(k) > LONGEST:
+                self.young.pop(k, None)
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
 
@@ -57,45 +123,38 @@ class ChunkMemo:
     """Encodes texts chunk by chunk; a chunk lies between ASCII white space.
 
     Sound for a vocabulary whose pieces hold no white space and are runs of letters, digits or runs
-    of signs, after composing and lower-casing: chunks of ASCII are folded first, which such a
-    vocabulary does anyway; others are composed before. Texts that hold one of the strings in keep
-    (special tokens, which are matched before folding), or would when folded, are encoded chunk by
-    chunk as they are. encode gets pieces that are new.
+    of signs, after composing and lower-casing. A batch's texts are cut and its parts told apart in
+    numpy and Arrow, so Python sees each distinct part of a batch once; encode_new gets pieces that
+    are new.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], keep: tuple[bytes, ...] = (), most: int = MOST):
-        self.encode_new, self.keep = encode, keep
+    def __init__(self, encode_new: Callable[[list[bytes]], list[bytes]], keep: tuple[bytes, ...] = (), most: int = MOST):
+        self.encode_new, self.keep = encode_new, keep
         self.chunks, self.parts = _Generations(most), _Generations(2 * most)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as packed 32-bit integers; what is new in any of them is encoded once."""
-        split: list[list[bytes] | None] = []
-        whole: dict[int, bytes] = {}
-        seen: set[bytes] = set()
-        for k, text in enumerate(texts):
-            data = (text or "").encode("utf-8", "replace")
-            low = data.lower()
-            if any(x in data or x in low for x in self.keep):
-                whole[k] = b"".join(self.encode_new(data.split()))
-                split.append(None)
-                continue
-            chunks = low.split() if data.isascii() or data == low else [c.lower() if c.isascii() else c for c in data.split()]
-            seen.update(chunks)
-            split.append(chunks)
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): all texts' ids one after the other, and where each text begins and the last ends. Null: empty."""
+        parts, ends = cut_parts(texts)
+        told = pc.dictionary_encode(parts)
+        packed = self._packed(_as_bytes(told.dictionary))
+        sizes = np.array([len(x) >> 2 for x in packed], np.int64)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        index = told.indices.to_numpy(zero_copy_only=False)
+        lists = pa.LargeListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(packed), np.uint32)))
+        ids = lists.take(told.indices).flatten().to_numpy() if len(index) else np.zeros(0, np.uint32)
+        return ids, np.concatenate([[0], np.cumsum(sizes[index])])[ends]
+
+    def _packed(self, chunks: list[bytes]) -> list[bytes]:
         known, parts = self.chunks, self.parts
-        missing = known.missing(seen)
+        missing = known.missing(chunks)
+        new: list[bytes] = []
         if missing:
-            cut = [pieces(c) for c in missing]
-            new = parts.missing({p for s in cut for p in s})
+            cut = [pieces(c, self.keep) for c in missing]
+            new = parts.missing(list({p: None for s in cut for p in s}))
             got = parts.young
             got.update(zip(new, self.encode_new(new), strict=True))
             known.young.update((c, got[s[0]] if len(s) == 1 else b"".join([got[p] for p in s])) for c, s in zip(missing, cut, strict=True))
-        take = known.young.__getitem__
-        out = [whole[k] if chunks is None else b"".join(map(take, chunks)) for k, chunks in enumerate(split)]
-        if missing:
-            for memo, keys in ((known, missing), (parts, new)):
-                for x in keys:
-                    if len(x) > LONGEST:
-                        memo.young.pop(x, None)
-                memo.trim()
+        out = list(map(known.young.__getitem__, chunks))
+        known.trim(missing)
+        parts.trim(new)
         return out

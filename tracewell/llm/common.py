@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes handed to a Python worker at once; texts may be very long.
-BATCH_ROWS = 400
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 2000
+BATCH_BYTES = 8 << 20
 
 
 def limit_batches(spark: SparkSession) -> None:

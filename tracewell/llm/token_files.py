@@ -1,11 +1,12 @@
 """Token ids in binary files, packed by Simple-8b.
 
 File: the magic; then blocks; then a footer; then the footer's length (8 bytes) and the magic.
-A block is a run of whole documents: its 64-bit words, then its escaped values. A word's top four
-bits select how many ids of how many bits it packs; each document starts on a word of its own.
-The footer gives, for each block, the byte offset, the words and the escapes, and for each
-document its id, block, first word within the block, first escape and number of ids, so that any
-block or document is found and decoded alone, without a loop over words.
+A block is a run of whole documents: a row for each (id, whether the id is null, first word, first
+escape, number of ids; 64 bits each), then its 64-bit words, then its escaped values. A word's top
+four bits select how many ids of how many bits it packs; each document starts on a word of its own.
+The footer gives, for each block, the byte offset and how many documents, words and escapes it has,
+so that any block or document is found and decoded alone, without a loop over words. Writer and
+reader hold one block and the footer.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import groupby
 from urllib.parse import urlparse
 
 import numpy as np
@@ -26,8 +26,10 @@ from tracewell.llm.chunks import ChunkMemo
 from tracewell.llm.common import limit_batches, shared_folder, written
 
 MAGIC = b"TOKENS8B"
-#: Chunks that a task's memo keeps of each generation (about 0.4 GB with their pieces).
-MEMO = 220_000
+#: Chunks that a worker's memo keeps of each generation (about 0.4 GB with their pieces).
+MEMO = 250_000
+#: Documents of a file, about; there are as many files as shuffle partitions at least.
+FILE_ROWS = 100_000
 #: Words after which a block is closed (at the end of a document).
 BLOCK_WORDS = 1 << 16
 #: Ids and bits for each selector. Selector 0 is a run of zeros, selector 1 an escape:
@@ -119,10 +121,6 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if urlparse(uri).scheme else (pafs.LocalFileSystem(), uri)
 
 
-_FOOT = [("doc_id", pa.int64()), ("null_id", pa.bool_()), ("block", pa.int32()), ("word", pa.int64()), ("escape", pa.int64()), ("n_ids", pa.int64())]
-_BLOCKS = [("at", pa.int64()), ("words", pa.int64()), ("escapes", pa.int64())]
-
-
 class TokenFileWriter:
     """Writes one file, block by block; documents come in the order in which they are added."""
 
@@ -132,71 +130,58 @@ class TokenFileWriter:
         self.out = self.fs.open_output_stream(self.path)
         self.out.write(MAGIC)
         self.at = len(MAGIC)
-        self.words: list[np.ndarray] = []
-        self.escapes: list[np.ndarray] = []
-        self.n_words = self.n_escapes = self.n_ids = 0
-        self.docs: list[tuple] = []
-        self.blocks: list[tuple] = []
-
-    def add(self, doc_ids: list[int | None], ids: np.ndarray, sizes: list[int]) -> None:
-        """Documents' ids, one after the other."""
-        words, escapes, first, first_escape = pack(ids, sizes)
-        cuts = [*first.tolist(), len(words)]
-        escape_cuts = [*first_escape.tolist(), len(escapes)]
-        done = escapes_done = 0
-        for k, doc_id in enumerate(doc_ids):
-            self.docs.append((doc_id or 0, doc_id is None, len(self.blocks), self.n_words + cuts[k] - done, self.n_escapes + escape_cuts[k] - escapes_done, int(sizes[k])))
-            if self.n_words + cuts[k + 1] - done >= BLOCK_WORDS or k == len(doc_ids) - 1:
-                self.words.append(words[done : cuts[k + 1]])
-                self.escapes.append(escapes[escapes_done : escape_cuts[k + 1]])
-                self.n_words += cuts[k + 1] - done
-                self.n_escapes += escape_cuts[k + 1] - escapes_done
-                done, escapes_done = cuts[k + 1], escape_cuts[k + 1]
-                if self.n_words >= BLOCK_WORDS:
-                    self._close_block()
-        self.n_ids += len(ids)
+        self.docs: list[tuple[int, int, int, int, int]] = []
+        self.words: list[bytes] = []
+        self.escapes: list[bytes] = []
+        self.n_words = self.n_escapes = self.n_docs = self.n_ids = 0
+        self.blocks: list[tuple[int, int, int, int]] = []
+
+    def add(self, doc_id: int | None, words: bytes, escapes: bytes, n_ids: int) -> None:
+        """One document, packed."""
+        self.docs.append((doc_id or 0, doc_id is None, self.n_words, self.n_escapes, n_ids))
+        self.words.append(words)
+        self.escapes.append(escapes)
+        self.n_words += len(words) >> 3
+        self.n_escapes += len(escapes) >> 3
+        self.n_docs += 1
+        self.n_ids += n_ids
+        if self.n_words >= BLOCK_WORDS:
+            self._close_block()
 
     def _close_block(self) -> None:
-        if self.docs and self.docs[-1][2] == len(self.blocks):
-            self.blocks.append((self.at, self.n_words, self.n_escapes))
-            for part in (*self.words, *self.escapes):
-                self.at += self.out.write(part.astype("<u8").tobytes()) or 8 * len(part)
-            self.words, self.escapes, self.n_words, self.n_escapes = [], [], 0, 0
+        data = b"".join([np.array(self.docs, "<i8").tobytes(), *self.words, *self.escapes])
+        self.blocks.append((self.at, len(self.docs), self.n_words, self.n_escapes))
+        self.out.write(data)
+        self.at += len(data)
+        self.docs, self.words, self.escapes, self.n_words, self.n_escapes = [], [], [], 0, 0
 
     def close(self) -> None:
-        self._close_block()
-        for rows, fields in ((self.blocks, _BLOCKS), (self.docs, _FOOT)):
-            columns = list(zip(*rows, strict=True)) or [[]] * len(fields)
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[k for k, _ in fields])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema) as w:
-                w.write_batch(batch)
-            foot = sink.getvalue().to_pybytes()
-            self.out.write(foot + len(foot).to_bytes(8, "little"))
-        self.out.write(MAGIC)
+        if self.docs:
+            self._close_block()
+        foot = np.array(self.blocks, "<i8").tobytes()
+        self.out.write(foot + len(foot).to_bytes(8, "little") + MAGIC)
         self.out.close()
 
 
-def read_file(uri: str) -> Iterator[tuple[int | None, np.ndarray]]:
-    """(doc_id, ids) of a file's documents in order, one block in memory at a time."""
+def read_blocks(uri: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(documents' rows, ids) of a file's blocks in order, one in memory at a time; see the file's layout."""
     fs, path = _filesystem(uri)
     with fs.open_input_file(path) as f:
-        end = f.size() - len(MAGIC)
-        feet = []
-        for _ in range(2):
-            n = int.from_bytes(f.read_at(8, end - 8), "little")
-            feet.append(pa.ipc.open_stream(pa.py_buffer(f.read_at(n, end - 8 - n))).read_all())
-            end -= 8 + n
-        docs, blocks = feet
-        of = docs["block"].to_numpy()
-        for k, b in enumerate(blocks.to_pylist()):
-            data = np.frombuffer(f.read_at(8 * (b["words"] + b["escapes"]), b["at"]), "<u8")
-            words, escapes = data[: b["words"]], data[b["words"] :]
-            mine = docs.slice(int(np.searchsorted(of, k)), int(np.searchsorted(of, k, "right") - np.searchsorted(of, k)))
-            ids, at = unpack(words, escapes), 0
-            for doc_id, null, n in zip(mine["doc_id"].to_pylist(), mine["null_id"].to_pylist(), mine["n_ids"].to_pylist(), strict=True):
-                yield (None if null else doc_id), ids[at : at + n]
-                at += n
+        end = f.size() - len(MAGIC) - 8
+        foot = int.from_bytes(f.read_at(8, end), "little")
+        for at, n, words, escapes in np.frombuffer(f.read_at(foot, end - foot), "<i8").reshape(-1, 4).tolist():
+            data = f.read_at(8 * (5 * n + words + escapes), at)
+            packed = np.frombuffer(data, "<u8")[5 * n :]
+            yield np.frombuffer(data, "<i8")[: 5 * n].reshape(n, 5), unpack(packed[:words], packed[words:])
+
+
+def read_file(uri: str) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(doc_id, ids) of a file's documents in order."""
+    for docs, ids in read_blocks(uri):
+        at = 0
+        for doc_id, null, _, _, n in docs.tolist():
+            yield (None if null else doc_id), ids[at : at + n]
+            at += n
 
 
 _memos: dict[str, ChunkMemo] = {}
@@ -254,14 +239,27 @@ def library_memo(path: str) -> ChunkMemo:
     return _memos[path]
 
 
+def _packed(path: str, end_id: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A batch (doc_id, text, part) as (doc_id, part, words, escapes, n_ids), with end_id after each text's ids."""
+    ids, ends = library_memo(path).encode(batch.column(1))
+    n = np.diff(ends) + 1
+    all_ids = np.full(len(ids) + len(n), end_id, np.uint64)
+    inner = np.ones(len(all_ids), bool)
+    inner[np.cumsum(n) - 1] = False
+    all_ids[inner] = ids
+    words, escapes, first, first_escape = pack(all_ids, n)
+    cut = lambda data, at: pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.append(at * 8, len(data) * 8).astype(np.int32)), pa.py_buffer(data.astype("<u8"))])
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), cut(words, first), cut(escapes, first_escape), pa.array(n)], names=["doc_id", "part", "words", "escapes", "n_ids"])
+
+
 def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str | None = None) -> DataFrame:
     """Encode every whole text (null: empty), append end_id, and write files in ascending doc_id order.
 
-    Returns the written files in order: (part, uri, n_docs, n_ids, first_id). Ids are cut into
-    ranges by quantiles; a range's task sorts it, encodes and writes it as a stream, holding one
-    block. Null ids come first. Every attempt of a task writes a file of its own and only the
-    successful one's name is returned, so lost executors leave no double. Rows that repeat an id
-    stay, next to each other.
+    Returns the written files in order: (part, uri, n_docs, n_ids); an empty table gives none. Texts
+    are encoded and packed where they are read; what is dealt out are packed ids. Documents are cut
+    into ranges of ids by quantiles; a range's task sorts it and writes it as a stream. Null ids
+    come first. Every attempt of a task writes a file of its own and only the successful one's name
+    is returned, so lost executors leave no double. Rows that repeat an id stay, next to each other.
     """
     import os
 
@@ -269,40 +267,39 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str | Non
     spark = docs.sparkSession
     limit_batches(spark)
     folder = folder or shared_folder(spark, "token-files")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-slim.count() // FILE_ROWS))
     cuts = sorted(set(slim.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts)))
     part = F.lit(0) if not cuts else F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: c < F.col("doc_id")))
     part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(part).cast("int")
-    dealt = slim.withColumn("part", part).repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        memo, end = library_memo(path), np.array([end_id], np.uint32).tobytes()
-        writer = uri = at = first = None
-        made = []
+        for batch in batches:
+            yield _packed(path, end_id, batch)
 
-        def close() -> None:
-            writer.close()
-            made.append((at, uri, len(writer.docs), writer.n_ids, first))
+    packed = slim.withColumn("part", part).mapInArrow(encode, "doc_id long, part int, words binary, escapes binary, n_ids long")
+    dealt = packed.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first())
 
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer = uri = at = None
+        made = []
         for batch in batches:
-            doc_ids, texts, places = (c.to_pylist() for c in batch.columns)
-            packed = [p + end for p in memo.encode(texts)]
-            for k, group in groupby(range(len(texts)), places.__getitem__):
-                rows = list(group)
+            for doc_id, k, words, escapes, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if k != at:
                     if writer:
-                        close()
+                        writer.close()
+                        made.append((at, uri, writer.n_docs, writer.n_ids))
                     uri = f"{folder}/part-{k:06d}-{uuid.uuid4().hex}.tok"
-                    writer, at, first = TokenFileWriter(uri), k, doc_ids[rows[0]]
-                writer.add([doc_ids[i] for i in rows], np.frombuffer(b"".join([packed[i] for i in rows]), np.uint32), [len(packed[i]) // 4 for i in rows])
+                    writer, at = TokenFileWriter(uri), k
+                writer.add(doc_id, words, escapes, n)
         if writer:
-            close()
+            writer.close()
+            made.append((at, uri, writer.n_docs, writer.n_ids))
             columns = list(zip(*made, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["part", "uri", "n_docs", "n_ids", "first_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["part", "uri", "n_docs", "n_ids"])
 
-    files = dealt.mapInArrow(run, "part int, uri string, n_docs long, n_ids long, first_id long")
+    files = dealt.mapInArrow(write, "part int, uri string, n_docs long, n_ids long")
     return written(files, "token-manifest")
 
 
@@ -310,7 +307,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
     """From the files: doc_id, start (ids before it in all files), n_tokens, ids_crc32.
 
     The manifest holds one row for each file, as many as there were ranges; each file is read by
-    one task, block by block.
+    one task, block by block. Without files there are no rows.
     """
     spark = files.sparkSession
     rows = files.orderBy("part").collect()
@@ -325,22 +322,16 @@ def read_token_files(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out = []
-                for doc_id, ids in read_file(uri):
-                    out.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                    start += len(ids)
-                    if len(out) == 4096:
-                        yield _rows(out)
-                        out = []
-                if out:
-                    yield _rows(out)
+                for docs, ids in read_blocks(uri):
+                    ends = np.cumsum(docs[:, 4])
+                    raw = memoryview(ids.astype("<u4").tobytes())
+                    crc = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip((ends - docs[:, 4]).tolist(), ends.tolist(), strict=True)]
+                    doc_ids = pa.array(docs[:, 0], mask=docs[:, 1] == 1)
+                    yield pa.RecordBatch.from_arrays([doc_ids, pa.array(start + ends - docs[:, 4]), pa.array(docs[:, 4]), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    start += int(ends[-1])
 
     return listed.select("uri", "start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-
 def token_file_report(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     return read_token_files(write_token_files(docs, path, end_id))
