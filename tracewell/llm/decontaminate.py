@@ -8,64 +8,67 @@ window lets the search jump almost a whole window ahead, so most of a text is ne
 
 from __future__ import annotations
 
-import hashlib
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import limit_batches
+from tracewell.llm.common import limit_batches, written
 
 #: Words are runs of these bytes after lower-casing A-Z; all others separate words.
 _FOLD = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
-#: Benchmark text that one search table set may hold; a larger benchmark is searched in several passes.
-TABLE_BYTES = 32 << 20
+#: Benchmark text (bytes) of one search table, about 60 times as much in a worker's memory; more is searched in several passes.
+TABLE_BYTES = 4 << 20
 
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_FOLD).split()
 
 
-@dataclass
 class _Table:
-    """Search table for the windows of one length."""
-
-    length: int
-    shift: dict[bytes, int] = field(default_factory=dict)
-    buckets: dict[bytes, dict[tuple[bytes, ...], set[str]]] = field(default_factory=dict)
-
-    @property
-    def block(self) -> int:
-        return min(2, self.length)
-
-    def add(self, window: tuple[bytes, ...], item: str) -> None:
-        size, last = self.block, self.length
-        for end in range(size, last + 1):
-            key = b" ".join(window[end - size : end])
-            self.shift[key] = min(self.shift.get(key, last), last - end)
-        self.buckets.setdefault(b" ".join(window[last - size :]), {}).setdefault(window, set()).add(item)
+    """Search table for the windows of one length; windows are places in one list of words."""
+
+    def __init__(self, length: int):
+        self.length, self.block = length, min(2, length)
+        self.words: list[bytes] = []
+        self.begins: list[int] = []  # where each item's words begin
+        self.items: list[str] = []
+        self.shift: dict[bytes, int] = {}
+        self.buckets: dict[bytes, array] = {}
+
+    def add(self, ws: list[bytes], item: str) -> None:
+        """All windows of an item; ws holds at least one."""
+        base, size, m = len(self.words), self.block, self.length
+        self.begins.append(base)
+        self.items.append(item)
+        self.words += ws
+        for end in range(size, len(ws) + 1):
+            key = b" ".join(ws[end - size : end])
+            step = max(0, m - end)  # from the m-th word on, every block ends a window
+            old = self.shift.get(key)
+            if old is None or step < old:
+                self.shift[key] = step
+            if step == 0:
+                self.buckets.setdefault(key, array("q")).append(base + end - m)
 
     def search(self, ws: list[bytes], hit: bytearray, items: set[str]) -> None:
         """Mark the words inside every occurrence and collect the items that occur."""
-        m, shift, n = self.length, self.shift, len(ws)
-        if self.block == 1:
-            for i, w in enumerate(ws):
-                if w in shift:
-                    hit[i] = 1
-                    items |= self.buckets[w][(w,)]
-            return
-        i, far = m - 1, m - 1
+        m, shift, n, known = self.length, self.shift, len(ws), self.words
+        i, far, single = m - 1, m - self.block + 1, self.block == 1
         while i < n:
-            key = ws[i - 1] + b" " + ws[i]
+            key = ws[i] if single else ws[i - 1] + b" " + ws[i]
             step = shift.get(key, far)
             if step:
                 i += step
                 continue
-            if found := self.buckets[key].get(tuple(ws[i - m + 1 : i + 1])):
-                hit[i - m + 1 : i + 1] = b"\x01" * m
-                items |= found
+            here = ws[i - m + 1 : i + 1]
+            for p in self.buckets[key]:
+                if known[p : p + m] == here:
+                    hit[i - m + 1 : i + 1] = b"\x01" * m
+                    items.add(self.items[bisect_right(self.begins, p) - 1])
             i += 1
 
 
@@ -74,11 +77,12 @@ class WindowSearch:
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = 10):
         self.tables: dict[int, _Table] = {}
+        same: dict[bytes, bytes] = {}  # one object for each word
         for item, text in items:
-            ws = words(text)
+            ws = [same.setdefault(w, w) for w in words(text)]
             m = min(window, len(ws))
-            for i in range(len(ws) - m + 1 if m else 0):
-                self.tables.setdefault(m, _Table(m)).add(tuple(ws[i : i + m]), item)
+            if m:
+                self.tables.setdefault(m, _Table(m)).add(ws, item)
 
     def look(self, text: str | None) -> tuple[list[bytes], bytearray, set[str]]:
         ws = words(text)
@@ -88,57 +92,62 @@ class WindowSearch:
         return ws, hit, items
 
 
-def _slices(benchmark: DataFrame) -> list[list[tuple[str, str | None]]]:
-    """The benchmark's items in slices of bounded size, one slice for each pass over the documents.
+def _slices(benchmark: DataFrame) -> Iterator[tuple[list[tuple[str, str | None]], bool]]:
+    """The benchmark's items in slices of bounded size, and whether the slice is the last.
 
     The size is measured first. Items are dealt by a hash, so each slice is a separate, small read.
     """
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null")
-    total = rows.agg(F.sum(F.octet_length("text") + F.length("item"))).first()[0] or 0
+    total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.length("item"))).first()[0] or 0
     n = max(1, -(-total // TABLE_BYTES))
-    part = lambda k: rows if n == 1 else rows.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k)
-    return ([(r.item, r.text) for r in part(k).collect()] for k in range(n))
+    for k in range(n):
+        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
+        yield [(r.item, r.text) for r in part.collect()], k == n - 1
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """Per document: doc_id, n_words, hit_words array<int> (positions), items array<string>.
+def _search_in_turn(rows: DataFrame, benchmark: DataFrame, window: int, step, purpose: str) -> DataFrame:
+    """step(rows, search table) for each slice; between slices rows are written, so one table is held at a time."""
+    for items, last in _slices(benchmark):
+        shared = rows.sparkSession.sparkContext.broadcast(WindowSearch(items, window))
+        rows = step(rows, shared)
+        if not last:
+            rows = written(rows, purpose)
+            shared.unpersist()
+    return rows
 
-    One row per input row. Null and empty texts have no words; an item without words, or without an
-    id, matches nothing; an empty benchmark hits nothing. Documents are not shuffled: the search
-    tables go to the tasks, and a benchmark of more than TABLE_BYTES is searched slice by slice,
-    the slices' results being merged by document row.
-    """
-    limit_batches(docs.sparkSession)
-    out = None
-    for items in _slices(benchmark):
-        one = _pass(docs, WindowSearch(items, window))
-        out = one if out is None else _merged(out, one)
-    return out
+
+_FOUND = "doc_id long, text string, n_words long, hit_words array<int>, items array<string>"
 
 
-def _pass(docs: DataFrame, search: WindowSearch) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(search)
+def _add_hits(rows: DataFrame, shared) -> DataFrame:
+    """rows (of _FOUND) with this table's hits added to those that each row has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, hits, found = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text, before, items_before in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 ws, hit, items = shared.value.look(text)
                 n.append(len(ws))
-                hits.append([i for i, x in enumerate(hit) if x] if items else [])
-                found.append(sorted(items))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "n_words", "hit_words", "items"])
+                mine = [i for i, x in enumerate(hit) if x] if items else []
+                hits.append(sorted({*mine, *before}) if before else mine)
+                found.append(sorted({*items, *items_before}))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "hit_words", "items"])
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, n_words long, hit_words array<int>, items array<string>")
+    return rows.mapInArrow(run, _FOUND)
 
 
-def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Results of two slices; rows that repeat a doc_id get the union of that id's results."""
-    b = b.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set("hit_words"))).alias("more_words"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("more_items"))
-    return a.join(b.withColumnRenamed("doc_id", "other_id"), F.col("doc_id").eqNullSafe(F.col("other_id")), "left").select(
-        "doc_id", "n_words", F.array_union("hit_words", "more_words").alias("hit_words"), F.array_sort(F.array_union("items", "more_items")).alias("items")
-    )
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """Per document: doc_id, n_words, hit_words array<int> (positions), items array<string>.
+
+    One row per input row, also where rows repeat an id; no documents, no rows. Null and empty texts
+    have no words; an item without words, or without an id, matches nothing; an empty benchmark hits
+    nothing. Documents are not shuffled: the search table goes to the tasks. A benchmark of more than
+    TABLE_BYTES is searched slice by slice; each slice adds to what a row has.
+    """
+    limit_batches(docs.sparkSession)
+    none = [F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hit_words"), F.array().cast("array<string>").alias("items")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *none)
+    return _search_in_turn(rows, benchmark, window, _add_hits, "window-hits").drop("text")
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -157,22 +166,17 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) ->
     """The rows of docs, all columns, whose text holds no window of a benchmark item.
 
     One pass without a shuffle when the benchmark fits one search table; otherwise one filter for
-    each slice, so the document must be clean of them all.
+    each slice, so the document must be clean of them all. Rows with a null or empty text stay.
     """
     limit_batches(docs.sparkSession)
-    schema = docs.schema
-    at = docs.columns.index("text")
-    for items in _slices(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(WindowSearch(items, window))
+    schema, at = docs.schema, docs.columns.index("text")
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def keep(rows: DataFrame, shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = [not shared.value.look(t)[2] for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, schema)
-    return docs
-
+        return rows.mapInArrow(run, schema)
 
-def items_digest(items: set[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    return _search_in_turn(docs, benchmark, window, keep, "window-clean")

@@ -19,18 +19,20 @@ from tracewell.llm.common import crc_fold, limit_batches
 
 #: Buckets of the n-gram hash, longest n-gram, and smoothing.
 BUCKETS, LONGEST, SMOOTHING = 1 << 15, 3, 0.1
-#: Bound on the training sample: labelled texts for each language, and languages learned.
-SAMPLE_PER_LANGUAGE, MOST_LANGUAGES = 3000, 256
+#: Bound on the training sample: labelled texts for each language. Every language is learned.
+SAMPLE_PER_LANGUAGE = 3000
+#: Products of counts and log-probabilities (8 bytes each) formed at once when a batch is scored.
+PRODUCTS = 1 << 20
 
 _letters: np.ndarray | None = None
 
 
 def _letter_table() -> np.ndarray:
-    """For each code point below 0x30000, its lower-case form if it is a letter, else a space."""
+    """For each code point, its lower-case form if it is a letter, else a space."""
     global _letters
     if _letters is None:
-        table = np.full(0x30000, 32, np.uint32)
-        for c in range(0x30000):
+        table = np.full(0x110000, 32, np.uint32)
+        for c in range(0x110000):
             if chr(c).isalpha():
                 low = chr(c).lower()
                 table[c] = ord(low) if len(low) == 1 else c
@@ -41,7 +43,7 @@ def _letter_table() -> np.ndarray:
 def code_points(text: str | None) -> np.ndarray:
     """Lower-case letters as code points; whatever is no letter becomes a space, runs of it one."""
     a = np.frombuffer((text or "").encode("utf-32-le", "replace"), np.uint32)
-    a = _letter_table()[np.minimum(a, 0x2FFFF)]
+    a = _letter_table()[a]
     if len(a):
         space = a == 32
         keep = np.ones(len(a), bool)
@@ -67,21 +69,37 @@ class LanguageModel:
     log_prior: np.ndarray
     log_prob: np.ndarray  # BUCKETS x languages
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        a = code_points(text)
-        if not self.languages or not (a != 32).any():
-            return "und", 0.0
-        ids = gram_buckets(a)
-        if len(ids) < BUCKETS // 8:
-            score = self.log_prob[ids].sum(0, dtype=np.float64)
-        else:
-            counts = np.bincount(ids, minlength=BUCKETS)
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Languages and posteriors of a batch: sparse n-gram counts of its texts times the log-probabilities."""
+        languages, scores = ["und"] * len(texts), np.zeros(len(texts))
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> None:
+            rows, buckets, counts = zip(*held, strict=True)
+            starts = np.cumsum([0, *[len(b) for b in buckets[:-1]]])
+            products = np.concatenate(counts)[:, None] * self.log_prob[np.concatenate(buckets)].astype(np.float64)
+            found = np.add.reduceat(products, starts, axis=0) + self.log_prior
+            p = np.exp(found - found.max(1, keepdims=True))
+            best = found.argmax(1)
+            scores[list(rows)] = p[np.arange(len(rows)), best] / p.sum(1)
+            for r, k in zip(rows, best.tolist(), strict=True):
+                languages[r] = self.languages[k]
+
+        for r, text in enumerate(texts):
+            a = code_points(text)
+            if not self.languages or not (a != 32).any():
+                continue
+            counts = np.bincount(gram_buckets(a), minlength=BUCKETS)
             some = np.flatnonzero(counts)
-            score = counts[some] @ self.log_prob[some].astype(np.float64)
-        score = score + self.log_prior
-        p = np.exp(score - score.max())
-        k = int(score.argmax())
-        return self.languages[k], float(p[k] / p.sum())
+            held.append((r, some, counts[some]))
+            size += len(some) * len(self.languages)
+            if size >= PRODUCTS:
+                flush()
+                held, size = [], 0
+        if held:
+            flush()
+        return languages, scores
 
 
 def _labelled(docs: DataFrame, held_out: int | None) -> DataFrame:
@@ -93,12 +111,12 @@ def train(docs: DataFrame, held_out: int | None = 2) -> LanguageModel:
     """Learn from the labelled texts outside the held-out fold.
 
     A hash of the id picks about SAMPLE_PER_LANGUAGE whole texts of each language (all of them
-    where there are fewer); the MOST_LANGUAGES commonest languages are learned. What reaches the
-    driver is the sum of counts: at most BUCKETS rows for each language.
+    where there are fewer). What reaches the driver is the sum of counts: at most BUCKETS rows for
+    each language.
     """
     limit_batches(docs.sparkSession)
     rows = _labelled(docs, held_out)
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.zeros(0), np.zeros((BUCKETS, 0), np.float32))
@@ -136,8 +154,8 @@ def identify(docs: DataFrame, model: LanguageModel, extra: str | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [shared.value.predict(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in out], pa.string()), pa.array([p for _, p in out], pa.float64())], names=["doc_id", "lang_pred", "score"])
+            found, score = shared.value.predict(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return picked.mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -151,8 +169,8 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [shared.value.predict(t) for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array([x != "und" and p >= least for x, p in out], pa.bool_()))
+            found, score = shared.value.predict(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([x != "und" and p >= least for x, p in zip(found, score.tolist(), strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -144,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int | None = 1) -> MilMo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_summary(passages(t)).tobytes() for t in batch.column(2).to_pylist()]
+            rows = [passages(t).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["label_id", "label", "bag"])
 
     # a repeated id gives rows beyond the bound; one of them is enough to learn from
@@ -157,14 +157,6 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int | None = 1) -> MilMo
     return model
 
 
-#: Passages of one document that are learned from: a longer document gives that many, evenly spaced.
-LEARNED_PASSAGES = 64
-
-
-def _summary(bag: np.ndarray) -> np.ndarray:
-    return bag if len(bag) <= LEARNED_PASSAGES else bag[np.linspace(0, len(bag) - 1, LEARNED_PASSAGES).astype(int)]
-
-
 def score_documents(docs: DataFrame, model: MilModel | None) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (score of 0.5 or more) for every whole text, every passage read.
 
