@@ -28,7 +28,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: Shared tokens of least hash that a class needs to stay (fewer in lines that have fewer tokens).
 PARTNERS = 3
 #: A token in more than one of so many places is hot: at most so many are, and a literal holds them.
-HOT_SHARE = 1000
+HOT_SHARE, COUNTERS = 1000, 1 << 13
 #: Lines to read again (12 bytes each) up to which their places are broadcast; beyond, a shuffled join.
 BROADCAST_ROWS = 1_000_000
 
@@ -49,12 +49,16 @@ def _class() -> list[Column]:
     return [F.when(some, F.xxhash64("words")).alias("c1"), F.when(some, F.hash("words")).alias("c2")]
 
 
+def _hashed(lines: DataFrame) -> DataFrame:
+    """lines plus a hash of each word, as a column of its own since five tokens read it."""
+    return lines.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+
+
 def _tokens() -> Column:
-    """A line's distinct tokens, as 64-bit hashes: runs of SHINGLE words, or all words with their number."""
+    """A hashed line's distinct tokens, as 64-bit hashes: runs of SHINGLE words, or all words with their number."""
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - SHINGLE, F.lit(0)))
-    runs = F.transform(starts, lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(SHINGLE)]))
-    whole = F.array(F.xxhash64(F.concat(F.size("words"), F.lit(" "), F.array_join("words", " "))))
-    return F.array_distinct(F.when(F.size("words") >= SHINGLE, runs).otherwise(whole))
+    runs = F.transform(starts, lambda i: F.xxhash64(*[F.get("hashes", i + k) for k in range(SHINGLE)]))
+    return F.array_distinct(F.when(F.size("words") >= SHINGLE, runs).otherwise(F.array(F.xxhash64(F.size("words"), "hashes"))))
 
 
 def _ceil(x: str, share: int, of: int = 1000) -> str:
@@ -68,33 +72,40 @@ def line_rows(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Of n tokens at least the share threshold is common with a similar line, so at most the rest is
     not, and of that many and PARTNERS more by any one order, PARTNERS are common to both lines.
     """
-    lines = _lines(docs).select("doc_id", "line_no", *_class(), F.when(F.size("words") > 0, F.sort_array(_tokens())).alias("tokens"))
+    lines = _hashed(_lines(docs)).select("doc_id", "line_no", *_class(), F.when(F.size("words") > 0, F.sort_array(_tokens())).alias("tokens"))
     least = F.expr(f"slice(tokens, 1, cast(size(tokens) - {_ceil('size(tokens)', round(threshold * 1000))} + {PARTNERS} as int))")
     return lines.select("doc_id", "line_no", "c1", "c2", F.size("tokens").alias("n"), least.alias("least"))
 
 
 def _hot(places: DataFrame) -> dict[int, int]:
-    """Tokens of more than one in HOT_SHARE places (and perhaps a few others) with about their counts.
+    """Tokens of more than one in HOT_SHARE places, and at least 1000, with their counts.
 
-    By a sketch of fixed size; at most 1000.
+    Places are counted by COUNTERS remainders first; only tokens of a remainder with enough of them
+    are counted one by one. So few are hot that a literal holds them.
     """
-    got = places.agg(F.count(F.lit(1)).alias("n"), F.expr("approx_top_k(t, 1000, 10000)").alias("top")).first()
-    return {x["item"]: x["count"] for x in got["top"] or () if x["count"] * HOT_SHARE > got["n"] and x["count"] > 1000}
+    rest = F.pmod("t", F.lit(COUNTERS)).cast("int")
+    counted = {r.rest: r["count"] for r in places.groupBy(rest.alias("rest")).count().collect()}
+    least = max(1000, sum(counted.values()) // HOT_SHARE)
+    full = [k for k, n in counted.items() if n > least]
+    if not full:
+        return {}
+    return {r.t: r["count"] for r in places.where(rest.isin(full)).groupBy("t").count().where(F.col("count") > least).collect()}
 
 
-def _shared(places: DataFrame, hot: dict[int, int]) -> DataFrame:
-    """The distinct places (id, t) whose token is in those of more than one id, with the number k of places.
+def _shared(places: DataFrame) -> DataFrame:
+    """The places (id, t) whose token is in those of more than one id, with the number k of places.
 
-    Hot tokens keep their estimate and are not dealt out by their key. The others are dealt once: the
-    counting reads both columns, so that it and the look-up use the same exchange.
+    Hot tokens are not dealt out by their key. The others are dealt once: the
+    counting reads both columns, so that it and the look-up use the same exchange. Places of copies of a line repeat.
     """
-    dealt = places.where(~F.col("t").isin([*hot])).repartition(F.col("t"))
+    hot = _hot(places)
+    dealt = (places.where(~F.col("t").isin([*hot])) if hot else places).repartition(F.col("t"))
     counts = dealt.groupBy("t").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("t", "k")
-    cold = dealt.join(counts.hint("shuffle_hash"), "t").select("id", "t", "k").dropDuplicates(["id", "t"])
+    cold = dealt.join(counts.hint("shuffle_hash"), "t").select("id", "t", "k")
     if not hot:
         return cold
     k = F.create_map(*[F.lit(x).cast("long") for pair in hot.items() for x in pair])[F.col("t")]
-    return cold.unionByName(places.where(F.col("t").isin([*hot])).distinct().select("id", "t", k.alias("k")))
+    return cold.unionByName(places.where(F.col("t").isin([*hot])).select("id", "t", k.alias("k")))
 
 
 def partnered_classes(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -104,7 +115,7 @@ def partnered_classes(rows: DataFrame, threshold: float = THRESHOLD) -> DataFram
     """
     need = F.expr(f"least({PARTNERS}, {_ceil('n', round(threshold * 1000))})")
     places = rows.where("n > 0").select(_key(need).alias("id"), F.explode("least").alias("t"))
-    return _shared(places, _hot(places)).groupBy(F.col("id").alias("key")).agg(F.count(F.lit(1)).alias("k")).where("k >= (key & 3)").select("key")
+    return _shared(places).dropDuplicates(["id", "t"]).groupBy(F.col("id").alias("key")).agg(F.count(F.lit(1)).alias("k")).where("k >= (key & 3)").select("key")
 
 
 def _key(need: Column) -> Column:
@@ -118,7 +129,7 @@ def token_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.join(F.broadcast(places) if few else places, F.col("doc_id").eqNullSafe(F.col("at")))
     lines = _lines(texts, "numbers").where(F.array_contains("numbers", F.col("line_no")) & (F.size("words") > 0))
-    picked = lines.select("doc_id", "line_no", *_class(), _tokens().alias("tokens"))
+    picked = _hashed(lines).select("doc_id", "line_no", *_class(), _tokens().alias("tokens"))
     # rows that repeat an id may have other lines in these places
     one = picked.groupBy("c1", "c2").agg(F.first("tokens").alias("tokens")).join(members, ["c1", "c2"])
     return one.select(F.monotonically_increasing_id().alias("id"), "c1", "c2", "first", F.size("tokens").alias("n"), "tokens")
@@ -133,7 +144,7 @@ def ordered_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     places = sets.select("id", F.explode("tokens").alias("t"))
     bits = [F.bit_or(F.expr(f"if(t & 7 = {k}, shiftleft(1L, cast(shiftright(t, 3) & 63 as int)), 0L)")) for k in range(8)]
-    order = _shared(places, _hot(places)).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("s"), F.array(*bits).alias("bits"))
+    order = _shared(places).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("s"), F.array(*bits).alias("bits"))
     met = sets.drop("tokens").join(order, "id")
     return met.where(F.size("s") * 1000 >= F.col("n") * round(threshold * 1000)).select("c1", "c2", "first", "n", F.col("s.t").alias("tokens"), "bits")
 
