@@ -108,6 +108,58 @@ def figure_claims(texts: DataFrame, id_cols: list[str], text_col: str = "text")
     return each.select(*id_cols, "figure", F.inline(keys))
 
 
+def undeclared_skills(skills: DataFrame, declared: DataFrame) -> DataFrame:
+    """(owner_id, skill): listed skills that no declared skill of the owner spells, in any plural form or case.
+
+    Both: (owner_id, skill). Blank and null skills claim nothing.
+    """
+    key = T.normalize("skill")
+    claimed = skills.select("owner_id", "skill").distinct().withColumn("key", key).where("key <> ''")
+    spelled = claimed.select("owner_id", "skill", F.explode(F.array_append(F.transform(T.plural_forms(F.col("key")), lambda p: p["spelling"]), F.col("key"))).alias("key"))
+    met = spelled.join(declared.select("owner_id", key.alias("key")).distinct(), ["owner_id", "key"], "left_semi").select("owner_id", "skill").distinct()
+    return claimed.select("owner_id", "skill").join(met, ["owner_id", "skill"], "left_anti")
+
+
+def entry_checks(entries: DataFrame, sources: DataFrame, bullets: DataFrame, allowed: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(owner_id, entry_id, kind): selected entries that no source has, that stand in a section not theirs, or that hold nothing.
+
+    entries: (owner_id, entry_id, section); sources: (owner_id, source_id, kind); bullets: (owner_id,
+    entry_id). The first of the three that applies counts. allowed: the kinds of source for a section.
+    """
+    known = sources.select("owner_id", F.col("source_id").alias("entry_id"), F.col("kind").alias("is")).distinct()
+    held = bullets.select("owner_id", "entry_id", F.lit(True).alias("held")).distinct()
+    fits = F.lit(False)
+    for section, kinds in allowed.items():
+        fits = fits | ((F.col("section") == section) & F.col("is").isin(*kinds))
+    kind = F.when(F.col("is").isNull(), "unknown_entry").when(~F.coalesce(fits, F.lit(False)), "wrong_section").when(F.col("held").isNull(), "empty_entry")
+    joined = entries.join(known, ["owner_id", "entry_id"], "left").join(held, ["owner_id", "entry_id"], "left")
+    return joined.select("owner_id", "entry_id", kind.alias("kind")).where("kind is not null").distinct()
+
+
+def gate(items: DataFrame, sources: DataFrame, claimed: DataFrame, supported: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """(owner_id, item_id, level, kind, subject): every item's violations of its earliest failing rule.
+
+    The rules in order: a text without words, no citation, a citation that nothing answers to, one of
+    another entry's source, a term that the support does not name. Null texts are empty.
+    items: (owner_id, item_id, entry_id, text, cites); claimed and supported: (owner_id, item_id, term).
+    """
+    rule = lambda df, level, kind, subject: df.select("owner_id", "item_id", F.lit(level).alias("level"), F.lit(kind).alias("kind"), subject.cast("string").alias("subject"))
+    none = F.lit("")
+    found = rule(items.where(F.coalesce(F.trim("text"), none) == ""), 0, "empty", none)
+    found = found.unionByName(rule(items.where(F.size(F.coalesce("cites", F.array().cast("array<bigint>"))) == 0), 1, "uncited", none))
+    found = found.unionByName(rule(unknown_citations(items, sources), 2, "unknown_citation", F.col("source_id")))
+    found = found.unionByName(rule(misattributed(items, sources, kinds), 3, "misattributed", F.col("source_id")))
+    found = found.unionByName(rule(unsupported_terms(claimed, supported), 4, "unsupported_term", F.col("term")))
+    return first_failures(found)
+
+
+def kind_counts(violations: DataFrame) -> DataFrame:
+    """Per owner: how many violations, and the kinds with their counts, sorted by kind."""
+    each = violations.groupBy("owner_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", "n"))), lambda x: F.concat(x["kind"], F.lit("×"), x["n"].cast("string"))), ", ")
+    return each.groupBy("owner_id").agg(F.sum("n").alias("violations"), said.alias("summary"))
+
+
 def first_failures(violations: DataFrame) -> DataFrame:
     """Per item, only the violations of its earliest failing rule (column level): later rules are skipped."""
     least = F.min("level").over(Window.partitionBy("owner_id", "item_id"))

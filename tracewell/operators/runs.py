@@ -15,6 +15,15 @@ def best_attempt(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("run_id").agg(F.max_by(F.struct("attempt", "total", "grounded"), rank).alias("best"), F.count(F.lit(1)).alias("attempts")).select("run_id", "best.attempt", "best.total", "best.grounded", "attempts")
 
 
+def best_letter(attempts: DataFrame) -> DataFrame:
+    """Per run: grounded before not, parsed before not, one that reads well, fewer failures, untouched, earlier.
+
+    attempts: (run_id, attempt, grounded, parses, reads_well, failures, repaired); null failures count as none.
+    """
+    rank = F.struct("grounded", "parses", "reads_well", -F.coalesce("failures", F.lit(0)), ~F.col("repaired"), -F.col("attempt"))
+    return attempts.groupBy("run_id").agg(F.max_by(F.struct("attempt", "reads_well", "failures"), rank).alias("best")).select("run_id", "best.*")
+
+
 def stop_reasons(attempts: DataFrame, target: float = vocab.TARGET, slack: float = vocab.SLACK, gain: float = vocab.MIN_GAIN) -> DataFrame:
     """Per attempt: why a run may stop there; null goes on. An unparsed attempt never stops.
 

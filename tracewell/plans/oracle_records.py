@@ -43,7 +43,29 @@ _EVENTS = "e AS (SELECT user_id AS run_id, coalesce(try_cast(regexp_extract(prop
 _SLUG = f"trim(regexp_replace({norm('p_name')}, '[^a-z0-9]+', '-', 'g'), '-')"
 _MONTH = lambda d: f"monthname({d}) || ' ' || strftime({d}, '%Y')"
 
+_RULES = f"""{_GATE},
+c AS (SELECT owner_id, item_id, unnest(CASE WHEN cite = item_id - 3 THEN [cite] ELSE [cite, CAST(item_id AS BIGINT) - 3] END) AS source_id FROM items WHERE cite IS NOT NULL),
+v AS (SELECT owner_id, item_id, 0 AS level, 'empty' AS kind, '' AS subject FROM items WHERE trim(coalesce(text, '')) = ''
+  UNION ALL SELECT owner_id, item_id, 1, 'uncited', '' FROM items WHERE cite IS NULL
+  UNION ALL SELECT owner_id, item_id, 2, 'unknown_citation', CAST(source_id AS VARCHAR) FROM c ANTI JOIN src USING (owner_id, source_id)
+  UNION ALL SELECT owner_id, item_id, 3, 'misattributed', CAST(source_id AS VARCHAR) FROM c JOIN src USING (owner_id, source_id) WHERE kind = 'user' AND source_id <> item_id - 1
+  UNION ALL SELECT owner_id, item_id, 4, 'unsupported_term', term FROM bad),
+g AS (SELECT * FROM v QUALIFY level = min(level) OVER (PARTITION BY owner_id, item_id))"""
+_PLURALS = "[k, k || 's', CASE WHEN k LIKE '%ies' AND length(k) > 4 THEN left(k, length(k) - 3) || 'y' END, CASE WHEN regexp_matches(k, '(ses|xes|zes|ches|shes)$') THEN left(k, length(k) - 2) END, CASE WHEN k LIKE '%s' AND length(k) > 2 THEN left(k, length(k) - 1) END, CASE WHEN regexp_matches(k, '(s|x|z|ch|sh)$') THEN k || 'es' END]"
+
 SQL = {
+    "gate_violations": f"WITH {_RULES} SELECT owner_id, item_id, level, kind, subject FROM g",
+    "gate_kinds": f"WITH {_RULES}, k AS (SELECT owner_id, kind, count(*) AS n FROM g GROUP BY owner_id, kind) SELECT owner_id, CAST(sum(n) AS BIGINT) AS violations, string_agg(kind || '×' || n, ', ' ORDER BY kind) AS summary FROM k GROUP BY owner_id",
+    "entry_checks": """WITH t AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations)
+SELECT DISTINCT a.conv_id AS owner_id, a.turn + 1 AS entry_id, CASE WHEN b.role IS NULL THEN 'unknown_entry' WHEN b.role <> CASE WHEN a.role = 'user' THEN 'assistant' ELSE 'user' END THEN 'wrong_section' ELSE 'empty_entry' END AS kind
+FROM t a LEFT JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE b.role IS NULL OR b.role <> CASE WHEN a.role = 'user' THEN 'assistant' ELSE 'user' END OR coalesce(length(b.text), 0) <= 200""",
+    "undeclared_skills": f"""WITH s AS (SELECT DISTINCT p_brand AS owner_id, unnest(string_split(p_type, ' ')) AS skill FROM part), n AS (SELECT owner_id, skill, {norm('skill')} AS k FROM s),
+d AS (SELECT DISTINCT owner_id, {norm('skill')} AS k FROM (SELECT p_brand AS owner_id, unnest(string_split(p_name, ' ')) AS skill FROM part)),
+f AS (SELECT owner_id, skill, unnest({_PLURALS}) AS k FROM n WHERE k <> ''), m AS (SELECT DISTINCT owner_id, skill FROM f SEMI JOIN d USING (owner_id, k))
+SELECT owner_id, skill FROM n ANTI JOIN m USING (owner_id, skill) WHERE k <> ''""",
+    "best_letter": "WITH l AS (SELECT o_custkey AS run_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS attempt, o_orderstatus = 'F' AS grounded, o_orderstatus <> 'P' AS parses, o_orderkey % 4 AS failures, starts_with(o_orderpriority, '1') AS repaired FROM orders) SELECT run_id, attempt, failures = 0 AS reads_well, failures FROM l QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY grounded DESC, parses DESC, failures = 0 DESC, failures, repaired, attempt) = 1",
+    "description_lines": r"""WITH l AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '\r\n|[\n\x0B\x0C\r\x1C-\x1E\x{85}\x{2028}\x{2029}]'), lambda x: regexp_replace(regexp_replace(x, '^[ \t]*[•‣▪·◦*–—-][ \t]+', ''), '^[ \t]+|[ \t]+$', '', 'g')), lambda x: length(x) > 2)) AS line, generate_subscripts(list_filter(list_transform(regexp_split_to_array(text, '\r\n|[\n\x0B\x0C\r\x1C-\x1E\x{85}\x{2028}\x{2029}]'), lambda x: regexp_replace(regexp_replace(x, '^[ \t]*[•‣▪·◦*–—-][ \t]+', ''), '^[ \t]+|[ \t]+$', '', 'g')), lambda x: length(x) > 2), 1) AS n FROM documents)
+SELECT doc_id, CAST(n AS INTEGER) AS n, length(line) AS n_chars, md5(line) AS digest FROM l""",
     "unknown_citations": f"WITH {_ITEMS}, c AS (SELECT DISTINCT owner_id, item_id, source_id FROM (SELECT owner_id, item_id, unnest([cite, CAST(item_id AS BIGINT) - 2]) AS source_id FROM items) WHERE source_id IS NOT NULL) SELECT owner_id, item_id, source_id FROM c ANTI JOIN src USING (owner_id, source_id)",
     "misattributed_items": f"WITH {_ITEMS}, c AS (SELECT DISTINCT owner_id, item_id, source_id FROM (SELECT owner_id, item_id, unnest([cite, CAST(item_id AS BIGINT) - 3]) AS source_id FROM items) WHERE source_id IS NOT NULL) SELECT owner_id, item_id, source_id FROM c JOIN src USING (owner_id, source_id) WHERE kind = 'user' AND source_id <> item_id - 1",
     "supporting_text": "SELECT source AS owner_id, min(doc_id) AS item_id, CAST(length(string_agg(text, '\n' ORDER BY doc_id)) AS INTEGER) AS n_chars, md5(string_agg(text, '\n' ORDER BY doc_id)) AS digest FROM documents GROUP BY source",

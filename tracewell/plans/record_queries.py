@@ -88,6 +88,57 @@ def repaired_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.groupBy("owner_id").agg(F.count(F.lit(1)).alias("items")).join(kept, "owner_id", "left").select("owner_id", "items", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("words", F.lit(0)).alias("words"), F.coalesce(F.col("kept") >= 2, F.lit(False)).alias("usable"))
 
 
+def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules over the assistant turns; each that cites anything also cites the turn three before it."""
+    from tracewell.operators.mentions import spellings
+
+    items, sources = cited_items(spark, sf_dir)
+    spelled = spellings(Tables(spark, sf_dir).terms).select("term", F.col("spelling").alias("key"))
+    keyed = lambda df, *cols: df.select(*cols, F.explode(F.array_distinct(T.runs("text"))).alias("key")).join(spelled, "key").select(*cols, "term").distinct()
+    cited = items.select("owner_id", "item_id", F.explode("cites").alias("source_id")).join(sources.select("owner_id", "source_id", "text"), ["owner_id", "source_id"])
+    more = F.when(F.size("cites") > 0, F.array_append("cites", F.col("item_id").cast("long") - 3)).otherwise(F.col("cites"))
+    entries = items.withColumn("entry_id", F.col("item_id").cast("long") - 1).withColumn("cites", more)
+    return ground.gate(entries, sources, keyed(items, "owner_id", "item_id"), keyed(cited, "owner_id", "item_id"), ("user",))
+
+
+def gate_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gate(spark, sf_dir)
+
+
+def gate_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ground.kind_counts(_gate(spark, sf_dir))
+
+
+def entry_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn selects the next one for the other role's section."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("owner_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    entries = turns.select("owner_id", (F.col("turn") + 1).alias("entry_id"), F.when(F.col("role") == "user", "answers").otherwise("questions").alias("section"))
+    sources = turns.select("owner_id", F.col("turn").alias("source_id"), F.col("role").alias("kind"))
+    bullets = turns.where(F.length("text") > 200).select("owner_id", F.col("turn").alias("entry_id"))
+    return ground.entry_checks(entries, sources, bullets, {"answers": ("assistant",), "questions": ("user",)})
+
+
+def undeclared_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of a brand's part types that none of its part names holds."""
+    parts = table(spark, sf_dir, "part")
+    words = lambda c: parts.select(F.col("p_brand").alias("owner_id"), F.explode(F.split(F.col(c), " ")).alias("skill"))
+    return ground.undeclared_skills(words("p_type"), words("p_name"))
+
+
+def best_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a customer as letters; the order key's remainder by four stands for its failures."""
+    keys = table(spark, sf_dir, "orders")
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    letters = keys.select(F.col("o_custkey").alias("run_id"), n.alias("attempt"), (F.col("o_orderstatus") == "F").alias("grounded"), (F.col("o_orderstatus") != "P").alias("parses"), (F.col("o_orderkey") % 4).alias("failures"), F.col("o_orderpriority").startswith("1").alias("repaired"))
+    return runs.best_letter(letters.withColumn("reads_well", F.col("failures") == 0))
+
+
+def description_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewell.sources.imports import split_descriptions
+
+    return split_descriptions(table(spark, sf_dir, "documents")).select("doc_id", "n", F.length("line").alias("n_chars"), F.md5("line").alias("digest"))
+
+
 def claim_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, sources = cited_items(spark, sf_dir)
     cited = items.select("owner_id", "item_id", F.length("text").alias("n_chars"), F.explode("cites").alias("source_id"))
@@ -279,6 +330,7 @@ def usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     unknown_citations, misattributed_items, supporting_text, supporting_parts, claim_gate, gate_summary, blocked_terms, repaired_documents, claim_snapshot,
+    gate_violations, gate_kinds, entry_checks, undeclared_skills, best_letter, description_lines,
     bullet_rubric, rubric_summary, letter_rubric, text_layer_rubric, page_layout_rubric, round_trip, verbatim_echo, extracted_posts, discovered_links,
     evidence_chunks, evidence_sources, completed_posts, contacts_found, month_ranges, newest_entries, ordered_entries, entry_facts, entry_pairs, assigned_ids,
     best_attempt, stop_reason, run_outcome, attempt_timeline, event_tail, usage_rollup, copy_drift, merged_terms, all_merged_terms, ranked_feedback, shortlists,

@@ -14,6 +14,16 @@ RUN = "run_id string, created_at string, mode string, ok boolean, cancelled bool
 MOST_COLUMNS = 60
 
 
+def split_descriptions(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, n, line): a description's lines without bullet signs, those of more than two characters, numbered from 1.
+
+    Null and empty texts have none.
+    """
+    lines = F.split(F.col(text), r"\r\n|[\n\x0B\x0C\r\x1C-\x1E\x85\u2028\u2029]")
+    bare = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, r"^[\s]*[•‣▪·◦*–—\-]\s+", ""), r"^\s+|\s+$", ""))
+    return df.select(id_col, F.posexplode(F.filter(bare, lambda x: F.length(x) > 2)).alias("n", "line")).withColumn("n", F.col("n") + 1)
+
+
 def well_formed(xml: Column) -> Column:
     """Whether a text is an XML document: a permissive parse leaves no corrupt record."""
     parsed = F.from_xml(xml, "_corrupt string, `_` string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "ignoreNamespace": "true"})
