@@ -50,15 +50,16 @@ def _class() -> list[Column]:
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
-    """lines plus a hash of each word, as a column of its own since five tokens read it."""
-    return lines.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    """Each line's place, class and word hashes; the words themselves are not carried on."""
+    return lines.select("doc_id", "line_no", *_class(), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
 
 
 def _tokens() -> Column:
     """A hashed line's distinct tokens, as 64-bit hashes: runs of SHINGLE words, or all words with their number."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - SHINGLE, F.lit(0)))
+    size = F.size("hashes")
+    starts = F.sequence(F.lit(0), F.greatest(size - SHINGLE, F.lit(0)))
     runs = F.transform(starts, lambda i: F.xxhash64(*[F.get("hashes", i + k) for k in range(SHINGLE)]))
-    return F.array_distinct(F.when(F.size("words") >= SHINGLE, runs).otherwise(F.array(F.xxhash64(F.size("words"), "hashes"))))
+    return F.array_distinct(F.when(size >= SHINGLE, runs).otherwise(F.array(F.xxhash64(size, F.col("hashes")))))
 
 
 def _ceil(x: str, share: int, of: int = 1000) -> str:
@@ -72,7 +73,7 @@ def line_rows(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Of n tokens at least the share threshold is common with a similar line, so at most the rest is
     not, and of that many and PARTNERS more by any one order, PARTNERS are common to both lines.
     """
-    lines = _hashed(_lines(docs)).select("doc_id", "line_no", *_class(), F.when(F.size("words") > 0, F.sort_array(_tokens())).alias("tokens"))
+    lines = _hashed(_lines(docs)).select("doc_id", "line_no", "c1", "c2", F.when(F.size("hashes") > 0, F.sort_array(_tokens())).alias("tokens"))
     least = F.expr(f"slice(tokens, 1, cast(size(tokens) - {_ceil('size(tokens)', round(threshold * 1000))} + {PARTNERS} as int))")
     return lines.select("doc_id", "line_no", "c1", "c2", F.size("tokens").alias("n"), least.alias("least"))
 
@@ -95,8 +96,8 @@ def _hot(places: DataFrame) -> dict[int, int]:
 def _shared(places: DataFrame) -> DataFrame:
     """The places (id, t) whose token is in those of more than one id, with the number k of places.
 
-    Hot tokens are not dealt out by their key. The others are dealt once: the
-    counting reads both columns, so that it and the look-up use the same exchange. Places of copies of a line repeat.
+    Hot tokens are not dealt out by their key. The others are dealt once: the counting reads both
+    columns, so that it and the look-up use the same exchange. Places of copies of a line repeat.
     """
     hot = _hot(places)
     dealt = (places.where(~F.col("t").isin([*hot])) if hot else places).repartition(F.col("t"))
@@ -129,7 +130,7 @@ def token_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.join(F.broadcast(places) if few else places, F.col("doc_id").eqNullSafe(F.col("at")))
     lines = _lines(texts, "numbers").where(F.array_contains("numbers", F.col("line_no")) & (F.size("words") > 0))
-    picked = _hashed(lines).select("doc_id", "line_no", *_class(), _tokens().alias("tokens"))
+    picked = _hashed(lines).select("c1", "c2", _tokens().alias("tokens"))
     # rows that repeat an id may have other lines in these places
     one = picked.groupBy("c1", "c2").agg(F.first("tokens").alias("tokens")).join(members, ["c1", "c2"])
     return one.select(F.monotonically_increasing_id().alias("id"), "c1", "c2", "first", F.size("tokens").alias("n"), "tokens")
