@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 import regex
 
 #: Chunks kept before the older generation goes (twice as many pieces), and the longest that are kept.
-MOST, LONGEST = 200_000, 48
+MOST, LONGEST = 120_000, 48
 _ASCII_PIECES = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 _PIECES = regex.compile(r"\p{L}+|\p{N}|[^\p{L}\p{N}]+")
 

@@ -26,8 +26,8 @@ from tracewell.llm.chunks import ChunkMemo
 from tracewell.llm.common import limit_batches, shared_folder, written
 
 MAGIC = b"TOKENS8B"
-#: Chunks that a worker's memo keeps of each generation (about 0.4 GB with their pieces).
-MEMO = 250_000
+#: Chunks that a worker's memo keeps of each generation (about 0.3 GB with their pieces).
+MEMO = 180_000
 #: Documents of a file, about; there are as many files as shuffle partitions at least.
 FILE_ROWS = 100_000
 #: Words after which a block is closed (at the end of a document).
