@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,8 +45,19 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
+    schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Have the driver collect garbage, upon which Spark drops the shuffle files of finished jobs.
+
+    Spark drops them once the driver has no reference to their plans any more, which it learns by a
+    collection; by itself that may come only after several more such jobs have filled the disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def crc_fold(column: str, modulus: int):

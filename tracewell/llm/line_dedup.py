@@ -4,8 +4,8 @@ A line's tokens are its distinct runs of five consecutive words (the whole line,
 of equal words form a class; classes are joined if the Jaccard similarity of their token sets is at
 least THRESHOLD:
 
-1. Every line is read once. It keeps its class and the few tokens of least hash: two similar lines
-   share at least PARTNERS of those. Classes in which fewer are shared with any other class have no
+1. Every line is read once. It keeps its class and the few tokens that come first by the hash of their
+   first word, then their own: two similar lines share at least PARTNERS of those. Classes in which fewer are shared with any other class have no
    similar line and go; in prose that is nearly all.
 2. For the others, tokens are counted over all of them, and each class orders its tokens by rarity.
    Tokens of its own come first, so the prefix of a line that shares just a passage holds nothing
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import written
+from tracewell.llm.common import release_shuffles, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Shared tokens of least hash that a class needs to stay (fewer in lines that have fewer tokens).
@@ -68,14 +68,26 @@ def _ceil(x: str, share: int, of: int = 1000) -> str:
 
 
 def line_rows(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Every line: doc_id, line_no, its class c1 and c2, n tokens, and its tokens of least hash.
+    """Every line: doc_id, line_no, its class c1 and c2, and its least tokens; null for a line without words.
 
     Of n tokens at least the share threshold is common with a similar line, so at most the rest is
-    not, and of that many and PARTNERS more by any one order, PARTNERS are common to both lines.
+    not, and of that many and PARTNERS more by any one order, PARTNERS are common to both lines. The
+    order is by the first word's hash (upper half of a token here), then the run's (lower half), so only
+    runs that start with one of the least words are hashed. A line holds as many distinct tokens as it
+    has runs, or fewer; where repeated runs leave too few tokens, all its runs are hashed.
     """
-    lines = _hashed(_lines(docs)).select("doc_id", "line_no", "c1", "c2", F.when(F.size("hashes") > 0, F.sort_array(_tokens())).alias("tokens"))
-    least = F.expr(f"slice(tokens, 1, cast(size(tokens) - {_ceil('size(tokens)', round(threshold * 1000))} + {PARTNERS} as int))")
-    return lines.select("doc_id", "line_no", "c1", "c2", F.size("tokens").alias("n"), least.alias("least"))
+    line = _hashed(_lines(docs)).withColumn("m", F.greatest(F.size("hashes") - SHINGLE + 1, F.lit(1)))
+    line = line.withColumn("k", F.expr(f"cast(m - {_ceil('m', round(threshold * 1000))} + {PARTNERS} as int)"))
+    line = line.withColumn("sorted", F.expr("sort_array(slice(hashes, 1, m))"))
+    line = line.withColumn("cut", F.expr("get(sorted, least(size(sorted), k) - 1) | 4294967295L"))
+    run = ", ".join(f"get(hashes, i + {j})" for j in range(SHINGLE))
+    packed = lambda starts: f"sort_array(array_distinct(transform({starts}, i -> (coalesce(get(hashes, i), 0L) & -4294967296L) | (xxhash64({run}) & 4294967295L))))"
+    # named twice, so that the plan keeps cut as a column and does not work it out for every run
+    line = line.withColumn("starts", F.expr("if(cut is null, array(), filter(sequence(0, m - 1), i -> get(hashes, i) <= cut))"))
+    line = line.withColumn("some", F.expr(packed("starts")))
+    most = F.expr(f"if(size(some) >= least(k, m), some, {packed('sequence(0, m - 1)')})")
+    least = F.when(F.size("hashes") >= SHINGLE, F.slice(most, F.lit(1), F.col("k"))).when(F.size("hashes") > 0, F.array(F.xxhash64(F.size("hashes"), F.col("hashes"))))
+    return line.select("doc_id", "line_no", "c1", "c2", least.alias("least"))
 
 
 def _hot(places: DataFrame) -> dict[int, int]:
@@ -114,8 +126,8 @@ def partnered_classes(rows: DataFrame, threshold: float = THRESHOLD) -> DataFram
 
     A key is c1 with, in its two low bits, how many shared tokens are enough.
     """
-    need = F.expr(f"least({PARTNERS}, {_ceil('n', round(threshold * 1000))})")
-    places = rows.where("n > 0").select(_key(need).alias("id"), F.explode("least").alias("t"))
+    need = F.expr(f"least({PARTNERS}, {_ceil('size(least)', round(threshold * 1000))})")
+    places = rows.where("c1 is not null").select(_key(need).alias("id"), F.explode("least").alias("t"))
     return _shared(places).dropDuplicates(["id", "t"]).groupBy(F.col("id").alias("key")).agg(F.count(F.lit(1)).alias("k")).where("k >= (key & 3)").select("key")
 
 
@@ -192,18 +204,22 @@ def similar_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     stands before. Links are counted as they are found; they are not kept.
     """
     rows = written(line_rows(docs, threshold), "line-rows")
-    classes = written(rows.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("copies")), "line-classes")
+    classes = written(rows.where("c1 is not null").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("copies")), "line-classes")
     partnered = written(partnered_classes(rows, threshold), "line-partners")
+    release_shuffles(docs.sparkSession)
     members = classes.join(partnered.select(F.shiftright("key", 2).alias("key")), F.shiftright("c1", 2) == F.col("key"), "left_semi")
     sets = written(token_sets(docs, members.select("c1", "c2", "first")), "line-sets")
     ordered = written(ordered_sets(sets, threshold), "line-ordered")
+    release_shuffles(docs.sparkSession)
     links = links_of(ordered, candidates(ordered, threshold), threshold)
     later = F.col("fa") < F.col("fb")
     ends = F.array(F.struct(F.col("a1").alias("c1"), F.col("a2").alias("c2"), (~later).alias("lost")), F.struct(F.col("b1").alias("c1"), F.col("b2").alias("c2"), later.alias("lost")))
     linked = links.select(F.inline(ends)).groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n_links"), F.max("lost").alias("lost"))
     marks = classes.join(linked, ["c1", "c2"], "left").where("copies > 1 or n_links > 0")
     marks = marks.select("c1", "c2", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("lost", F.lit(False)).alias("lost"))
-    return rows.select("doc_id", "line_no", "c1", "c2"), written(marks, "line-marks")
+    kept = written(marks, "line-marks")
+    release_shuffles(docs.sparkSession)
+    return rows.select("doc_id", "line_no", "c1", "c2"), kept
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
