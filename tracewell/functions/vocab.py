@@ -22,6 +22,16 @@ NUMBER_WORDS = {
 WEIGHTS = {"hard_skills": 0.40, "qualifications": 0.15, "title_fit": 0.15, "keywords_in_context": 0.20, "format": 0.10}
 TOOL_VERBS = ("ized", "ised", "ization", "isation", "ify")
 
+#: Words that show a level, by the level that a posting asks for.
+SENIORITY = {
+    "intern": r"intern|co-?op",
+    "entry": r"intern|junior|associate|assistant|entry",
+    "mid": r"engineer|developer|analyst|scientist|designer",
+    "senior": r"senior|sr\.?|lead|staff|principal",
+    "staff": r"staff|principal|architect|distinguished",
+    "lead": r"lead|manager|head|director|principal",
+}
+
 #: Tokens that look technical and are not.
 NOT_A_TOOL = (
     "I A AN THE AND OR TO OF IN ON AT BY FOR US USA UK EU NY NYC CA SF LA TX WA DC MA IL PhD BS BA MS MBA GPA CV OK TODO AM PM EST PST UTC "

@@ -91,3 +91,38 @@ def stuffing(counts: DataFrame, bullets: DataFrame, owner: str = "doc_id") -> Da
     limit = F.greatest(F.lit(3), F.bround(F.col("bullets") * 0.4).cast("int"))
     over = counts.join(bullets, owner).groupBy(owner).agg(F.count_if(F.col("n") > limit).alias("stuffed"))
     return over.select(owner, "stuffed", F.round(F.least(F.lit(0.5), F.col("stuffed") * 0.1), 6).alias("penalty"))
+
+
+def title_fit(pairs: DataFrame, title: str = "title", seniority: str = "seniority", surface: str = "surface", levels: str = "levels") -> DataFrame:
+    """pairs with overlap, title_fit and missing_title, of a posting's title and level and a draft's surface.
+
+    overlap: the share of the title's content words on the surface; 1 for a title without any. Where
+    the posting states a level, half of the score is whether the text of levels shows it. A level that
+    is not in the table stands for itself. Null texts show nothing.
+    """
+    want = T.content_words(title)
+    rows = pairs.withColumns({"_want": want, "_have": T.content_words(surface)}).withColumn("_lost", F.array_except("_want", "_have"))
+    n = F.size("_want")
+    overlap = F.when(n > 0, (n - F.size("_lost")) / n).otherwise(F.lit(1.0))
+    asked, shown = F.lower(F.coalesce(F.col(seniority), F.lit(""))), T.normalize(levels)
+    at_level = F.contains(shown, asked)
+    for level, pattern in vocab.SENIORITY.items():
+        at_level = F.when(asked == level, shown.rlike(pattern)).otherwise(at_level)
+    rows = rows.withColumn("overlap", F.round(overlap, 6))
+    score = F.when(asked == "", overlap).otherwise(overlap * 0.5 + at_level.cast("double") * 0.5)
+    return rows.withColumn("title_fit", F.round(score, 6)).withColumn("missing_title", F.array_sort("_lost")).drop("_want", "_have", "_lost")
+
+
+def in_context(wanted: DataFrame, counts: DataFrame, bullets: DataFrame, dealt: DataFrame, posting: str = "item_id", owner: str = "doc_id") -> DataFrame:
+    """(owner, in_context): the share of its posting's keywords in a draft's running text, less the penalty for stuffing.
+
+    wanted: distinct (posting, term); counts: (owner, term, n); bullets: (owner, bullets); dealt:
+    (owner, posting), one posting for each draft. A posting without keywords counts in full.
+    """
+    sizes = wanted.groupBy(posting).agg(F.count(F.lit(1)).alias("wanted"))
+    matched = counts.join(dealt, owner).join(wanted, [posting, "term"])
+    hits = matched.groupBy(owner).agg(F.count(F.lit(1)).alias("hits"))
+    repeated = stuffing(matched.select(owner, "term", "n"), bullets, owner)
+    both = dealt.join(sizes, posting, "left").join(hits, owner, "left").join(repeated, owner, "left")
+    share = F.coalesce("hits", F.lit(0)) / F.col("wanted") * (1 - F.coalesce("penalty", F.lit(0.0)))
+    return both.select(owner, F.round(F.when(F.col("wanted").isNull(), 1.0).otherwise(share), 6).alias("in_context"))

@@ -136,12 +136,13 @@ def entry_checks(entries: DataFrame, sources: DataFrame, bullets: DataFrame, all
     return joined.select("owner_id", "entry_id", kind.alias("kind")).where("kind is not null").distinct()
 
 
-def gate(items: DataFrame, sources: DataFrame, claimed: DataFrame, supported: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+def gate(items: DataFrame, sources: DataFrame, claimed: DataFrame, supported: DataFrame, kinds: tuple[str, ...], figures: DataFrame | None = None) -> DataFrame:
     """(owner_id, item_id, level, kind, subject): every item's violations of its earliest failing rule.
 
     The rules in order: a text without words, no citation, a citation that nothing answers to, one of
-    another entry's source, a term that the support does not name. Null texts are empty.
-    items: (owner_id, item_id, entry_id, text, cites); claimed and supported: (owner_id, item_id, term).
+    another entry's source, a term or a figure that the support does not name. Null texts are empty.
+    items: (owner_id, item_id, entry_id, text, cites); claimed and supported: (owner_id, item_id, term);
+    figures: (owner_id, item_id, figure) without support.
     """
     rule = lambda df, level, kind, subject: df.select("owner_id", "item_id", F.lit(level).alias("level"), F.lit(kind).alias("kind"), subject.cast("string").alias("subject"))
     none = F.lit("")
@@ -150,9 +151,29 @@ def gate(items: DataFrame, sources: DataFrame, claimed: DataFrame, supported: Da
     found = found.unionByName(rule(unknown_citations(items, sources), 2, "unknown_citation", F.col("source_id")))
     found = found.unionByName(rule(misattributed(items, sources, kinds), 3, "misattributed", F.col("source_id")))
     found = found.unionByName(rule(unsupported_terms(claimed, supported), 4, "unsupported_term", F.col("term")))
+    if figures is not None:
+        found = found.unionByName(rule(figures, 4, "unsupported_figure", F.col("figure")))
     return first_failures(found)
 
 
+def unsupported_figures(claims: DataFrame, keys: DataFrame) -> DataFrame:
+    """(owner_id, item_id, figure): figures of an item that its support gives neither by value nor as written.
+
+    claims: figure_claims of the items; keys: figure_keys of their support, both by owner_id and item_id.
+    """
+    met = claims.join(keys.distinct(), ["owner_id", "item_id", "kind", "key"], "left_semi").select("owner_id", "item_id", "figure").distinct()
+    return claims.select("owner_id", "item_id", "figure").distinct().join(met, ["owner_id", "item_id", "figure"], "left_anti")
+
+
+def unknown_certifications(listed: DataFrame, sources: DataFrame, kind: str = "certification") -> DataFrame:
+    """(owner_id, cited): listed certifications that name no source of that kind of their owner; null ids name none.
+
+    listed: (owner_id, cited); sources: (owner_id, source_id, kind).
+    """
+    held = sources.where(F.col("kind") == kind).select("owner_id", F.col("source_id").alias("cited"))
+    return listed.select("owner_id", "cited").distinct().join(held, ["owner_id", "cited"], "left_anti")
+
+
 def kind_counts(violations: DataFrame) -> DataFrame:
     """Per owner: how many violations, and the kinds with their counts, sorted by kind."""
     each = violations.groupBy("owner_id", "kind").agg(F.count(F.lit(1)).alias("n"))

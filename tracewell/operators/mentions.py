@@ -37,7 +37,10 @@ def _bounded(core: Column, left: Column, right: Column) -> Column:
 
 
 def _patterns(df: DataFrame) -> DataFrame:
-    """(term, key, n, pattern): what to look up, of how many runs, and the rule that confirms it."""
+    """(term, key, n, pattern): what to look up, of how many runs, and the rule that confirms it.
+
+    A spelling that is one run needs no confirming, since runs are bounded: its pattern is null.
+    """
     quoted = F.regexp_replace("spelling", r"([^a-z0-9 ])", r"\\$1")
     own = df.select("term", "spelling", T.runs("spelling").alias("parts"), _bounded(quoted, F.substring("spelling", 1, 1), F.substring("spelling", -1, 1)).alias("pattern"))
     loose = (
@@ -46,7 +49,8 @@ def _patterns(df: DataFrame) -> DataFrame:
         .where("size(parts) >= 2")
         .withColumn("pattern", F.concat(F.lit("(?<![a-z0-9])"), F.array_join("parts", "[^a-z0-9]{0,2}"), F.lit("(?![a-z0-9])")))
     )
-    return own.unionByName(loose).where("size(parts) > 0").select("term", F.array_join("parts", "").alias("key"), F.size("parts").alias("n"), "pattern")
+    both = own.withColumn("pattern", F.when(~F.col("spelling").rlike("^[a-z0-9]+$"), F.col("pattern"))).drop("spelling").unionByName(loose.drop("spelling"))
+    return both.where("size(parts) > 0").select("term", F.array_join("parts", "").alias("key"), F.size("parts").alias("n"), "pattern")
 
 
 def mentions(texts: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -54,18 +58,26 @@ def mentions(texts: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_
 
     A term counts if its normal form or a plural form occurs bounded on its alphanumeric edges, or
     if its runs occur with up to two other characters between. Terms without a letter or digit
-    never match; null texts contain nothing.
+    never match; null texts contain nothing. Only ids and keys are joined to the dictionary; a text
+    meets its candidate patterns once, if it has any that need confirming.
     """
     rules = _patterns(spellings(lexicon))
-    size = rules.agg(F.count(F.lit(1)).alias("n"), F.max("n").alias("most")).first()
+    size = rules.agg(F.count(F.lit(1)).alias("n"), F.max("n").alias("most"), F.count("pattern").alias("doubtful")).first()
     if size.n <= BROADCAST_SPELLINGS:
         rules = F.broadcast(rules)
     most = max(1, size.most or 1)
     norm = texts.select(F.col(id_col), T.normalize(text_col).alias("norm"))
-    tokens = norm.select(id_col, "norm", F.regexp_extract_all("norm", F.lit("[a-z0-9]+"), F.lit(0)).alias("runs"))
+    tokens = norm.select(id_col, F.regexp_extract_all("norm", F.lit("[a-z0-9]+"), F.lit(0)).alias("runs"))
     grams = F.flatten(F.transform("runs", lambda _, i: F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.when(i + n <= F.size("runs"), F.array_join(F.slice("runs", i + 1, n), "")))))
-    keyed = tokens.select(id_col, "norm", F.explode(F.array_distinct(grams if most > 1 else F.col("runs"))).alias("key")).where("key is not null")
-    return keyed.join(rules, "key").where(F.expr("norm rlike pattern")).select(id_col, "term").distinct()
+    keyed = tokens.select(id_col, F.explode(F.array_distinct(grams if most > 1 else F.col("runs"))).alias("key")).where("key is not null")
+    found = keyed.join(rules, "key").select(id_col, "term", "pattern")
+    sure = found.where("pattern is null").select(id_col, "term")
+    if not size.doubtful:
+        return sure.distinct()
+    # at most one candidate for each token and rule of a text, so the list is bounded by the text
+    doubts = found.where("pattern is not null").groupBy(F.col(id_col).alias("_of")).agg(F.collect_set(F.struct("term", "pattern")).alias("rules"))
+    judged = norm.join(doubts, F.col(id_col).eqNullSafe(F.col("_of"))).select(id_col, "norm", F.inline("rules"))
+    return sure.unionByName(judged.where(F.expr("norm rlike pattern")).select(id_col, "term")).distinct()
 
 
 def single_word_mentions(texts: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

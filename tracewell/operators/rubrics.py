@@ -85,11 +85,27 @@ def summary(checks: DataFrame, doc: str) -> DataFrame:
     )
 
 
+def _flat(c: Column) -> Column:
+    return T.normalize(F.regexp_replace(F.coalesce(c, F.lit("")), "[-­][\\x09-\\x0D\\x20]*\n[\\x09-\\x0D\\x20]*", ""))
+
+
+def format_share(checks: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, format): the share of a document's checks (doc, name, ok) that passed."""
+    return checks.groupBy(doc).agg(F.round(F.avg(F.col("ok").cast("double")), 6).alias("format"))
+
+
+def round_trip_rows(docs: DataFrame, items: Column, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """round_trip() where each row holds its own items (an array): no text leaves its row. Without items, no row."""
+    rows = docs.select(doc, _flat(F.col(text)).alias("flat"), F.transform(items, _flat).alias("said")).where(F.size("said") > 0)
+    # an empty text holds empty items only; naming flat twice keeps it a column of the plan
+    absent = F.when(F.col("flat") == "", F.size(F.filter("said", lambda s: s != ""))).otherwise(F.size(F.filter("said", lambda s: ~F.contains("flat", s))))
+    return rows.select(doc, F.size("said").alias("items"), absent.alias("missing")).groupBy(doc).agg(F.sum("items").alias("items"), F.sum("missing").alias("missing"))
+
+
 def round_trip(items: DataFrame, extracted: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Items (doc, item) that the extracted text of their document does not hold, white space aside."""
-    flat = lambda c: T.normalize(F.regexp_replace(F.coalesce(c, F.lit("")), "[-­][\\x09-\\x0D\\x20]*\n[\\x09-\\x0D\\x20]*", ""))
-    both = items.select(doc, "item").join(extracted.select(doc, flat(F.col("text")).alias("flat")), doc, "left")
-    found = F.coalesce(F.contains("flat", flat(F.col("item"))), F.lit(False))
+    both = items.select(doc, "item").join(extracted.select(doc, _flat(F.col("text")).alias("flat")), doc, "left")
+    found = F.coalesce(F.contains("flat", _flat(F.col("item"))), F.lit(False))
     return both.groupBy(doc).agg(F.count(F.lit(1)).alias("items"), F.count_if(~found).alias("missing"))
 
 

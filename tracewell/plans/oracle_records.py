@@ -44,12 +44,20 @@ _SLUG = f"trim(regexp_replace({norm('p_name')}, '[^a-z0-9]+', '-', 'g'), '-')"
 _MONTH = lambda d: f"monthname({d}) || ' ' || strftime({d}, '%Y')"
 
 _RULES = f"""{_GATE},
+fc AS (SELECT DISTINCT owner_id, item_id, replace(f, ',', '') AS figure FROM (SELECT owner_id, item_id, unnest(regexp_extract_all(text, '{_FIG}', 2)) AS f FROM items)),
+fh AS (SELECT i.owner_id, i.item_id, replace({norm('s.text')}, ',', '') AS hay FROM items i JOIN src s ON i.owner_id = s.owner_id AND i.cite = s.source_id),
+fv AS (SELECT owner_id, item_id, round(CAST(unnest(regexp_extract_all(hay, '\\d+(?:\\.\\d+)?')) AS DOUBLE), 9) AS val FROM fh
+  UNION SELECT owner_id, item_id, n FROM (SELECT owner_id, item_id, unnest(regexp_extract_all(hay, '[a-z]+')) AS w FROM fh) JOIN (VALUES {', '.join(f"('{w}', CAST({n} AS DOUBLE))" for w, n in vocab.NUMBER_WORDS.items())}) AS t(w, n) USING (w)),
+fx AS (SELECT DISTINCT owner_id, item_id, unnest(regexp_extract_all(hay, '(^|[^0-9.])(\\d+)', 2)) AS txt FROM fh),
 c AS (SELECT owner_id, item_id, unnest(CASE WHEN cite = item_id - 3 THEN [cite] ELSE [cite, CAST(item_id AS BIGINT) - 3] END) AS source_id FROM items WHERE cite IS NOT NULL),
 v AS (SELECT owner_id, item_id, 0 AS level, 'empty' AS kind, '' AS subject FROM items WHERE trim(coalesce(text, '')) = ''
   UNION ALL SELECT owner_id, item_id, 1, 'uncited', '' FROM items WHERE cite IS NULL
   UNION ALL SELECT owner_id, item_id, 2, 'unknown_citation', CAST(source_id AS VARCHAR) FROM c ANTI JOIN src USING (owner_id, source_id)
   UNION ALL SELECT owner_id, item_id, 3, 'misattributed', CAST(source_id AS VARCHAR) FROM c JOIN src USING (owner_id, source_id) WHERE kind = 'user' AND source_id <> item_id - 1
-  UNION ALL SELECT owner_id, item_id, 4, 'unsupported_term', term FROM bad),
+  UNION ALL SELECT owner_id, item_id, 4, 'unsupported_term', term FROM bad
+  UNION ALL SELECT owner_id, item_id, 4, 'unsupported_figure', figure FROM fc
+    WHERE NOT EXISTS (SELECT 1 FROM fv WHERE fv.owner_id = fc.owner_id AND fv.item_id = fc.item_id AND fv.val = round(CAST(figure AS DOUBLE), 9))
+      AND NOT EXISTS (SELECT 1 FROM fx WHERE fx.owner_id = fc.owner_id AND fx.item_id = fc.item_id AND fx.txt = figure)),
 g AS (SELECT * FROM v QUALIFY level = min(level) OVER (PARTITION BY owner_id, item_id))"""
 _PLURALS = "[k, k || 's', CASE WHEN k LIKE '%ies' AND length(k) > 4 THEN left(k, length(k) - 3) || 'y' END, CASE WHEN regexp_matches(k, '(ses|xes|zes|ches|shes)$') THEN left(k, length(k) - 2) END, CASE WHEN k LIKE '%s' AND length(k) > 2 THEN left(k, length(k) - 1) END, CASE WHEN regexp_matches(k, '(s|x|z|ch|sh)$') THEN k || 'es' END]"
 
@@ -59,6 +67,7 @@ SQL = {
     "entry_checks": """WITH t AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations)
 SELECT DISTINCT a.conv_id AS owner_id, a.turn + 1 AS entry_id, CASE WHEN b.role IS NULL THEN 'unknown_entry' WHEN b.role <> CASE WHEN a.role = 'user' THEN 'assistant' ELSE 'user' END THEN 'wrong_section' ELSE 'empty_entry' END AS kind
 FROM t a LEFT JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE b.role IS NULL OR b.role <> CASE WHEN a.role = 'user' THEN 'assistant' ELSE 'user' END OR coalesce(length(b.text), 0) <= 200""",
+    "unknown_certifications": "SELECT DISTINCT p_brand AS owner_id, p_name AS cited FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_brand = a.p_brand AND b.p_name = a.p_name AND b.p_type = 'ECONOMY')",
     "undeclared_skills": f"""WITH s AS (SELECT DISTINCT p_brand AS owner_id, unnest(string_split(p_type, ' ')) AS skill FROM part), n AS (SELECT owner_id, skill, {norm('skill')} AS k FROM s),
 d AS (SELECT DISTINCT owner_id, {norm('skill')} AS k FROM (SELECT p_brand AS owner_id, unnest(string_split(p_name, ' ')) AS skill FROM part)),
 f AS (SELECT owner_id, skill, unnest({_PLURALS}) AS k FROM n WHERE k <> ''), m AS (SELECT DISTINCT owner_id, skill FROM f SEMI JOIN d USING (owner_id, k))

@@ -72,6 +72,19 @@ SELECT item_id, source, term, found_in FROM wanted JOIN rec USING (term) WHERE N
     "requirement_score": f"WITH {PRE}, {_TERM_MET} SELECT item_id, source, count(*) FILTER (WHERE addressed) + min(free) AS addressed, min(total) AS total, round((count(*) FILTER (WHERE addressed) + min(free)) / min(total), 6) AS score FROM tmet JOIN tn USING (item_id) GROUP BY item_id, source",
     "total_score": f"""WITH {PRE} SELECT fit.item_id, fit.source, round(40.0 * round(matched / wanted, 6) + 15.0 * coalesce(round(qual.addressed / total, 6), 0) + 15.0 * coalesce(round(CAST(hits AS DOUBLE) / needed, 6), 0) + 20.0 * round(matched / wanted, 6) + 10.0, 1) AS total
 FROM fit JOIN wn USING (item_id) LEFT JOIN qual USING (item_id, source) LEFT JOIN (SELECT * FROM met WHERE seq = 0) t USING (item_id, source)""",
+    "draft_components": f"""WITH {PRE}, d AS (SELECT doc_id, norm, text, doc_id % (SELECT count(*) FROM benchmark) AS item_id, {content('norm')} AS have FROM nd),
+p AS (SELECT item_id, {content(norm('title'))} AS want, (['', {', '.join(_quote(x) for x in vocab.SENIORITY)}])[item_id % 7 + 1] AS level FROM (SELECT item_id, {sentences('text')}[1] AS title FROM benchmark)),
+t AS (SELECT doc_id, item_id, level, coalesce(list_sort(list_filter(want, lambda w: NOT list_contains(have, w))), []) AS lost, coalesce(len(want), 0) AS n,
+  CASE level {' '.join(f'WHEN {_quote(x)} THEN regexp_matches(norm, {_quote(r)})' for x, r in vocab.SENIORITY.items())} END AS shown FROM d JOIN p USING (item_id)),
+o AS (SELECT *, CASE WHEN n > 0 THEN (n - len(lost)) / n ELSE 1.0 END AS overlap FROM t),
+k AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(norm, '[a-z0-9]+')) AS term FROM nd) JOIN dict USING (term) GROUP BY doc_id, term),
+h AS (SELECT d.doc_id, count(*) AS hits, count(*) FILTER (WHERE k.n > greatest(3, CAST(round_even(greatest(1, len(string_split(coalesce(d.text, ''), '
+'))) * 0.4, 0) AS INTEGER))) AS stuffed
+  FROM d JOIN k USING (doc_id) JOIN wanted w ON w.item_id = d.item_id AND w.term = k.term GROUP BY d.doc_id),
+f AS (SELECT doc_id, round((3 - CAST(regexp_matches(coalesce(text, ''), {_quote(vocab.LIGATURES)}) AS INTEGER) - CAST(regexp_matches(coalesce(text, ''), {_quote(vocab.PRIVATE_USE)}) AS INTEGER) - CAST(regexp_matches(coalesce(text, ''), {_quote(vocab.SPACED_OUT)}) AS INTEGER)) / 3, 6) AS format FROM documents)
+SELECT o.doc_id, o.item_id, round(overlap, 6) AS overlap, round(CASE WHEN level = '' THEN overlap ELSE overlap * 0.5 + CAST(shown AS DOUBLE) * 0.5 END, 6) AS title_fit, array_to_string(lost, ' ') AS missing_title,
+  round(CASE WHEN wanted IS NULL THEN 1.0 ELSE coalesce(hits, 0) / wanted * (1 - least(0.5, 0.1 * coalesce(stuffed, 0))) END, 6) AS in_context, format
+FROM o JOIN f USING (doc_id) LEFT JOIN wn USING (item_id) LEFT JOIN h USING (doc_id)""",
     "unreachable_terms": f"WITH {PRE} SELECT item_id, count(*) AS wanted, count(*) FILTER (WHERE term NOT IN (SELECT term FROM present)) AS nowhere FROM wanted GROUP BY item_id",
     "keyword_stuffing": f"""WITH {PRE}, n AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(norm, '[a-z0-9]+')) AS term FROM nd) JOIN dict USING (term) GROUP BY doc_id, term),
 b AS (SELECT doc_id, greatest(1, len(string_split(coalesce(text, ''), '\n'))) AS bullets FROM documents)

@@ -98,7 +98,9 @@ def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     cited = items.select("owner_id", "item_id", F.explode("cites").alias("source_id")).join(sources.select("owner_id", "source_id", "text"), ["owner_id", "source_id"])
     more = F.when(F.size("cites") > 0, F.array_append("cites", F.col("item_id").cast("long") - 3)).otherwise(F.col("cites"))
     entries = items.withColumn("entry_id", F.col("item_id").cast("long") - 1).withColumn("cites", more)
-    return ground.gate(entries, sources, keyed(items, "owner_id", "item_id"), keyed(cited, "owner_id", "item_id"), ("user",))
+    ids = ["owner_id", "item_id"]
+    figures = ground.unsupported_figures(ground.figure_claims(items, ids), ground.figure_keys(cited, ids))
+    return ground.gate(entries, sources, keyed(items, *ids), keyed(cited, *ids), ("user",), figures)
 
 
 def gate_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +120,12 @@ def entry_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ground.entry_checks(entries, sources, bullets, {"answers": ("assistant",), "questions": ("user",)})
 
 
+def unknown_certifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A brand lists all names of its parts as certificates; those of its economy parts are some."""
+    part = table(spark, sf_dir, "part").select(F.col("p_brand").alias("owner_id"), F.col("p_name").alias("source_id"), F.col("p_type").alias("kind"))
+    return ground.unknown_certifications(part.select("owner_id", F.col("source_id").alias("cited")), part, "ECONOMY")
+
+
 def undeclared_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of a brand's part types that none of its part names holds."""
     parts = table(spark, sf_dir, "part")
@@ -170,8 +178,7 @@ def page_layout_rubric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return rubrics.round_trip(docs.select("doc_id", F.explode(T.sentences("text")).alias("item")), docs)
+    return rubrics.round_trip_rows(table(spark, sf_dir, "documents"), T.sentences("text"))
 
 
 def verbatim_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,7 +337,7 @@ def usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     unknown_citations, misattributed_items, supporting_text, supporting_parts, claim_gate, gate_summary, blocked_terms, repaired_documents, claim_snapshot,
-    gate_violations, gate_kinds, entry_checks, undeclared_skills, best_letter, description_lines,
+    gate_violations, gate_kinds, entry_checks, unknown_certifications, undeclared_skills, best_letter, description_lines,
     bullet_rubric, rubric_summary, letter_rubric, text_layer_rubric, page_layout_rubric, round_trip, verbatim_echo, extracted_posts, discovered_links,
     evidence_chunks, evidence_sources, completed_posts, contacts_found, month_ranges, newest_entries, ordered_entries, entry_facts, entry_pairs, assigned_ids,
     best_attempt, stop_reason, run_outcome, attempt_timeline, event_tail, usage_rollup, copy_drift, merged_terms, all_merged_terms, ranked_feedback, shortlists,

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
-from tracewell.operators import fit, ground, mentions
+from tracewell.functions import vocab
+from tracewell.functions.shared import written
+from tracewell.operators import fit, ground, mentions, rubrics
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,7 +115,7 @@ def total_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage as skills and as keywords, requirements met, the first sentence as title."""
     t = Tables(spark, sf_dir)
     reqs = fit.requirements(t.bench)
-    met = fit.addressed(reqs, t.present_words())
+    met = written(fit.addressed(reqs, t.present_words()), "met")
     qual = fit.qualification_score(reqs, met).select("item_id", "source", "score")
     title = met.where("seq = 0").select("item_id", "source", F.round(F.col("hits") / F.col("needed"), 6).alias("title"))
     both = fit.coverage(t.wanted(), t.present()).join(qual, ["item_id", "source"], "left").join(title, ["item_id", "source"], "left")
@@ -164,7 +166,26 @@ def figure_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("doc_id").agg(F.count(F.lit(1)).alias("figures"), F.count_if("ok").alias("supported"))
 
 
+def draft_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, context and format components of each document as a draft for the item that its id falls to.
+
+    An item's first sentence is its title, and its number deals a level to it, or none.
+    """
+    t = Tables(spark, sf_dir)
+    item = F.pmod(F.col("doc_id"), F.lit(t.bench.agg(F.count(F.lit(1))).scalar()))
+    docs = t.docs.select("doc_id", item.alias("item_id"), "text")
+    level = F.get(F.array(*[F.lit(x) for x in ["", *vocab.SENIORITY]]), F.pmod("item_id", F.lit(7)).cast("int"))
+    postings = t.bench.select("item_id", F.get(T.sentences("text"), F.lit(0)).alias("title"), level.alias("seniority"))
+    titled = fit.title_fit(docs.join(postings, "item_id").withColumn("levels", F.col("text")), surface="text")
+    titled = titled.select("doc_id", "item_id", "overlap", "title_fit", F.array_join("missing_title", " ").alias("missing_title"))
+    counts = docs.select("doc_id", F.explode(T.runs("text")).alias("term")).join(t.terms, "term").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    bullets = docs.select("doc_id", F.greatest(F.lit(1), F.size(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("bullets"))
+    told = fit.in_context(t.wanted(), counts, bullets, docs.select("doc_id", "item_id"))
+    shape = rubrics.format_share(rubrics.text_layer_rubric(docs))
+    return titled.join(told, "doc_id").join(shape, "doc_id")
+
+
 QUERIES = {f.__name__: f for f in (
-    fit_matrix, fit_top_sources, term_mentions, technical_tokens, spelling_variants, gap_classes, requirement_addressed, requirement_met, requirement_score, qualification_score, total_score,
+    fit_matrix, fit_top_sources, term_mentions, technical_tokens, spelling_variants, gap_classes, requirement_addressed, requirement_met, requirement_score, qualification_score, total_score, draft_components,
     unreachable_terms, keyword_stuffing, normalized_text, content_words, sentences, figures, figure_support,
 )}
