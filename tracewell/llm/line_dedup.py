@@ -43,22 +43,21 @@ def _lines(docs: DataFrame, *more: str) -> DataFrame:
     return lines.select("doc_id", *more, "line_no", F.array_remove(F.split("line", " "), "").alias("words"))
 
 
-def _class() -> list[Column]:
-    """Two hashes, of 96 bits together, that name a line's words; null for a line without words."""
-    some = F.size("words") > 0
-    return [F.when(some, F.xxhash64("words")).alias("c1"), F.when(some, F.hash("words")).alias("c2")]
-
-
 def _hashed(lines: DataFrame) -> DataFrame:
-    """Each line's place, class and word hashes; the words themselves are not carried on."""
-    return lines.select("doc_id", "line_no", *_class(), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    """Each line's place, class and word hashes; the words themselves are not carried on.
+
+    Two hashes, of 96 bits together, name a line's words; they are null for a line without words.
+    """
+    some = F.size("hashes") > 0
+    short = lines.select("doc_id", "line_no", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    return short.select("doc_id", "line_no", F.when(some, F.xxhash64("hashes")).alias("c1"), F.when(some, F.hash("hashes")).alias("c2"), "hashes")
 
 
 def _tokens() -> Column:
     """A hashed line's distinct tokens, as 64-bit hashes: runs of SHINGLE words, or all words with their number."""
     size = F.size("hashes")
-    starts = F.sequence(F.lit(0), F.greatest(size - SHINGLE, F.lit(0)))
-    runs = F.transform(starts, lambda i: F.xxhash64(*[F.get("hashes", i + k) for k in range(SHINGLE)]))
+    m = F.greatest(size - SHINGLE + 1, F.lit(1))
+    runs = F.transform(F.arrays_zip(*[F.slice("hashes", k + 1, m) for k in range(SHINGLE)]), lambda run: F.xxhash64(run))
     return F.array_distinct(F.when(size >= SHINGLE, runs).otherwise(F.array(F.xxhash64(size, F.col("hashes")))))
 
 
@@ -109,8 +108,11 @@ def _shared(places: DataFrame) -> DataFrame:
     """The places (id, t) whose token is in those of more than one id, with the number k of places.
 
     Hot tokens are not dealt out by their key. The others are dealt once: the counting reads both
-    columns, so that it and the look-up use the same exchange. Places of copies of a line repeat.
+    columns, so that it and the look-up use the same exchange. An id is never null; that the plan
+    knows it keeps it from putting another test for that into one of the two, which would deal them
+    twice. Places of copies of a line repeat.
     """
+    places = places.select(F.coalesce("id", F.lit(0)).alias("id"), "t")
     hot = _hot(places)
     dealt = (places.where(~F.col("t").isin([*hot])) if hot else places).repartition(F.col("t"))
     counts = dealt.groupBy("t").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("t", "k")
@@ -151,15 +153,17 @@ def token_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
 def ordered_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """sets with their shared tokens, rarest first, in place of all tokens.
 
-    Rarity is the number of sets that hold a token. Tokens that no other set holds come before all of
-    these and need no place. Sets too few of whose tokens are shared for any similar one go. bits: 512
-    bits, of which each shared token sets one.
+    Rarity is the number of binary digits of the number of sets that hold a token; it is put before the
+    token's 57 low bits, so that one sort of longs gives the order. Tokens that no other set holds come
+    before all of these and need no place. Sets too few of whose tokens are shared for any similar one
+    go. bits: 512 bits, of which each shared token sets one.
     """
     places = sets.select("id", F.explode("tokens").alias("t"))
     bits = [F.bit_or(F.expr(f"if(t & 7 = {k}, shiftleft(1L, cast(shiftright(t, 3) & 63 as int)), 0L)")) for k in range(8)]
-    order = _shared(places).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("s"), F.array(*bits).alias("bits"))
+    ranked = F.shiftleft(F.length(F.bin("k")).cast("long"), 57).bitwiseOR(F.col("t").bitwiseAND((1 << 57) - 1))
+    order = _shared(places).select("id", ranked.alias("t")).groupBy("id").agg(F.sort_array(F.collect_list("t")).alias("s"), F.array(*bits).alias("bits"))
     met = sets.drop("tokens").join(order, "id")
-    return met.where(F.size("s") * 1000 >= F.col("n") * round(threshold * 1000)).select("c1", "c2", "first", "n", F.col("s.t").alias("tokens"), "bits")
+    return met.where(F.size("s") * 1000 >= F.col("n") * round(threshold * 1000)).select("c1", "c2", "first", "n", F.col("s").alias("tokens"), "bits")
 
 
 def candidates(ordered: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
