@@ -161,7 +161,7 @@ def ordered_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     places = sets.select("id", F.explode("tokens").alias("t"))
     bits = [F.bit_or(F.expr(f"if(t & 7 = {k}, shiftleft(1L, cast(shiftright(t, 3) & 63 as int)), 0L)")) for k in range(8)]
     ranked = F.shiftleft(F.length(F.bin("k")).cast("long"), 57).bitwiseOR(F.col("t").bitwiseAND((1 << 57) - 1))
-    order = _shared(places).select("id", ranked.alias("t")).groupBy("id").agg(F.sort_array(F.collect_list("t")).alias("s"), F.array(*bits).alias("bits"))
+    order = _shared(places).select("id", ranked.alias("t")).repartition(F.col("id")).groupBy("id").agg(F.sort_array(F.collect_list("t")).alias("s"), F.array(*bits).alias("bits"))
     met = sets.drop("tokens").join(order, "id")
     return met.where(F.size("s") * 1000 >= F.col("n") * round(threshold * 1000)).select("c1", "c2", "first", "n", F.col("s").alias("tokens"), "bits")
 
