@@ -31,3 +31,31 @@ def test_best_letter_and_descriptions(spark):
     assert {(r.run_id, r.attempt) for r in runs.best_letter(spark.createDataFrame(rows, s)).collect()} == {(1, 3), (2, 2)}
     d = spark.createDataFrame([(1, "• one thing\r\n- two\nno\n\n  three  "), (2, None), (3, "")], "doc_id int, text string")
     assert [tuple(r) for r in split_descriptions(d).orderBy("doc_id", "n").collect()] == [(1, 1, "one thing"), (1, 2, "two"), (1, 3, "three")]
+
+
+def test_letter_and_profile_gates(spark):
+    s = "owner_id string, item_id int, text string, cites array<bigint>"
+    items = spark.createDataFrame([("o", 1, "rust go", [1]), ("o", 2, "fine", [1]), ("o", 3, "x", [9]), ("o", 4, "kept", [1]), ("p", 1, None, None)], s)
+    sources = spark.createDataFrame([("o", 1, "user")], "owner_id string, source_id long, kind string")
+    t = "owner_id string, item_id int, term string"
+    claimed = spark.createDataFrame([("o", 1, "rust"), ("o", 1, "go")], t)
+    letters = spark.createDataFrame([("o",), ("o",), ("p",), ("q",)], "owner_id string")
+    allowed = spark.createDataFrame([("o", "go"), ("p", "rust")], "owner_id string, term string")
+    found = ground.letter_gate(letters, items, sources, claimed, claimed.limit(0), allowed)
+    assert {(r.owner_id, r.item_id, r.kind, r.subject) for r in found.collect()} == {("o", 1, "unsupported_term", "rust"), ("o", 3, "unknown_citation", "9"), ("p", 1, "empty", ""), ("q", None, "empty_letter", "")}
+    kept = ground.cut(items, found)
+    assert {(r.owner_id, r.item_id, r.number) for r in ground.renumbered(kept).collect()} == {("o", 2, 1), ("o", 4, 2)}
+    again = ground.letter_gate(letters.where("owner_id = 'o'"), kept, sources, ground.cut(claimed, found), claimed.limit(0), allowed)
+    assert {tuple(r) for r in ground.repair_outcome(items, kept, again, 2).collect()} == {("o", 4, 2, 0, True), ("p", 1, 0, 0, False)}
+    sections = spark.createDataFrame([("o", 1), ("o", 7), ("o", 7)], "owner_id string, entry_id long")
+    copy = ground.profile_gate(sections, sources, items, sources, claimed, claimed)
+    assert {(r.owner_id, r.item_id, r.kind, r.subject) for r in copy.collect()} == {("o", 3, "unknown_citation", "9"), ("p", 1, "empty", ""), ("o", None, "unknown_role", "7")}
+
+
+def test_prose_is_held_to_all_that_is_selected(spark):
+    claimed = spark.createDataFrame([("o", "summary", "go"), ("o", "headline", "rust"), ("p", "summary", "go")], "owner_id string, part string, term string")
+    supported = spark.createDataFrame([("o", "go"), ("o", "go")], "owner_id string, term string")
+    prose = spark.createDataFrame([("o", "summary", "3 teams and 40% less"), ("p", "summary", None)], "owner_id string, part string, text string")
+    scope = spark.createDataFrame([("o", "three teams"), ("o", None)], "owner_id string, text string")
+    found = ground.prose_scope(claimed, supported, ground.figure_claims(prose, ["owner_id", "part"]), ground.figure_keys(scope, ["owner_id"]))
+    assert {tuple(r) for r in found.collect()} == {("o", "headline", "unsupported_term", "rust"), ("p", "summary", "unsupported_term", "go"), ("o", "summary", "unsupported_figure", "40")}

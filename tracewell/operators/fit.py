@@ -24,6 +24,16 @@ def coverage(wanted: DataFrame, present: DataFrame, posting: str = "item_id", ow
     return hits.join(sizes, posting).select(posting, owner, "matched", "wanted", F.round(F.col("matched") / F.col("wanted"), 6).alias("coverage"))
 
 
+def preview(wanted: DataFrame, present: DataFrame, posting: str = "item_id", owner: str = "source") -> DataFrame:
+    """coverage with what is behind it: the wanted terms that the owner covers, in order, and how many it lacks.
+
+    The list is as long as a posting's terms at most, however long the owner's record is.
+    """
+    sizes = wanted.groupBy(posting).agg(F.count(F.lit(1)).alias("wanted"))
+    hits = wanted.join(present, "term").groupBy(posting, owner).agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    return hits.join(sizes, posting).select(posting, owner, F.array_join("terms", " ").alias("covered"), F.size("terms").alias("n_covered"), (F.col("wanted") - F.size("terms")).alias("n_missing"))
+
+
 def top_owners(fits: DataFrame, n: int = 3, posting: str = "item_id", owner: str = "source") -> DataFrame:
     """The n best owners of each posting, by terms matched, then by name."""
     w = Window.partitionBy(posting).orderBy(F.desc("matched"), owner)

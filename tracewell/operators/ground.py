@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
@@ -144,16 +144,76 @@ def gate(items: DataFrame, sources: DataFrame, claimed: DataFrame, supported: Da
     items: (owner_id, item_id, entry_id, text, cites); claimed and supported: (owner_id, item_id, term);
     figures: (owner_id, item_id, figure) without support.
     """
-    rule = lambda df, level, kind, subject: df.select("owner_id", "item_id", F.lit(level).alias("level"), F.lit(kind).alias("kind"), subject.cast("string").alias("subject"))
+    found = _cited_rules(items, sources, claimed, supported, figures)
+    return first_failures(found.unionByName(_rule(misattributed(items, sources, kinds), 3, "misattributed", F.col("source_id"))))
+
+
+def _rule(df: DataFrame, level: int, kind: str, subject: Column) -> DataFrame:
+    return df.select("owner_id", "item_id", F.lit(level).alias("level"), F.lit(kind).alias("kind"), subject.cast("string").alias("subject"))
+
+
+def _cited_rules(items: DataFrame, sources: DataFrame, claimed: DataFrame, supported: DataFrame, figures: DataFrame | None) -> DataFrame:
+    """Violations of the rules that any cited text is under, of all levels."""
     none = F.lit("")
-    found = rule(items.where(F.coalesce(F.trim("text"), none) == ""), 0, "empty", none)
-    found = found.unionByName(rule(items.where(F.size(F.coalesce("cites", F.array().cast("array<bigint>"))) == 0), 1, "uncited", none))
-    found = found.unionByName(rule(unknown_citations(items, sources), 2, "unknown_citation", F.col("source_id")))
-    found = found.unionByName(rule(misattributed(items, sources, kinds), 3, "misattributed", F.col("source_id")))
-    found = found.unionByName(rule(unsupported_terms(claimed, supported), 4, "unsupported_term", F.col("term")))
-    if figures is not None:
-        found = found.unionByName(rule(figures, 4, "unsupported_figure", F.col("figure")))
-    return first_failures(found)
+    found = _rule(items.where(F.coalesce(F.trim("text"), none) == ""), 0, "empty", none)
+    found = found.unionByName(_rule(items.where(F.size(F.coalesce("cites", F.array().cast("array<bigint>"))) == 0), 1, "uncited", none))
+    found = found.unionByName(_rule(unknown_citations(items, sources), 2, "unknown_citation", F.col("source_id")))
+    found = found.unionByName(_rule(unsupported_terms(claimed, supported), 4, "unsupported_term", F.col("term")))
+    return found if figures is None else found.unionByName(_rule(figures, 4, "unsupported_figure", F.col("figure")))
+
+
+def letter_gate(letters: DataFrame, paragraphs: DataFrame, sources: DataFrame, claimed: DataFrame, supported: DataFrame, allowed: DataFrame, figures: DataFrame | None = None) -> DataFrame:
+    """gate for letters: no entries, some terms allowed, and a letter without paragraphs violates (null item_id).
+
+    letters: (owner_id); allowed: (owner_id, term) that a letter may name without support, such as
+    those in the name of whom it is written to.
+    """
+    free = claimed.join(allowed.select("owner_id", "term").distinct(), ["owner_id", "term"], "left_anti")
+    found = first_failures(_cited_rules(paragraphs, sources, free, supported, figures))
+    bare = letters.select("owner_id").distinct().join(paragraphs.select("owner_id"), "owner_id", "left_anti")
+    bare = bare.withColumn("item_id", F.lit(None).cast(paragraphs.schema["item_id"].dataType))
+    return found.unionByName(_rule(bare, 0, "empty_letter", F.lit("")))
+
+
+def profile_gate(sections: DataFrame, roles: DataFrame, items: DataFrame, sources: DataFrame, claimed: DataFrame, supported: DataFrame, figures: DataFrame | None = None) -> DataFrame:
+    """gate for profile copy: the rules of cited texts, and sections (null item_id) for a role that is not the owner's.
+
+    sections: (owner_id, entry_id); roles: (owner_id, source_id).
+    """
+    known = roles.select("owner_id", F.col("source_id").alias("entry_id"))
+    strange = sections.select("owner_id", "entry_id").distinct().join(known, ["owner_id", "entry_id"], "left_anti")
+    strange = strange.withColumn("item_id", F.lit(None).cast(items.schema["item_id"].dataType))
+    return first_failures(_cited_rules(items, sources, claimed, supported, figures)).unionByName(_rule(strange, 0, "unknown_role", F.col("entry_id")))
+
+
+def renumbered(kept: DataFrame) -> DataFrame:
+    """The items that stay, with their number from 1 among them."""
+    return kept.withColumn("number", F.row_number().over(Window.partitionBy("owner_id").orderBy("item_id")))
+
+
+def repair_outcome(items: DataFrame, kept: DataFrame, remaining: DataFrame, least: int) -> DataFrame:
+    """Per owner: items, kept, remaining violations of those kept, usable (none remains, and least stay).
+
+    kept: items after cut; remaining: what the gate finds when it is run over kept alone.
+    """
+    left = kept.groupBy("owner_id").agg(F.count(F.lit(1)).alias("kept"))
+    still = remaining.groupBy("owner_id").agg(F.count(F.lit(1)).alias("remaining"))
+    both = items.groupBy("owner_id").agg(F.count(F.lit(1)).alias("items")).join(left, "owner_id", "left").join(still, "owner_id", "left")
+    both = both.select("owner_id", "items", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("remaining", F.lit(0)).alias("remaining"))
+    return both.withColumn("usable", (F.col("remaining") == 0) & (F.col("kept") >= least))
+
+
+def prose_scope(claimed: DataFrame, supported: DataFrame, figures: DataFrame, keys: DataFrame) -> DataFrame:
+    """(owner_id, part, kind, subject): terms and figures of prose about an owner that nothing selected for the owner supports.
+
+    claimed: (owner_id, part, term); supported: (owner_id, term) of all selected sources; figures:
+    figure_claims by owner_id and part; keys: figure_keys by owner_id.
+    """
+    terms = claimed.join(supported.select("owner_id", "term").distinct(), ["owner_id", "term"], "left_anti")
+    met = figures.join(keys.distinct(), ["owner_id", "kind", "key"], "left_semi").select("owner_id", "part", "figure").distinct()
+    told = figures.select("owner_id", "part", "figure").distinct().join(met, ["owner_id", "part", "figure"], "left_anti")
+    kinds = lambda df, kind, subject: df.select("owner_id", "part", F.lit(kind).alias("kind"), F.col(subject).alias("subject"))
+    return kinds(terms, "unsupported_term", "term").unionByName(kinds(told, "unsupported_figure", "figure"))
 
 
 def unsupported_figures(claims: DataFrame, keys: DataFrame) -> DataFrame:

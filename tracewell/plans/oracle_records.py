@@ -59,11 +59,31 @@ v AS (SELECT owner_id, item_id, 0 AS level, 'empty' AS kind, '' AS subject FROM
     WHERE NOT EXISTS (SELECT 1 FROM fv WHERE fv.owner_id = fc.owner_id AND fv.item_id = fc.item_id AND fv.val = round(CAST(figure AS DOUBLE), 9))
       AND NOT EXISTS (SELECT 1 FROM fx WHERE fx.owner_id = fc.owner_id AND fx.item_id = fc.item_id AND fx.txt = figure)),
 g AS (SELECT * FROM v QUALIFY level = min(level) OVER (PARTITION BY owner_id, item_id))"""
+#: What the gate of letters and of profile copy share: no misattribution; a letter may name the terms of the first turn.
+_OPENING = f"""op AS (SELECT DISTINCT owner_id, term FROM (SELECT conv_id AS owner_id, unnest(list_distinct(regexp_extract_all({norm('text')}, '[a-z0-9]+'))) AS key FROM conversations QUALIFY turn = min(turn) OVER (PARTITION BY conv_id)) JOIN spell ON key = spelling),
+lv AS (SELECT * FROM v WHERE kind <> 'misattributed' AND NOT (kind = 'unsupported_term' AND EXISTS (SELECT 1 FROM op WHERE op.owner_id = v.owner_id AND op.term = v.subject))),
+lg AS (SELECT * FROM lv QUALIFY level = min(level) OVER (PARTITION BY owner_id, item_id))"""
 _PLURALS = "[k, k || 's', CASE WHEN k LIKE '%ies' AND length(k) > 4 THEN left(k, length(k) - 3) || 'y' END, CASE WHEN regexp_matches(k, '(ses|xes|zes|ches|shes)$') THEN left(k, length(k) - 2) END, CASE WHEN k LIKE '%s' AND length(k) > 2 THEN left(k, length(k) - 1) END, CASE WHEN regexp_matches(k, '(s|x|z|ch|sh)$') THEN k || 'es' END]"
 
 SQL = {
     "gate_violations": f"WITH {_RULES} SELECT owner_id, item_id, level, kind, subject FROM g",
     "gate_kinds": f"WITH {_RULES}, k AS (SELECT owner_id, kind, count(*) AS n FROM g GROUP BY owner_id, kind) SELECT owner_id, CAST(sum(n) AS BIGINT) AS violations, string_agg(kind || '×' || n, ', ' ORDER BY kind) AS summary FROM k GROUP BY owner_id",
+    "regated_documents": f"WITH {_RULES}, k AS (SELECT owner_id, count(*) AS kept FROM items ANTI JOIN g USING (owner_id, item_id) GROUP BY owner_id) SELECT owner_id, items, coalesce(kept, 0) AS kept, CAST(0 AS BIGINT) AS remaining, coalesce(kept, 0) >= 1 AS usable FROM (SELECT owner_id, count(*) AS items FROM items GROUP BY owner_id) LEFT JOIN k USING (owner_id)",
+    "letter_violations": f"WITH {_RULES}, {_OPENING} SELECT owner_id, item_id, level, kind, subject FROM lg UNION ALL SELECT DISTINCT conv_id, NULL, 0, 'empty_letter', '' FROM conversations WHERE conv_id NOT IN (SELECT owner_id FROM items)",
+    "repaired_letters": f"WITH {_RULES}, {_OPENING}, k AS (SELECT owner_id, item_id, CAST(row_number() OVER (PARTITION BY owner_id ORDER BY item_id) AS INTEGER) AS number FROM items ANTI JOIN lg USING (owner_id, item_id)) SELECT owner_id, item_id, number, count(number) OVER (PARTITION BY owner_id) >= 2 AS usable FROM items LEFT JOIN k USING (owner_id, item_id)",
+    "profile_violations": f"""WITH {_RULES}, lg AS (SELECT * FROM v WHERE kind <> 'misattributed' QUALIFY level = min(level) OVER (PARTITION BY owner_id, item_id))
+SELECT owner_id, item_id, level, kind, subject FROM lg UNION ALL SELECT owner_id, NULL, 0, 'unknown_role', CAST(CAST(item_id AS BIGINT) + 1 AS VARCHAR) FROM items i WHERE NOT EXISTS (SELECT 1 FROM src WHERE src.owner_id = i.owner_id AND src.source_id = CAST(i.item_id AS BIGINT) + 1 AND src.kind = 'user')""",
+    "prose_claims": f"""WITH {PRE}, {_ITEMS}, p AS (SELECT conv_id AS owner_id, text FROM conversations QUALIFY turn = max(turn) OVER (PARTITION BY conv_id)),
+s AS (SELECT owner_id, text FROM src WHERE EXISTS (SELECT 1 FROM items i WHERE i.owner_id = src.owner_id AND i.cite = src.source_id)),
+pt AS (SELECT DISTINCT owner_id, term FROM (SELECT owner_id, unnest(list_distinct(regexp_extract_all({norm('text')}, '[a-z0-9]+'))) AS key FROM p) JOIN spell ON key = spelling),
+st AS (SELECT DISTINCT owner_id, term FROM (SELECT owner_id, unnest(list_distinct(regexp_extract_all({norm('text')}, '[a-z0-9]+'))) AS key FROM s) JOIN spell ON key = spelling),
+fc AS (SELECT DISTINCT owner_id, replace(f, ',', '') AS figure FROM (SELECT owner_id, unnest(regexp_extract_all(text, '{_FIG}', 2)) AS f FROM p)),
+fh AS (SELECT owner_id, replace({norm('text')}, ',', '') AS hay FROM s),
+fv AS (SELECT owner_id, round(CAST(unnest(regexp_extract_all(hay, '\\d+(?:\\.\\d+)?')) AS DOUBLE), 9) AS val FROM fh
+  UNION SELECT owner_id, n FROM (SELECT owner_id, unnest(regexp_extract_all(hay, '[a-z]+')) AS w FROM fh) JOIN (VALUES {', '.join(f"('{w}', CAST({n} AS DOUBLE))" for w, n in vocab.NUMBER_WORDS.items())}) AS t(w, n) USING (w)),
+fx AS (SELECT DISTINCT owner_id, unnest(regexp_extract_all(hay, '(^|[^0-9.])(\\d+)', 2)) AS txt FROM fh)
+SELECT owner_id, 'summary' AS part, 'unsupported_term' AS kind, term AS subject FROM pt ANTI JOIN st USING (owner_id, term)
+UNION ALL SELECT owner_id, 'summary', 'unsupported_figure', figure FROM fc WHERE NOT EXISTS (SELECT 1 FROM fv WHERE fv.owner_id = fc.owner_id AND fv.val = round(CAST(figure AS DOUBLE), 9)) AND NOT EXISTS (SELECT 1 FROM fx WHERE fx.owner_id = fc.owner_id AND fx.txt = figure)""",
     "entry_checks": """WITH t AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations)
 SELECT DISTINCT a.conv_id AS owner_id, a.turn + 1 AS entry_id, CASE WHEN b.role IS NULL THEN 'unknown_entry' WHEN b.role <> CASE WHEN a.role = 'user' THEN 'assistant' ELSE 'user' END THEN 'wrong_section' ELSE 'empty_entry' END AS kind
 FROM t a LEFT JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE b.role IS NULL OR b.role <> CASE WHEN a.role = 'user' THEN 'assistant' ELSE 'user' END OR coalesce(length(b.text), 0) <= 200""",
@@ -109,7 +129,7 @@ SELECT doc_id, source, coalesce(length(coalesce(text, '')) < {vocab.TEASER_CHARS
     "contacts_found": r"""SELECT * FROM (SELECT doc_id, (SELECT coalesce(string_agg(x, '|' ORDER BY p), '') FROM (SELECT x, min(p) AS p FROM (SELECT unnest(m) AS x, generate_subscripts(m, 1) AS p) GROUP BY x)) AS emails, (SELECT coalesce(string_agg(x, '|' ORDER BY p), '') FROM (SELECT x, min(p) AS p FROM (SELECT unnest(ph) AS x, generate_subscripts(ph, 1) AS p) GROUP BY x)) AS phones
 FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS m, regexp_extract_all(text, '\+?[0-9][0-9 ().-]{7,}[0-9]') AS ph FROM documents)) WHERE emails <> '' OR phones <> ''""",
     "month_ranges": f"SELECT o_orderkey, {_MONTH('o_orderdate')} || ' – ' || CASE WHEN o_orderstatus = 'O' THEN 'Present' ELSE {_MONTH('(o_orderdate + INTERVAL 40 DAY)')} END AS shown FROM orders",
-    "newest_entries": "SELECT o_custkey, o_orderkey, rank FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus = 'O' DESC, CASE WHEN o_orderstatus = 'O' THEN '' ELSE strftime(o_orderdate, '%Y-%m') END DESC, strftime(o_orderdate, '%Y-%m-%d ') || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') DESC) AS rank FROM orders) WHERE rank <= 5",
+    "newest_entries": "SELECT o_custkey, o_orderkey, rank FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus = 'O' DESC, CASE WHEN o_orderstatus = 'O' THEN '' ELSE strftime(o_orderdate, '%Y-%m') END DESC, strftime(o_orderdate, '%Y-%m-%d ') || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') DESC) AS rank FROM orders)",
     "ordered_entries": "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus = 'O' DESC, CASE WHEN o_orderstatus = 'O' THEN '' ELSE strftime(o_orderdate, '%Y-%m') END DESC, strftime(o_orderdate, '%Y-%m-%d ') || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') DESC) AS rank FROM orders",
     "entry_facts": "SELECT s_suppkey, s_name || ', ' || n_name AS title_line, r_name AS context_line FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "entry_pairs": """WITH s AS (SELECT p_brand, p_name, p_partkey, row_number() OVER (PARTITION BY p_type, p_brand, p_name ORDER BY p_partkey) AS n, p_type FROM part)
@@ -128,7 +148,7 @@ SELECT conv_id, change, CAST(sum(n) AS BIGINT) AS lines FROM (SELECT conv_id, 'r
     "merged_terms": f"""WITH w AS (SELECT item_id, 0 AS part, unnest(c) AS term, generate_subscripts(c, 1) AS seq FROM (SELECT item_id, {content(norm('text'), '')} AS c FROM benchmark)
   UNION ALL SELECT doc_id % (SELECT count(*) FROM benchmark), 1, unnest(c), doc_id * 1000000 + generate_subscripts(c, 1) FROM (SELECT doc_id, {content(norm('text'), '')} AS c FROM documents)),
 k AS (SELECT item_id, term, part, seq, row_number() OVER (PARTITION BY item_id, term ORDER BY part, seq) AS r FROM w WHERE part = 0 OR length(term) < 60)
-SELECT item_id, term, place FROM (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY part, seq) AS place FROM k WHERE r = 1) WHERE place <= 40""",
+SELECT item_id, term, place FROM (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY part, seq) AS place FROM k WHERE r = 1)""",
     "all_merged_terms": f"""WITH w AS (SELECT item_id, 0 AS part, unnest(c) AS term, generate_subscripts(c, 1) AS seq FROM (SELECT item_id, {content(norm('text'), '')} AS c FROM benchmark)
   UNION ALL SELECT doc_id % (SELECT count(*) FROM benchmark), 1, unnest(c), doc_id * 1000000 + generate_subscripts(c, 1) FROM (SELECT doc_id, {content(norm('text'), '')} AS c FROM documents)),
 k AS (SELECT item_id, term, part, seq, row_number() OVER (PARTITION BY item_id, term ORDER BY part, seq) AS r FROM w WHERE part = 0 OR length(term) < 60)

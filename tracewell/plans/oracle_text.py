@@ -54,6 +54,7 @@ tn AS (SELECT item_id, count(*) AS total, count(*) FILTER (WHERE len(words) = 0
 
 SQL = {
     "fit_matrix": f"WITH {PRE} SELECT item_id, source, matched, wanted, round(matched / wanted, 6) AS coverage FROM fit JOIN wn USING (item_id)",
+    "posting_preview": f"WITH {PRE} SELECT item_id, source, covered, n_covered, wanted - n_covered AS n_missing FROM (SELECT item_id, source, string_agg(term, ' ' ORDER BY term) AS covered, CAST(count(*) AS INTEGER) AS n_covered FROM wanted JOIN present USING (term) GROUP BY item_id, source) JOIN wn USING (item_id)",
     "fit_top_sources": f"WITH {PRE} SELECT * FROM (SELECT item_id, source, matched, wanted, round(matched / wanted, 6) AS coverage, row_number() OVER (PARTITION BY item_id ORDER BY matched DESC, source) AS rank FROM fit JOIN wn USING (item_id)) WHERE rank <= 3",
     "term_mentions": f"WITH {PRE} SELECT term, count(*) AS n_docs, min(doc_id) AS first_doc FROM dment GROUP BY term",
     "spelling_variants": f"WITH {PRE} SELECT term, spelling FROM (SELECT DISTINCT term, spelling FROM spell) UNION ALL SELECT term, CASE WHEN term LIKE '%e' THEN substr(term, 1, length(term) - 1) ELSE term END || v FROM dict, (VALUES {', '.join(f'({_quote(v)})' for v in vocab.TOOL_VERBS)}) AS t(v)",

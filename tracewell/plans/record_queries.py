@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
-from tracewell.functions.shared import shared_folder
+from tracewell.functions.shared import shared_folder, written
 from tracewell.operators import ground, rubrics, runs, sets
 from tracewell.plans.text_queries import Tables, table
 from tracewell.sources import pages as P
@@ -88,19 +90,81 @@ def repaired_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.groupBy("owner_id").agg(F.count(F.lit(1)).alias("items")).join(kept, "owner_id", "left").select("owner_id", "items", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("words", F.lit(0)).alias("words"), F.coalesce(F.col("kept") >= 2, F.lit(False)).alias("usable"))
 
 
-def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rules over the assistant turns; each that cites anything also cites the turn three before it."""
+def _keyed(spark: SparkSession, sf_dir: str) -> Callable[..., DataFrame]:
+    """Which terms the texts of a table name, by its id columns."""
     from tracewell.operators.mentions import spellings
 
-    items, sources = cited_items(spark, sf_dir)
     spelled = spellings(Tables(spark, sf_dir).terms).select("term", F.col("spelling").alias("key"))
-    keyed = lambda df, *cols: df.select(*cols, F.explode(F.array_distinct(T.runs("text"))).alias("key")).join(spelled, "key").select(*cols, "term").distinct()
+    return lambda df, *cols: df.select(*cols, F.explode(F.array_distinct(T.runs("text"))).alias("key")).join(spelled, "key").select(*cols, "term").distinct()
+
+
+def _cited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(entries, sources, terms claimed, terms supported, figures unsupported) of the assistant turns.
+
+    Each that cites anything also cites the turn three before it.
+    """
+    items, sources = cited_items(spark, sf_dir)
+    keyed = _keyed(spark, sf_dir)
     cited = items.select("owner_id", "item_id", F.explode("cites").alias("source_id")).join(sources.select("owner_id", "source_id", "text"), ["owner_id", "source_id"])
     more = F.when(F.size("cites") > 0, F.array_append("cites", F.col("item_id").cast("long") - 3)).otherwise(F.col("cites"))
     entries = items.withColumn("entry_id", F.col("item_id").cast("long") - 1).withColumn("cites", more)
     ids = ["owner_id", "item_id"]
     figures = ground.unsupported_figures(ground.figure_claims(items, ids), ground.figure_keys(cited, ids))
-    return ground.gate(entries, sources, keyed(items, *ids), keyed(cited, *ids), ("user",), figures)
+    return entries, sources, keyed(items, *ids), keyed(cited, *ids), figures
+
+
+def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules over the assistant turns."""
+    entries, sources, claimed, supported, figures = _cited(spark, sf_dir)
+    return ground.gate(entries, sources, claimed, supported, ("user",), figures)
+
+
+def regated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation: the violating turns are cut, and what stays goes through the gate again."""
+    entries, sources, claimed, supported, figures = _cited(spark, sf_dir)
+    first = written(ground.gate(entries, sources, claimed, supported, ("user",), figures), "gate")
+    kept = ground.cut(entries, first)
+    again = ground.gate(kept, sources, ground.cut(claimed, first), supported, ("user",), ground.cut(figures, first))
+    return ground.repair_outcome(entries, kept, again, 1)
+
+
+def _letters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(paragraphs, violations): a conversation as a letter that may name the terms of its first turn."""
+    turns = table(spark, sf_dir, "conversations")
+    entries, sources, claimed, supported, figures = _cited(spark, sf_dir)
+    opening = turns.groupBy(F.col("conv_id").alias("owner_id")).agg(F.min_by("text", "turn").alias("text"))
+    allowed = _keyed(spark, sf_dir)(opening, "owner_id")
+    return entries, ground.letter_gate(opening, entries, sources, claimed, supported, allowed, figures)
+
+
+def letter_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _letters(spark, sf_dir)[1]
+
+
+def repaired_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph with its number among those that stay, or null; a letter is usable if two or more stay."""
+    paragraphs, bad = _letters(spark, sf_dir)
+    kept = ground.renumbered(ground.cut(paragraphs, bad)).select("owner_id", "item_id", "number")
+    stay = F.count("number").over(Window.partitionBy("owner_id"))
+    return paragraphs.join(kept, ["owner_id", "item_id"], "left").select("owner_id", "item_id", "number", (stay >= 2).alias("usable"))
+
+
+def profile_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every assistant turn is also a section for the turn after it, which must be a user's."""
+    entries, sources, claimed, supported, figures = _cited(spark, sf_dir)
+    sections = entries.select("owner_id", (F.col("item_id").cast("long") + 1).alias("entry_id"))
+    return ground.profile_gate(sections, sources.where("kind = 'user'"), entries, sources, claimed, supported, figures)
+
+
+def prose_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation's last turn is its summary; all turns that any answer cites are selected."""
+    items, sources = cited_items(spark, sf_dir)
+    turns = table(spark, sf_dir, "conversations")
+    prose = turns.groupBy(F.col("conv_id").alias("owner_id")).agg(F.max_by("text", "turn").alias("text")).withColumn("part", F.lit("summary"))
+    chosen = items.select("owner_id", F.explode("cites").alias("source_id")).distinct()
+    scope = sources.join(chosen, ["owner_id", "source_id"], "left_semi").select("owner_id", "text")
+    keyed = _keyed(spark, sf_dir)
+    return ground.prose_scope(keyed(prose, "owner_id", "part"), keyed(scope, "owner_id"), ground.figure_claims(prose, ["owner_id", "part"]), ground.figure_keys(scope, ["owner_id"]))
 
 
 def gate_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,8 +300,8 @@ def ordered_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def newest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A customer's first five of ordered_entries."""
-    return ordered_entries(spark, sf_dir).where("rank <= 5")
+    """All of a customer's entries, newest first."""
+    return ordered_entries(spark, sf_dir)
 
 
 def entry_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,8 +373,8 @@ def all_merged_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merged_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An item's first forty of all_merged_terms."""
-    return all_merged_terms(spark, sf_dir).where("place <= 40")
+    """All terms of an item, its own first."""
+    return all_merged_terms(spark, sf_dir)
 
 
 def ranked_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -337,7 +401,7 @@ def usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     unknown_citations, misattributed_items, supporting_text, supporting_parts, claim_gate, gate_summary, blocked_terms, repaired_documents, claim_snapshot,
-    gate_violations, gate_kinds, entry_checks, unknown_certifications, undeclared_skills, best_letter, description_lines,
+    gate_violations, gate_kinds, regated_documents, letter_violations, repaired_letters, profile_violations, prose_claims, entry_checks, unknown_certifications, undeclared_skills, best_letter, description_lines,
     bullet_rubric, rubric_summary, letter_rubric, text_layer_rubric, page_layout_rubric, round_trip, verbatim_echo, extracted_posts, discovered_links,
     evidence_chunks, evidence_sources, completed_posts, contacts_found, month_ranges, newest_entries, ordered_entries, entry_facts, entry_pairs, assigned_ids,
     best_attempt, stop_reason, run_outcome, attempt_timeline, event_tail, usage_rollup, copy_drift, merged_terms, all_merged_terms, ranked_feedback, shortlists,

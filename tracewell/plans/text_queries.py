@@ -55,6 +55,11 @@ def fit_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.coverage(t.wanted(), t.present())
 
 
+def posting_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    return fit.preview(t.wanted(), t.present())
+
+
 def fit_top_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.top_owners(fit_matrix(spark, sf_dir))
 
@@ -186,6 +191,6 @@ def draft_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    fit_matrix, fit_top_sources, term_mentions, technical_tokens, spelling_variants, gap_classes, requirement_addressed, requirement_met, requirement_score, qualification_score, total_score, draft_components,
+    fit_matrix, posting_preview, fit_top_sources, term_mentions, technical_tokens, spelling_variants, gap_classes, requirement_addressed, requirement_met, requirement_score, qualification_score, total_score, draft_components,
     unreachable_terms, keyword_stuffing, normalized_text, content_words, sentences, figures, figure_support,
 )}
