@@ -373,14 +373,15 @@ def plain_contamination(text, items, window=10):
             if tuple(ws[i : i + m]) in wins:
                 hit |= set(range(i, i + m))
                 found.add(item)
-    return len(ws), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
+    return len(ws), len(hit), len(found), hashlib.sha256(",".join(sorted(found - {None})).encode()).hexdigest(), bool(hit)
 
 
 @pytest.mark.parametrize("table_bytes", [32 << 20, 200])
 def test_decontamination(spark, docs, rows, none, monkeypatch, table_bytes):
     monkeypatch.setattr(decontaminate, "TABLE_BYTES", table_bytes)
     items = [("1", rows[20][1]), ("2", "The CAT, sat"), ("3", "straße"), ("10", rows[-4][1][50:400]), ("5", None), ("6", "??"), ("7", " ".join(rows[30][1].split()[:11]))]
-    bench = spark.createDataFrame([(int(k), t) for k, t in items] + [(None, "cat")], "item_id long, text string")
+    items += [(None, "cat")]  # hits as any other item does
+    bench = spark.createDataFrame([(k and int(k), t) for k, t in items], "item_id long, text string")
     got = {r.doc_id: tuple(r)[1:] for r in decontaminate.contamination_report(docs, bench).collect()}
     assert got == {r[0]: plain_contamination(r[1], items) for r in rows} and len(got) > 50
     clean = decontaminate.clean_documents(docs, bench)

@@ -140,3 +140,26 @@ def test_pipeline_posteriors_and_codes(spark, tmp_path):
     out = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     digest = lambda t: hashlib.sha256(" ".join(map(str, library(t))).encode()).hexdigest()
     assert collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in out) == collections.Counter((r.doc_id, len(library(r.text)), digest(r.text)) for r in rows)
+
+
+def test_hot_pair_of_words_and_null_items(spark):
+    """Thousands of windows end in one pair of words: only those of the text's own words are compared; null ids hit too."""
+    items = [(f"i{k}", f"w{k} " + " ".join(f"x{k}y{j}" for j in range(7)) + " hot pair") for k in range(20_000)]
+    search = decontaminate.WindowSearch(items)
+    text = " ".join(f"t{k} hot pair" for k in range(600)) + " " + items[77][1]
+    table = search.tables[10]
+    compared = []
+    plain = decontaminate._Table._to_compare
+    decontaminate._Table._to_compare = lambda self, *a: compared.append(r := plain(self, *a)) or r
+    try:
+        ws, hit, found = search.look(text)
+    finally:
+        decontaminate._Table._to_compare = plain
+    assert found == {"i77"} and sum(hit) == 10 and hit[-10:] == b"\x01" * 10
+    assert sum(map(len, compared)) < 20 and not table.buckets.get(b"hot pair")
+
+    same = [(f"j{k}", "a b c d e f g h hot pair") for k in range(50)] + [(None, "a b c d e f g h hot pair"), (None, "red blue"), ("q", "red blue")]
+    docs = spark.createDataFrame([(1, "red blue green now"), (2, "a b c d e f g h hot pair " * 300), (3, "red")], "doc_id long, text string")
+    bench = spark.createDataFrame(same, "item_id string, text string")
+    got = {r.doc_id: r for r in decontaminate.contamination_report(docs, bench).collect()}
+    assert (got[1].n_hit, got[1].n_items) == (2, 2) and (got[2].n_hit, got[2].n_items) == (3000, 51) and not got[3].contaminated

@@ -373,21 +373,53 @@ _DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string
 SEGMENT = 4096
 
 
+class _Digest:
+    """Digests of one text's ids and of what they decode to, fed SEGMENT ids at a time."""
+
+    def __init__(self, bpe: Bpe):
+        self.decimal, self.decoder = bpe.decimal.__getitem__, Decoder(bpe, spaced=True)
+        self.numbers, self.text, self.n = hashlib.sha256(), hashlib.sha256(), 0
+
+    def feed(self, ids: np.ndarray) -> None:
+        for at in range(0, len(ids), SEGMENT):
+            some = ids[at : at + SEGMENT].tolist()
+            said = b" ".join(map(self.decimal, some))
+            self.numbers.update(b" " + said if self.n else said)
+            self.text.update(self.decoder.feed(some).encode())
+            self.n += len(some)
+
+    def finish(self) -> tuple[int, str, str]:
+        self.text.update(self.decoder.finish().encode())
+        return self.n, self.numbers.hexdigest(), self.text.hexdigest()
+
+
 def digests(bpe: Bpe, ids: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[str], list[str]]:
     """For each run of ids: how many, and digests of the decimal ids and of the text that they decode to."""
-    n, ids_sha, text_sha = [], [], []
-    decimal = bpe.decimal.__getitem__
+    out = []
     for a, z in zip(ends.tolist(), ends[1:].tolist(), strict=False):
-        n.append(z - a)
-        numbers, text, decoder = hashlib.sha256(), hashlib.sha256(), Decoder(bpe, spaced=True)
-        for at in range(a, z, SEGMENT):
-            some = ids[at : min(at + SEGMENT, z)].tolist()
-            numbers.update(b" ".join(map(decimal, some)) if at == a else b" " + b" ".join(map(decimal, some)))
-            text.update(decoder.feed(some).encode())
-        text.update(decoder.finish().encode())
-        ids_sha.append(numbers.hexdigest())
-        text_sha.append(text.hexdigest())
-    return n, ids_sha, text_sha
+        d = _Digest(bpe)
+        d.feed(ids[a:z])
+        out.append(d.finish())
+    n, ids_sha, text_sha = zip(*out, strict=True) if out else ((), (), ())
+    return list(n), list(ids_sha), list(text_sha)
+
+
+def digest_texts(bpe: Bpe, memo: ChunkMemo, texts: pa.Array) -> tuple[list[int], list[str], list[str]]:
+    """digests of the texts' ids, which are let go window by window: a text of any length is never held as ids."""
+    open_text, d, out = 0, _Digest(bpe), []
+    for ids, counts in memo.windows(texts):
+        at = 0
+        for k in np.flatnonzero(counts).tolist():
+            while open_text < k:
+                out.append(d.finish())
+                open_text, d = open_text + 1, _Digest(bpe)
+            d.feed(ids[at : at + counts[k]])
+            at += int(counts[k])
+    while open_text < len(texts):
+        out.append(d.finish())
+        open_text, d = open_text + 1, _Digest(bpe)
+    n, ids_sha, text_sha = zip(*out, strict=True) if out else ((), (), ())
+    return list(n), list(ids_sha), list(text_sha)
 
 
 def _digest_batch(doc_ids: pa.Array, found: tuple[list[int], list[str], list[str]]) -> pa.RecordBatch:
@@ -420,7 +452,7 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, memo = _load(path)
         for batch in batches:
-            yield _digest_batch(batch.column(0), digests(bpe, *memo.encode(batch.column(1))))
+            yield _digest_batch(batch.column(0), digest_texts(bpe, memo, batch.column(1)))
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return picked.mapInArrow(run, _DIGESTS)

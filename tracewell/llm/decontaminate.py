@@ -8,6 +8,7 @@ window lets the search jump almost a whole window ahead, so most of a text is ne
 
 from __future__ import annotations
 
+import zlib
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -22,6 +23,8 @@ from tracewell.llm.common import limit_batches, written
 _FOLD = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
 #: Benchmark text (bytes) of one search table, about 60 times as much in a worker's memory; more is searched in several passes.
 TABLE_BYTES = 4 << 20
+#: Windows of a bucket that are compared one by one; more are told apart by a checksum first.
+MOST = 8
 
 
 def words(text: str | None) -> list[bytes]:
@@ -35,11 +38,12 @@ class _Table:
         self.length, self.block = length, min(2, length)
         self.words: list[bytes] = []
         self.begins: list[int] = []  # where each item's words begin
-        self.items: list[str] = []
+        self.items: list[str | None] = []
         self.shift: dict[bytes, int] = {}
         self.buckets: dict[bytes, array] = {}
+        self.deep: dict[bytes, dict[int, array]] = {}
 
-    def add(self, ws: list[bytes], item: str) -> None:
+    def add(self, ws: list[bytes], item: str | None) -> None:
         """All windows of an item; ws holds at least one."""
         base, size, m = len(self.words), self.block, self.length
         self.begins.append(base)
@@ -54,9 +58,35 @@ class _Table:
             if step == 0:
                 self.buckets.setdefault(key, array("q")).append(base + end - m)
 
-    def search(self, ws: list[bytes], hit: bytearray, items: set[str]) -> None:
+    def split_hot_buckets(self) -> None:
+        """Buckets of more than MOST windows are told apart by the checksum of the whole window; of equal windows of an item one stays."""
+        for key in [k for k, ps in self.buckets.items() if len(ps) > MOST]:
+            parts = self.deep[key] = {}
+            seen = set()
+            for p in self.buckets.pop(key):
+                window = b" ".join(self.words[p : p + self.length])
+                item = bisect_right(self.begins, p)
+                if (window, item) not in seen:
+                    seen.add((window, item))
+                    parts.setdefault(zlib.crc32(window), array("q")).append(p)
+
+    def _to_compare(self, key: bytes, here: list[bytes], met: set[bytes]) -> tuple[int, ...] | array:
+        """Places of the windows that may equal these words; one that does, if the text has had these words before."""
+        parts = self.deep.get(key)
+        if parts is None:
+            return self.buckets[key]
+        window = b" ".join(here)
+        found = parts.get(zlib.crc32(window), ())
+        if len(found) > MOST:
+            if window in met:
+                return next(((p,) for p in found if self.words[p : p + self.length] == here), ())
+            met.add(window)
+        return found
+
+    def search(self, ws: list[bytes], hit: bytearray, items: set[str | None]) -> None:
         """Mark the words inside every occurrence and collect the items that occur."""
         m, shift, n, known = self.length, self.shift, len(ws), self.words
+        met: set[bytes] = set()
         i, far, single = m - 1, m - self.block + 1, self.block == 1
         while i < n:
             key = ws[i] if single else ws[i - 1] + b" " + ws[i]
@@ -65,7 +95,7 @@ class _Table:
                 i += step
                 continue
             here = ws[i - m + 1 : i + 1]
-            for p in self.buckets[key]:
+            for p in self._to_compare(key, here, met):
                 if known[p : p + m] == here:
                     hit[i - m + 1 : i + 1] = b"\x01" * m
                     items.add(self.items[bisect_right(self.begins, p) - 1])
@@ -75,7 +105,7 @@ class _Table:
 class WindowSearch:
     """Every window of every item, in one table for each window length."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = 10):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = 10):
         self.tables: dict[int, _Table] = {}
         same: dict[bytes, bytes] = {}  # one object for each word
         for item, text in items:
@@ -83,6 +113,8 @@ class WindowSearch:
             m = min(window, len(ws))
             if m:
                 self.tables.setdefault(m, _Table(m)).add(ws, item)
+        for t in self.tables.values():
+            t.split_hot_buckets()
 
     def look(self, text: str | None) -> tuple[list[bytes], bytearray, set[str]]:
         ws = words(text)
@@ -92,13 +124,13 @@ class WindowSearch:
         return ws, hit, items
 
 
-def _slices(benchmark: DataFrame) -> Iterator[tuple[list[tuple[str, str | None]], bool]]:
+def _slices(benchmark: DataFrame) -> Iterator[tuple[list[tuple[str | None, str | None]], bool]]:
     """The benchmark's items in slices of bounded size, and whether the slice is the last.
 
     The size is measured first. Items are dealt by a hash, so each slice is a separate, small read.
     """
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null")
-    total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.length("item"))).first()[0] or 0
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.length("item"), F.lit(0)))).first()[0] or 0
     n = max(1, -(-total // TABLE_BYTES))
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
@@ -130,7 +162,7 @@ def _add_hits(rows: DataFrame, shared) -> DataFrame:
                 n.append(len(ws))
                 mine = [i for i, x in enumerate(hit) if x] if items else []
                 hits.append(sorted({*mine, *before}) if before else mine)
-                found.append(sorted({*items, *items_before}))
+                found.append(sorted({*items, *items_before}, key=lambda x: (x is None, x)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "hit_words", "items"])
 
     return rows.mapInArrow(run, _FOUND)
@@ -140,8 +172,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10)
     """Per document: doc_id, n_words, hit_words array<int> (positions), items array<string>.
 
     One row per input row, also where rows repeat an id; no documents, no rows. Null and empty texts
-    have no words; an item without words, or without an id, matches nothing; an empty benchmark hits
-    nothing. Documents are not shuffled: the search table goes to the tasks. A benchmark of more than
+    have no words; an item without words matches nothing; items without an id hit words as others do, and
+    are listed as one null (counted, not digested); an empty benchmark hits nothing. Documents are not shuffled: the search table goes to the tasks. A benchmark of more than
     TABLE_BYTES is searched slice by slice; each slice adds to what a row has.
     """
     limit_batches(docs.sparkSession)

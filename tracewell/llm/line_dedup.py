@@ -33,14 +33,29 @@ HOT_SHARE, COUNTERS = 1000, 1 << 13
 BROADCAST_ROWS = 1_000_000
 
 
-def _lines(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, more, line_no (from 0) and lower-case words of each line; a null text gives one row with null words."""
+def _text_lines() -> Column:
+    """The text's lines in lower case, with every white space but the line's end as a space."""
     low = F.lower(F.col("text").cast("string"))
     for c in "\t\r\x0b\x0c":
         low = F.replace(low, F.lit(c), F.lit(" "))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, low.alias("low"))
-    lines = slim.select("doc_id", *more, F.posexplode_outer(F.split("low", "\n")).alias("line_no", "line"))
-    return lines.select("doc_id", *more, "line_no", F.array_remove(F.split("line", " "), "").alias("words"))
+    return F.split(low, "\n")
+
+
+def _words() -> Column:
+    return F.array_remove(F.split("line", " "), "").alias("words")
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no (from 0) and lower-case words of each line; a null text gives one row with null words."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_lines().alias("lines"))
+    return slim.select("doc_id", F.posexplode_outer("lines").alias("line_no", "line")).select("doc_id", "line_no", _words())
+
+
+def _numbered_lines(docs: DataFrame) -> DataFrame:
+    """The same for the lines whose numbers the rows list (column numbers); those that a text has not are left out."""
+    slim = docs.select("doc_id", "numbers", _text_lines().alias("lines"))
+    picked = F.transform("numbers", lambda n: F.struct(n.alias("line_no"), F.get("lines", n).alias("line")))
+    return slim.select("doc_id", F.inline(picked)).where("line is not null").select("doc_id", "line_no", _words())
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
@@ -143,7 +158,7 @@ def token_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     few = members.count() <= BROADCAST_ROWS
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.join(F.broadcast(places) if few else places, F.col("doc_id").eqNullSafe(F.col("at")))
-    lines = _lines(texts, "numbers").where(F.array_contains("numbers", F.col("line_no")) & (F.size("words") > 0))
+    lines = _numbered_lines(texts).where(F.size("words") > 0)
     picked = _hashed(lines).select("c1", "c2", _tokens().alias("tokens"))
     # rows that repeat an id may have other lines in these places
     one = picked.groupBy("c1", "c2").agg(F.first("tokens").alias("tokens")).join(members, ["c1", "c2"])
@@ -254,6 +269,8 @@ def line_report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def drop_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, with the removed lines cut from their texts (null stays null)."""
     gone = removed_lines(docs, threshold).where("removed").groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_gone_id")
-    kept = F.filter(F.split(F.col("text").cast("string"), "\n"), lambda line, i: ~F.array_contains("_gone", i))
+    lines = F.split(F.col("text").cast("string"), "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone")
+    kept = F.transform(stay, lambda i: F.get(lines, i))
     text = F.when(F.col("_gone").isNull(), F.col("text").cast("string")).otherwise(F.array_join(kept, "\n"))
     return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")), "left").withColumn("text", text).select(*docs.columns)

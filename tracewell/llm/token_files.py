@@ -32,6 +32,8 @@ MEMO = 180_000
 FILE_ROWS = 100_000
 #: Words after which a block is closed (at the end of a document).
 BLOCK_WORDS = 1 << 16
+#: Ids that are packed at a time.
+SEGMENT = 1 << 18
 #: Ids and bits for each selector. Selector 0 is a run of zeros, selector 1 an escape:
 #: one id of more than 60 bits, kept whole in the block's escapes.
 SELECTORS = ((240, 0), (1, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -239,17 +241,55 @@ def library_memo(path: str) -> ChunkMemo:
     return _memos[path]
 
 
-def _packed(path: str, end_id: int, batch: pa.RecordBatch) -> pa.RecordBatch:
-    """A batch (doc_id, text, part) as (doc_id, part, words, escapes, n_ids), with end_id after each text's ids."""
+def ranges_of(doc_ids: pa.Array, cuts: np.ndarray, null_parts: int, seen: int) -> np.ndarray:
+    """The file that each row goes to: null ids to the first null_parts, then ids by the sorted cuts.
+
+    An id that many rows share is a cut several times: its rows may go to any of the files between,
+    and go to them in turn, as null ids do; so no file's size depends on how often an id occurs.
+    """
+    turn = seen + np.arange(len(doc_ids))
+    ids = doc_ids.fill_null(0).to_numpy(zero_copy_only=False)
+    low, high = np.searchsorted(cuts, ids, "left"), np.searchsorted(cuts, ids, "right")
+    part = null_parts + low + np.where(high - low > 1, turn % (high - low + 1), 0)
+    return np.where(doc_ids.is_null().to_numpy(zero_copy_only=False), turn % max(1, null_parts), part).astype(np.int32)
+
+
+def _packed(path: str, end_id: int, batch: pa.RecordBatch, part: np.ndarray) -> pa.RecordBatch:
+    """A batch (doc_id, text) as (doc_id, part, words, escapes, n_ids), with end_id after each text's ids.
+
+    Ids are packed SEGMENT at a time, a long text's in several runs whose words follow each other.
+    """
     ids, ends = library_memo(path).encode(batch.column(1))
     n = np.diff(ends) + 1
-    all_ids = np.full(len(ids) + len(n), end_id, np.uint64)
-    inner = np.ones(len(all_ids), bool)
+    pieces = [[b""] * len(n), [b""] * len(n)]
+    at = 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + SEGMENT, "right")) - 1)
+        runs = _runs_of(ids[ends[at] : ends[to]], n[at:to], end_id)
+        for some, sizes in runs:
+            words, escapes, first, first_escape = pack(some, sizes)
+            for out, data, begins in ((pieces[0], words, first), (pieces[1], escapes, first_escape)):
+                raw, stops = data.astype("<u8").tobytes(), [*begins.tolist()[1:], len(data)]
+                for k, (a, z) in enumerate(zip(begins.tolist(), stops, strict=True)):
+                    if z > a:
+                        out[at + k] += raw[8 * a : 8 * z]
+        at = to
+    columns = [batch.column(0), pa.array(part), pa.array(pieces[0], pa.binary()), pa.array(pieces[1], pa.binary()), pa.array(n)]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "words", "escapes", "n_ids"])
+
+
+def _runs_of(ids: np.ndarray, n: np.ndarray, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids with the end ids, sizes of the texts' runs); a single text comes in runs of SEGMENT ids."""
+    if len(n) == 1:
+        for a in range(0, int(n[0]), SEGMENT):
+            some = ids[a : a + SEGMENT].astype(np.uint64)
+            yield (np.append(some, np.uint64(end_id)) if a + SEGMENT >= n[0] else some), np.array([min(SEGMENT, int(n[0]) - a)])
+        return
+    out = np.full(len(ids) + len(n), end_id, np.uint64)
+    inner = np.ones(len(out), bool)
     inner[np.cumsum(n) - 1] = False
-    all_ids[inner] = ids
-    words, escapes, first, first_escape = pack(all_ids, n)
-    cut = lambda data, at: pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.append(at * 8, len(data) * 8).astype(np.int32)), pa.py_buffer(data.astype("<u8"))])
-    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), cut(words, first), cut(escapes, first_escape), pa.array(n)], names=["doc_id", "part", "words", "escapes", "n_ids"])
+    out[inner] = ids
+    yield out, n
 
 
 def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str | None = None) -> DataFrame:
@@ -258,7 +298,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str | Non
     Returns the written files in order: (part, uri, n_docs, n_ids); an empty table gives none. Texts
     are encoded and packed where they are read; what is dealt out are packed ids. Documents are cut
     into ranges of ids by quantiles; a range's task sorts it and writes it as a stream. Null ids
-    come first. Every attempt of a task writes a file of its own and only the successful one's name
+    come first, in files of their own; an id that fills more than a range is dealt to several. Every attempt of a task writes a file of its own and only the successful one's name
     is returned, so lost executors leave no double. Rows that repeat an id stay, next to each other.
     """
     import os
@@ -268,18 +308,20 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str | Non
     limit_batches(spark)
     folder = folder or shared_folder(spark, "token-files")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-slim.count() // FILE_ROWS))
-    cuts = sorted(set(slim.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts)))
-    part = F.lit(0) if not cuts else F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: c < F.col("doc_id")))
-    part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(part).cast("int")
+    sizes = slim.agg(F.count("*").alias("rows"), F.count("doc_id").alias("ids")).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sizes.rows // FILE_ROWS))
+    cuts = np.array(sorted(slim.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts)), np.int64)
+    null_parts = -(-(sizes.rows - sizes.ids) // FILE_ROWS)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        seen = 0
         for batch in batches:
-            yield _packed(path, end_id, batch)
+            yield _packed(path, end_id, batch, ranges_of(batch.column(0), cuts, null_parts, seen))
+            seen += batch.num_rows
 
-    packed = slim.withColumn("part", part).mapInArrow(encode, "doc_id long, part int, words binary, escapes binary, n_ids long")
-    dealt = packed.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first())
+    packed = slim.mapInArrow(encode, "doc_id long, part int, words binary, escapes binary, n_ids long")
+    dealt = packed.repartitionById(parts + null_parts, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = uri = at = None
