@@ -21,6 +21,8 @@ NUMBER_WORDS = {
 #: Weights of the score's components, and the endings of a tool's name used as a verb.
 WEIGHTS = {"hard_skills": 0.40, "qualifications": 0.15, "title_fit": 0.15, "keywords_in_context": 0.20, "format": 0.10}
 TOOL_VERBS = ("ized", "ised", "ization", "isation", "ify")
+#: Endings that turn a name into another word.
+DERIVATIONS = ("ization", "isation", "izing", "ising", "ized", "ised", "ify", "ing", "ed")
 
 #: Words that show a level, by the level that a posting asks for.
 SENIORITY = {

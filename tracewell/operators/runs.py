@@ -83,3 +83,44 @@ def newest_first(entries: DataFrame, owner: str, start: str, end: str) -> DataFr
 
 def ranked_lists(rows: DataFrame, owner: list[str], order: list, most: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*owner).orderBy(*order))).where(F.col("rank") <= most)
+
+
+#: Stages that settle an attempt, and what becomes of it.
+OUTCOMES = {"rejected": "rejected", "scored": "finished"}
+
+
+def milestones(events: DataFrame) -> DataFrame:
+    """The events that belong to no attempt (null attempt), as they are."""
+    return events.where("attempt is null")
+
+
+def attempt_folds(events: DataFrame) -> DataFrame:
+    """A row for each attempt at a document, with every event of it folded in by seq.
+
+    events: (run_id, document, attempt, attempts, seq, at, stage, score, parses, pages, words, dropped,
+    reason); a null document is 'resume', events without an attempt are milestones and left out. Last
+    stage; last score, parses, pages and words that an event has; attempts as the first event says, else the attempt's
+    number; repaired, with what its last repair dropped; the reason of the last repair or rejection; outcome
+    'rejected' or 'finished' by the last event that settles it, else 'open'. first_seq orders the attempts
+    of a run among its milestones.
+    """
+    of = lambda *stages: F.when(F.col("stage").isin(*stages), F.col("seq"))
+    had = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
+    settled = F.max_by("stage", of(*OUTCOMES))
+    outcome = F.coalesce(*[F.when(settled == stage, F.lit(what)) for stage, what in OUTCOMES.items()], F.lit("open"))
+    mine = events.where("attempt is not null").withColumn("document", F.coalesce("document", F.lit("resume")))
+    return mine.groupBy("run_id", "document", "attempt").agg(
+        F.coalesce(F.min_by("attempts", "seq"), F.min("attempt")).alias("attempts"),
+        F.min("seq").alias("first_seq"),
+        F.count(F.lit(1)).alias("events"),
+        F.max("at").alias("last_at"),
+        F.max_by("stage", "seq").alias("stage"),
+        had("score"),
+        had("parses"),
+        had("pages"),
+        had("words"),
+        F.bool_or(F.col("stage") == "repaired").alias("repaired"),
+        F.coalesce(F.max_by(F.coalesce("dropped", F.lit(0)), of("repaired")), F.lit(0)).alias("dropped"),
+        F.coalesce(F.max_by(F.coalesce("reason", F.lit("")), of("repaired", "rejected")), F.lit("")).alias("reason"),
+        outcome.alias("outcome"),
+    )

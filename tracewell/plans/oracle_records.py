@@ -40,6 +40,16 @@ a AS (SELECT *, max(total) OVER (PARTITION BY run_id) + 5 AS ceiling FROM a0)
 _REASONS = f"""{_ATTEMPTS}, r AS (SELECT *, CASE WHEN parses THEN CASE WHEN total >= {vocab.TARGET} THEN 'threshold' WHEN total >= ceiling - {vocab.SLACK} THEN 'ceiling' WHEN total - best < {vocab.MIN_GAIN} THEN 'plateau' END END AS reason
 FROM (SELECT *, max(total) OVER (PARTITION BY run_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM a))"""
 _EVENTS = "e AS (SELECT user_id AS run_id, coalesce(try_cast(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS INTEGER), 0) % 4 AS attempt, event_id AS seq, event_type AS stage, ts AS tm, value AS score FROM events)"
+_FULL = """ev0 AS (SELECT *, coalesce(try_cast(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER), 0) AS k FROM events),
+ev AS (SELECT CAST(user_id AS BIGINT) AS run_id, CASE k % 3 WHEN 1 THEN 'cover_letter' ELSE 'resume' END AS document, CASE WHEN k % 5 <> 4 THEN CAST(event_id % 4 + 4 * (day(ts) % 8) AS INTEGER) END AS attempt, CASE WHEN k % 2 = 0 THEN 32 END AS attempts,
+  CAST(event_id AS BIGINT) AS seq, ts AS tm, CASE event_type WHEN 'click' THEN 'drafting' WHEN 'view' THEN 'verifying' WHEN 'purchase' THEN 'scored' WHEN 'error' THEN 'rejected' WHEN 'signup' THEN 'repaired' END AS stage,
+  CASE WHEN event_type = 'purchase' THEN value END AS score, CASE WHEN event_type = 'view' THEN k > 50 END AS parses, CASE WHEN event_type = 'view' THEN k % 4 END AS pages, CASE WHEN event_type = 'click' THEN k * 10 END AS words,
+  CASE WHEN event_type = 'signup' AND k % 7 > 0 THEN k % 7 END AS dropped, CASE WHEN event_type IN ('signup', 'error') AND k > 10 THEN event_type || '×' || k END AS reason FROM ev0),
+fo AS (SELECT run_id, document, attempt, coalesce(arg_min_null(attempts, seq), attempt) AS attempts, min(seq) AS first_seq, count(*) AS events, max(tm) AS last_tm, arg_max(stage, seq) AS stage,
+  arg_max(score, seq) FILTER (WHERE score IS NOT NULL) AS score, arg_max(parses, seq) FILTER (WHERE parses IS NOT NULL) AS parses, arg_max(pages, seq) FILTER (WHERE pages IS NOT NULL) AS pages, arg_max(words, seq) FILTER (WHERE words IS NOT NULL) AS words,
+  bool_or(stage = 'repaired') AS repaired, coalesce(arg_max(coalesce(dropped, 0), seq) FILTER (WHERE stage = 'repaired'), 0) AS dropped, coalesce(arg_max(coalesce(reason, ''), seq) FILTER (WHERE stage IN ('repaired', 'rejected')), '') AS reason,
+  coalesce(CASE arg_max(stage, seq) FILTER (WHERE stage IN ('rejected', 'scored')) WHEN 'rejected' THEN 'rejected' WHEN 'scored' THEN 'finished' END, 'open') AS outcome FROM ev WHERE attempt IS NOT NULL GROUP BY run_id, document, attempt)"""
+_FOLD = "run_id, document, attempt, attempts, first_seq, events, strftime(last_tm, '%Y-%m-%d %H:%M:%S.%f') AS last_at, stage, score, parses, pages, words, repaired, dropped, reason, outcome"
 _SLUG = f"trim(regexp_replace({norm('p_name')}, '[^a-z0-9]+', '-', 'g'), '-')"
 _MONTH = lambda d: f"monthname({d}) || ' ' || strftime({d}, '%Y')"
 
@@ -66,6 +76,9 @@ lg AS (SELECT * FROM lv QUALIFY level = min(level) OVER (PARTITION BY owner_id,
 _PLURALS = "[k, k || 's', CASE WHEN k LIKE '%ies' AND length(k) > 4 THEN left(k, length(k) - 3) || 'y' END, CASE WHEN regexp_matches(k, '(ses|xes|zes|ches|shes)$') THEN left(k, length(k) - 2) END, CASE WHEN k LIKE '%s' AND length(k) > 2 THEN left(k, length(k) - 1) END, CASE WHEN regexp_matches(k, '(s|x|z|ch|sh)$') THEN k || 'es' END]"
 
 SQL = {
+    "attempt_folds": f"WITH {_FULL} SELECT {_FOLD} FROM fo",
+    "run_milestones": f"WITH {_FULL} SELECT run_id, seq, stage, score FROM ev WHERE attempt IS NULL",
+    "closed_attempts": f"WITH {_FULL} SELECT {_FOLD} FROM fo WHERE epoch_ms(last_tm) + 86400000 < (SELECT epoch_ms(max(tm)) FROM ev WHERE attempt IS NOT NULL) - 3600000",
     "gate_violations": f"WITH {_RULES} SELECT owner_id, item_id, level, kind, subject FROM g",
     "gate_kinds": f"WITH {_RULES}, k AS (SELECT owner_id, kind, count(*) AS n FROM g GROUP BY owner_id, kind) SELECT owner_id, CAST(sum(n) AS BIGINT) AS violations, string_agg(kind || '×' || n, ', ' ORDER BY kind) AS summary FROM k GROUP BY owner_id",
     "regated_documents": f"WITH {_RULES}, k AS (SELECT owner_id, count(*) AS kept FROM items ANTI JOIN g USING (owner_id, item_id) GROUP BY owner_id) SELECT owner_id, items, coalesce(kept, 0) AS kept, CAST(0 AS BIGINT) AS remaining, coalesce(kept, 0) >= 1 AS usable FROM (SELECT owner_id, count(*) AS items FROM items GROUP BY owner_id) LEFT JOIN k USING (owner_id)",

@@ -349,6 +349,50 @@ def attempt_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.attempt_timeline(stage_events(table(spark, sf_dir, "events"))).withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("first_at", "last_at")})
 
 
+#: Event types as stages of an attempt.
+STAGES = {"click": "drafting", "view": "verifying", "purchase": "scored", "error": "rejected", "signup": "repaired"}
+
+
+def full_events(events: DataFrame) -> DataFrame:
+    """Events with all that a stage may say; every fifth kind of props belongs to no attempt."""
+    k = F.coalesce(F.regexp_extract("props", r'"k": *([0-9]+)', 1).cast("int"), F.lit(0))
+    stage = F.create_map(*[F.lit(x) for pair in STAGES.items() for x in pair])[F.col("event_type")]
+    only = lambda *kinds: F.col("event_type").isin(*kinds)
+    return events.select(
+        F.col("user_id").cast("long").alias("run_id"),
+        F.when(k % 3 == 1, F.lit("cover_letter")).when(k % 3 == 2, F.lit("resume")).alias("document"),
+        F.when(k % 5 != 4, F.col("event_id").cast("int") % 4 + 4 * (F.dayofmonth("ts") % 8)).cast("int").alias("attempt"),
+        F.when(k % 2 == 0, F.lit(32)).alias("attempts"),
+        F.col("event_id").cast("long").alias("seq"),
+        F.col("ts").cast("timestamp").alias("at"),
+        stage.alias("stage"),
+        F.when(only("purchase"), F.col("value")).alias("score"),
+        F.when(only("view"), k > 50).alias("parses"),
+        F.when(only("view"), k % 4).alias("pages"),
+        F.when(only("click"), k * 10).alias("words"),
+        F.when(only("signup") & (k % 7 > 0), k % 7).alias("dropped"),
+        F.when(only("signup", "error") & (k > 10), F.concat(F.col("event_type"), F.lit("×"), k.cast("string"))).alias("reason"),
+    )
+
+
+_SHOWN = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
+def attempt_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.attempt_folds(full_events(table(spark, sf_dir, "events"))).withColumn("last_at", F.date_format("last_at", _SHOWN))
+
+
+def run_milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.milestones(full_events(table(spark, sf_dir, "events"))).select("run_id", "seq", "stage", "score")
+
+
+def closed_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts that a stream over the events' files has closed: those without an event for a day before the last hour."""
+    events = full_events(stages.file_stream(spark, sf_dir, "events", 1_000_000))
+    closed = stages.run_to_files(stages.closed_attempts(events, "1 hour", 86_400_000), shared_folder(spark, "closed"), shared_folder(spark, "closed-state"))
+    return closed.withColumn("last_at", F.date_format("last_at", _SHOWN))
+
+
 def event_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.event_tail(stage_events(table(spark, sf_dir, "events")), 400, 100).select("run_id", "seq", "stage", "from_end")
 
@@ -404,6 +448,6 @@ QUERIES = {f.__name__: f for f in (
     gate_violations, gate_kinds, regated_documents, letter_violations, repaired_letters, profile_violations, prose_claims, entry_checks, unknown_certifications, undeclared_skills, best_letter, description_lines,
     bullet_rubric, rubric_summary, letter_rubric, text_layer_rubric, page_layout_rubric, round_trip, verbatim_echo, extracted_posts, discovered_links,
     evidence_chunks, evidence_sources, completed_posts, contacts_found, month_ranges, newest_entries, ordered_entries, entry_facts, entry_pairs, assigned_ids,
-    best_attempt, stop_reason, run_outcome, attempt_timeline, event_tail, usage_rollup, copy_drift, merged_terms, all_merged_terms, ranked_feedback, shortlists,
+    best_attempt, stop_reason, run_outcome, attempt_timeline, attempt_folds, run_milestones, closed_attempts, event_tail, usage_rollup, copy_drift, merged_terms, all_merged_terms, ranked_feedback, shortlists,
     timeline_stream, usage_stream,
 )}

@@ -11,7 +11,6 @@ from tracewell.sources.pages import strip_html, unescape
 FEED_FIELDS = {"title": "title", "link": "link|id|guid", "date": "pubDate|published|updated|date", "text": "encoded|content|description|summary"}
 DRAFT_ITEM = "struct<entries:array<struct<source_id:string,bullets:array<struct<text:string,source_ids:array<string>>>>>,headline:string,summary:string>"
 RUN = "run_id string, created_at string, mode string, ok boolean, cancelled boolean, score struct<total:double>, documents array<struct<name:string,files:array<string>>>, _corrupt string"
-MOST_COLUMNS = 60
 
 
 def split_descriptions(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -59,19 +58,10 @@ def choose_route(candidates: DataFrame) -> DataFrame:
 
 
 def read_exports(spark: SparkSession, path: str) -> DataFrame:
-    """CSV files to (file, row, col, value): preamble skipped, the header being the widest row, the earliest of equals.
+    """(file, row, col, value): the cells of CSV files; see exports.export_cells, which this selects from."""
+    from tracewell.sources.exports import export_cells
 
-    Column names keep letters only, so that they match loosely; short rows are padded with empty
-    cells and rows without a value are left out. A file is read by one task and keeps its order.
-    """
-    names = [f"c{i}" for i in range(MOST_COLUMNS)]
-    raw = spark.read.csv(path, schema=", ".join(f"{n} string" for n in names), header=False, multiLine=True, nullValue="\x01", emptyValue="", escape='"', recursiveFileLookup=True)
-    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"), F.array(*[F.trim(n) for n in names]).alias("cells"))
-    rows = rows.withColumn("width", F.size(F.filter("cells", lambda c: c.isNotNull())))
-    head = rows.groupBy("file").agg(F.max_by(F.struct("row", "cells", "width"), F.struct("width", -F.col("row"))).alias("h"))
-    body = rows.join(head, "file").where("row > h.row").where(F.exists("cells", lambda c: F.coalesce(c, F.lit("")) != ""))
-    cell = F.transform(F.slice("h.cells", F.lit(1), F.col("h.width")), lambda name, i: F.struct(F.regexp_replace(F.lower(F.regexp_replace(name, "^﻿", "")), "[^a-z]", "").alias("col"), F.coalesce(F.get("cells", i), F.lit("")).alias("value")))
-    return body.select("file", "row", F.inline(cell))
+    return export_cells(spark, path).select("file", "row", "col", "value")
 
 
 def parse_drafts(raw: DataFrame) -> tuple[DataFrame, DataFrame]:

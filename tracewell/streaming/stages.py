@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracewell.operators import runs
 from tracewell.sources import pages as P
@@ -27,6 +31,80 @@ def timeline_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return runs.attempt_timeline(events.withWatermark("at", late))
 
 
+#: What closed_attempts emits, and the state of an open attempt: for each field its value and the seq that it came with.
+_CLOSED = "run_id long, document string, attempt int, attempts int, first_seq long, events long, last_us long, stage string, score double, parses boolean, pages int, words int, repaired boolean, dropped int, reason string, outcome string"
+_FIELDS = {"stage": "string", "score": "double", "parses": "boolean", "pages": "int", "words": "int", "dropped": "int", "reason": "string", "settled": "string"}
+_STATE = "events long, last_us long, first_seq long, attempts int, " + ", ".join(f"{f} {t}, {f}_seq long" for f, t in _FIELDS.items())
+
+
+def _latest(events: pd.DataFrame) -> dict[str, pd.DataFrame]:
+    """For each field, the events that say something of it."""
+    repaired, settling = events["stage"] == "repaired", events["stage"].isin(list(runs.OUTCOMES))
+    reasons = events[repaired | (events["stage"] == "rejected")]
+    return {
+        "stage": events,
+        **{f: events[events[f].notna()] for f in ("score", "parses", "pages", "words")},
+        "dropped": events[repaired].assign(dropped=lambda d: d["dropped"].fillna(0)),
+        "reason": reasons.assign(reason=lambda d: d["reason"].fillna("")),
+        "settled": events[settling].assign(settled=lambda d: d["stage"]),
+    }
+
+
+def closed_attempts(events: DataFrame, late: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
+    """Attempts as runs.attempt_folds gives them, each once, when the watermark has passed its last event by idle_ms.
+
+    events: a stream of the columns of attempt_folds (run_id long, attempt int). State is kept for open
+    attempts only, one row of fixed size for each: events fold into it in any order, by seq, and an event-time
+    timer closes it. Events up to late behind the newest count; later ones are dropped before they get
+    here. An event that comes after its attempt was closed, and is not late, opens the attempt again
+    and so gives a second row. Append mode.
+    """
+    names, timed = list(_FIELDS), events.where("attempt is not null").withColumn("document", F.coalesce("document", F.lit("resume"))).withWatermark("at", late)
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            n, last_us, first_seq, attempts, *rest = state.get
+            value = dict(zip(names, rest[::2], strict=True))
+            state.remove()
+            yield pd.DataFrame(
+                {
+                    "run_id": [key[0]], "document": [key[1]], "attempt": [key[2]], "attempts": [key[2] if attempts is None else attempts], "first_seq": [first_seq], "events": [n],
+                    "last_us": [last_us], "stage": [value["stage"]], "score": [value["score"]], "parses": pd.array([value["parses"]], "boolean"), "pages": pd.array([value["pages"]], "Int32"),
+                    "words": pd.array([value["words"]], "Int32"), "repaired": [value["dropped"] is not None], "dropped": [value["dropped"] or 0], "reason": [value["reason"] or ""], "outcome": [runs.OUTCOMES.get(value["settled"], "open")],
+                }
+            )
+            return
+        n, last_us, first_seq, attempts, *rest = state.get if state.exists else (0, 0, None, None, *[None] * (2 * len(names)))
+        held = dict(zip(names, zip(rest[::2], rest[1::2], strict=True), strict=True))
+        for batch in batches:
+            n += len(batch)
+            last_us = max(last_us, int(batch["us"].max()))
+            earliest = batch.loc[batch["seq"].idxmin()]
+            if first_seq is None or earliest["seq"] < first_seq:
+                first_seq, attempts = int(earliest["seq"]), None if pd.isna(earliest["attempts"]) else int(earliest["attempts"])
+            for f, said in _latest(batch).items():
+                if len(said):
+                    last = said.loc[said["seq"].idxmax()]
+                    if held[f][1] is None or last["seq"] > held[f][1]:
+                        v = last[f]
+                        held[f] = (None if pd.isna(v) else v.item() if hasattr(v, "item") else v, int(last["seq"]))
+        for f, kind in _FIELDS.items():
+            if kind == "int" and held[f][0] is not None:
+                held[f] = (int(held[f][0]), held[f][1])
+        state.update((n, last_us, first_seq, attempts, *[x for f in names for x in held[f]]))
+        state.setTimeoutTimestamp(max(last_us // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
+
+    keyed = timed.withColumn("us", F.unix_micros("at")).select("run_id", "document", "attempt", "attempts", "seq", "at", "us", "stage", "score", "parses", "pages", "words", "dropped", "reason")
+    closed = keyed.groupBy("run_id", "document", "attempt").applyInPandasWithState(fold, _CLOSED, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return closed.select("run_id", "document", "attempt", "attempts", "first_seq", "events", F.timestamp_micros("last_us").alias("last_at"), *["stage", "score", "parses", "pages", "words", "repaired", "dropped", "reason", "outcome"])
+
+
+def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run an append stream over all that is there now into Parquet files, each row once also after a restart, and return all rows so far."""
+    stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
 def usage_stream(calls: DataFrame) -> DataFrame:
     """Running calls, tokens and seconds of each run."""
     return calls.groupBy("run_id").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.coalesce("tokens", F.lit(0.0))).alias("tokens"), F.round(F.sum(F.coalesce("seconds", F.lit(0.0))), 2).alias("seconds"))
