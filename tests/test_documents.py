@@ -198,3 +198,23 @@ def test_letters(spark):
     assert (by[1].kept, by[1].dropped, by[1].remaining, by[1].usable) == (2, 1, 0, True)
     assert (by[2].kept, by[2].remaining, by[2].usable) == (0, 1, False)  # nothing is left of it
     assert (by[3].dropped, by[3].summary) == (1, "empty_letter×1")
+
+
+def test_streamed_items_get_the_batch_gate_s_verdicts(spark, tmp_path):
+    from tracewell.streaming import stages
+
+    bullets = [bullet(1, "Docker, 3 releases", ["job1"]), bullet(2, " ", []), bullet(3, "x", []), bullet(4, "y", ["nope"]), bullet(5, "Ran Postgres", ["job2"]), bullet(6, "41 with Spark", ["job1"])]
+    docs, record, _ = case(spark, [JOB], bullets)
+    known = written(names.names_of(frame(spark, [(t,) for t in LEXICON], "term string"), synonyms(spark)), "names")
+
+    def said(texts):
+        keyed = texts.selectExpr("struct(owner_id, where) as id", "text")
+        return D.Said(M.mentions(keyed, known.select("term").distinct(), "id").selectExpr("id.owner_id", "id.where", "term"), ground.figure_claims(texts, ["owner_id", "where"]), known)
+
+    docs.bullets.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(docs.bullets.schema).parquet(str(tmp_path / "in"))
+    rows = lambda df: sorted((r.where, r.kind, r.subject) for r in df.collect())
+    want = rows(D.item_violations(docs, record, said(docs.bullets.select("owner_id", "where", "text")), KINDS))
+    for _ in range(2):  # the second run finds nothing new and repeats nothing
+        got = rows(stages.gate_items(stream, record, said, docs.entries, KINDS, str(tmp_path / "out"), str(tmp_path / "state")))
+        assert got == want and len(want) == 6

@@ -142,13 +142,8 @@ def violations(docs: Documents, record: Record, said: Said, allowed: dict[str, t
     rejected = of_entries.where(F.col("kind").isin(*REJECTED)).select("owner_id", "where").distinct()
     live = docs.bullets.join(rejected.withColumnRenamed("where", "under"), ["owner_id", "under"], "left_anti")
 
-    rules = _bullet_rules(live, docs.entries, record, entry_kinds)
-    least = F.min("level").over(Window.partitionBy("owner_id", "where"))
-    first = written(rules.withColumn("_least", least).where("level = _least").drop("_least", "level"), "bullet-rules")
-    sound = live.join(first.select("owner_id", "where").distinct(), ["owner_id", "where"], "left_anti")
-    cited = sound.select("owner_id", "where", F.explode("cites").alias("source_id"))
+    of_items = item_violations(docs._replace(bullets=live), record, said, entry_kinds)
     mine = lambda df, places: df.join(places.select("owner_id", "where").distinct(), ["owner_id", "where"], "left_semi")
-    claimed = unbacked(mine(said.terms, sound), mine(said.figures, sound), widened(cited, record.sources), record, said.names)
 
     selected = docs.entries.join(rejected, ["owner_id", "where"], "left_anti").select("owner_id", F.col("entry_id").alias("source_id"))
     prose = docs.prose.where(F.coalesce(F.trim("text"), F.lit("")) != "")
@@ -159,7 +154,18 @@ def violations(docs: Documents, record: Record, said: Said, allowed: dict[str, t
 
     wanted = docs.certificates.select("owner_id", "cited").distinct()
     certificates = ground.unknown_certifications(wanted, record.sources).withColumn("where", F.concat(F.lit("certifications["), _id("cited"), F.lit("]")))
-    return of_entries.unionByName(first).unionByName(claimed).unionByName(of_prose).unionByName(_found(certificates, "unknown_certification", _id("cited"))).unionByName(undeclared(docs.skills, record, said.names))
+    return of_entries.unionByName(of_items).unionByName(of_prose).unionByName(_found(certificates, "unknown_certification", _id("cited"))).unionByName(undeclared(docs.skills, record, said.names))
+
+
+def item_violations(docs: Documents, record: Record, said: Said, entry_kinds: tuple[str, ...]) -> DataFrame:
+    """(owner_id, where, kind, subject) of the bullets' earliest failing rules, each bullet judged by itself."""
+    rules = _bullet_rules(docs.bullets, docs.entries, record, entry_kinds)
+    least = F.min("level").over(Window.partitionBy("owner_id", "where"))
+    first = written(rules.withColumn("_least", least).where("level = _least").drop("_least", "level"), "bullet-rules")
+    sound = docs.bullets.join(first.select("owner_id", "where").distinct(), ["owner_id", "where"], "left_anti")
+    cited = sound.select("owner_id", "where", F.explode("cites").alias("source_id"))
+    mine = lambda df: df.join(sound.select("owner_id", "where").distinct(), ["owner_id", "where"], "left_semi")
+    return first.unionByName(unbacked(mine(said.terms), mine(said.figures), widened(cited, record.sources), record, said.names))
 
 
 def undeclared(skills: DataFrame, record: Record, said_names: DataFrame) -> DataFrame:

@@ -11,10 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions.shared import written
+from tracewell.functions import dates
+from tracewell.functions.shared import shared_folder, written
 from tracewell.operators import documents as D
 from tracewell.operators import ground, mentions, names
 from tracewell.plans.text_queries import Tables, dictionary, table
+from tracewell.sources import evidence, links
+from tracewell.sources import pages as P
+from tracewell.streaming import stages
 
 ALLOWED = {"answers": ("user",), "questions": ("certification",)}
 LONG = 6
@@ -134,4 +138,38 @@ def letter_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.outcomes(c.owners, letters, done, 2).drop("entries_kept")
 
 
-QUERIES = {f.__name__: f for f in (synonym_classes, canonical_mentions, claim_names, document_violations, document_repairs, document_parts_kept, letter_repairs)}
+def streamed_item_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations' lines as a stream of items, in batches of files, judged one by one."""
+    c = Conversations(spark, sf_dir)
+    folder = shared_folder(spark, "lines")
+    c.bullets.repartition(4, "owner_id").write.parquet(folder)
+    items = spark.readStream.schema(c.bullets.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    return stages.gate_items(items, c.record, c.claimed, c.documents.entries, ("user",), shared_folder(spark, "judged"), shared_folder(spark, "judged-state"))
+
+
+def post_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the pages' anchors lead that looks like a post."""
+    return links.post_links(table(spark, sf_dir, "pages"))
+
+
+def synced_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' posts synced twice as streams, lines as paragraphs: the second sync adds nothing."""
+    store = shared_folder(spark, "evidence")
+    for _ in range(2):
+        posts = P.extract_posts(stages.file_stream(spark, sf_dir, "pages"))
+        out = evidence.sync_posts(posts, store, shared_folder(spark, "sync"), between="\n")
+    return out.select("evidence_id", "content_id", "url", "n", F.length("text").alias("n_chars"))
+
+
+def order_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates as records and mails write them, read again."""
+    day = F.col("o_orderdate").cast("timestamp")
+    form = F.col("o_orderkey") % 6
+    shown = F.when(form == 0, F.date_format(day, "MMM yyyy")).when(form == 1, F.date_format(day, "M/yyyy")).when(form == 2, F.date_format(day, "yyyy-M")).when(form == 3, F.date_format(day, "yyyy"))
+    shown = shown.when(form == 4, F.concat(F.lit("early in "), F.date_format(day, "yyyy"))).otherwise(F.date_format(day, "MMMM yyyy"))
+    mailed = F.when(form < 3, F.date_format(day, "EEE, d MMM yyyy HH:mm")).otherwise(F.date_format(day, "yyyy-MM-dd HH:mm"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", dates.record_date(shown).alias("r"), dates.post_date(mailed).alias("p"))
+    return o.select("o_orderkey", F.col("r.value").alias("month"), F.col("r.family").alias("family"), F.col("p.value").alias("day"), F.col("p.family").alias("day_family"))
+
+
+QUERIES = {f.__name__: f for f in (synonym_classes, canonical_mentions, claim_names, document_violations, document_repairs, document_parts_kept, letter_repairs, streamed_item_gate, post_links, synced_evidence, order_dates)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tracewell.functions import vocab
 from tracewell.plans.document_queries import LONG
-from tracewell.plans.oracle_records import _FIG, _PLURALS
+from tracewell.plans.oracle_records import _FIG, _PLURALS, _POSTS
 from tracewell.plans.oracle_text import PRE, norm
 
 _tokens = lambda c: f"unnest(list_distinct(regexp_extract_all({norm(c)}, '[a-z0-9]+')))"
@@ -126,7 +126,27 @@ bs{n} AS (SELECT owner_id, wh, unnest(cites) AS source_id FROM sb{n}),
 v{n} AS (FROM f{n} UNION ALL FROM ub{n} UNION ALL SELECT DISTINCT owner_id, 'letter', 'empty_letter', '' FROM tn WHERE owner_id NOT IN (SELECT owner_id FROM b{n}))"""
 
 
+#: The same rules for lines whose entries are not judged.
+_ITEM = _gate(1).replace("lb1 AS (SELECT * FROM b1 ANTI JOIN rj1 USING (owner_id, under))", "lb1 AS (SELECT * FROM b1)")
+_PARAGRAPHS = f"""{_POSTS},
+l AS (SELECT page_id, url, title, list_filter(list_transform(string_split(text, '\n'), lambda p: trim(p, ' \t\r')), lambda p: len(regexp_extract_all(p, '\\S+')) >= {vocab.PARAGRAPH_WORDS} AND lower(trim(regexp_replace(p, '[\\x09-\\x0D\\x20]+', ' ', 'g'))) <> lower(trim(regexp_replace(title, '[\\x09-\\x0D\\x20]+', ' ', 'g')))) AS ps FROM posts),
+k(page_id, url, title, ps, i, n, now) AS (SELECT page_id, url, title, ps, 1, 1, ps[1] FROM l WHERE len(ps) > 0
+  UNION ALL SELECT page_id, url, title, ps, i + 1, CASE WHEN length(now) + length(ps[i + 1]) > {vocab.CHUNK_CHARS} THEN n + 1 ELSE n END, CASE WHEN length(now) + length(ps[i + 1]) > {vocab.CHUNK_CHARS} THEN ps[i + 1] ELSE now || '\n\n' || ps[i + 1] END FROM k WHERE i < len(ps)),
+ck AS (SELECT page_id, url, title, n, arg_max(now, i) AS chunk FROM k GROUP BY page_id, url, title, n),
+nm AS (SELECT *, trim(regexp_replace({norm("CASE WHEN trim(title) <> '' THEN title ELSE replace(trim(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/'), '/', '-') END")}, '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM ck),
+sl AS (SELECT *, trim(CASE WHEN length(slug) <= 40 THEN slug WHEN contains(left(slug, 40), '-') AND substr(slug, 41, 1) <> '-' THEN regexp_replace(left(slug, 40), '-[^-]*$', '') ELSE left(slug, 40) END, '-') AS short FROM nm)"""
+
 SQL = {
+    "streamed_item_gate": f"WITH RECURSIVE {_DOCS}, {_ITEM} SELECT owner_id, wh AS \"where\", kind, subject FROM f1 UNION ALL SELECT owner_id, wh, kind, subject FROM ub1",
+    "post_links": r"""WITH t AS (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS host, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<a\b[^>]*>')) AS tag, generate_subscripts(regexp_extract_all(coalesce(html, ''), '(?is)<a\b[^>]*>'), 1) - 1 AS n FROM pages),
+h AS (SELECT page_id, n, host, regexp_extract(regexp_extract(tag, '(?is)\shref\s*=\s*"([^"]*)"', 1), '^[^#]*') AS href FROM t),
+r AS (SELECT page_id, n, host, CASE WHEN regexp_matches(href, '^https?://') THEN href ELSE host || href END AS link FROM h WHERE href <> ''),
+p AS (SELECT page_id, n, link, rtrim(regexp_extract(link, '^https?://[^/?#]*([^?#]*)', 1), '/') AS path FROM r WHERE starts_with(link, host || '/'))
+SELECT page_id, CAST(min(n) AS INTEGER) AS n, link FROM p WHERE starts_with(path, '/') AND NOT regexp_matches(path, '(?i)\.(png|jpe?g|gif|svg|css|js|xml|json|pdf|ico|webp)$') AND NOT regexp_matches(path, '(?i)/(tags?|categor(y|ies)|page|author|about|archive)s?(/|$)') GROUP BY page_id, link""".replace("\\\\", "\\"),
+    "synced_evidence": f"WITH RECURSIVE {_PARAGRAPHS} SELECT 'blog:' || CASE WHEN short = '' THEN 'x' ELSE short END || '#' || n AS evidence_id, sha256(coalesce(url, '') || '\n' || chunk) AS content_id, url, CAST(n AS INTEGER) AS n, length(chunk) AS n_chars FROM sl QUALIFY row_number() OVER (PARTITION BY coalesce(url, '') || '\n' || chunk ORDER BY n) = 1",
+    "order_dates": """WITH o AS (SELECT o_orderkey, o_orderdate AS d, o_orderkey % 6 AS f FROM orders)
+SELECT o_orderkey, CASE f WHEN 3 THEN strftime(d, '%Y') WHEN 4 THEN 'early in ' || strftime(d, '%Y') ELSE strftime(d, '%Y-%m') END AS month, CASE f WHEN 1 THEN 'month_number' WHEN 2 THEN 'iso' WHEN 3 THEN 'year' WHEN 4 THEN 'as_written' ELSE 'month_name' END AS family,
+  strftime(d, '%Y-%m-%d') AS day, CASE WHEN f < 3 THEN 'mail' ELSE 'iso' END AS day_family FROM o""",
     "synonym_classes": f"WITH RECURSIVE {PRE}, {_CLASSES} SELECT node AS spelling, canonical FROM root",
     "canonical_mentions": f"""WITH RECURSIVE {PRE}, {_CLASSES}, nm AS (SELECT term AS spelling, coalesce(canonical, term) AS canonical FROM longd LEFT JOIN root ON term = node),
 sp AS {_plurals('nm', 'spelling', 'canonical')}

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tracewell.functions.shared import written
+from tracewell.operators import documents as D
 from tracewell.operators import runs
 from tracewell.sources import pages as P
 
@@ -120,6 +122,28 @@ def gate_stream(items: DataFrame, sources: DataFrame) -> DataFrame:
     return cited.join(known, ["owner_id", "source_id"], "left").select("owner_id", "item_id", "source_id", F.coalesce("known", F.lit(False)).alias("known"))
 
 
+def gate_items(items: DataFrame, record: D.Record, said_of: Callable[[DataFrame], D.Said], entries: DataFrame, entry_kinds: tuple[str, ...], path: str, checkpoint: str) -> DataFrame:
+    """A stream of bullets through all rules of an item: its citations, their owners, and the terms and figures it claims.
+
+    items: a stream of (owner_id, where, under, text, cites); entries as in Documents; said_of finds what a batch's bullets
+    (owner_id, where, text) claim. Every bullet is judged against static tables alone, so a batch is a plan
+    of stream-static joins and no state is kept; a batch's violations are its own folder, so one that is
+    run again after a failure replaces itself. Returns all violations so far: (owner_id, where, kind, subject).
+    """
+    spark = items.sparkSession
+    none = lambda schema: spark.createDataFrame([], schema)
+
+    def judge(batch: DataFrame, number: int) -> None:
+        bullets = written(batch, "items")
+        docs = D.Documents(entries, bullets, *[none("owner_id long")] * 4)  # only the items' rules run
+        found = D.item_violations(docs, record, said_of(bullets.select("owner_id", "where", "text")), entry_kinds)
+        found.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    items.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    kind = items.schema["owner_id"].dataType.simpleString()
+    return spark.read.schema(f"owner_id {kind}, `where` string, kind string, subject string, batch int").parquet(path).drop("batch")
+
+
 def chunk_stream(pages: DataFrame, late: str = "1 day") -> DataFrame:
     """Arriving pages (page_id, url, html, at) to evidence chunks, each page's first arrival only."""
     once = pages.withWatermark("at", late).dropDuplicatesWithinWatermark(["page_id"])
