@@ -103,7 +103,7 @@ def stuffing(counts: DataFrame, bullets: DataFrame, owner: str = "doc_id") -> Da
     return over.select(owner, "stuffed", F.round(F.least(F.lit(0.5), F.col("stuffed") * 0.1), 6).alias("penalty"))
 
 
-def title_fit(pairs: DataFrame, title: str = "title", seniority: str = "seniority", surface: str = "surface", levels: str = "levels") -> DataFrame:
+def title_fit(pairs: DataFrame, title: str = "title", seniority: str = "seniority", surface: str = "surface", levels: str = "levels", digits: int = 6) -> DataFrame:
     """pairs with overlap, title_fit and missing_title, of a posting's title and level and a draft's surface.
 
     overlap: the share of the title's content words on the surface; 1 for a title without any. Where
@@ -118,9 +118,9 @@ def title_fit(pairs: DataFrame, title: str = "title", seniority: str = "seniorit
     at_level = F.contains(shown, asked)
     for level, pattern in vocab.SENIORITY.items():
         at_level = F.when(asked == level, shown.rlike(pattern)).otherwise(at_level)
-    rows = rows.withColumn("overlap", F.round(overlap, 6))
+    rows = rows.withColumn("overlap", F.round(overlap, digits))
     score = F.when(asked == "", overlap).otherwise(overlap * 0.5 + at_level.cast("double") * 0.5)
-    return rows.withColumn("title_fit", F.round(score, 6)).withColumn("missing_title", F.array_sort("_lost")).drop("_want", "_have", "_lost")
+    return rows.withColumn("title_fit", F.round(score, digits)).withColumn("missing_title", F.array_sort("_lost")).drop("_want", "_have", "_lost")
 
 
 def in_context(wanted: DataFrame, counts: DataFrame, bullets: DataFrame, dealt: DataFrame, posting: str = "item_id", owner: str = "doc_id") -> DataFrame:
