@@ -90,3 +90,17 @@ LAYOUT = {
 TARGET, SLACK, MIN_GAIN, EVENTS_KEPT = 80.0, 2.0, 1.5, 400
 #: Chunking: characters of a chunk, least words of a paragraph; teaser length.
 CHUNK_CHARS, PARAGRAPH_WORDS, TEASER_CHARS = 700, 8, 240
+
+#: Section names that machines file content under.
+STANDARD_HEADINGS = (
+    "summary", "professional summary", "profile", "objective", "skills", "technical skills", "core skills", "experience", "work experience",
+    "professional experience", "employment history", "projects", "personal projects", "technical projects", "education", "certifications",
+    "licenses", "certifications and licenses", "publications", "awards", "volunteer experience",
+)
+#: Dates that machines read: a month by its full name and a year, alone or as a range.
+_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+DATE_RANGE = rf"^({_MONTHS})\s+\d{{4}}\s*[-–—]\s*(({_MONTHS})\s+\d{{4}}|Present)$|^(({_MONTHS})\s+\d{{4}}|Present)$"
+#: Addressees that say nobody was looked for.
+DEAD_ADDRESSEES = r"to whom it may concern|dear sir(?: or madam)?|dear madam"
+#: Least characters of a requirement that counts as restated, posting terms a letter is held against, and pages allowed.
+ECHO_CHARS, POSTING_TERMS, MAX_PAGES = 25, 30, 1
