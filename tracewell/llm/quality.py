@@ -18,24 +18,22 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.common import crc_fold, limit_batches
 
-#: Words of a passage; bound on the labelled documents to learn from.
-PASSAGE_WORDS, SAMPLE = 80, 6000
+#: Words of a passage; bounds on the labelled documents to learn from and on the UTF-8 bytes of their texts.
+PASSAGE_WORDS, SAMPLE, SAMPLE_BYTES = 80, 6000, 64 << 20
 #: Hidden sizes, training epochs, step size, weight decay, seed.
 ENCODED, GATE, EPOCHS, STEP, DECAY, SEED = 24, 12, 40, 0.01, 1e-4, 11
 
 #: Byte classes: every ASCII sign its own; letters, capitals, digits and non-ASCII bytes one each.
 _CLASSES = np.zeros(256, np.intp)
 for _b in range(256):
-    _CLASSES[_b] = 0 if 97 <= _b < 123 else 1 if 65 <= _b < 91 else 2 if 48 <= _b < 58 else 3 if _b >= 128 else 4 if _b < 32 and _b != 10 else 5
-_SIGNS = [b for b in range(33, 127) if _CLASSES[b] == 5] + [10]
+    _CLASSES[_b] = 0 if 97 <= _b < 123 else 1 if 65 <= _b < 91 else 2 if 48 <= _b < 58 else 3 if _b >= 128 else 4 if _b < 32 else 5
+_SIGNS = [b for b in range(33, 127) if _CLASSES[b] == 5]
 for _k, _b in enumerate(_SIGNS):
     _CLASSES[_b] = 6 + _k
 _N_CLASSES = 6 + len(_SIGNS)
-#: Coarse classes for pairs of neighbouring bytes: letter, capital, digit, non-ASCII, other, space, sign, newline.
-_COARSE = np.where(_CLASSES < 6, _CLASSES, 6)
-_COARSE[10] = 7
-_COARSE[32] = 5
-FEATURES = _N_CLASSES + 64 + 5
+#: Coarse classes for pairs of neighbouring bytes: letter, capital, digit, non-ASCII, control, space, sign.
+_COARSE, _KINDS = np.where(_CLASSES < 6, _CLASSES, 6), 7
+FEATURES = _N_CLASSES + _KINDS**2 + 5
 
 
 def passages(text: str | None) -> np.ndarray:
@@ -55,7 +53,7 @@ def passages(text: str | None) -> np.ndarray:
         row = out[k]
         row[:_N_CLASSES] = np.sqrt(np.bincount(_CLASSES[raw], minlength=_N_CLASSES) / size)
         coarse = _COARSE[raw]
-        row[_N_CLASSES : _N_CLASSES + 64] = np.sqrt(np.bincount(coarse[:-1] * 8 + coarse[1:], minlength=64) / size)
+        row[_N_CLASSES:-5] = np.sqrt(np.bincount(coarse[:-1] * _KINDS + coarse[1:], minlength=_KINDS**2) / size)
         row[-5:] = (size / len(part) / 10, len(set(part)) / len(part), np.log1p(len(part)), repeated, max(map(len, part)) / 50)
     return out
 
@@ -124,12 +122,24 @@ class MilModel:
         return self.forward(np.concatenate(bags), np.cumsum([0, *[len(b) for b in bags[:-1]]]))["y"]
 
 
+def within(sizes: list[int], budget: int) -> list[int]:
+    """The places of the sizes that are taken in order while their sum stays within the budget."""
+    taken, total = [], 0
+    for k, size in enumerate(sizes):
+        if total + size <= budget:
+            taken.append(k)
+            total += size
+    return taken
+
+
 def train(docs: DataFrame, labels: DataFrame, held_out: int | None = 1) -> MilModel | None:
     """Learn from labelled documents outside the held-out fold; None if no labelled text is there.
 
-    A hash of the id picks about SAMPLE labelled documents (all where there are fewer), so what is
-    joined to the documents, by broadcast, and what reaches the driver is bounded. Of
-    contradicting labels of one id the greater counts; null labels do not.
+    A hash of the id picks about SAMPLE labelled documents (all where there are fewer). Their sizes
+    are read first, and documents are taken in the order of their hashes while their texts, whole,
+    hold SAMPLE_BYTES together; one that would pass that bound is left out. A passage's statistics
+    take 2.3 times its text's bytes at most, so this bounds what reaches the driver. Of contradicting labels
+    of one id the greater counts; null labels do not. A repeated id counts once, with its greatest text.
     """
     limit_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max("quality").cast("double").alias("label"))
@@ -139,15 +149,24 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int | None = 1) -> MilMo
     if not total:
         return None
     share = min(1.0, SAMPLE / total)
-    sample = known.where(F.pmod(F.xxhash64("label_id", F.lit("quality sample")), F.lit(1 << 20)) < share * (1 << 20))
-    picked = docs.join(F.broadcast(sample), F.col("doc_id").cast("long") == F.col("label_id")).select("label_id", "label", F.col("text").cast("string").alias("text"))
+    draw = F.pmod(F.xxhash64("label_id", F.lit("quality sample")), F.lit(1 << 20))
+    sample = known.where(draw < share * (1 << 20)).withColumn("draw", draw)
+    same = F.col("doc_id").cast("long") == F.col("label_id")
+    sizes = docs.select("doc_id", F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long").alias("size")).join(F.broadcast(sample), same)
+    sizes = sizes.groupBy("label_id", "label", "draw").agg(F.max("size").alias("size")).orderBy("draw", "label_id").toArrow()
+    taken = within(sizes["size"].to_pylist(), SAMPLE_BYTES)
+    if not taken:
+        return None
+    chosen = docs.sparkSession.createDataFrame(sizes.select(["label_id", "label", "size"]).take(pa.array(taken)))
+    whole = F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("size")
+    picked = docs.join(F.broadcast(chosen), same & whole).select("label_id", "label", F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [passages(t).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["label_id", "label", "bag"])
 
-    # a repeated id gives rows beyond the bound; one of them is enough to learn from
+    # repeated ids give equal labels and sizes; one row of each is enough to learn from
     got = picked.mapInArrow(run, "label_id long, label double, bag binary").groupBy("label_id").agg(F.first("label").alias("label"), F.min("bag").alias("bag")).orderBy("label_id").toArrow()
     bags = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in got["bag"].to_pylist()]
     if not bags:
@@ -160,8 +179,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int | None = 1) -> MilMo
 def score_documents(docs: DataFrame, model: MilModel | None) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (score of 0.5 or more) for every whole text, every passage read.
 
-    One row per input row; null and empty texts are scored as one passage of zeros. Without a model
-    (no labelled text to learn from) every score is 0.5. Only the text is read.
+    One row per input row, so none for an empty table; null and empty texts are scored as one passage
+    of zeros. Without a model (no labelled text to learn from) every score is 0.5. Only the text is read.
     """
     limit_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -177,5 +196,6 @@ def score_documents(docs: DataFrame, model: MilModel | None) -> DataFrame:
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted per document; learned outside the fold. An empty table gives no rows."""
     model = train(docs, labels)
     return score_documents(docs, model).select("doc_id", (crc_fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
