@@ -33,6 +33,7 @@ NO_SEARCH_TERM = (
     r"attention to|understanding of|knowledge of|familiarity with|exposure to|experience|background|proficien\w*|comfortable|willing|eager|"
     r"strong|excellent|solid|proven|demonstrated|working knowledge|communication skills|interpersonal|soft skills)\b"
 )
+YEARS = r"(?i)(\d+)\+?\s*(?:-\s*\d+\s*)?years?"
 HEAD_LINES, HEAD_CHARS = 12, 600
 
 
@@ -77,7 +78,7 @@ def headers(postings: DataFrame, posting: str = "posting_id", raw: str = "raw")
         F.min_by(F.when(role, F.col("line")), F.when(role, F.col("n"))).alias("role_line"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("head"),
     )
-    years = sections(postings, posting, raw).where("bucket = 'requirement'").select(posting, F.explode(F.regexp_extract_all("text", F.lit(r"(?i)(\d+)\+?\s*(?:-\s*\d+\s*)?years?"), F.lit(1))).alias("y"))
+    years = sections(postings, posting, raw).where("bucket = 'requirement'").select(posting, F.explode(F.regexp_extract_all("text", F.lit(YEARS), F.lit(1))).alias("y"))
     least = years.groupBy(posting).agg(F.min(F.col("y").cast("int")).alias("min_years"))
     title = _first(F.trim(F.regexp_extract(text, r"(?im)^\s*(?:job\s+)?title\s*:\s*(.+)$", 1)), F.trim(F.regexp_replace(F.coalesce("role_line", F.lit("")), r"\s*[-–—|@]\s*.*$", "")))
     company = _first(F.trim(F.regexp_extract(text, r"(?im)^\s*company\s*:\s*(.+)$", 1)), F.trim(F.regexp_extract(text, ABOUT, 1)), F.trim(F.regexp_extract(F.coalesce("head", F.lit("")), AT, 1)))
@@ -110,6 +111,36 @@ def enrich(heads: DataFrame, fields: DataFrame, posting: str = "posting_id") ->
     return joined.select(posting, *[_first(F.col(c), F.coalesce(f"_{c}", F.lit(""))).alias(c) for c in ("title", "company", "seniority")], "min_years")
 
 
+def enrich_lists(lists: DataFrame, outputs: DataFrame, heads: DataFrame, posting: str = "posting_id") -> DataFrame:
+    """(posting, kind, place, term): the rules' lists, each followed by what the model adds to it.
+
+    lists: (posting, kind, seq, term) of the kinds hard_skills, keywords, qualifications and
+    responsibilities; outputs: (posting, output), JSON with lists by these names; heads: enrich()'s.
+    Skills join the keywords, and of both only what a person could claim stays. A field that is no
+    list, or an output that is no JSON, adds nothing; blank and null entries neither.
+    """
+    texts = lambda kind: F.from_json(F.get_json_object("output", f"$.{kind}"), "array<string>")
+    said = lambda kind: outputs.select(posting, F.posexplode(texts(kind)).alias("seq", "term")).where(F.trim("term") != "")
+    had = lambda kind: lists.where(F.col("kind") == kind).select(posting, "seq", "term")
+    again = lambda merged: merged.withColumnRenamed("place", "seq")
+    skills = merge_terms(had("hard_skills"), said("hard_skills"), posting)
+    words = merge_terms(again(merge_terms(had("keywords"), again(skills), posting)), said("keywords"), posting)
+    made = {"hard_skills": candidate_terms(skills, heads, posting), "keywords": candidate_terms(words, heads, posting)}
+    made |= {kind: merge_phrases(had(kind), said(kind), posting) for kind in ("qualifications", "responsibilities")}
+    out = None
+    for kind, rows in made.items():
+        rows = rows.select(posting, F.lit(kind).alias("kind"), "place", "term")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def fewest_years(heads: DataFrame, merged: DataFrame, posting: str = "posting_id") -> DataFrame:
+    """heads whose min_years, where unknown, is the least number of years that a merged qualification states."""
+    years = merged.where("kind = 'qualifications'").select(posting, F.explode(F.regexp_extract_all("term", F.lit(YEARS), F.lit(1))).alias("y"))
+    least = years.groupBy(posting).agg(F.min(F.expr("try_cast(y as int)")).alias("_least"))
+    return heads.join(least, posting, "left").withColumn("min_years", F.coalesce("min_years", "_least")).drop("_least")
+
+
 def parse_postings(postings: DataFrame, mentions: DataFrame, posting: str = "posting_id", raw: str = "raw") -> DataFrame:
     """One row for each posting: header, terms, requirements and responsibilities in order."""
     parts = sections(postings, posting, raw)

@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
 from tracewell.functions import vocab
+from tracewell.functions.shared import shared_folder, written
 
 
 def stacked(df: DataFrame, id_cols: list[str], checks: dict[str, Column]) -> DataFrame:
@@ -118,13 +120,23 @@ def verbatim_echo(sentences: DataFrame, texts: DataFrame, least: int = 25, doc:
 
     Each place of a text is held against the sentences' first least + 1 characters by a rolling
     hash, and the whole sentence where that agrees, so no text is held against every sentence.
+    Sentences of more than SEARCHED_BYTES are searched slice by slice: one slice is in memory at a
+    time, and what it found is written before the next. No sentences, no rows.
     """
-    long = sentences.select(T.normalize("sentence").alias("sentence")).where(F.length("sentence") > least).distinct()
+    spark = texts.sparkSession
+    long = written(sentences.select(T.normalize("sentence").alias("sentence")).where(F.length("sentence") > least).distinct(), "sentences")
     norm = texts.select(doc, T.normalize("text").alias("norm"))
-    found = norm.select(doc, F.col("norm").alias("sentence")).limit(0)
-    for some in _in_slices(long):
-        found = found.unionByName(_search(norm, some, least + 1, doc))
-    return found.distinct()
+    slices, n_bytes = _in_slices(long), long.agg(F.sum(F.octet_length("sentence"))).first()[0] or 0
+    if n_bytes < SEARCHED_BYTES:
+        return _search(norm, spark.sparkContext.broadcast(next(slices, [])), least + 1, doc).distinct()
+    norm = written(norm, "normal")
+    paths = []
+    for some in slices:
+        shared = spark.sparkContext.broadcast(some)
+        paths.append(shared_folder(spark, "echo"))
+        _search(norm, shared, least + 1, doc).distinct().write.parquet(paths[-1])
+        shared.destroy()
+    return spark.read.parquet(*paths)
 
 
 def _in_slices(sentences: DataFrame) -> Iterator[list[str]]:
@@ -153,9 +165,8 @@ def _rolling(text: str, width: int) -> np.ndarray:
         part = part[: max(0, len(part) - size // 2)] * np.uint64(pow(_BASE, size // 2, 1 << 64)) + part[size // 2 :]
 
 
-def _search(norm: DataFrame, sentences: list[str], width: int, doc: str) -> DataFrame:
-    """(doc, sentence): sentences of width characters or more that norm holds, by a rolling hash (Rabin-Karp)."""
-    shared = norm.sparkSession.sparkContext.broadcast(sentences)
+def _search(norm: DataFrame, shared: Broadcast, width: int, doc: str) -> DataFrame:
+    """(doc, sentence): the shared sentences of width characters or more that norm holds, by a rolling hash (Rabin-Karp)."""
     schema = norm.select(doc, F.col("norm").alias("sentence")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -228,3 +228,29 @@ def feedback(drafts: DataFrame, scored: Scored, gaps: DataFrame, postings: DataF
     for name, most in LISTS.items():
         longest = F.when(F.col("list") == name, F.lit(most)).otherwise(longest)
     return ranked.where(longest.isNull() | (F.col("rank") <= longest)).select("doc_id", "list", "rank", "entry")
+
+
+def document_texts(drafts: DataFrame) -> DataFrame:
+    """(doc_id, searchable, running, n_words, n_bullets): what a draft says, what of it is running text, and how much that is.
+
+    Words are runs without white space.
+    """
+    said = drafts.select("doc_id", searchable_text().alias("searchable"), running_text().alias("running"), F.size(F.filter("bullets", lambda b: F.trim(b) != "")).alias("n_bullets"))
+    return said.withColumns({"n_words": F.size(F.regexp_extract_all("searchable", F.lit(r"\S+"), F.lit(0))), "n_bullets": F.greatest(F.lit(0), F.coalesce("n_bullets", F.lit(0)))})
+
+
+def breakdown(scores: DataFrame) -> DataFrame:
+    """(doc_id, item_id, component, weight, share, points): one row for each component of score_drafts' scores."""
+    rows = [F.struct(F.lit(name).alias("component"), F.lit(w).alias("weight"), F.col(name).alias("share"), F.round(F.col(name) * (w * 100), 4).alias("points")) for name, w in vocab.WEIGHTS.items()]
+    return scores.select("doc_id", "item_id", F.inline(F.array(*rows)))
+
+
+def notes(scores: DataFrame, owners: DataFrame, best: DataFrame, target: float = vocab.TARGET) -> DataFrame:
+    """(doc_id, item_id, total, ceiling, note): what a total means against what its record could reach.
+
+    owners: (doc_id, source); best: ceilings(). 'reached', or 'tailoring' where the record could have
+    reached the target, or 'out_of_reach' where no draft of it can. Without a ceiling the note is null.
+    """
+    both = scores.join(owners.select("doc_id", "source"), "doc_id").join(best.select("item_id", "source", "ceiling"), ["item_id", "source"], "left")
+    note = F.when(F.col("ceiling") < target, "out_of_reach").when(F.col("total") >= target, "reached").when(F.col("ceiling") >= target, "tailoring")
+    return both.select("doc_id", "item_id", "total", "ceiling", note.alias("note"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from tracewell.functions import vocab
 from tracewell.operators.scores import LISTS
 from tracewell.plans.oracle_text import _TERM_MET, PRE, _quote, content, norm, sentences
+from tracewell.plans.score_queries import NOTE_TARGET
 
 _SHOWN = lambda c: "CASE level " + " ".join(f"WHEN {_quote(x)} THEN regexp_matches({c}, {_quote(r)})" for x, r in vocab.SENIORITY.items()) + " END"
 _ADDRESSED = "CASE WHEN t.needed IS NOT NULL THEN coalesce(mt.hits, 0) * 2 >= t.needed ELSE len(q.words) = 0 OR coalesce(mw.hits, 0) * 10 >= len(q.words) * 4 END"
@@ -69,3 +70,9 @@ parts AS (SELECT item_id, source, CASE WHEN coalesce(n_hard, 0) = 0 THEN 1.0 ELS
   FROM pair JOIN p USING (item_id) LEFT JOIN levels l USING (source, level) LEFT JOIN asize USING (item_id) LEFT JOIN hits USING (source, item_id) LEFT JOIN dmet USING (source, item_id))
 """
 SQL["draft_ceilings"] = f"{_MORE} SELECT item_id, source, {_ROUNDED}, {_TOTAL(*vocab.WEIGHTS)} AS ceiling, unreachable FROM parts"
+_ROWS = " UNION ALL ".join(f"SELECT doc_id, item_id, '{name}' AS component, CAST({w} AS DOUBLE) AS weight, {name} AS share, round({name} * {w * 100}, 4) AS points FROM scored" for name, w in vocab.WEIGHTS.items())
+SQL["score_breakdown"] = f"WITH scored AS ({SQL['draft_scores']}) {_ROWS}"
+SQL["score_notes"] = f"""SELECT s.doc_id, s.item_id, total, ceiling, CASE WHEN ceiling < {NOTE_TARGET} THEN 'out_of_reach' WHEN total >= {NOTE_TARGET} THEN 'reached' WHEN ceiling >= {NOTE_TARGET} THEN 'tailoring' END AS note
+FROM ({SQL['draft_scores']}) s JOIN (SELECT doc_id, source FROM documents) d ON d.doc_id = s.doc_id LEFT JOIN ({SQL['draft_ceilings']}) c ON c.item_id = s.item_id AND c.source = d.source"""
+SQL["document_texts"] = f"""SELECT doc_id, md5(all_of) AS searchable_md5, md5(coalesce(text, '')) AS running_md5, len(regexp_extract_all(all_of, '[^\\x09-\\x0D\\x20]+')) AS n_words, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda b: trim(b) <> '')) AS n_bullets
+FROM (SELECT doc_id, text, concat_ws(chr(10), {sentences('text')}[1], coalesce(text, ''), coalesce(source, '')) AS all_of FROM documents)"""

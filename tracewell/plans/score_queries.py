@@ -7,6 +7,8 @@ terms of up to eight letters are skills asked for, and those of six or more are
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +33,15 @@ class Drafts:
         level = F.get(F.array(*[F.lit(x) for x in ["", *vocab.SENIORITY]]), F.pmod("item_id", F.lit(7)).cast("int"))
         self.postings = t.bench.select("item_id", first.alias("title"), level.alias("seniority"))
         kinds = F.array(F.when(F.length("term") <= 8, F.lit("hard")), F.when(F.length("term") >= 6, F.lit("keyword")))
-        wanted = t.wanted().select("item_id", F.explode(kinds).alias("kind"), "term").where("kind is not null")
+        self.wanted = t.wanted().select("item_id", F.explode(kinds).alias("kind"), "term").where("kind is not null")
         self.quals = t.bench.select("item_id", F.posexplode(T.sentences("text")).alias("seq", "text")).where("seq > 0")
         self.record = t.docs.select("source", "doc_id", F.concat_ws("\n", "text", "source").alias("text"))
         self.held = t.docs.select("source", first.alias("title"))
-        self.want = scores.asked(wanted, self.quals, t.terms)
+        self.terms = t.terms
+
+    @cached_property
+    def want(self) -> scores.Asked:
+        return scores.asked(self.wanted, self.quals, self.terms)
 
     def scored(self) -> scores.Scored:
         return scores.score_drafts(self.drafts, self.postings, self.want)
@@ -62,4 +68,23 @@ def draft_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.feedback(d.drafts, scored, scores.draft_gaps(d.drafts, scored, d.record), d.postings, d.quals)
 
 
-QUERIES = {f.__name__: f for f in (draft_scores, draft_ceilings, draft_gaps, draft_feedback)}
+def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = scores.document_texts(Drafts(spark, sf_dir).drafts)
+    return said.select("doc_id", F.md5("searchable").alias("searchable_md5"), F.md5("running").alias("running_md5"), "n_words", "n_bullets")
+
+
+def score_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.breakdown(draft_scores(spark, sf_dir))
+
+
+#: The target of the query on notes: the driver's drafts score far below vocab.TARGET.
+NOTE_TARGET = 30.0
+
+
+def score_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = Drafts(spark, sf_dir)
+    best = scores.ceilings(d.drafts.select("item_id", "source"), d.postings, d.record, d.held, d.want)
+    return scores.notes(d.scored().scores, d.drafts, best, NOTE_TARGET)
+
+
+QUERIES = {f.__name__: f for f in (draft_scores, draft_ceilings, draft_gaps, draft_feedback, document_texts, score_breakdown, score_notes)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +90,33 @@ def read_runs(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("path"), "run_id", "created_at", "mode", F.coalesce("ok", F.lit(False)).alias("ok"), F.col("score.total").alias("total"), files.alias("files"), legacy.alias("legacy")).orderBy(F.desc("created_at"), F.desc("run_id"))
 
 
+def list_runs(spark: SparkSession, root: str) -> DataFrame:
+    """(run_id, created_at, mode, ok, cancelled, total, files, legacy) of each run folder right under root, newest first.
+
+    A folder is listed by its files, at any depth, so an empty one is not. Where run.json is absent,
+    no JSON or of other types, the run is legacy: named by its folder, dated by its newest file, and
+    its files are the PDFs right in it, as they are for a record that names none.
+    """
+    inside = F.substring_index(F.col("path"), re.sub(r"^[a-z0-9]+:/+", "/", root.rstrip("/")) + "/", -1)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    parts = files.select(F.split(inside, "/").alias("parts"), "modificationTime").where("size(parts) > 1")
+    name = F.when((F.size("parts") == 2) & F.lower(F.col("parts")[1]).endswith(".pdf"), F.col("parts")[1])
+    folders = parts.groupBy(F.col("parts")[0].alias("folder")).agg(F.max("modificationTime").alias("newest"), F.array_sort(F.collect_list(name)).alias("pdfs"))
+    said = files.where(F.col("path").endswith("/run.json")).select(F.split(inside, "/").alias("parts"), F.col("content").cast("string").alias("body")).where("size(parts) = 2")
+    read = said.select(F.col("parts")[0].alias("folder"), F.from_json("body", RUN, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    rows = folders.join(read, "folder", "left")
+    legacy = F.col("r.run_id").isNull() | F.col("r._corrupt").isNotNull()
+    none = F.expr("cast(array() as array<string>)")
+    named = F.flatten(F.transform(F.coalesce("r.documents", F.expr("cast(array() as array<struct<name:string,files:array<string>>>)")), lambda d: F.coalesce(d["files"], none)))
+    own = lambda c: F.when(~legacy, F.col(f"r.{c}"))
+    listed = rows.select(
+        F.coalesce(own("run_id"), "folder").alias("run_id"), F.coalesce(own("created_at"), F.date_format(F.to_utc_timestamp("newest", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")).alias("created_at"),
+        own("mode").alias("mode"), F.coalesce(own("ok"), F.lit(False)).alias("ok"), F.coalesce(own("cancelled"), F.lit(False)).alias("cancelled"), own("score.total").alias("total"),
+        F.when(~legacy & (F.size(named) > 0), F.array_sort(named)).otherwise(F.col("pdfs")).alias("files"), legacy.alias("legacy"),
+    )
+    return listed.orderBy(F.desc("created_at"), F.desc("run_id"))
+
+
 def write_runs(runs: DataFrame, path: str) -> None:
     """Run records as JSON, by day."""
     runs.withColumn("day", F.substring("created_at", 1, 10)).write.mode("append").partitionBy("day").json(path)
