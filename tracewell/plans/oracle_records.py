@@ -55,16 +55,17 @@ _MONTH = lambda d: f"monthname({d}) || ' ' || strftime({d}, '%Y')"
 
 _RULES = f"""{_GATE},
 fc AS (SELECT DISTINCT owner_id, item_id, replace(f, ',', '') AS figure FROM (SELECT owner_id, item_id, unnest(regexp_extract_all(text, '{_FIG}', 2)) AS f FROM items)),
-fh AS (SELECT i.owner_id, i.item_id, replace({norm('s.text')}, ',', '') AS hay FROM items i JOIN src s ON i.owner_id = s.owner_id AND i.cite = s.source_id),
+c AS (SELECT DISTINCT owner_id, item_id, unnest(list_concat([cite], list_concat(CASE WHEN (owner_id + item_id) % 5 = 0 THEN [CAST(item_id AS BIGINT) - 3] ELSE [] END, CASE WHEN (owner_id + item_id) % 3 = 0 THEN [CAST(item_id AS BIGINT)] ELSE [] END))) AS source_id FROM items WHERE cite IS NOT NULL),
+cbad AS (SELECT owner_id, item_id, term FROM claimed ANTI JOIN (SELECT DISTINCT owner_id, item_id, term FROM (SELECT owner_id, item_id, unnest(list_distinct(regexp_extract_all({norm('s.text')}, '[a-z0-9]+'))) AS key FROM c JOIN src s USING (owner_id, source_id)) JOIN spell ON key = spelling) USING (owner_id, item_id, term)),
+fh AS (SELECT owner_id, item_id, replace({norm('s.text')}, ',', '') AS hay FROM c JOIN src s USING (owner_id, source_id)),
 fv AS (SELECT owner_id, item_id, round(CAST(unnest(regexp_extract_all(hay, '\\d+(?:\\.\\d+)?')) AS DOUBLE), 9) AS val FROM fh
   UNION SELECT owner_id, item_id, n FROM (SELECT owner_id, item_id, unnest(regexp_extract_all(hay, '[a-z]+')) AS w FROM fh) JOIN (VALUES {', '.join(f"('{w}', CAST({n} AS DOUBLE))" for w, n in vocab.NUMBER_WORDS.items())}) AS t(w, n) USING (w)),
 fx AS (SELECT DISTINCT owner_id, item_id, unnest(regexp_extract_all(hay, '(^|[^0-9.])(\\d+)', 2)) AS txt FROM fh),
-c AS (SELECT owner_id, item_id, unnest(CASE WHEN cite = item_id - 3 THEN [cite] ELSE [cite, CAST(item_id AS BIGINT) - 3] END) AS source_id FROM items WHERE cite IS NOT NULL),
 v AS (SELECT owner_id, item_id, 0 AS level, 'empty' AS kind, '' AS subject FROM items WHERE trim(coalesce(text, '')) = ''
   UNION ALL SELECT owner_id, item_id, 1, 'uncited', '' FROM items WHERE cite IS NULL
   UNION ALL SELECT owner_id, item_id, 2, 'unknown_citation', CAST(source_id AS VARCHAR) FROM c ANTI JOIN src USING (owner_id, source_id)
   UNION ALL SELECT owner_id, item_id, 3, 'misattributed', CAST(source_id AS VARCHAR) FROM c JOIN src USING (owner_id, source_id) WHERE kind = 'user' AND source_id <> item_id - 1
-  UNION ALL SELECT owner_id, item_id, 4, 'unsupported_term', term FROM bad
+  UNION ALL SELECT owner_id, item_id, 4, 'unsupported_term', term FROM cbad
   UNION ALL SELECT owner_id, item_id, 4, 'unsupported_figure', figure FROM fc
     WHERE NOT EXISTS (SELECT 1 FROM fv WHERE fv.owner_id = fc.owner_id AND fv.item_id = fc.item_id AND fv.val = round(CAST(figure AS DOUBLE), 9))
       AND NOT EXISTS (SELECT 1 FROM fx WHERE fx.owner_id = fc.owner_id AND fx.item_id = fc.item_id AND fx.txt = figure)),
@@ -81,7 +82,7 @@ SQL = {
     "closed_attempts": f"WITH {_FULL} SELECT {_FOLD} FROM fo WHERE epoch_ms(last_tm) + 86400000 < (SELECT epoch_ms(max(tm)) FROM ev WHERE attempt IS NOT NULL) - 3600000",
     "gate_violations": f"WITH {_RULES} SELECT owner_id, item_id, level, kind, subject FROM g",
     "gate_kinds": f"WITH {_RULES}, k AS (SELECT owner_id, kind, count(*) AS n FROM g GROUP BY owner_id, kind) SELECT owner_id, CAST(sum(n) AS BIGINT) AS violations, string_agg(kind || '×' || n, ', ' ORDER BY kind) AS summary FROM k GROUP BY owner_id",
-    "regated_documents": f"WITH {_RULES}, k AS (SELECT owner_id, count(*) AS kept FROM items ANTI JOIN g USING (owner_id, item_id) GROUP BY owner_id) SELECT owner_id, items, coalesce(kept, 0) AS kept, CAST(0 AS BIGINT) AS remaining, coalesce(kept, 0) >= 1 AS usable FROM (SELECT owner_id, count(*) AS items FROM items GROUP BY owner_id) LEFT JOIN k USING (owner_id)",
+    "regated_documents": f"WITH {_RULES}, k AS (SELECT owner_id, count(*) AS kept, CAST(sum((SELECT count(*) FROM v WHERE v.owner_id = s.owner_id AND v.item_id = s.item_id)) AS BIGINT) AS remaining FROM items s ANTI JOIN g USING (owner_id, item_id) GROUP BY owner_id) SELECT owner_id, items, coalesce(kept, 0) AS kept, coalesce(remaining, 0) AS remaining, coalesce(remaining, 0) = 0 AND coalesce(kept, 0) >= 1 AS usable FROM (SELECT owner_id, count(*) AS items FROM items GROUP BY owner_id) LEFT JOIN k USING (owner_id)",
     "letter_violations": f"WITH {_RULES}, {_OPENING} SELECT owner_id, item_id, level, kind, subject FROM lg UNION ALL SELECT DISTINCT conv_id, NULL, 0, 'empty_letter', '' FROM conversations WHERE conv_id NOT IN (SELECT owner_id FROM items)",
     "repaired_letters": f"WITH {_RULES}, {_OPENING}, k AS (SELECT owner_id, item_id, CAST(row_number() OVER (PARTITION BY owner_id ORDER BY item_id) AS INTEGER) AS number FROM items ANTI JOIN lg USING (owner_id, item_id)) SELECT owner_id, item_id, number, count(number) OVER (PARTITION BY owner_id) >= 2 AS usable FROM items LEFT JOIN k USING (owner_id, item_id)",
     "profile_violations": f"""WITH {_RULES}, lg AS (SELECT * FROM v WHERE kind <> 'misattributed' QUALIFY level = min(level) OVER (PARTITION BY owner_id, item_id))

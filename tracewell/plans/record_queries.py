@@ -101,13 +101,14 @@ def _keyed(spark: SparkSession, sf_dir: str) -> Callable[..., DataFrame]:
 def _cited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """(entries, sources, terms claimed, terms supported, figures unsupported) of the assistant turns.
 
-    Each that cites anything also cites the turn three before it.
+    Of those that cite anything, one in five also cites the turn three before it, and one in three its own.
     """
     items, sources = cited_items(spark, sf_dir)
     keyed = _keyed(spark, sf_dir)
-    cited = items.select("owner_id", "item_id", F.explode("cites").alias("source_id")).join(sources.select("owner_id", "source_id", "text"), ["owner_id", "source_id"])
-    more = F.when(F.size("cites") > 0, F.array_append("cites", F.col("item_id").cast("long") - 3)).otherwise(F.col("cites"))
-    entries = items.withColumn("entry_id", F.col("item_id").cast("long") - 1).withColumn("cites", more)
+    turn, deal = F.col("item_id").cast("long"), F.col("owner_id") + F.col("item_id")
+    more = F.filter(F.array(F.when(deal % 5 == 0, turn - 3), F.when(deal % 3 == 0, turn)), lambda x: x.isNotNull())
+    entries = items.withColumn("entry_id", turn - 1).withColumn("cites", F.when(F.size("cites") > 0, F.array_union("cites", more)).otherwise(F.col("cites")))
+    cited = entries.select("owner_id", "item_id", F.explode("cites").alias("source_id")).join(sources.select("owner_id", "source_id", "text"), ["owner_id", "source_id"])
     ids = ["owner_id", "item_id"]
     figures = ground.unsupported_figures(ground.figure_claims(items, ids), ground.figure_keys(cited, ids))
     return entries, sources, keyed(items, *ids), keyed(cited, *ids), figures
