@@ -14,7 +14,7 @@ from tracewell.functions import vocab
 from tracewell.operators import reviews
 from tracewell.plans.text_queries import Tables, table
 
-MAIL, PHONE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}"
+MAIL, PHONE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"\(?[0-9]{3}\)?[-. ][0-9]{3}[-. ][0-9]{4}"
 PAGE_CHARS = 3000
 
 
