@@ -58,8 +58,12 @@ def test_support_stays_rows(spark):
     sources = spark.createDataFrame(texts, "owner_id string, source_id long, text string, parent_id long")
     want = [("a", 1, "é2\né3\né100000"), ("b", 5, "only")]
     got = ground.support_digests(items, sources)
-    assert rows(got) == [(o, i, len(t), hashlib.md5(t.encode()).hexdigest()) for o, i, t in want]
-    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    held = {"a": [(2, "é2"), (3, "é3"), (100_000, "é100000")], "b": [(5, "only")]}
+    assert rows(got) == [(o, i, len(held[o]), len(t), sum(int(md5(f"{k}:{md5(x)}")[:8], 16) for k, x in held[o])) for o, i, t in want]
+    none = spark.createDataFrame([("a", 1, [1]), ("a", 2, [7])], "owner_id string, item_id long, cites array<long>")
+    assert rows(ground.support_digests(none, sources.where("source_id = 1"))) == [("a", 1, 0, 0, 0)]
+    assert "collect" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert rows(ground.supporting_text(items, sources)) == want
 
 

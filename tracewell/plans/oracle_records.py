@@ -111,7 +111,8 @@ SELECT owner_id, skill FROM n ANTI JOIN m USING (owner_id, skill) WHERE k <> ''"
 SELECT doc_id, CAST(n AS INTEGER) AS n, length(line) AS n_chars, md5(line) AS digest FROM l""",
     "unknown_citations": f"WITH {_ITEMS}, c AS (SELECT DISTINCT owner_id, item_id, source_id FROM (SELECT owner_id, item_id, unnest([cite, CAST(item_id AS BIGINT) - 2]) AS source_id FROM items) WHERE source_id IS NOT NULL) SELECT owner_id, item_id, source_id FROM c ANTI JOIN src USING (owner_id, source_id)",
     "misattributed_items": f"WITH {_ITEMS}, c AS (SELECT DISTINCT owner_id, item_id, source_id FROM (SELECT owner_id, item_id, unnest([cite, CAST(item_id AS BIGINT) - 3]) AS source_id FROM items) WHERE source_id IS NOT NULL) SELECT owner_id, item_id, source_id FROM c JOIN src USING (owner_id, source_id) WHERE kind = 'user' AND source_id <> item_id - 1",
-    "supporting_text": "SELECT source AS owner_id, min(doc_id) AS item_id, CAST(length(string_agg(text, '\n' ORDER BY doc_id)) AS INTEGER) AS n_chars, md5(string_agg(text, '\n' ORDER BY doc_id)) AS digest FROM documents GROUP BY source",
+    "supporting_text": """SELECT source AS owner_id, min(doc_id) AS item_id, count(text) AS n_parts, CAST(coalesce(sum(length(text)), 0) + greatest(0, count(text) - 1) AS BIGINT) AS n_chars,
+CAST(coalesce(sum(CAST('0x' || left(md5(doc_id || ':' || md5(text)), 8) AS BIGINT)), 0) AS BIGINT) AS digest FROM documents WHERE source IS NOT NULL GROUP BY source""",
     "supporting_parts": "SELECT source AS owner_id, min(doc_id) OVER (PARTITION BY source) AS item_id, doc_id AS source_id, length(text) AS n_chars, md5(text) AS digest, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents WHERE source IS NOT NULL",
     "claim_gate": f"WITH {_GATE} SELECT owner_id, item_id, term FROM bad",
     "gate_summary": f"WITH {_GATE} SELECT owner_id, count(*) AS violations, count(DISTINCT item_id) AS items FROM bad GROUP BY owner_id",
