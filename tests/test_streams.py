@@ -107,3 +107,43 @@ def test_stream_equals_batch(spark, tmp_path):
     folder.mkdir()
     put(spark, folder, "a", [*events, event(9999, 100_000, 1, run=77)])
     assert folded(stream(spark, folder / "*", tmp_path)) == plain(events)
+
+
+def closing(spark, folder, tmp, idle=10 * 60_000):
+    events = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    return stages.close_attempts(events, str(tmp / "closed"), str(tmp / "closed-state"), "5 minutes", idle)
+
+
+def test_attempts_closed_by_aggregates(spark, tmp_path):
+    folder, pattern = tmp_path / "in", tmp_path / "in" / "*"
+    folder.mkdir()
+    first = [event(1, 0, attempts=3), event(2, 1, 2), event(4, 8, 2, "repaired", dropped=1, reason="x"), event(5, 8, None)]
+    late = [event(3, 4, stage="scored", score=50.0), event(9, 17, 3)]
+    put(spark, folder, "a", first)
+    assert folded(closing(spark, pattern, tmp_path)) == {}
+    put(spark, folder, "b", late)
+    assert folded(closing(spark, pattern, tmp_path)) == {}  # the watermark is at minute 12, attempt 1 is open to minute 14
+    put(spark, folder, "c", [event(10, 26, 3, "rejected", reason="y"), event(11, 3, 1, "rejected")])  # the second is past the watermark
+    got, want = folded(closing(spark, pattern, tmp_path)), plain([*first, *late])
+    assert got == {k: want[k] for k in ((1, "resume", 1), (1, "resume", 2))}
+    assert folded(closing(spark, pattern, tmp_path)) == got  # a restart without news
+    put(spark, folder, "d", [event(12, 90, 4)])
+    rows = closing(spark, pattern, tmp_path)
+    assert rows.count() == 3 and folded(rows)[1, "resume", 3]["outcome"] == "rejected"
+
+
+def test_closing_equals_batch_and_the_query_meets_python_with_no_attempt(spark, tmp_path, monkeypatch):
+    from pyspark.sql.group import GroupedData
+
+    from tracewell.plans import record_queries as q
+
+    monkeypatch.setattr(GroupedData, "applyInPandasWithState", None)
+    events = random_events(400, 5)
+    (tmp_path / "in").mkdir()
+    put(spark, tmp_path / "in", "a", [*events, event(9999, 100_000, 1, run=77)])
+    assert folded(closing(spark, tmp_path / "in" / "*", tmp_path)) == plain(events)
+    told = spark.range(300).selectExpr("id event_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, int(id % 90)) ts", "id % 5 user_id", "element_at(array('click', 'view', 'error'), int(id % 3) + 1) event_type", "cast(id as double) value", "'{\"k\": 1}' props")
+    told.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    everything = folded(q.attempt_folds(spark, str(tmp_path)))
+    want = {k: v for k, v in everything.items() if v["last_at"] < "2024-03-29"}  # the newest event is of the 30th
+    assert 0 < len(want) < len(everything) and folded(q.closed_attempts(spark, str(tmp_path))) == want

@@ -390,7 +390,7 @@ def run_milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
 def closed_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempts that a stream over the events' files has closed: those without an event for a day before the last hour."""
     events = full_events(stages.file_stream(spark, sf_dir, "events", 1_000_000))
-    closed = stages.run_to_files(stages.closed_attempts(events, "1 hour", 86_400_000), shared_folder(spark, "closed"), shared_folder(spark, "closed-state"))
+    closed = stages.close_attempts(events, shared_folder(spark, "closed"), shared_folder(spark, "closed-state"), "1 hour", 86_400_000)
     return closed.withColumn("last_at", F.date_format("last_at", _SHOWN))
 
 

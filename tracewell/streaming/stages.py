@@ -28,6 +28,16 @@ def _is_file(spark: SparkSession, path: str) -> bool:
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jpath).isFile()
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def timeline_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """The attempt timeline as a stream: state of a run's attempt goes once the watermark has passed it."""
     return runs.attempt_timeline(events.withWatermark("at", late))
@@ -101,6 +111,67 @@ def closed_attempts(events: DataFrame, late: str = "1 hour", idle_ms: int = 3_60
     return closed.select("run_id", "document", "attempt", "attempts", "first_seq", "events", F.timestamp_micros("last_us").alias("last_at"), *["stage", "score", "parses", "pages", "words", "repaired", "dropped", "reason", "outcome"])
 
 
+#: For each field of an attempt the stages of the events that say something of it (null: all that have it), and what a null one says.
+_SAYS = {"stage": (None, None), "score": (None, None), "parses": (None, None), "pages": (None, None), "words": (None, None), "dropped": (["repaired"], 0), "reason": (["repaired", "rejected"], "")}
+
+
+def _one_event(events: DataFrame) -> DataFrame:
+    """Each event as an attempt of its own, every value with its seq before it, so that attempts add up by min, max and sum."""
+    said = [
+        F.when(F.col(f).isNotNull() if of is None else F.col("stage").isin(of), F.struct("seq", (F.col(f) if none is None else F.coalesce(f, F.lit(none))).alias("value"))).alias(f)
+        for f, (of, none) in _SAYS.items()
+    ]
+    settled = F.when(F.col("stage").isin(list(runs.OUTCOMES)), F.struct("seq", F.col("stage").alias("value"))).alias("settled")
+    return events.select("run_id", "document", "attempt", F.struct("seq", "attempts").alias("first"), F.lit(1).cast("long").alias("events"), F.col("at").alias("last_at"), *said, settled)
+
+
+def _as_fold(attempts: DataFrame) -> DataFrame:
+    """Attempts of _one_event's form as runs.attempt_folds gives them."""
+    value = lambda f: F.col(f"{f}.value")
+    outcome = F.coalesce(*[F.when(value("settled") == stage, F.lit(what)) for stage, what in runs.OUTCOMES.items()], F.lit("open"))
+    return attempts.select(
+        "run_id", "document", "attempt", F.coalesce("first.attempts", "attempt").alias("attempts"), F.col("first.seq").alias("first_seq"), "events", "last_at",
+        *[value(f).alias(f) for f in ("stage", "score", "parses", "pages", "words")],
+        F.col("dropped").isNotNull().alias("repaired"), F.coalesce(value("dropped"), F.lit(0)).alias("dropped"), F.coalesce(value("reason"), F.lit("")).alias("reason"), outcome.alias("outcome"),
+    )
+
+
+def close_attempts(events: DataFrame, path: str, checkpoint: str, late: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
+    """Run a stream of events over all that is there now, and return all attempts closed so far, each once, as runs.attempt_folds gives them.
+
+    The rules are those of closed_attempts, with the watermark as it is after each batch, but a batch is
+    one aggregate over its events and the attempts that the batch before left open: no
+    attempt meets Python. Its attempts, open and closed ones apart, and its watermark are folders of
+    its own, so one that is run again after a failure replaces itself. path: a folder of this stream alone.
+    """
+    spark = events.sparkSession
+    named = events.where("attempt is not null").withColumn("document", F.coalesce("document", F.lit("resume")))
+    schema = _one_event(spark.createDataFrame([], named.schema)).withColumn("closed", F.lit(False)).schema
+
+    def fold(batch: DataFrame, number: int) -> None:
+        rows, marks = batch, [batch.agg(F.unix_millis(F.expr(f"max(at) - interval {late}")).alias("mark")).first().mark]
+        if number:
+            marks.append(spark.read.schema("mark long").parquet(f"{path}/marks/batch={number - 1}").first().mark)
+            rows = batch.where(F.coalesce(F.col("at") > F.timestamp_millis(F.lit(marks[-1]).cast("long")), F.lit(marks[-1] is None)))
+        mark = max((m for m in marks if m is not None), default=None)
+        rows = _one_event(rows)
+        if number:
+            left = spark.read.schema(schema).parquet(f"{path}/attempts/batch={number - 1}").where("not closed").drop("closed")
+            rows = rows.unionByName(left)
+        latest = [F.max(f).alias(f) for f in ("last_at", *_SAYS, "settled")]
+        folded = rows.groupBy("run_id", "document", "attempt").agg(F.min("first").alias("first"), F.sum("events").alias("events"), *latest)
+        closed = F.coalesce(F.unix_millis("last_at") + idle_ms < F.lit(mark).cast("long"), F.lit(False))
+        folded.withColumn("closed", closed).write.mode("overwrite").partitionBy("closed").parquet(f"{path}/attempts/batch={number}")
+        spark.range(1).select(F.lit(mark).cast("long").alias("mark")).write.mode("overwrite").parquet(f"{path}/marks/batch={number}")
+        if number > 1:  # those that it left open are in the batch after it
+            _drop(spark, f"{path}/attempts/batch={number - 2}/closed=false")
+
+    named.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    if not _exists(spark, f"{path}/attempts"):
+        return _as_fold(spark.createDataFrame([], schema))
+    return _as_fold(spark.read.schema(schema).parquet(f"{path}/attempts").where("closed"))
+
+
 def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Run an append stream over all that is there now into Parquet files, each row once also after a restart, and return all rows so far."""
     stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
