@@ -67,6 +67,25 @@ def test_support_stays_rows(spark):
     assert rows(ground.supporting_text(items, sources)) == want
 
 
+def test_support_is_digested_whole(spark):
+    items = spark.createDataFrame([("a", 1, [1]), ("b", 5, [5]), ("c", 9, [9])], "owner_id string, item_id long, cites array<long>")
+    texts = [("a", 1, None, None), *[("a", k, f"é{k}", 1) for k in (3, 2, 100_000)], ("b", 5, "only", None), ("c", 9, None, None)]
+    sources = spark.createDataFrame(texts, "owner_id string, source_id long, text string, parent_id long")
+    want = [("a", 1, "é2\né3\né100000"), ("b", 5, "only"), ("c", 9, "")]
+    got = ground.support_md5s(items, sources)
+    assert rows(got) == [(o, i, len(t), hashlib.md5(t.encode()).hexdigest()) for o, i, t in want]
+    assert "collect" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_query_digests_texts_in_order(spark, tmp_path):
+    from tracewell.plans import record_queries as q
+
+    docs = [(3, "b", "s"), (1, "a\nx", "s"), (2, None, "s"), (4, "", "s"), (7, "z", "t")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = [("s", 1, "a\nx\nb\n"), ("t", 7, "z")]
+    assert rows(q.supporting_text(spark, str(tmp_path)).select("owner_id", "item_id", "n_chars", "digest")) == [(o, i, len(t), hashlib.md5(t.encode()).hexdigest()) for o, i, t in want]
+
+
 def test_terms_decide_where_named(spark):
     reqs = spark.createDataFrame([(1, 0, ["kafka", "spark", "flink", "aa", "bb", "cc", "dd", "ee"]), (1, 1, ["owns", "kafka"]), (1, 2, ["plain", "words"])], "item_id int, seq int, words array<string>")
     named = spark.createDataFrame([(1, 0, "kafka"), (1, 0, "spark"), (1, 0, "flink"), (1, 1, "kafka")], "item_id int, seq int, term string")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +63,39 @@ def support_digests(items: DataFrame, sources: DataFrame) -> DataFrame:
     return per.withColumn("n_chars", F.col("n_chars") + F.greatest(F.lit(0), F.col("n_parts") - 1))
 
 
+def support_md5s(items: DataFrame, sources: DataFrame) -> DataFrame:
+    """(owner_id, item_id, n_chars, digest): length and md5 of supporting_text, which is never put together.
+
+    An item's parts pass through its md5 one by one, in id order; null texts are left out.
+    """
+    parts = supporting_parts(items, sources)
+    schema = parts.select("owner_id", "item_id", F.lit(0).cast("long").alias("n_chars"), F.lit("").alias("digest")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, md5, n, parted, types = None, None, 0, False, ()
+
+        def made() -> pa.RecordBatch:
+            columns = [pa.array([x], t) for x, t in zip(at, types, strict=True)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([n], pa.int64()), pa.array([md5.hexdigest()])], names=["owner_id", "item_id", "n_chars", "digest"])
+
+        for batch in batches:
+            types = batch.schema.types[:2]
+            for owner, item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (owner, item) != at:
+                    if at:
+                        yield made()
+                    at, md5, n, parted = (owner, item), hashlib.md5(), 0, False
+                if text is not None:
+                    part = "\n" + text if parted else text
+                    md5.update(part.encode())
+                    n, parted = n + len(part), True
+        if at:
+            yield made()
+
+    dealt = parts.repartition("owner_id", "item_id").sortWithinPartitions("owner_id", "item_id", "source_id")
+    return dealt.select("owner_id", "item_id", "text").mapInArrow(run, schema)
+
+
 def unsupported_terms(claimed: DataFrame, supported: DataFrame) -> DataFrame:
     """(owner_id, item_id, term): terms of an item that its support does not name."""
     return claimed.join(supported, ["owner_id", "item_id", "term"], "left_anti")

@@ -50,7 +50,7 @@ def _source_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 
 def supporting_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ground.support_digests(*_source_items(spark, sf_dir))
+    return ground.support_md5s(*_source_items(spark, sf_dir))
 
 
 def supporting_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
