@@ -218,3 +218,13 @@ def test_streamed_items_get_the_batch_gate_s_verdicts(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new and repeats nothing
         got = rows(stages.gate_items(stream, record, said, docs.entries, KINDS, str(tmp_path / "out"), str(tmp_path / "state")))
         assert got == want and len(want) == 6
+
+
+def test_names_of_a_class_are_one_group(spark):
+    """Twenty names for each of twenty terms: a claim meets its few groups, not all names of its class."""
+    from tracewell.operators import names
+
+    pairs = [(f"t{a}", f"t{b}") for a in range(20) for b in range(20)] + [(f"t{a}", f"t{a}ing") for a in range(20)] + [("t0", "x"), ("t1", "x")]
+    of_name, of_term = names.grouped(spark.createDataFrame(pairs, "term string, name string"), "name")
+    assert sorted(map(tuple, of_name.join(of_term, "group").select("term", "name").collect())) == sorted(pairs)
+    assert of_term.count() == 20 + 20 + 2 and of_name.count() == 41

@@ -51,12 +51,29 @@ class Record(NamedTuple):
     skills: DataFrame
 
 
+class Groups(NamedTuple):
+    """The names of claims as names.grouped has them: those that a text can back, and the spellings that a list can."""
+
+    of_name: DataFrame
+    of_term: DataFrame
+    of_spelling: DataFrame
+    listed: DataFrame
+
+
 class Said(NamedTuple):
     """What documents claim: terms (owner_id, where, term), figures (owner_id, where, figure, kind, key), and the terms' names."""
 
     terms: DataFrame
     figures: DataFrame
     names: DataFrame
+    groups: Groups | None = None  # of names, where it is known; else a gate works it out
+
+    def grouped(self) -> Said:
+        return self if self.groups else self._replace(groups=groups_of(self.names))
+
+
+def groups_of(said_names: DataFrame) -> Groups:
+    return Groups(*names.grouped(said_names, "name"), *names.grouped(names.with_plurals(said_names), "spelling"))
 
 
 def under(parent: Column, number: Column) -> Column:
@@ -80,16 +97,18 @@ def widened(cited: DataFrame, sources: DataFrame) -> DataFrame:
     return direct.unionByName(cited.join(children, ["owner_id", "source_id"]).select("owner_id", "where", F.col("child").alias("source_id"))).distinct()
 
 
-def unbacked(terms: DataFrame, figures: DataFrame, scope: DataFrame, record: Record, said_names: DataFrame) -> DataFrame:
+def unbacked(terms: DataFrame, figures: DataFrame, scope: DataFrame, record: Record, groups: Groups) -> DataFrame:
     """(owner_id, where, kind, subject): claimed terms and figures that neither the scope's sources nor what is declared backs.
 
-    terms and figures as in Said; scope: (owner_id, where, source_id) as widened gives it.
+    terms and figures as in Said; scope: (owner_id, where, source_id) as widened gives it. Claims and
+    sources meet in groups of names, so a term has not a row for each name of its class.
     """
-    named = terms.join(said_names, "term").select("owner_id", "where", "term", "name")
-    told = scope.join(record.terms, ["owner_id", "source_id"]).select("owner_id", "where", "name").distinct()
-    in_text = named.join(told, ["owner_id", "where", "name"], "left_semi").select("owner_id", "where", "term")
-    spelled = terms.join(names.with_plurals(said_names), "term")
-    listed = spelled.join(record.declared.select("owner_id", F.col("name").alias("spelling")).distinct(), ["owner_id", "spelling"], "left_semi").select("owner_id", "where", "term")
+    named = terms.join(groups.of_term, "term").select("owner_id", "where", "term", "group")
+    in_sources = record.terms.join(groups.of_name, "name").select("owner_id", "source_id", "group").distinct()
+    told = scope.join(in_sources, ["owner_id", "source_id"]).select("owner_id", "where", "group").distinct()
+    in_text = named.join(told, ["owner_id", "where", "group"], "left_semi").select("owner_id", "where", "term")
+    spelled = terms.join(groups.listed, "term")
+    listed = spelled.join(_grouped_names(record.declared, groups), ["owner_id", "group"], "left_semi").select("owner_id", "where", "term")
     no_term = terms.select("owner_id", "where", "term").distinct().join(in_text.unionByName(listed).distinct(), ["owner_id", "where", "term"], "left_anti")
     keys = scope.join(record.figures, ["owner_id", "source_id"]).select("owner_id", "where", "kind", "key").distinct()
     met = figures.join(keys, ["owner_id", "where", "kind", "key"], "left_semi").select("owner_id", "where", "figure").distinct()
@@ -97,6 +116,11 @@ def unbacked(terms: DataFrame, figures: DataFrame, scope: DataFrame, record: Rec
     return _found(no_term, "unsupported_term", F.col("term")).unionByName(_found(no_figure, "unsupported_figure", F.col("figure")))
 
 
+def _grouped_names(listed: DataFrame, groups: Groups) -> DataFrame:
+    """Distinct (owner_id, group) of listed names."""
+    return listed.select("owner_id", F.col("name").alias("spelling")).join(groups.of_spelling, "spelling").select("owner_id", "group").distinct()
+
+
 def _found(rows: DataFrame, kind: str | Column, subject: Column | None = None) -> DataFrame:
     kind = F.lit(kind) if isinstance(kind, str) else kind
     return rows.select("owner_id", "where", kind.alias("kind"), F.lit("").alias("subject") if subject is None else subject.cast("string").alias("subject"))
@@ -138,6 +162,7 @@ def violations(docs: Documents, record: Record, said: Said, allowed: dict[str, t
     back. Prose is held to all entries that are not rejected and to what it cites itself. Documents
     without any part have no violations; null texts are empty.
     """
+    said = said.grouped()
     of_entries = entry_violations(docs, record, allowed)
     rejected = of_entries.where(F.col("kind").isin(*REJECTED)).select("owner_id", "where").distinct()
     live = docs.bullets.join(rejected.withColumnRenamed("where", "under"), ["owner_id", "under"], "left_anti")
@@ -148,31 +173,32 @@ def violations(docs: Documents, record: Record, said: Said, allowed: dict[str, t
     selected = docs.entries.join(rejected, ["owner_id", "where"], "left_anti").select("owner_id", F.col("entry_id").alias("source_id"))
     prose = docs.prose.where(F.coalesce(F.trim("text"), F.lit("")) != "")
     scope = prose.select("owner_id", "where").distinct().join(selected.unionByName(docs.prose_cites.select("owner_id", "source_id")).distinct(), "owner_id")
-    of_prose = unbacked(mine(said.terms, prose), mine(said.figures, prose), widened(scope, record.sources), record, said.names)
+    of_prose = unbacked(mine(said.terms, prose), mine(said.figures, prose), widened(scope, record.sources), record, said.groups)
     lost = docs.prose_cites.select("owner_id", "source_id").distinct().join(record.sources, ["owner_id", "source_id"], "left_anti")
     of_prose = of_prose.unionByName(_found(lost.withColumn("where", F.lit("summary")), "unknown_source", F.col("source_id")))
 
     wanted = docs.certificates.select("owner_id", "cited").distinct()
     certificates = ground.unknown_certifications(wanted, record.sources).withColumn("where", F.concat(F.lit("certifications["), _id("cited"), F.lit("]")))
-    return of_entries.unionByName(of_items).unionByName(of_prose).unionByName(_found(certificates, "unknown_certification", _id("cited"))).unionByName(undeclared(docs.skills, record, said.names))
+    return of_entries.unionByName(of_items).unionByName(of_prose).unionByName(_found(certificates, "unknown_certification", _id("cited"))).unionByName(undeclared(docs.skills, record, said.groups))
 
 
 def item_violations(docs: Documents, record: Record, said: Said, entry_kinds: tuple[str, ...]) -> DataFrame:
     """(owner_id, where, kind, subject) of the bullets' earliest failing rules, each bullet judged by itself."""
+    said = said.grouped()
     rules = _bullet_rules(docs.bullets, docs.entries, record, entry_kinds)
     least = F.min("level").over(Window.partitionBy("owner_id", "where"))
     first = written(rules.withColumn("_least", least).where("level = _least").drop("_least", "level"), "bullet-rules")
     sound = docs.bullets.join(first.select("owner_id", "where").distinct(), ["owner_id", "where"], "left_anti")
     cited = sound.select("owner_id", "where", F.explode("cites").alias("source_id"))
     mine = lambda df: df.join(sound.select("owner_id", "where").distinct(), ["owner_id", "where"], "left_semi")
-    return first.unionByName(unbacked(mine(said.terms), mine(said.figures), widened(cited, record.sources), record, said.names))
+    return first.unionByName(unbacked(mine(said.terms), mine(said.figures), widened(cited, record.sources), record, said.groups))
 
 
-def undeclared(skills: DataFrame, record: Record, said_names: DataFrame) -> DataFrame:
-    """Listed skills that the record lists under no name. said_names must have the skills' names."""
+def undeclared(skills: DataFrame, record: Record, groups: Groups) -> DataFrame:
+    """Listed skills that the record lists under no name. groups must have the skills' names."""
     listed = skills.withColumn("term", T.normalize("skill")).where("term <> ''").withColumn("where", F.concat(F.lit("skills["), F.col("category"), F.lit("]")))
-    spelled = listed.join(names.with_plurals(said_names), "term")
-    met = spelled.join(record.skills.select("owner_id", F.col("name").alias("spelling")).distinct(), ["owner_id", "spelling"], "left_semi").select("owner_id", "where", "skill").distinct()
+    spelled = listed.join(groups.listed, "term")
+    met = spelled.join(_grouped_names(record.skills, groups), ["owner_id", "group"], "left_semi").select("owner_id", "where", "skill").distinct()
     missing = listed.select("owner_id", "where", "skill").distinct().join(met, ["owner_id", "where", "skill"], "left_anti")
     return _found(missing, "undeclared_skill", F.col("skill"))
 
@@ -202,6 +228,7 @@ class Repair(NamedTuple):
 
 def repair(docs: Documents, record: Record, said: Said, allowed: dict[str, tuple[str, ...]], entry_kinds: tuple[str, ...]) -> Repair:
     """The gate, the cut, and the gate again; violations and the parts that stay are written between."""
+    said = said.grouped()
     bad = written(violations(docs, record, said, allowed, entry_kinds), "violations")
     kept = Documents(*[written(part, "kept") for part in repaired(docs, bad)])
     return Repair(bad, kept, violations(kept, record, said, allowed, entry_kinds))
@@ -230,6 +257,7 @@ def letter_violations(letters: DataFrame, docs: Documents, record: Record, said:
 
 def repaired_letters(letters: DataFrame, docs: Documents, record: Record, said: Said) -> Repair:
     """Paragraphs that violate go; the rest goes through the letter gate again."""
+    said = said.grouped()
     bad = written(letter_violations(letters, docs, record, said), "violations")
     kept = docs._replace(bullets=written(docs.bullets.join(bad.select("owner_id", "where").distinct(), ["owner_id", "where"], "left_anti"), "kept"))
     return Repair(bad, kept, letter_violations(letters, kept, record, said))

@@ -94,3 +94,14 @@ def with_plurals(names: DataFrame) -> DataFrame:
     listed = names.where("not grown")
     more = listed.select("term", F.inline(T.plural_forms(F.col("name")))).select("term", "spelling")
     return listed.select("term", F.col("name").alias("spelling")).unionByName(more).distinct()
+
+
+def grouped(names: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """((name, group), (group, term)) of distinct pairs (term, name): names that stand for the same terms are one group.
+
+    A term has one group for all the names of its class, where names have a row for each; joining
+    the two gives names again. name: the column of names; a group is called by the first of its own.
+    """
+    sets = names.groupBy(name).agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    groups = written(sets.groupBy("terms").agg(F.min(name).alias("group"), F.collect_set(name).alias("names")), "name-groups")
+    return groups.select(F.explode("names").alias(name), "group"), groups.select("group", F.explode("terms").alias("term"))

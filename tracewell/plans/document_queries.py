@@ -58,6 +58,7 @@ class Conversations:
     def __init__(self, spark: SparkSession, sf_dir: str):
         terms = written(long_terms(spark, sf_dir), "long-terms")
         self.names = written(names.names_of(terms, alike(terms)), "names")
+        self.groups = D.groups_of(self.names)
         turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("owner_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
         turns = turns.withColumn("text", F.when(F.col("turn") % 4 != 2, F.concat("text", F.lit(" "), F.col("turn").cast("string"))).otherwise(F.col("text")))
         earlier = Window.partitionBy("owner_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
@@ -103,7 +104,7 @@ class Conversations:
 
     def claimed(self, texts: DataFrame) -> D.Said:
         terms = written(self.named(texts, self.names.select("term").distinct()), "claimed-terms")
-        return D.Said(terms, written(ground.figure_claims(texts, ["owner_id", "where"]), "claimed-figures"), self.names)
+        return D.Said(terms, written(ground.figure_claims(texts, ["owner_id", "where"]), "claimed-figures"), self.names, self.groups)
 
 
 def document_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
