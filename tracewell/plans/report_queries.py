@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions import text as T
 from tracewell.functions import vocab
-from tracewell.operators import fit
+from tracewell.operators import fit, mentions
 from tracewell.plans.record_queries import _attempts, claim_gate
 from tracewell.plans.text_queries import Tables, total_score
 
@@ -32,7 +33,12 @@ def answers_posting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per item, the documents that name any of its first thirty terms (longest first, then by name), and how many terms."""
     t = Tables(spark, sf_dir)
     first = t.wanted().withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc(F.length("term")), "term"))).where("place <= 30")
-    return first.join(t.in_docs(), "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("named"))
+    # a term is a bit, so one aggregate counts it once, however many of its spellings a document has
+    spelled = first.join(mentions.spellings(t.terms).select("term", F.col("spelling").alias("key")), "term").select("key", "item_id", F.expr("shiftleft(1L, place)").alias("bit"))
+    if spelled.count() <= mentions.BROADCAST_SPELLINGS:
+        spelled = F.broadcast(spelled)
+    keyed = t.docs.select("doc_id", F.explode(F.array_distinct(T.runs("text"))).alias("key"))
+    return keyed.join(spelled, "key").groupBy("item_id", "doc_id").agg(F.bit_count(F.bit_or("bit")).cast("long").alias("named"))
 
 
 def run_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
