@@ -114,3 +114,27 @@ def test_no_draft_passes_its_ceiling(spark):
     drafts = score_queries.Drafts(spark, d).drafts.select("doc_id", "source")
     both = score_queries.draft_scores(spark, d).join(drafts, "doc_id").join(best, ["item_id", "source"])
     assert both.count() > 0 and both.where("total > ceiling").count() == 0
+
+
+def _tables(spark, folder):
+    docs = [(1, "Kafkas and kafka run. Planners plan kafkas.", "s"), (2, None, "s"), (3, "nothing named", None)]
+    items = [(0, "Kafka engineer. Builds planner tools."), (1, "Cook wanted. Peels onion sacks."), (2, "Nurse here.")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_drafts_are_put_together_once(spark, tmp_path):
+    from tracewell.plans.score_queries import Drafts
+
+    drafts = Drafts(spark, _tables(spark, tmp_path)).drafts
+    assert "Join" not in drafts._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.doc_id for r in drafts.collect()) == [1, 2, 3]
+
+
+def test_a_term_counts_once_whatever_its_spellings(spark, tmp_path):
+    from tracewell.plans import report_queries as q
+
+    got = q.answers_posting(spark, _tables(spark, tmp_path))
+    assert sorted(map(tuple, got.select("item_id", "doc_id", "named").collect())) == [(0, 1, 2)]
+    assert "Aggregate [doc_id" not in got._jdf.queryExecution().optimizedPlan().toString()

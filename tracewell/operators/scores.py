@@ -71,12 +71,16 @@ def judge(pairs: DataFrame, said: DataFrame, words: DataFrame, want: Asked) -> D
     """(owner, item_id, seq, addressed) for every requirement of every pair.
 
     A requirement that names terms is met by half of them, another by 40 of 100 of its content words;
-    one without either is met by everybody. said: distinct (owner, term), words: distinct (owner, word).
+    one without either is met by everybody. Words that no requirement is judged by go before they are
+    dealt out. said: distinct (owner, term), words: distinct (owner, word).
     """
     all_of = pairs.join(want.needs, "item_id").select("owner", "item_id", "seq", "n_terms", F.size("words").alias("n_words"))
     by_term = pairs.join(want.named, "item_id").join(said.select("owner", "term"), ["owner", "term"]).select("owner", "item_id", "seq")
-    needed = want.needs.where("n_terms = 0").select("item_id", "seq", F.explode("words").alias("word"))
-    by_word = pairs.join(needed, "item_id").join(words, ["owner", "word"]).select("owner", "item_id", "seq")
+    needed = written(want.needs.where("n_terms = 0").select("item_id", "seq", F.explode("words").alias("word")), "needed")
+    wanted = needed.select("word").distinct()
+    if wanted.count() <= M.BROADCAST_SPELLINGS:
+        wanted = F.broadcast(wanted)
+    by_word = pairs.join(needed, "item_id").join(words.join(wanted, "word", "left_semi"), ["owner", "word"]).select("owner", "item_id", "seq")
     hits = by_term.unionByName(by_word).groupBy("owner", "item_id", "seq").agg(F.count(F.lit(1)).alias("hits"))
     both = all_of.join(hits, ["owner", "item_id", "seq"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     met = F.when(F.col("n_terms") > 0, F.col("hits") * 2 >= F.col("n_terms")).otherwise((F.col("n_words") == 0) | (F.col("hits") * 10 >= F.col("n_words") * 4))

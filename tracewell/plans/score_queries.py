@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
 from tracewell.functions import vocab
+from tracewell.functions.shared import written
 from tracewell.operators import rubrics, scores
 from tracewell.plans.text_queries import Tables
 
@@ -26,10 +27,10 @@ class Drafts:
         item = F.pmod(F.col("doc_id"), F.lit(t.bench.agg(F.count(F.lit(1))).scalar()))
         first = F.get(T.sentences("text"), F.lit(0))
         none = F.lit(None).cast("string")
-        shape = rubrics.format_share(rubrics.text_layer_rubric(t.docs))
         bullets, skills = F.split(F.coalesce("text", F.lit("")), "\n"), F.array(F.coalesce("source", F.lit("")))
         rows = t.docs.select("doc_id", item.alias("item_id"), "source", first.alias("headline"), none.alias("summary"), bullets.alias("bullets"), skills.alias("skills"), F.array(first).alias("titles"))
-        self.drafts = rows.join(shape, "doc_id")
+        self.rows, self.shape = rows, rubrics.format_share(rubrics.text_layer_rubric(t.docs))
+        self.answered = rows.select("item_id", "source")
         level = F.get(F.array(*[F.lit(x) for x in ["", *vocab.SENIORITY]]), F.pmod("item_id", F.lit(7)).cast("int"))
         self.postings = t.bench.select("item_id", first.alias("title"), level.alias("seniority"))
         kinds = F.array(F.when(F.length("term") <= 8, F.lit("hard")), F.when(F.length("term") >= 6, F.lit("keyword")))
@@ -39,6 +40,11 @@ class Drafts:
         self.held = t.docs.select("source", first.alias("title"))
         self.terms = t.terms
 
+    @cached_property
+    def drafts(self) -> DataFrame:
+        """Written, as every step of a score reads it: checks and texts meet once."""
+        return written(self.rows.join(self.shape, "doc_id"), "drafts")
+
     @cached_property
     def want(self) -> scores.Asked:
         return scores.asked(self.wanted, self.quals, self.terms)
@@ -54,7 +60,7 @@ def draft_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def draft_ceilings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each source could score at most for the items that its documents are drafts for."""
     d = Drafts(spark, sf_dir)
-    return scores.ceilings(d.drafts.select("item_id", "source"), d.postings, d.record, d.held, d.want)
+    return scores.ceilings(d.answered, d.postings, d.record, d.held, d.want)
 
 
 def draft_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +75,7 @@ def draft_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = scores.document_texts(Drafts(spark, sf_dir).drafts)
+    said = scores.document_texts(Drafts(spark, sf_dir).rows)
     return said.select("doc_id", F.md5("searchable").alias("searchable_md5"), F.md5("running").alias("running_md5"), "n_words", "n_bullets")
 
 
@@ -83,8 +89,8 @@ NOTE_TARGET = 30.0
 
 def score_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Drafts(spark, sf_dir)
-    best = scores.ceilings(d.drafts.select("item_id", "source"), d.postings, d.record, d.held, d.want)
-    return scores.notes(d.scored().scores, d.drafts, best, NOTE_TARGET)
+    best = scores.ceilings(d.answered, d.postings, d.record, d.held, d.want)
+    return scores.notes(d.scored().scores, d.rows, best, NOTE_TARGET)
 
 
 QUERIES = {f.__name__: f for f in (draft_scores, draft_ceilings, draft_gaps, draft_feedback, document_texts, score_breakdown, score_notes)}
