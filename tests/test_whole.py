@@ -92,3 +92,32 @@ def test_terms_decide_where_named(spark):
     terms = spark.createDataFrame([("a", "kafka"), ("a", "spark")], "source string, term string")
     words = spark.createDataFrame([("a", "kafka"), ("a", "spark"), ("b", "owns"), ("b", "plain")], "source string, word string")
     assert rows(fit.addressed_by_terms(reqs, named, terms, words)) == [(1, 0, "a", 2, 3, True), (1, 1, "a", 1, 1, True), (1, 2, "b", 1, 2, True)]
+
+
+def test_merged_terms_keep_numbers_only(spark, tmp_path):
+    from tracewell.operators import sets
+    from tracewell.plans import record_queries as q
+
+    spark.createDataFrame([(0, "zeta alpha zeta"), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(2, "alpha omega"), (3, "solo"), (4, "omega beta " + "x" * 60), (None, "lost")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = q.all_merged_terms(spark, str(tmp_path))
+    assert rows(got) == sorted([(0, "zeta", 1), (0, "alpha", 2), (0, "omega", 3), (0, "beta", 4), (1, "solo", 1), (None, "lost", 1)], key=str)
+    # where a term stands first is a number, so that no rows are sorted to find it
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    s = "item_id int, term string, seq int"
+    first, extra = spark.createDataFrame([(1, "b", 5), (1, "a", 9), (1, "", 0)], s), spark.createDataFrame([(1, "a", 1), (1, "c", 2), (1, "y" * 60, 3)], s)
+    plain = sets.merge_terms(first, extra)
+    assert rows(plain) == rows(sets.merge_terms(first, extra, normal=True)) == [(1, "a", 2), (1, "b", 1), (1, "c", 3)]
+
+
+def test_words_are_those_of_the_normal_form(spark):
+    from pyspark.sql import functions as F
+    from tracewell.functions import text as T
+
+    said = ["Don’t ‘re-use’ co–op—x−y", "Straße GROẞ a•b‣c▪d·e", "“Quoted”\t\x0b\r\n  text ", "İstanbul Kelvin ΟΔΟΣ Σ'a -x '-y", "", None, "a1b2 3c--d''"]
+    df = spark.createDataFrame([(t,) for t in said], "t string")
+    norm = T.normalize("t")
+    got = df.select(T.words("t"), F.regexp_extract_all(norm, F.lit(r"[a-z][a-z'\-]*"), F.lit(0)), T.runs("t"), F.regexp_extract_all(norm, F.lit("[a-z0-9]+"), F.lit(0)))
+    assert all(r[0] == r[1] and r[2] == r[3] for r in got.collect())
+    # white space is not collapsed first, which costs more than the words
+    assert "regexp_replace" not in df.select(T.words("t"), T.runs("t"))._jdf.queryExecution().optimizedPlan().toString()

@@ -43,13 +43,22 @@ def squash(c: Column | str) -> Column:
     return F.regexp_replace(normalize(c), "[^a-z0-9]+", "")
 
 
+def _matches(c: Column | str, pattern: str, signs: str = "") -> Column:
+    """All matches in the normal form, of a pattern that holds no white space: so of white space nothing is
+    collapsed, and of the signs only those given, that count as ' or -, are replaced."""
+    plain = F.lower(F.coalesce(_col(c), F.lit("")))
+    for sign in signs:
+        plain = F.replace(plain, F.lit(sign), F.lit(_TO[_FROM.index(sign)]))
+    return F.regexp_extract_all(F.replace(plain, F.lit("ß"), F.lit("ss")), F.lit(pattern), F.lit(0))
+
+
 def words(c: Column | str) -> Column:
-    return F.regexp_extract_all(normalize(c), F.lit(r"[a-z][a-z'\-]*"), F.lit(0))
+    return _matches(c, r"[a-z][a-z'\-]*", "\u2018\u2019\u2013\u2014\u2212")
 
 
 def runs(c: Column | str) -> Column:
     """Runs of ASCII letters and digits of the normal form: what terms are bounded by."""
-    return F.regexp_extract_all(normalize(c), F.lit("[a-z0-9]+"), F.lit(0))
+    return _matches(c, "[a-z0-9]+")
 
 
 def is_content(word: Column) -> Column:
@@ -57,7 +66,7 @@ def is_content(word: Column) -> Column:
 
 
 def content_words(c: Column | str) -> Column:
-    return F.array_distinct(F.filter(words(c), is_content))
+    return F.filter(F.array_distinct(words(c)), is_content)
 
 
 def sentences(c: Column | str) -> Column:

@@ -27,11 +27,20 @@ def ranked_in_ranges(rows: DataFrame, owner: list[str], ranges: list[tuple[Colum
     return ranked.join(counts, same).select(*rows.columns, (F.col("_before") + F.col("_rank")).cast("int").alias(name))
 
 
-def merge_terms(first: DataFrame, extra: DataFrame, posting: str = "item_id", longest: int = 60) -> DataFrame:
-    """(posting, term, place): the first list in order, then extra terms not in it by normal form."""
+def merge_terms(first: DataFrame, extra: DataFrame, posting: str = "item_id", longest: int = 60, normal: bool = False) -> DataFrame:
+    """(posting, term, place): the first list in order, then extra terms not in it by normal form.
+
+    normal: all terms are normal forms themselves, so none is worked out, and two numbers tell where a term stands first.
+    """
     both = first.select(posting, "term", "seq", F.lit(0).alias("part")).unionByName(extra.select(posting, "term", "seq", F.lit(1).alias("part")))
-    both = both.where((F.col("part") == 0) | (F.length("term") < longest)).withColumn("key", T.normalize("term")).where("key <> ''")
-    kept = both.groupBy(posting, "key").agg(F.min(F.struct("part", "seq", "term")).alias("x")).select(posting, "x.*")
+    both = both.where((F.col("part") == 0) | (F.length("term") < longest))
+    if normal:
+        firsts = [F.min(F.when(F.col("part") == k, F.col("seq"))).alias(f"_first{k}") for k in (0, 1)]
+        kept = both.where("term <> ''").groupBy(posting, "term").agg(*firsts)
+        kept = kept.select(posting, F.when(F.col("_first0").isNull(), 1).otherwise(0).alias("part"), F.coalesce("_first0", "_first1").alias("seq"), "term")
+    else:
+        both = both.withColumn("key", T.normalize("term")).where("key <> ''")
+        kept = both.groupBy(posting, "key").agg(F.min(F.struct("part", "seq", "term")).alias("x")).select(posting, "x.*")
     ranges = [(F.col("part"), False), (F.floor(F.col("seq") / 65536), False)]
     return ranked_in_ranges(kept, [posting], ranges, [F.col("seq")], "place").select(posting, "term", "place")
 

@@ -414,7 +414,7 @@ def all_merged_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     bench, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
     words = lambda df, key, base: df.select(key.alias("item_id"), F.posexplode(T.content_words("text")).alias("seq", "term"), base.alias("base")).withColumn("seq", F.col("base") * 1_000_000 + F.col("seq")).drop("base")
     dealt = F.col("doc_id") % bench.agg(F.count(F.lit(1))).scalar()
-    return sets.merge_terms(words(bench, F.col("item_id"), F.lit(0)), words(docs, dealt, F.col("doc_id")))
+    return sets.merge_terms(words(bench, F.col("item_id"), F.lit(0)), words(docs, dealt, F.col("doc_id")), normal=True)
 
 
 def merged_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
