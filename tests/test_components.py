@@ -50,3 +50,21 @@ def test_figures_and_certificates(spark):
     listed = spark.createDataFrame([("o", "a"), ("o", "a"), ("o", "b"), ("o", None)], "owner_id string, cited string")
     held = spark.createDataFrame([("o", "a", "certification"), ("o", "b", "job")], "owner_id string, source_id string, kind string")
     assert {tuple(r) for r in ground.unknown_certifications(listed, held).collect()} == {("o", "b"), ("o", None)}
+
+
+def test_drafts_count_the_words_of_their_posting(spark, tmp_path, monkeypatch):
+    from tracewell.plans import text_queries as q
+
+    spark.createDataFrame([(0, "Alpha lead. zulu"), (1, "Bravo lead. yank")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [(0, "alpha alpha bravo yank"), (1, "alpha zulu bravo\nyank yank yank yank"), (2, None)]
+    spark.createDataFrame([(d, t, "s") for d, t in texts], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, told = {}, fit.in_context
+
+    def in_context(wanted, counts, *rest):
+        seen["counts"] = sorted(tuple(r) for r in counts.collect())
+        return told(wanted, counts, *rest)
+
+    monkeypatch.setattr(fit, "in_context", in_context)
+    got = {r.doc_id: r.in_context for r in q.draft_components(spark, str(tmp_path)).collect()}
+    assert seen["counts"] == [(0, "alpha", 2), (1, "bravo", 1), (1, "yank", 4)]
+    assert got == {0: 0.5, 1: 0.9, 2: 0.0}

@@ -183,9 +183,12 @@ def draft_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     postings = t.bench.select("item_id", F.get(T.sentences("text"), F.lit(0)).alias("title"), level.alias("seniority"))
     titled = fit.title_fit(docs.join(postings, "item_id").withColumn("levels", F.col("text")), surface="text")
     titled = titled.select("doc_id", "item_id", "overlap", "title_fit", F.array_join("missing_title", " ").alias("missing_title"))
-    counts = docs.select("doc_id", F.explode(T.runs("text")).alias("term")).join(t.terms, "term").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    wanted = written(t.wanted(), "wanted")
+    # only the words that a draft's own posting wants are counted: the others are never dealt out
+    runs = docs.select("doc_id", "item_id", F.explode(T.runs("text")).alias("term")).join(wanted, ["item_id", "term"])
+    counts = runs.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
     bullets = docs.select("doc_id", F.greatest(F.lit(1), F.size(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("bullets"))
-    told = fit.in_context(t.wanted(), counts, bullets, docs.select("doc_id", "item_id"))
+    told = fit.in_context(wanted, counts, bullets, docs.select("doc_id", "item_id"))
     shape = rubrics.format_share(rubrics.text_layer_rubric(docs))
     return titled.join(told, "doc_id").join(shape, "doc_id")
 
