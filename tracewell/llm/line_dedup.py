@@ -104,6 +104,23 @@ def line_rows(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return line.select("doc_id", "line_no", "c1", "c2", least.alias("least"))
 
 
+def class_places(rows: DataFrame) -> DataFrame:
+    """c1, c2, first (smallest doc_id and line) and copies of every class.
+
+    Where all ids and line numbers fit in one long, their least is found by hashing; else (null or very
+    large ids) as a struct, for which Spark sorts the lines.
+    """
+    ends = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("line_no").alias("most"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    bits = (ends.most or 0).bit_length()
+    fits = not ends.nulls and max(abs(ends.low or 0), abs(ends.high or 0)) < 1 << (62 - bits)
+    place = F.shiftleft("doc_id", bits).bitwiseOR(F.col("line_no").cast("long")) if fits else F.struct("doc_id", "line_no")
+    found = rows.where("c1 is not null").groupBy("c1", "c2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"))
+    if not fits:
+        return found
+    line_no = F.col("first").bitwiseAND((1 << bits) - 1).cast("int")
+    return found.withColumn("first", F.struct(F.shiftright("first", bits).alias("doc_id"), line_no.alias("line_no")))
+
+
 def _hot(places: DataFrame) -> dict[int, int]:
     """Tokens of more than one in HOT_SHARE places, and at least 1000, with their counts.
 
@@ -223,7 +240,7 @@ def similar_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     stands before. Links are counted as they are found; they are not kept.
     """
     rows = written(line_rows(docs, threshold), "line-rows")
-    classes = written(rows.where("c1 is not null").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("copies")), "line-classes")
+    classes = written(class_places(rows), "line-classes")
     partnered = written(partnered_classes(rows, threshold), "line-partners")
     release_shuffles(docs.sparkSession)
     members = classes.join(partnered.select(F.shiftright("key", 2).alias("key")), F.shiftright("c1", 2) == F.col("key"), "left_semi")
