@@ -23,3 +23,34 @@ def test_white_space_of_every_kind(spark):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     got = {r.doc_id: (r.n_lines, r.n_removed) for r in line_dedup.line_report(docs).collect()}
     assert got == {1: (3, 0), 2: (1, 1), 3: (0, 0), 4: (1, 0)}
+
+
+def test_only_lines_read_again_are_put_in_lower_case(spark):
+    texts = [(1, "\u03a3\u039f\u03a3\n\u0130x\ty\r\nZ\x0bw\x0c \tv", [2, 1, 0, 7]), (2, None, [0]), (3, "A  B", [0, 1])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, numbers array<int>")
+    got = line_dedup._numbered_lines(docs)
+    whole = {(r.doc_id, r.line_no): r.words for r in line_dedup._lines(docs).collect()}
+    assert {(r.doc_id, r.line_no): r.words for r in got.collect()} == {k: v for k, v in whole.items() if v is not None}
+    assert whole[1, 2] == ["z", "w", "v"] and whole[1, 1] == ["\u0130x".lower(), "y"] and whole[3, 0] == ["a", "b"] and whole[2, None] is None
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "lower(line" in plan and "lower(text" not in plan and "Contains(low" in plan
+
+
+def test_tokens_of_lines_by_brute_force(spark):
+    """Least tokens against all tokens: of the kth least first word, or before, and every run where too few differ."""
+    words = [f"w{k * k % 23}" for k in range(60)]
+    texts = [(k, " ".join(words[k : k + n])) for k, n in enumerate((1, 4, 5, 6, 9, 30, 44))] + [(90, "a b " * 40), (91, ""), (92, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r.least for r in line_dedup.line_rows(docs).collect()}
+    sets = {r.doc_id: r for r in line_dedup._hashed(line_dedup._lines(docs)).select("doc_id", "hashes", line_dedup._tokens().alias("tokens")).collect()}
+    for d, text in texts:
+        w = (text or "").split()
+        runs = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        if w:
+            assert len(sets[d].tokens) == len(set(sets[d].tokens)) == len(runs)
+            m = max(1, len(w) - 4)
+            assert len(got[d]) == min(len(runs), m - -(-m * 8 // 10) + 3) and got[d] == sorted(set(got[d]))
+            if len(w) >= 5:
+                firsts = sorted({h >> 32 for h in sets[d].hashes[: len(w) - 4]})
+                assert {t >> 32 for t in got[d]} == set(firsts[: len({t >> 32 for t in got[d]})])
+    assert got[91] is None and got[92] is None

@@ -34,28 +34,36 @@ BROADCAST_ROWS = 1_000_000
 
 
 def _text_lines() -> Column:
-    """The text's lines in lower case, with every white space but the line's end as a space."""
-    low = F.lower(F.col("text").cast("string"))
-    for c in "\t\r\x0b\x0c":
-        low = F.replace(low, F.lit(c), F.lit(" "))
-    return F.split(low, "\n")
+    return F.split(F.col("text").cast("string"), "\n")
+
 
+def _with_words(lines: DataFrame) -> DataFrame:
+    """doc_id, line_no and the lower-case words of column line; every white space parts words.
 
-def _words() -> Column:
-    return F.array_remove(F.split("line", " "), "").alias("words")
+    Replacing goes through a line slowly even where it finds nothing, so only lines that have a white
+    space other than the space are replaced in. low is named often, so that the plan keeps it as a column.
+    """
+    low, odd, plain = F.col("low"), F.lit(False), F.col("low")
+    for c in "\t\r\x0b\x0c":
+        odd, plain = odd | F.contains(low, F.lit(c)), F.replace(plain, F.lit(c), F.lit(" "))
+    line = F.when(odd, plain).otherwise(low)
+    return lines.select("doc_id", "line_no", F.lower("line").alias("low")).select("doc_id", "line_no", F.array_remove(F.split(line, " "), "").alias("words"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0) and lower-case words of each line; a null text gives one row with null words."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_lines().alias("lines"))
-    return slim.select("doc_id", F.posexplode_outer("lines").alias("line_no", "line")).select("doc_id", "line_no", _words())
+    return _with_words(slim.select("doc_id", F.posexplode_outer("lines").alias("line_no", "line")))
 
 
 def _numbered_lines(docs: DataFrame) -> DataFrame:
-    """The same for the lines whose numbers the rows list (column numbers); those that a text has not are left out."""
+    """The same for the lines whose numbers the rows list (column numbers); those that a text has not are left out.
+
+    Only these lines, not the whole texts, are put in lower case.
+    """
     slim = docs.select("doc_id", "numbers", _text_lines().alias("lines"))
     picked = F.transform("numbers", lambda n: F.struct(n.alias("line_no"), F.get("lines", n).alias("line")))
-    return slim.select("doc_id", F.inline(picked)).where("line is not null").select("doc_id", "line_no", _words())
+    return _with_words(slim.select("doc_id", F.inline(picked)).where("line is not null"))
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
@@ -72,7 +80,7 @@ def _tokens() -> Column:
     """A hashed line's distinct tokens, as 64-bit hashes: runs of SHINGLE words, or all words with their number."""
     size = F.size("hashes")
     m = F.greatest(size - SHINGLE + 1, F.lit(1))
-    runs = F.transform(F.arrays_zip(*[F.slice("hashes", k + 1, m) for k in range(SHINGLE)]), lambda run: F.xxhash64(run))
+    runs = F.get(F.transform(F.array("hashes"), lambda x: F.transform(F.slice("hashes", 1, m), lambda h, i: F.xxhash64(h, *[F.get(x, i + j) for j in range(1, SHINGLE)]))), F.lit(0))
     return F.array_distinct(F.when(size >= SHINGLE, runs).otherwise(F.array(F.xxhash64(size, F.col("hashes")))))
 
 
@@ -92,14 +100,15 @@ def line_rows(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     line = _hashed(_lines(docs)).withColumn("m", F.greatest(F.size("hashes") - SHINGLE + 1, F.lit(1)))
     line = line.withColumn("k", F.expr(f"cast(m - {_ceil('m', round(threshold * 1000))} + {PARTNERS} as int)"))
-    line = line.withColumn("sorted", F.expr("sort_array(slice(hashes, 1, m))"))
+    line = line.withColumn("heads", F.expr("slice(hashes, 1, m)")).withColumn("sorted", F.expr("sort_array(heads)"))
     line = line.withColumn("cut", F.expr("get(sorted, least(size(sorted), k) - 1) | 4294967295L"))
-    run = ", ".join(f"get(hashes, i + {j})" for j in range(SHINGLE))
-    packed = lambda starts: f"sort_array(array_distinct(transform({starts}, i -> (coalesce(get(hashes, i), 0L) & -4294967296L) | (xxhash64({run}) & 4294967295L))))"
-    # named twice, so that the plan keeps cut as a column and does not work it out for every run
-    line = line.withColumn("starts", F.expr("if(cut is null, array(), filter(sequence(0, m - 1), i -> get(hashes, i) <= cut))"))
-    line = line.withColumn("some", F.expr(packed("starts")))
-    most = F.expr(f"if(size(some) >= least(k, m), some, {packed('sequence(0, m - 1)')})")
+    run = ", ".join(["h", *[f"get(x, i + {j})" for j in range(1, SHINGLE)]])
+    token = f"(h & -4294967296L) | (xxhash64({run}) & 4294967295L)"
+    # hashes as the variable x of an outer function: a column would be fetched from its row anew for every word
+    packed = lambda of: f"sort_array(array_compact(array_distinct(get(transform(array(hashes), x -> transform(heads, (h, i) -> {of})), 0))))"
+    # cut is named twice, so that the plan keeps it as a column and does not work it out for every word
+    line = line.withColumn("some", F.expr(f"if(cut is null, array(), {packed(f'if(h <= cut, {token}, null)')})"))
+    most = F.expr(f"if(size(some) >= least(k, m), some, {packed(token)})")
     least = F.when(F.size("hashes") >= SHINGLE, F.slice(most, F.lit(1), F.col("k"))).when(F.size("hashes") > 0, F.array(F.xxhash64(F.size("hashes"), F.col("hashes"))))
     return line.select("doc_id", "line_no", "c1", "c2", least.alias("least"))
 
@@ -208,10 +217,11 @@ def candidates(ordered: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     mille = round(threshold * 1000)
     alone = "(n - size(tokens))"  # tokens before the shared ones
     taken = f"slice(tokens, 1, cast(greatest(n - {_ceil('n', mille)} + 1 - {alone}, 0) as int))"
-    rows = ordered.select("c1", "c2", "n", "tokens", "bits", F.expr(alone).alias("alone"), F.posexplode(F.expr(taken)).alias("k", "t"))
-    rows = rows.select("c1", "c2", "n", "alone", "bits", (F.col("alone") + F.col("k")).alias("pos"), "t", F.expr("slice(tokens, 1, k)").alias("before"))
+    words = [F.col("bits")[k].alias(f"b{k}") for k in range(8)]
+    rows = ordered.select("c1", "c2", "n", "tokens", *words, F.expr(alone).alias("alone"), F.posexplode(F.expr(taken)).alias("k", "t"))
+    rows = rows.select("c1", "c2", "n", "alone", *[f"b{k}" for k in range(8)], (F.col("alone") + F.col("k")).alias("pos"), "t", F.expr("slice(tokens, 1, k)").alias("before"))
     overlap = _ceil("a.n + b.n", mille, 1000 + mille)
-    apart = lambda x, y: f"{x}.n - {x}.alone - (" + " + ".join(f"bit_count({x}.bits[{k}] & ~{y}.bits[{k}])" for k in range(8)) + ")"
+    apart = lambda x, y: f"{x}.n - {x}.alone - (" + " + ".join(f"bit_count({x}.b{k} & ~{y}.b{k})" for k in range(8)) + ")"
     met = rows.where(f"pos <= n - {_ceil('n', 2 * mille, 1000 + mille)}").alias("a").join(
         rows.alias("b"),
         F.expr(
@@ -239,12 +249,13 @@ def similar_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     marks: c1, c2, first (smallest doc_id and line), n_links to other classes, lost if one of those
     stands before. Links are counted as they are found; they are not kept.
     """
-    rows = written(line_rows(docs, threshold), "line-rows")
+    rows = written(line_rows(docs, threshold), "line-rows", dictionary=False)
     classes = written(class_places(rows), "line-classes")
     partnered = written(partnered_classes(rows, threshold), "line-partners")
     release_shuffles(docs.sparkSession)
     members = classes.join(partnered.select(F.shiftright("key", 2).alias("key")), F.shiftright("c1", 2) == F.col("key"), "left_semi")
-    sets = written(token_sets(docs, members.select("c1", "c2", "first")), "line-sets")
+    members = written(members.select("c1", "c2", "first"), "line-members")  # read three times
+    sets = written(token_sets(docs, members), "line-sets")
     ordered = written(ordered_sets(sets, threshold), "line-ordered")
     release_shuffles(docs.sparkSession)
     links = links_of(ordered, candidates(ordered, threshold), threshold)
